@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagework.llm import simhash
+from passagework.llm import chat, simhash, substrings
 
 ORACLES: dict[str, str] = {}
 
@@ -22,6 +22,58 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 of every document; windows of 13 words."""
+    found = substrings.remove_repeats(_table(spark, sf_dir, "documents"), width=13)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: A conversation whose texts look like another format's control strings.
+_TRICKY = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every conversation, read back from its formatted string and loss mask."""
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = spark.sql("select * from values " + ", ".join(f"({c}L, {t}L, '{r}', '{x}')" for c, t, r, x in _TRICKY) + " as t(conv_id, turn, role, text)")
+    back = chat.read_chats(chat.format_chats(turns.unionByName(tricky)))
+    lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("bigint").alias("n_turns"),
+        F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"),
+        F.length("loss_text").cast("bigint").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"),
+        F.length("formatted").cast("bigint").alias("formatted_chars"),
+    )
+
+
+ORACLES["op3_chat_formatting"] = r"""
+with turns as (
+    select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+    union all select -7, 0, 'user', '</s>[INST] ok [/INST]'
+    union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), placed as (
+    select *, lag(role) over w as before, lead(role) over w as after from turns
+    window w as (partition by conv_id order by coalesce(turn, -9223372036854775808), role, text)
+), pieces as (
+    select *,
+        length(regexp_replace(text, '<(\*)\|', '<\\|', 'g'))
+        + case when before = role then 8 else length(replace(replace(replace(role, '%', '%25'), '|', '%7C'), '<', '%3C')) + 4 end
+        + case when after = role then 0 else 7 end as chars
+    from placed
+)
+select conv_id, count(*) as n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' order by coalesce(turn, -9223372036854775808), role, text)) as turns_sha256,
+    coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+    sha256(coalesce(string_agg(text, '' order by coalesce(turn, -9223372036854775808), role, text) filter (role = 'assistant'), '')) as loss_sha256,
+    sum(chars)::bigint as formatted_chars
+from pieces group by conv_id
+""".replace("<(\\*)\\|", "<(\\*)\|")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_substring_dedup": op2_substring_dedup,
+    "op3_chat_formatting": op3_chat_formatting,
 }

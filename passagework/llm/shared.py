@@ -39,14 +39,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of a frame's size; runs no job."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
-def parts_for(df: DataFrame, target: int) -> int:
-    """Partitions of about ``target`` estimated bytes, never under the session's shuffle partitions."""
+def parts_for(df: DataFrame, target: int, column: str = "text") -> int:
+    """Partitions of about ``target`` bytes of ``df``, never under the session's shuffle partitions.
+
+    Catalyst's estimate serves where it has one (files); else the column is measured.
+    """
     spark = df.sparkSession
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, min(1_000_000, -(-plan_bytes(df) // target)))
+    size = plan_bytes(df)
+    if size > 1 << 55:
+        size = (df.agg(F.sum(F.octet_length(column))).first()[0] or 0) // 2
+    return max(least, min(4_000_000, -(-size // target)))
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
