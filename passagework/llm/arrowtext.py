@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: Words are maximal runs of bytes other than these (space, \t \n \v \f \r).
 WORD_GAPS = b" \t\n\x0b\x0c\r"
 

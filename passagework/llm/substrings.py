@@ -21,7 +21,7 @@ from passagework.llm import arrowtext as at
 from passagework.llm.shared import parts_for, pick
 
 #: Windows that a map task holds at once.
-BLOCK_WINDOWS = 1 << 21
+BLOCK_WINDOWS = 1 << 20
 #: Input bytes behind one bucket of hashes, and behind one group of texts.
 BUCKET_BYTES = 4 << 20
 GROUP_BYTES = 8 << 20
@@ -70,6 +70,7 @@ class Block:
         group of texts the intervals that a smaller document of the same block covers."""
         if self.size:
             hashes, docs, places = np.concatenate(self.hashes), np.concatenate(self.docs), np.concatenate(self.places)
+            self.hashes, self.docs, self.places = [], [], []
             order = np.argsort(hashes)
             hashes, docs, places = hashes[order], docs[order], places[order]
             starts, lengths = runs(hashes)
@@ -164,19 +165,17 @@ def _judged(windows: DataFrame, groups: int) -> DataFrame:
 
 
 def group_of(ids: np.ndarray, groups: int) -> np.ndarray:
-    """The group of texts of each doc_id."""
-    return (at.mix(ids.astype(np.int64).view(np.uint64)) % np.uint64(groups)).astype(np.int64)
-
-
-def _grouped(docs: DataFrame, groups: int) -> DataFrame:
-    """``docs`` (doc_id, text) with column grp; rows without doc_id go to the group of id 0."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = at.column(batch, "doc_id").fill_null(0).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(group_of(ids, groups))], [*batch.schema.names, "grp"])
-
-    return docs.mapInArrow(run, "doc_id bigint, text string, grp bigint")
+    """The group of texts of each doc_id: pmod(xxhash64(doc_id), groups), as Spark computes it."""
+    u = np.uint64
+    p1, p2, p3, p4, p5 = u(0x9E3779B185EBCA87), u(0xC2B2AE3D27D4EB4F), u(0x165667B19E3779F9), u(0x85EBCA77C2B2AE63), u(0x27D4EB2F165667C5)
+    turn = lambda x, n: (x << u(n)) | (x >> u(64 - n))
+    with np.errstate(over="ignore"):
+        h = (u(42) + p5 + u(8)) ^ (turn(ids.astype(np.int64).view(u) * p2, 31) * p1)
+        h = turn(h, 27) * p1 + p4
+        h = (h ^ (h >> u(33))) * p2
+        h = (h ^ (h >> u(29))) * p3
+        h ^= h >> u(32)
+    return h.view(np.int64) % groups
 
 
 def cut_windows(tokens: np.ndarray, spans: np.ndarray, hashes: np.ndarray, width: int) -> np.ndarray:
@@ -207,7 +206,7 @@ def remove_repeats(docs: DataFrame, width: int = 13) -> DataFrame:
     """
     docs = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     groups = parts_for(docs, GROUP_BYTES)
-    held = _grouped(docs, groups)
+    held = docs.withColumn("grp", F.expr(f"pmod(xxhash64(doc_id), {groups}L)"))
     found = _judged(_windows(held.where("doc_id is not null"), width, parts_for(docs, BUCKET_BYTES)), groups)
     found = found.select(F.when(F.col("key") < 0, -1 - F.col("key")).otherwise(F.col("key")).alias("grp"), (F.col("key") < 0).alias("spans"), "docs", "counts", "data")
 

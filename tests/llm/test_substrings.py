@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import brute
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -39,3 +40,10 @@ def test_empty_table_and_clashing_columns(spark):
     assert substrings.remove_repeats(empty).count() == 0
     df = spark.createDataFrame([(1, "a b", 5, "x"), (2, None, 6, "y")], "doc_id bigint, text string, grp int, kept string")
     assert digest(substrings.remove_repeats(df)) == [(1, 2, 0, brute.sha("a b")), (2, 0, 0, brute.sha(""))]
+
+
+def test_groups_agree_with_spark(spark):
+    ids = [0, 1, -1, 2**62, -(2**63), 123456789]
+    df = spark.createDataFrame([(i,) for i in ids], "i bigint")
+    want = [r[1] for r in sorted(df.selectExpr("i", "pmod(xxhash64(i), 37L) as g").collect(), key=lambda r: ids.index(r.i))]
+    assert substrings.group_of(np.array(ids), 37).tolist() == want
