@@ -214,9 +214,9 @@ def mix_documents(docs: DataFrame, block: int = 64, shard: int = 4096, seed: int
     sized = stored(word_counts(docs), "sizes")
     plan = plan_for(sized, block, shard, seed)
     spark = docs.sparkSession
-    placed = _placed(sized, plan)
     if not plan.names:
         return sized.select("doc_id", "source", "size", F.lit(0).cast("bigint").alias("start"), F.lit(0).cast("bigint").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).cast("bigint").alias("taken"), F.lit(None).cast(_CUTS).alias("cuts"))
+    placed = stored(_placed(sized, plan), "placed")
     used = slots(spark, plan).groupBy("src", "block").agg(F.count(F.lit(1)).alias("times"))
     spans = F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")
     spread = placed.where("size > 0").select("src", "doc_id", "start", "size", F.explode(spans).alias("block"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagework.llm import chat, simhash, substrings
+from passagework.llm import chat, langid, licences, media, mixing, pieces, quality, simhash, substrings
 
 ORACLES: dict[str, str] = {}
 
@@ -69,11 +69,57 @@ select conv_id, count(*) as n_turns,
     sha256(coalesce(string_agg(text, '' order by coalesce(turn, -9223372036854775808), role, text) filter (role = 'assistant'), '')) as loss_sha256,
     sum(chars)::bigint as formatted_chars
 from pieces group by conv_id
-""".replace("<(\\*)\\|", "<(\\*)\|")
+"""
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact phrases and fuzzy notices of every document."""
+    found = licences.scan_licences(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "matches")
+
+
+def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a PNG in a binary column, read back: digests and perceptual hash."""
+    return media.read_media(media.store_texts(_table(spark, sf_dir, "documents")))
+
+
+def tokenizer_path() -> str:
+    """The model file of the registered queries: that of the installed public vocabularies."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document's whole text, and the text decoded from them, as counts and digests."""
+    found = pieces.encode_documents(_table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
+    return found.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred and score of every document."""
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, source_size, target and taken of every document."""
+    return mixing.mix_documents(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdicts of every document."""
+    found = quality.judged(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_chat_formatting": op3_chat_formatting,
+    "op4_license_scan": op4_license_scan,
+    "op5_media_columns": op5_media_columns,
+    "op6_sentencepiece": op6_sentencepiece,
+    "op7_language_id": op7_language_id,
+    "op8_source_mixing": op8_source_mixing,
+    "op9_quality_rules": op9_quality_rules,
 }
