@@ -14,11 +14,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from passagework.llm import arrowtext as at
-from passagework.llm.shared import pick, stored
+from passagework.llm.shared import parts_for, pick, stored
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -231,3 +232,52 @@ def mix_documents(docs: DataFrame, block: int = 64, shard: int = 4096, seed: int
         .join(F.broadcast(facts), "src")
         .select("doc_id", "source", "size", "start", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"), "cuts")
     )
+
+
+#: Input bytes behind one group of texts.
+GROUP_BYTES = 8 << 20
+
+
+def mixed_documents(docs: DataFrame, block: int = 64, shard: int = 4096, seed: int = 17) -> DataFrame:
+    """``docs`` as the mix takes them; all columns are kept.
+
+    A document taken up to k times gives k rows; the j-th holds its words in blocks taken at
+    least j times, in order (its unchanged text where these are all words, else joined
+    by one space), and n_chars, if there, follows.  Documents of which nothing is taken go.
+    """
+    names = docs.columns
+    held = {n: f"c{i}" for i, n in enumerate(names)}
+    plain = docs.toDF(*held.values())
+    doc_id, source, text = held["doc_id"], held["source"], held["text"]
+    groups = parts_for(plain.select(text), GROUP_BYTES, text)
+    mix = mix_documents(docs, block, shard, seed).where("taken > 0").select("doc_id", "source", "size", "start", "cuts", F.expr(f"pmod(xxhash64(doc_id), {groups}L)").alias("grp"))
+    types = dict(plain.dtypes)
+
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        wanted: dict[tuple, list] = {}
+        order = right.sort_by([("start", "descending")])
+        for d, s, n, cuts in zip(*(order[c].to_pylist() for c in ("doc_id", "source", "size", "cuts"))):
+            wanted.setdefault((d, s, n), []).append(cuts)
+        # Rows that cannot be told apart by id, source and size are matched in order of their texts.
+        left = left.sort_by(text)
+        take, texts = [], []
+        for i, (d, s, t) in enumerate(zip(left[doc_id].to_pylist(), left[source].to_pylist(), left[text].to_pylist())):
+            words = (t or "").encode().split()
+            queue = wanted.get((d, s, len(words)))
+            if not words or not queue:
+                continue
+            cuts = queue.pop()
+            for j in range(1, max(c["times"] for c in cuts) + 1):
+                kept = [(c["first"], c["stop"]) for c in cuts if c["times"] >= j]
+                whole = sum(b - a for a, b in kept) == len(words)
+                take.append(i)
+                texts.append(t if whole else b" ".join(w for a, b in kept for w in words[a:b]).decode())
+        out = left.drop_columns(["grp"]).take(pa.array(take, pa.int64()))
+        return out.set_column(out.schema.get_field_index(text), text, pa.array(texts, pa.string()))
+
+    sides = plain.withColumn(doc_id, F.col(doc_id).cast("bigint")).withColumn("grp", F.expr(f"pmod(xxhash64({doc_id}), {groups}L)"))
+    types[doc_id] = "bigint"
+    out = sides.groupBy("grp").cogroup(mix.groupBy("grp")).applyInArrow(run, ", ".join(f"{c} {types[c]}" for c in held.values()))
+    if "n_chars" in held:
+        out = out.withColumn(held["n_chars"], F.length(text).cast(docs.schema["n_chars"].dataType))
+    return out.toDF(*names)

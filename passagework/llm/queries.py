@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagework.llm import chat, langid, licences, media, mixing, pieces, quality, simhash, substrings
+from passagework.llm import chat, langid, licences, media, mixing, pieces, quality, simhash, substrings, warc
 
 ORACLES: dict[str, str] = {}
 
@@ -58,7 +58,7 @@ with turns as (
     window w as (partition by conv_id order by coalesce(turn, -9223372036854775808), role, text)
 ), pieces as (
     select *,
-        length(regexp_replace(text, '<(\*)\|', '<\\|', 'g'))
+        length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g'))
         + case when before = role then 8 else length(replace(replace(replace(role, '%', '%25'), '|', '%7C'), '<', '%3C')) + 4 end
         + case when after = role then 0 else 7 end as chars
     from placed
@@ -112,6 +112,25 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record per page, written and read back from the archives by way of the index."""
+    back = warc.read_archives(warc.write_archives(_table(spark, sf_dir, "pages")))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLES["op10_warc"] = """
+with facts as (
+    select page_id, strlen(coalesce(html, '')) as payload_bytes, sha1(coalesce(html, '')) as payload_digest from pages
+), kept as (
+    select *, case when payload_bytes >= 1000 then max(page_id) over (partition by payload_digest, payload_bytes) end as keeper from facts
+)
+select page_id, payload_bytes, payload_digest,
+    case when keeper is not null and page_id is distinct from keeper then 'revisit' else 'response' end as record_type,
+    case when page_id is distinct from keeper then keeper end as refers_to
+from kept
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_substring_dedup": op2_substring_dedup,
@@ -122,4 +141,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_language_id": op7_language_id,
     "op8_source_mixing": op8_source_mixing,
     "op9_quality_rules": op9_quality_rules,
+    "op10_warc": op10_warc,
 }

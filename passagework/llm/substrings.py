@@ -205,10 +205,33 @@ def remove_repeats(docs: DataFrame, width: int = 13) -> DataFrame:
     probability of about 2**-60.
     """
     docs = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    groups = parts_for(docs, GROUP_BYTES)
+    return _removed(docs, width, [])
+
+
+def without_repeats(docs: DataFrame, width: int = 13) -> DataFrame:
+    """The rows of ``docs`` without what ``remove_repeats`` takes; all columns are kept.
+
+    A text that loses nothing stays as it is; others become their remaining words joined
+    by one space, and n_chars, if there, follows.  Documents that lose every word go.
+    """
+    names = docs.columns
+    held = {n: f"c{i}" for i, n in enumerate(names)}
+    plain = docs.toDF(*held.values())
+    found = _removed(plain.select(F.col(held["doc_id"]).cast("bigint").alias("doc_id"), F.col(held["text"]).cast("string").alias("text"), *held.values()), width, list(held.values()))
+    text = F.when(F.col("n_removed") == 0, F.col(held["text"])).otherwise(F.col("kept"))
+    out = found.where("n_removed = 0 or n_removed < n_words").withColumn(held["text"], text)
+    if "n_chars" in held:
+        out = out.withColumn(held["n_chars"], F.length(held["text"]).cast(docs.schema["n_chars"].dataType))
+    return out.select(*held.values()).toDF(*names)
+
+
+def _removed(docs: DataFrame, width: int, carry: list[str]) -> DataFrame:
+    """``remove_repeats`` for (doc_id, text, carried columns)."""
+    groups = parts_for(docs.select("text"), GROUP_BYTES)
     held = docs.withColumn("grp", F.expr(f"pmod(xxhash64(doc_id), {groups}L)"))
-    found = _judged(_windows(held.where("doc_id is not null"), width, parts_for(docs, BUCKET_BYTES)), groups)
+    found = _judged(_windows(held.where("doc_id is not null").select("doc_id", "text", "grp"), width, parts_for(docs.select("text"), BUCKET_BYTES)), groups)
     found = found.select(F.when(F.col("key") < 0, -1 - F.col("key")).otherwise(F.col("key")).alias("grp"), (F.col("key") < 0).alias("spans"), "docs", "counts", "data")
+    types = dict(docs.dtypes)
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         spans: dict[int, list] = {}
@@ -239,11 +262,8 @@ def remove_repeats(docs: DataFrame, width: int = 13) -> DataFrame:
             out["kept"].append(kept.decode())
             out["removed"].append(gone)
         span = pa.list_(pa.struct([("first", pa.int64()), ("stop", pa.int64())]))
-        columns = [left["doc_id"], pa.array(out["n_words"], pa.int64()), pa.array(out["n_removed"], pa.int64()), pa.array(out["kept"], pa.string()), pa.array(out["removed"], span)]
-        return pa.Table.from_arrays(columns, ["doc_id", *out])
-
-    return (
-        held.groupBy("grp")
-        .cogroup(found.groupBy("grp"))
-        .applyInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept string, removed array<struct<first: bigint, stop: bigint>>")
-    )
+        columns = [*(left[c] for c in carry), left["doc_id"], pa.array(out["n_words"], pa.int64()), pa.array(out["n_removed"], pa.int64()), pa.array(out["kept"], pa.string()), pa.array(out["removed"], span)]
+        return pa.Table.from_arrays(columns, [*carry, "doc_id", *out])
+
+    schema = "doc_id bigint, n_words bigint, n_removed bigint, kept string, removed array<struct<first: bigint, stop: bigint>>"
+    return held.groupBy("grp").cogroup(found.groupBy("grp")).applyInArrow(run, ", ".join([*(f"{c} {types[c]}" for c in carry), schema]))
