@@ -54,19 +54,9 @@ def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = (5, 2, 1)
     return out
 
 
-def slots_for(size: int, target: float, block: int, most: float) -> int:
-    """Slots whose words come nearest to ``target``, never more than ``most`` whole passes."""
-    if not size:
-        return 0
-    n = -(-size // block)
-    whole = int(target // size)
-    left = target - whole * size
-    return min(int(most) * n, whole * n + min(n, round(left / min(block, size))))
-
-
-def permuted(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """A pseudorandom permutation of 0 .. n-1 for each key: four Feistel rounds on the next
-    even number of bits, repeated on the values that fall outside (cycle walking)."""
+def permuted(index: np.ndarray, n: np.ndarray, key: np.ndarray, back: bool = False) -> np.ndarray:
+    """A pseudorandom permutation of 0 .. n-1 for each key, or its inverse: four Feistel rounds on the
+    next even number of bits, repeated on the values that fall outside (cycle walking)."""
     half = np.maximum(1, (np.ceil(np.log2(np.maximum(n, 2).astype(float))).astype(np.int64) + 1) // 2).astype(np.uint64)
     mask = (np.uint64(1) << half) - np.uint64(1)
     key = key.astype(np.uint64)
@@ -74,8 +64,11 @@ def permuted(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     def once(x: np.ndarray, at_: np.ndarray) -> np.ndarray:
         h, m, k = half[at_], mask[at_], key[at_]
         left, right = x >> h, x & m
-        for r in range(4):
-            left, right = right, left ^ (at.mix(right + at.mix(k + np.uint64(r))) & m)
+        for r in reversed(range(4)) if back else range(4):
+            if back:
+                left, right = right ^ (at.mix(left + at.mix(k + np.uint64(r))) & m), left
+            else:
+                left, right = right, left ^ (at.mix(right + at.mix(k + np.uint64(r))) & m)
         return (left << h) | right
 
     out = once(index.astype(np.uint64), np.arange(len(index)))
@@ -85,6 +78,27 @@ def permuted(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def epoch_keys(seed: int, src: np.ndarray, epoch: np.ndarray) -> np.ndarray:
+    return at.mix(at.mix(np.full(len(src), seed, np.uint64) + src.astype(np.uint64)) + epoch.astype(np.uint64))
+
+
+def slots_for(src: int, size: int, target: float, block: int, most: float, seed: int) -> int:
+    """Slots of a source whose words come nearest to ``target``, never more than ``most`` whole passes.
+
+    A last pass of part of the blocks may hold the source's last block, which can be short."""
+    if not size:
+        return 0
+    n = -(-size // block)
+    whole = int(target // size)
+    left = target - whole * size
+    short = n * block - size
+    one = np.array([n])
+    last = int(permuted(one - 1, one, epoch_keys(seed, np.array([src]), np.array([whole])), back=True)[0])
+    near = {min(n, max(0, int(left // block) + d)) for d in range(-1, 3)}
+    best = min(sorted(near), key=lambda r: abs(r * block - (short if last < r else 0) - left))
+    return min(int(most) * n, whole * n + best)
+
+
 _CUTS = "array<struct<first:bigint,stop:bigint,times:bigint>>"
 
 
@@ -96,7 +110,7 @@ class Plan:
         self.target = targets(sizes, weights, most)
         self.names = sorted(sizes, key=lambda s: (s is None, (s or "").encode("utf-32-be")))
         self.blocks = [-(-sizes[s] // block) for s in self.names]
-        self.slots = [slots_for(sizes[s], self.target[s], block, most) for s in self.names]
+        self.slots = [slots_for(i, sizes[s], self.target[s], block, most, seed) for i, s in enumerate(self.names)]
         total = sum(self.slots)
         self.p = np.array(self.slots, float) / max(1, total)
         self.shards = total // shard
@@ -172,8 +186,7 @@ def slots(spark, plan: Plan) -> DataFrame:
                 slot = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(g["first"].to_numpy(np.int64), n)
                 size = blocks[src]
                 epoch = slot // size
-                key = at.mix(at.mix(np.full(len(src), plan.seed, np.uint64) + src.astype(np.uint64)) + epoch.astype(np.uint64))
-                yield pd.DataFrame({"shard": shard, "src": src, "slot": slot, "epoch": epoch, "block": permuted(slot % size, size, key)})
+                yield pd.DataFrame({"shard": shard, "src": src, "slot": slot, "epoch": epoch, "block": permuted(slot % size, size, epoch_keys(plan.seed, src, epoch))})
 
     return runs.mapInPandas(spell, "shard bigint, src int, slot bigint, epoch bigint, block bigint")
 
@@ -196,13 +209,13 @@ def _placed(sized: DataFrame, plan: Plan) -> DataFrame:
     return within.join(base, ["src", "bucket"]).select("doc_id", "source", "size", "src", (F.col("start") + F.col("base")).alias("start"))
 
 
-def plan_for(sized: DataFrame, block: int = 64, shard: int = 4096, seed: int = 17, most: float = 3.0, weights: tuple[float, ...] = (5, 2, 1)) -> Plan:
+def plan_for(sized: DataFrame, block: int = 32, shard: int = 4096, seed: int = 17, most: float = 3.0, weights: tuple[float, ...] = (5, 2, 1)) -> Plan:
     """The plan for (doc_id, source, size) rows; one sum per source comes to the driver."""
     sizes = {r["source"]: int(r["size"]) for r in sized.groupBy("source").agg(F.sum("size").alias("size")).collect()}
     return Plan(sizes, block, shard, seed, most, weights)
 
 
-def mix_documents(docs: DataFrame, block: int = 64, shard: int = 4096, seed: int = 17) -> DataFrame:
+def mix_documents(docs: DataFrame, block: int = 32, shard: int = 4096, seed: int = 17) -> DataFrame:
     """(doc_id, source, size, start, source_size, target, taken, cuts) per row of ``docs`` (doc_id, text, source).
 
     ``taken`` counts the words of the document that stand in the mix, repeats included;
@@ -238,7 +251,7 @@ def mix_documents(docs: DataFrame, block: int = 64, shard: int = 4096, seed: int
 GROUP_BYTES = 8 << 20
 
 
-def mixed_documents(docs: DataFrame, block: int = 64, shard: int = 4096, seed: int = 17) -> DataFrame:
+def mixed_documents(docs: DataFrame, block: int = 32, shard: int = 4096, seed: int = 17) -> DataFrame:
     """``docs`` as the mix takes them; all columns are kept.
 
     A document taken up to k times gives k rows; the j-th holds its words in blocks taken at

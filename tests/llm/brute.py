@@ -65,3 +65,62 @@ def key(row: tuple) -> tuple:
 
 def in_order(rows) -> list[tuple]:
     return sorted((tuple(r) for r in rows), key=key)
+
+
+XXH = (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
+
+
+def fingerprint(text: str | None, width: int = 3) -> int:
+    import xxhash
+
+    words = WORDS.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))]
+    hashes = [xxhash.xxh64(s.encode(), seed=42).intdigest() for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def near_duplicates(rows: list[tuple], width: int = 3, most: int = 3) -> list[tuple]:
+    prints = [fingerprint(r[1], width) for r in rows]
+    root = list(range(len(rows)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if bin(prints[i] ^ prints[j]).count("1") <= most:
+                root[find(i)] = find(j)
+    low: dict[int, int] = {}
+    for i, r in enumerate(rows):
+        if r[0] is not None:
+            low[find(i)] = min(low.get(find(i), r[0]), r[0])
+    return [(r[0], f"{prints[i]:016x}", low.get(find(i))) for i, r in enumerate(rows)]
+
+
+def quality(text: str | None) -> tuple:
+    text = text or ""
+    words = WORDS.findall(text)
+    lines = [x for x in text.split("\n") if WORDS.search(x)]
+    seen: dict[tuple, list[int]] = {}
+    for i in range(len(words) - 2):
+        seen.setdefault(tuple(words[i : i + 3]), []).append(i)
+    repeated = {i + k for places in seen.values() if len(places) > 1 for i in places for k in range(3)}
+    failed = len(words) < 50 or 100 * len(repeated) > 50 * len(words)
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(repeated), failed
+
+
+def phrases(text: str | None, named: dict[str, str]) -> tuple:
+    text = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text)
+    places, labels = [], set()
+    for phrase, label in named.items():
+        want = phrase.split()
+        for i in range(len(words) - len(want) + 1):
+            if words[i : i + len(want)] == want:
+                places.append(i)
+                labels.add(label)
+    return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels))
