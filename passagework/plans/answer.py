@@ -39,10 +39,11 @@ def answer_batch(questions: DataFrame, index: DataFrame, registry: DataFrame, ge
     """
     judged = guard.classify(questions, registry, check)
     open_ = judged.where("reason is null")
-    hits = retrieval.retrieve(index, open_, config)
+    # At most a few rows per question, used by several branches below: kept, not computed again.
+    hits = retrieval.retrieve(index, open_, config).persist()
     counts = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("hit_count"))
-    drafts = drafted(hits, open_, generator)
-    claims = C.checked(C.rendered(C.drafts_of(drafts.where("error is null")), hits, registry), config)
+    drafts = drafted(hits, open_, generator).persist()
+    claims = C.checked(C.rendered(C.drafts_of(drafts.where("error is null")), hits, registry), config).persist()
     fields = ("document_id", "document_name", "publisher", "year", "source_url", "claims")
     answered = C.sections(claims).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", F.struct(*fields).alias("s")))).alias("held")).select("query_id", F.transform("held", lambda x: x["s"]).alias("sections"))
     gone = claims.where("drop_reason is not null").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "claim_pos", "drop_reason"))).alias("gone"))
