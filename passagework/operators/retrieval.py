@@ -54,7 +54,7 @@ def _block_nearest(index: DataFrame, others: list[str], block: list, k: int) ->
     types = dict(index.dtypes)
     ids = np.array([r.query_id for r in block], np.int64)
     scopes = [r.scope_id for r in block]
-    matrix = np.array([r.embedding for r in block], float).reshape(len(block), -1)
+    matrix = np.array([r.embedding for r in block], float).reshape(len(block), -1) if block else np.zeros((0, 1))
     matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
