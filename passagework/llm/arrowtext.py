@@ -9,7 +9,9 @@ larger slice.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +26,30 @@ _BASE = _U64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 _UNBASE = _U64(pow(int(_BASE), -1, 1 << 64))
 
 
+def release() -> None:
+    """Gives memory that is no longer used back to the system.
+
+    Spark keeps a Python worker for later tasks, of any operator; what a task has freed would
+    otherwise stay with it and add up beside the executor's heap."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not the GNU C library
+        pass
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` over a partition's batches, followed by ``release``."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        _GROWN.clear()
+        release()
+
+    return whole
+
+
 def byte_set(values: bytes) -> np.ndarray:
     """Membership table over the 256 byte values."""
     table = np.zeros(256, bool)

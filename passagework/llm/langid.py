@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from passagework.llm import arrowtext as at
-from passagework.llm.shared import pick
+from passagework.llm.shared import pick, small_batches
 
 #: A word: up to 40 letters in a row (a longer run is cut).
 _LETTERS = re.compile(r"[^\W\d_]{1,40}")
@@ -325,7 +325,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                     best, score = np.zeros(len(texts), np.int64), np.zeros(len(texts))
                 yield pa.RecordBatch.from_arrays([at.column(part, "doc_id"), pa.array(names[best].tolist(), pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
-    return pick(docs, "doc_id", text).withColumn("doc_id", F.col("doc_id").cast("bigint")).mapInArrow(run, "doc_id bigint, lang_pred string, score double")
+    return small_batches(pick(docs, "doc_id", text)).withColumn("doc_id", F.col("doc_id").cast("bigint")).mapInArrow(at.tidy(run), "doc_id bigint, lang_pred string, score double")
 
 
 def identify(docs: DataFrame, how: Training = Training()) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from passagework.llm import arrowtext as at
-from passagework.llm.shared import pick
+from passagework.llm.shared import pick, small_batches
 
 #: Exact phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -210,8 +210,8 @@ def scan_licences(docs: DataFrame, phrases: dict[str, str] | None = None, notice
                     [at.column(part, "doc_id"), pa.array(n, pa.int64()), *(pa.array(v, t) for v, t in zip(out.values(), types))], ["doc_id", "n_words", *out]
                 )
 
-    return pick(docs, "doc_id", text).withColumn("doc_id", F.col("doc_id").cast("bigint")).mapInArrow(
-        run, f"doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, matches array<{_MATCH}>"
+    return small_batches(pick(docs, "doc_id", text)).withColumn("doc_id", F.col("doc_id").cast("bigint")).mapInArrow(
+        at.tidy(run), f"doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, matches array<{_MATCH}>"
     )
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from passagework.llm import arrowtext as at
-from passagework.llm.shared import parts_for, pick, stored
+from passagework.llm.shared import parts_for, pick, small_batches, stored
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -124,15 +124,16 @@ class Plan:
 _FAN = 4096
 
 
-def _numbered(spark, plan: Plan) -> DataFrame:
-    """(shard, src, first, n): the numbers first .. first + n - 1 of the source's slots in each shard.
+def slots(spark, plan: Plan) -> DataFrame:
+    """(shard, src, slot, epoch, block): what each slot of the mix takes.
 
-    Draws depend on the shard alone, so they are made where they are used.  Shards before
-    a group of shards are summed by group first; only group sums meet in one window.
+    Draws depend on the shard alone, so they are made where they are used.  Shards are
+    summed by groups first; only group sums meet in one window, which gives each group the
+    numbers its slots start from.  Draws beyond a source's total are void; what they
+    leave short is given by the last shard, numbered ``plan.shards``.
     """
     groups = -(-plan.shards // _FAN)
-    if not plan.shards:
-        return spark.createDataFrame([], "shard bigint, src int, first bigint, n bigint")
+    blocks, wanted = np.array(plan.blocks, np.int64), np.array(plan.slots, np.int64)
 
     def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -140,55 +141,41 @@ def _numbered(spark, plan: Plan) -> DataFrame:
                 total = sum((plan.draw(s) for s in range(g * _FAN, min(plan.shards, (g + 1) * _FAN))), np.zeros(len(plan.p), np.int64))
                 yield pd.DataFrame({"g": g, "src": range(len(total)), "n": total})
 
-    grouped = spark.range(groups, numPartitions=min(groups, 4096)).mapInPandas(sums, "g bigint, src int, n bigint")
-    before = grouped.select("g", "src", (F.sum("n").over(Window.partitionBy("src").orderBy("g")) - F.col("n")).alias("first"))
-    starts = before.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("src", "first"))).alias("at"))
+    def spelled(shard: int, first: np.ndarray, n: np.ndarray) -> pd.DataFrame:
+        src = np.repeat(np.arange(len(n)), n)
+        slot = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+        size = blocks[src]
+        epoch = slot // size
+        return pd.DataFrame({"shard": shard, "src": src, "slot": slot, "epoch": epoch, "block": permuted(slot % size, size, epoch_keys(plan.seed, src, epoch))})
 
-    def number(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def by_group(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for g, firsts in zip(f["g"].tolist(), f["at"]):
                 at_ = np.array([x["first"] for x in firsts], np.int64)
                 for s in range(g * _FAN, min(plan.shards, (g + 1) * _FAN)):
                     n = plan.draw(s)
-                    yield pd.DataFrame({"shard": s, "src": range(len(n)), "first": at_, "n": n})
+                    yield spelled(s, at_, np.minimum(n, np.maximum(0, wanted - at_)))
                     at_ = at_ + n
 
-    return starts.mapInPandas(number, "shard bigint, src int, first bigint, n bigint")
-
-
-def slots(spark, plan: Plan) -> DataFrame:
-    """(shard, src, slot, epoch, block): what each slot of the mix takes.
-
-    Draws beyond a source's total are void; what they leave short is given by the last
-    shard, numbered ``plan.shards``.
-    """
-    names = F.array(*[F.lit(int(x)) for x in plan.slots]) if plan.slots else F.array().cast("array<bigint>")
-    drawn = _numbered(spark, plan)
-    kept = drawn.select("shard", "src", "first", F.least(F.col("n"), F.greatest(F.lit(0), F.element_at(names, F.col("src") + 1) - F.col("first"))).alias("n")) if plan.slots else drawn
-    reached = drawn.groupBy("src").agg(F.max(F.col("first") + F.col("n")).alias("reached"))
-    wanted = spark.createDataFrame([(i, n) for i, n in enumerate(plan.slots)], "src int, wanted bigint")
-    settle = wanted.join(reached, "src", "left").select(
-        F.lit(plan.shards).cast("bigint").alias("shard"), "src", F.least("wanted", F.coalesce("reached", F.lit(0))).alias("first"), (F.col("wanted") - F.least("wanted", F.coalesce("reached", F.lit(0)))).alias("n")
-    )
-    # A long run of slots is cut before it is spelled out.
-    step = plan.shard
-    every = kept.unionByName(settle).where("n > 0")
-    cut = every.select("shard", "src", F.col("first"), F.col("n"), F.explode(F.expr(f"sequence(0L, (n - 1) div {step})")).alias("part"))
-    runs = cut.select("shard", "src", (F.col("first") + F.col("part") * step).alias("first"), F.least(F.lit(step), F.col("n") - F.col("part") * step).alias("n"))
-    blocks = np.array(plan.blocks, np.int64)
-
-    def spell(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def settled(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # One row per stretch of a source's remaining slots.
         for f in frames:
-            for a in range(0, len(f), 256):
-                g = f.iloc[a : a + 256]
-                n = g["n"].to_numpy(np.int64)
-                src, shard = np.repeat(g["src"].to_numpy(np.int64), n), np.repeat(g["shard"].to_numpy(np.int64), n)
-                slot = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(g["first"].to_numpy(np.int64), n)
-                size = blocks[src]
-                epoch = slot // size
-                yield pd.DataFrame({"shard": shard, "src": src, "slot": slot, "epoch": epoch, "block": permuted(slot % size, size, epoch_keys(plan.seed, src, epoch))})
+            for src, first, n in zip(f["src"], f["first"], f["n"]):
+                at_, counts = np.zeros(len(wanted), np.int64), np.zeros(len(wanted), np.int64)
+                at_[src], counts[src] = first, n
+                yield spelled(plan.shards, at_, counts)
 
-    return runs.mapInPandas(spell, "shard bigint, src int, slot bigint, epoch bigint, block bigint")
+    schema = "shard bigint, src int, slot bigint, epoch bigint, block bigint"
+    grouped = spark.range(groups, numPartitions=max(1, min(groups, 4096))).mapInPandas(sums, "g bigint, src int, n bigint")
+    before = grouped.select("g", "src", (F.sum("n").over(Window.partitionBy("src").orderBy("g")) - F.col("n")).alias("first"))
+    starts = before.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("src", "first"))).alias("at"))
+    drawn = grouped.groupBy("src").agg(F.sum("n").alias("drawn"))
+    totals = spark.createDataFrame([(i, n) for i, n in enumerate(plan.slots)], "src int, wanted bigint")
+    rest = totals.join(drawn, "src", "left").select("src", F.least("wanted", F.coalesce("drawn", F.lit(0))).alias("first"), "wanted").where("first < wanted")
+    step = plan.shard
+    stretches = rest.select("src", "first", "wanted", F.explode(F.expr(f"sequence(0L, (wanted - first - 1) div {step})")).alias("part"))
+    stretches = stretches.select("src", (F.col("first") + F.col("part") * step).alias("first"), F.least(F.lit(step), F.col("wanted") - F.col("first") - F.col("part") * step).alias("n"))
+    return starts.mapInPandas(by_group, schema).unionByName(stretches.mapInPandas(settled, schema))
 
 
 def _placed(sized: DataFrame, plan: Plan) -> DataFrame:
@@ -201,7 +188,7 @@ def _placed(sized: DataFrame, plan: Plan) -> DataFrame:
     order = spark.createDataFrame([(s, i) for i, s in enumerate(plan.names)], "source string, src int")
     n = sized.count()
     buckets = max(1, n // 2000)
-    keyed = sized.join(F.broadcast(order), sized["source"].eqNullSafe(order["source"])).select("doc_id", sized["source"], "size", "src", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).alias("bucket"))
+    keyed = sized.join(order, sized["source"].eqNullSafe(order["source"])).select("doc_id", sized["source"], "size", "src", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).alias("bucket"))
     sums = keyed.groupBy("src", "bucket").agg(F.sum("size").alias("held"))
     base = sums.select("src", "bucket", (F.sum("held").over(Window.partitionBy("src").orderBy("bucket")) - F.col("held")).alias("base"))
     inner = Window.partitionBy("src", "bucket").orderBy(F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -242,13 +229,13 @@ def mix_documents(docs: DataFrame, block: int = 32, shard: int = 4096, seed: int
     facts = spark.createDataFrame([(i, plan.sizes[s], float(plan.target[s])) for i, s in enumerate(plan.names)], "src int, source_size bigint, target double")
     return (
         placed.join(given, ["src", "start", "size"], "left")
-        .join(F.broadcast(facts), "src")
+        .join(facts, "src")
         .select("doc_id", "source", "size", "start", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"), "cuts")
     )
 
 
 #: Input bytes behind one group of texts.
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 4 << 20
 
 
 def mixed_documents(docs: DataFrame, block: int = 32, shard: int = 4096, seed: int = 17) -> DataFrame:
@@ -262,7 +249,7 @@ def mixed_documents(docs: DataFrame, block: int = 32, shard: int = 4096, seed: i
     held = {n: f"c{i}" for i, n in enumerate(names)}
     plain = docs.toDF(*held.values())
     doc_id, source, text = held["doc_id"], held["source"], held["text"]
-    groups = parts_for(plain.select(text), GROUP_BYTES, text)
+    groups = parts_for(small_batches(plain).select(text), GROUP_BYTES, text)
     mix = mix_documents(docs, block, shard, seed).where("taken > 0").select("doc_id", "source", "size", "start", "cuts", F.expr(f"pmod(xxhash64(doc_id), {groups}L)").alias("grp"))
     types = dict(plain.dtypes)
 
@@ -285,6 +272,8 @@ def mixed_documents(docs: DataFrame, block: int = 32, shard: int = 4096, seed: i
                 whole = sum(b - a for a, b in kept) == len(words)
                 take.append(i)
                 texts.append(t if whole else b" ".join(w for a, b in kept for w in words[a:b]).decode())
+        wanted.clear()
+        at.release()
         out = left.drop_columns(["grp"]).take(pa.array(take, pa.int64()))
         return out.set_column(out.schema.get_field_index(text), text, pa.array(texts, pa.string()))
 

@@ -55,6 +55,23 @@ def parts_for(df: DataFrame, target: int, column: str = "text") -> int:
     return max(least, min(4_000_000, -(-size // target)))
 
 
+#: Rows of an Arrow batch between Spark and Python.  Texts are long; this many of them are a few MB.
+BATCH_ROWS = 512
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, with the session's Arrow batches held to BATCH_ROWS rows.
+
+    The limit is a session setting that is read when a plan runs, so it stays set.  It bounds
+    the buffers on both sides of each Python worker, and changes no result.
+    """
+    conf = df.sparkSession.conf
+    rows = int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    if not 0 < rows <= BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
+
+
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns.  Names that differ in case alone are told apart by exact match."""
     if len({c.lower() for c in df.columns}) == len(df.columns):

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from passagework.llm import arrowtext as at
 from passagework.llm.components import components
-from passagework.llm.shared import pick, stored
+from passagework.llm.shared import pick, small_batches, stored
 
 SEED = 42
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame, width: int = 3, text: str = "text") -> DataFra
                 fps = np.array([fingerprint(whole[a:b], width) for a, b in zip(spans, spans[1:])], np.uint64)
                 yield pa.RecordBatch.from_arrays([at.column(part, "doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    return pick(docs, "doc_id", text).mapInArrow(run, "doc_id bigint, fp bigint")
+    return small_batches(pick(docs, "doc_id", text)).mapInArrow(at.tidy(run), "doc_id bigint, fp bigint")
 
 
 def _ball(value: str, bits: int) -> str:

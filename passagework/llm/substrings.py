@@ -18,13 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from passagework.llm import arrowtext as at
-from passagework.llm.shared import parts_for, pick
+from passagework.llm.shared import parts_for, pick, small_batches
 
 #: Windows that a map task holds at once.
 BLOCK_WINDOWS = 1 << 20
 #: Input bytes behind one bucket of hashes, and behind one group of texts.
 BUCKET_BYTES = 4 << 20
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 4 << 20
 
 _MARKS = "key bigint, docs binary, counts binary, data binary"
 _MARKS_ARROW = pa.schema([("key", pa.int64()), ("docs", pa.binary()), ("counts", pa.binary()), ("data", pa.binary())])
@@ -140,7 +140,7 @@ def _windows(docs: DataFrame, width: int, buckets: int) -> DataFrame:
                     yield from block.rows()
         yield from block.rows()
 
-    return docs.mapInArrow(run, _MARKS)
+    return docs.mapInArrow(at.tidy(run), _MARKS)
 
 
 def _judged(windows: DataFrame, groups: int) -> DataFrame:
@@ -159,7 +159,9 @@ def _judged(windows: DataFrame, groups: int) -> DataFrame:
         order = np.argsort(docs, kind="stable")
         hashes, docs = hashes[order], docs[order]
         group = dict(zip(uniq := np.unique(docs).tolist(), group_of(np.array(uniq, np.int64), groups).tolist()))
-        return pa.Table.from_batches([table(marks(docs, hashes, group, 1))])
+        found = pa.Table.from_batches([table(marks(docs, hashes, group, 1))])
+        at.release()
+        return found
 
     return windows.groupBy("key").applyInArrow(run, _MARKS)
 
@@ -227,7 +229,7 @@ def without_repeats(docs: DataFrame, width: int = 13) -> DataFrame:
 
 def _removed(docs: DataFrame, width: int, carry: list[str]) -> DataFrame:
     """``remove_repeats`` for (doc_id, text, carried columns)."""
-    groups = parts_for(docs.select("text"), GROUP_BYTES)
+    groups = parts_for(small_batches(docs).select("text"), GROUP_BYTES)
     held = docs.withColumn("grp", F.expr(f"pmod(xxhash64(doc_id), {groups}L)"))
     found = _judged(_windows(held.where("doc_id is not null").select("doc_id", "text", "grp"), width, parts_for(docs.select("text"), BUCKET_BYTES)), groups)
     found = found.select(F.when(F.col("key") < 0, -1 - F.col("key")).otherwise(F.col("key")).alias("grp"), (F.col("key") < 0).alias("spans"), "docs", "counts", "data")
@@ -263,6 +265,9 @@ def _removed(docs: DataFrame, width: int, carry: list[str]) -> DataFrame:
             out["removed"].append(gone)
         span = pa.list_(pa.struct([("first", pa.int64()), ("stop", pa.int64())]))
         columns = [*(left[c] for c in carry), left["doc_id"], pa.array(out["n_words"], pa.int64()), pa.array(out["n_removed"], pa.int64()), pa.array(out["kept"], pa.string()), pa.array(out["removed"], span)]
+        spans.clear()
+        hashes.clear()
+        at.release()
         return pa.Table.from_arrays(columns, [*carry, "doc_id", *out])
 
     schema = "doc_id bigint, n_words bigint, n_removed bigint, kept string, removed array<struct<first: bigint, stop: bigint>>"
