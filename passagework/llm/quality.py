@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from passagework.llm import arrowtext as at
-from passagework.llm.shared import pick, stored
+from passagework.llm.shared import pick, small_batches, stored
 
 _SYMBOL = at.byte_set(b"#*$%&|<>")
 _LINE_END = at.byte_set(b"\n")
@@ -85,7 +85,7 @@ def _lines(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 def measured(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_id", "lang", "source")) -> DataFrame:
     """``carry`` columns and MEASURES per row; null text counts as empty."""
-    docs = pick(docs, *dict.fromkeys([*carry, text]))
+    docs = small_batches(pick(docs, *dict.fromkeys([*carry, text])))
     types = dict(docs.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,7 +94,7 @@ def measured(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc
                 columns = [pa.array(x, pa.int64()) for x in measure(*at.raw(at.column(part, text)))]
                 yield pa.RecordBatch.from_arrays([*(at.column(part, c) for c in carry), *columns], [*carry, *(x.split()[0] for x in MEASURES.split(", "))])
 
-    return docs.mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in carry) + ", " + MEASURES)
+    return docs.mapInArrow(at.tidy(run), ", ".join(f"`{c}` {types[c]}" for c in carry) + ", " + MEASURES)
 
 
 def base_failed() -> Column:
@@ -120,11 +120,12 @@ def chi2_tail(x: float, p: int = _P) -> float:
     return math.exp(-x / 2) * sum((x / 2) ** k / math.factorial(k) for k in range(p // 2))
 
 
-def chi2_quantile(q: float, p: int = _P) -> float:
+def chi2_quantile(tail: float, p: int = _P) -> float:
+    """The value that chi-squared exceeds with probability ``tail``."""
     low, high = 0.0, 1000.0
     for _ in range(200):
         mid = (low + high) / 2
-        low, high = (mid, high) if chi2_tail(mid, p) > 1 - q else (low, mid)
+        low, high = (mid, high) if chi2_tail(mid, p) > tail else (low, mid)
     return low
 
 
@@ -141,7 +142,7 @@ class Outliers:
 
     half: float = 0.75
     steps: int = 4
-    tail: float = 1e-9
+    tail: float = 1e-15
     least_sd: float = 0.35
     least_rows: int = 100
 
@@ -202,7 +203,7 @@ def _concentrated(rows: DataFrame, fits: DataFrame, few: bool, o: Outliers) -> D
 
 def _consistency(half: float) -> float:
     """Factor that makes the scatter of the nearest ``half`` of normal rows that of all."""
-    return half / (1 - chi2_tail(chi2_quantile(half), _P + 2))
+    return half / (1 - chi2_tail(chi2_quantile(1 - half), _P + 2))
 
 
 def _starts(rows: DataFrame, o: Outliers) -> DataFrame:
@@ -254,7 +255,7 @@ def fitted(facts: DataFrame, o: Outliers) -> tuple[DataFrame, bool]:
 
 def _scored(facts: DataFrame, fits: DataFrame, few: bool, o: Outliers) -> DataFrame:
     """``facts`` with columns distance2 and kept."""
-    cut = chi2_quantile(1 - o.tail)
+    cut = chi2_quantile(o.tail)
     at_point = facts.select("*", *[F.expr(e).alias(x) for x, e in STATISTICS.items()]).join(F.broadcast(fits) if few else fits, "own", "left")
     return at_point.withColumn("distance2", F.when(~F.col("base_failed"), F.expr(_distance(_X)))).withColumn(
         "kept", ~F.col("base_failed") & F.coalesce(F.col("distance2") <= cut, F.lit(True))

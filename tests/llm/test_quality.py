@@ -65,7 +65,7 @@ def test_distance_is_that_of_a_concentrated_fit(spark):
 
 
 def test_chi_squared():
-    assert quality.chi2_quantile(0.95) == pytest.approx(12.5916, abs=1e-3)
+    assert quality.chi2_quantile(0.05) == pytest.approx(12.5916, abs=1e-3)
     assert quality.chi2_quantile(0.5) == pytest.approx(5.3481, abs=1e-3)
 
 
