@@ -398,3 +398,24 @@ def test_stream_of_questions(spark, reg, tmp_path):
     rows = spark.read.parquet(f"{tmp_path}/out").collect()
     assert sorted((r.query_id, r.type) for r in rows) == [(1, "out_of_scope"), (3, "answer")]
     spark.catalog.clearCache()
+
+
+def test_chunks_round_trip_and_broken_blocks(spark, reg, tmp_path):
+    blocks = spark.createDataFrame([block(0, "list_item", "an item"), block(1, "list_item", "ünother")], schemas.BLOCKS)
+    chunks = chunking.chunk_blocks(blocks, reg, dates(spark))
+    stores.write_chunks(chunks, f"{tmp_path}/chunks")
+    back = stores.read_chunks(spark, f"{tmp_path}/chunks")
+    columns = [c.split()[0] for c in schemas.CHUNKS.split(", ")]
+    assert sorted(back.select(columns).collect()) == sorted(chunks.select(columns).collect())
+    (tmp_path / "bad.json").write_text('{"document_id": "a", "type": "paragraph"}\n')
+    with pytest.raises(ChunkError, match="missing fields"):
+        stores.read_blocks(spark, f"{tmp_path}/bad.json")
+
+
+def test_fixed_refusals_and_malformed_replies(spark, reg):
+    rows = answer_rows = spark.createDataFrame([(1, "answer", None, [], []), (2, "nonsense", "m", [], []), (3, "out_of_scope", " ", [], []), (4, "not_in_corpus", "m", [], [])], f"query_id bigint, type string, message string, sections {responses.SECTIONS}, searched {responses.SEARCHED}")
+    assert {r.query_id: r.rule for r in responses.malformed(answer_rows).collect()} == {2: "response type is missing", 3: "response is missing a message"}
+    assert [r.label for r in responses.picker(reg).orderBy("position").collect()][0] == "All documents"
+    assert answer.health(True)["status"] == 200 and answer.health(False)["status"] == 503
+    assert [r.document_id for r in answer.documents(reg).collect()] == [d.document_id for d in R.REGISTRY]
+    assert rows.count() == 4
