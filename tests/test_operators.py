@@ -413,9 +413,8 @@ def test_chunks_round_trip_and_broken_blocks(spark, reg, tmp_path):
 
 
 def test_fixed_refusals_and_malformed_replies(spark, reg):
-    rows = answer_rows = spark.createDataFrame([(1, "answer", None, [], []), (2, "nonsense", "m", [], []), (3, "out_of_scope", " ", [], []), (4, "not_in_corpus", "m", [], [])], f"query_id bigint, type string, message string, sections {responses.SECTIONS}, searched {responses.SEARCHED}")
-    assert {r.query_id: r.rule for r in responses.malformed(answer_rows).collect()} == {2: "response type is missing", 3: "response is missing a message"}
+    rows = spark.createDataFrame([(1, "answer", None, [], []), (2, "nonsense", "m", [], []), (3, "out_of_scope", " ", [], []), (4, "not_in_corpus", "m", [], [])], f"query_id bigint, type string, message string, sections {responses.SECTIONS}, searched {responses.SEARCHED}")
+    assert {r.query_id: r.rule for r in responses.malformed(rows).collect()} == {2: "response type is missing", 3: "response is missing a message"}
     assert [r.label for r in responses.picker(reg).orderBy("position").collect()][0] == "All documents"
     assert answer.health(True)["status"] == 200 and answer.health(False)["status"] == 503
     assert [r.document_id for r in answer.documents(reg).collect()] == [d.document_id for d in R.REGISTRY]
-    assert rows.count() == 4
