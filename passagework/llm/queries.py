@@ -28,6 +28,28 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+ORACLES["op2_substring_dedup"] = r"""
+with words as (
+    select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w from documents
+), windows as (
+    select doc_id, i, array_to_string(w[i : i + 12], ' ') as s from (select doc_id, w, unnest(range(1, len(w) - 11)) as i from words)
+), low as (
+    select s, min(doc_id) as low from windows group by s
+), hits as (
+    select v.doc_id, v.i from windows v join low using (s) where low < v.doc_id
+), gone as (
+    select distinct doc_id, p from (select doc_id, unnest(range(i, i + 13)) as p from hits)
+), placed as (
+    select doc_id, generate_subscripts(w, 1) as p, unnest(w) as word from words
+), kept as (
+    select d.doc_id, count(*) as n, count(g.p) as n_gone, string_agg(d.word, ' ' order by d.p) filter (g.p is null) as text
+    from placed d left join gone g on g.doc_id = d.doc_id and g.p = d.p group by d.doc_id
+)
+select d.doc_id, coalesce(n, 0) as n_words, coalesce(n_gone, 0) as n_removed, sha256(coalesce(kept.text, '')) as kept_sha256
+from documents d left join kept on kept.doc_id = d.doc_id
+"""
+
+
 #: A conversation whose texts look like another format's control strings.
 _TRICKY = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
 
