@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -133,16 +134,18 @@ def chi2_quantile(tail: float, p: int = _P) -> float:
 class Outliers:
     """Parameters of the robust fit.
 
-    ``half``: share of a group's rows that a fit covers.  ``steps``: concentration
-    steps after each start.  ``tail``: chi-squared tail beyond which a row is rejected.
+    ``half``: share of a group's rows that a fit covers.  ``steps``: the most concentration
+    steps after each start, which end before when the fit stops changing.  ``tail``:
+    chi-squared tail beyond which a row is rejected; 1e-9 is one in a billion documents that
+    follow the fitted law, whatever the tables hold.
     ``least_sd``: standard deviation that a statistic has at least, so that one which
     hardly varies in a group rejects nothing by itself.  ``least_rows``: groups with fewer rows are
     fitted together; if these are still fewer, nothing is rejected among them.
     """
 
     half: float = 0.75
-    steps: int = 4
-    tail: float = 1e-15
+    steps: int = 200
+    tail: float = 1e-9
     least_sd: float = 0.35
     least_rows: int = 100
 
@@ -232,6 +235,29 @@ def _starts(rows: DataFrame, o: Outliers) -> DataFrame:
     return wide.mapInPandas(solve, "grp string, start int, " + _fit_columns())
 
 
+#: A fit has stopped changing when its log determinant comes this near to one that it had before (in a cycle, to an earlier one).
+_SAME = 1e-6
+
+
+def _settled(points: DataFrame, few: bool, o: Outliers) -> DataFrame:
+    """Concentration steps from both starts, for each group and start until its fit stops changing."""
+    moving = stored(_starts(points, o).withColumn("seen", F.expr("cast(array() as array<double>)")), "fits")
+    ended = []
+    for _ in range(o.steps):
+        step = _concentrated(points, moving.drop("seen"), few, o).join(moving.select("grp", "start", "seen"), ["grp", "start"])
+        moves = ~F.exists("seen", lambda s: F.abs(s - F.col("logdet")) <= _SAME)
+        step = stored(step.withColumn("moves", moves).withColumn("seen", F.concat("seen", F.array("logdet"))), "fits")
+        still = {r.moves: r["count"] for r in step.groupBy("moves").count().collect()}
+        if still.get(False):
+            ended.append(step.where("not moves").drop("moves", "seen"))
+        moving = step.where("moves").drop("moves")
+        if not still.get(True):
+            break
+    else:
+        ended.append(moving.drop("seen"))
+    return reduce(DataFrame.unionByName, ended or [moving.drop("seen")])
+
+
 def _own(lang: str, source: str) -> Column:
     return F.to_json(F.struct(F.col(lang).cast("string").alias("l"), F.col(source).cast("string").alias("s")))
 
@@ -245,9 +271,7 @@ def fitted(facts: DataFrame, o: Outliers) -> tuple[DataFrame, bool]:
     groups = stored(named.join(named.groupBy("grp").agg(F.sum("n").alias("held")), "grp").where(F.col("held") >= o.least_rows).select("own", "grp"), "groups")
     few = groups.count() <= MOST_SENT
     points = stored(rows.join(F.broadcast(groups) if few else groups, "own").select("grp", *_X), "points")
-    fits = stored(_starts(points, o), "fits")
-    for _ in range(o.steps):
-        fits = stored(_concentrated(points, fits, few, o), "fits")
+    fits = _settled(points, few, o)
     best = Window.partitionBy("grp").orderBy("logdet", "start")
     chosen = fits.withColumn("place", F.row_number().over(best)).where("place = 1").drop("place", "start", "logdet")
     return stored(groups.join(chosen, "grp").drop("grp"), "chosen"), few

@@ -64,6 +64,42 @@ def test_distance_is_that_of_a_concentrated_fit(spark):
         assert centre == pytest.approx(near.mean(axis=0), abs=0.02)
 
 
+def planted(plain):
+    """For single statistics, documents that differ from the plain ones in it by about twice their usual range."""
+    words = [r[1].split() for r in plain[:10]]
+    for i, w in enumerate(words):
+        yield "symbols", (3000 + i, " ".join(x + "#" * (n % 11 == 0) for n, x in enumerate(w)), "en", "ab"[i % 2], 0)
+        yield "long words", (3100 + i, plain[i][1].replace("w", "".join(random.sample("bcdefghijklm", 11))), "en", "ab"[i % 2], 0)
+        lines = [" ".join(f"{x}{random.randrange(99)}" for x in w[j : j + 8]) for j in range(0, len(w), 8)]
+        yield "repeated lines", (3200 + i, "\n".join(f"{x}\nok\nso" for x in lines), "en", "ab"[i % 2], 0)
+
+
+@pytest.mark.parametrize("kind", ["symbols", "long words", "repeated lines"])
+def test_moderate_outliers_of_one_statistic_go(spark, kind):
+    plain, _ = documents()
+    odd = [row for name, row in planted(plain) if name == kind]
+    verdict = {r.doc_id: r for r in quality.judged(spark.createDataFrame(plain + odd, brute.DOCUMENTS)).collect()}
+    assert all(verdict[r[0]].kept for r in plain)
+    assert not any(verdict[r[0]].base_failed for r in odd)
+    assert not any(verdict[r[0]].kept for r in odd), sorted(verdict[r[0]].distance2 for r in odd)
+
+
+def test_fit_with_the_defaults_is_a_fixed_point(spark):
+    """A further step from the chosen fit changes neither centre nor scatter."""
+    plain, odd = documents()
+    facts = quality.measured(spark.createDataFrame(plain + odd, brute.DOCUMENTS)).withColumn("base_failed", quality.base_failed()).withColumn("own", quality._own("lang", "source"))
+    o = quality.Outliers()
+    fits, few = quality.fitted(facts, o)
+    points = facts.where("not base_failed").selectExpr("own as grp", *[f"{e} as {x}" for x, e in quality.STATISTICS.items()])
+    start = fits.withColumnRenamed("own", "grp").selectExpr("*", "0 as start")
+    after = {r.grp: r for r in quality._concentrated(points, start, few, o).collect()}
+    for fit in fits.collect():
+        for name in (f"m{i}" for i in range(6)):
+            assert after[fit.own][name] == pytest.approx(fit[name], abs=1e-3)
+        for i, j in quality._PAIRS:
+            assert after[fit.own][f"w_{i}_{j}"] == pytest.approx(fit[f"w_{i}_{j}"], abs=1e-2)
+
+
 def test_chi_squared():
     assert quality.chi2_quantile(0.05) == pytest.approx(12.5916, abs=1e-3)
     assert quality.chi2_quantile(0.5) == pytest.approx(5.3481, abs=1e-3)
