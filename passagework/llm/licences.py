@@ -99,7 +99,7 @@ class Notices:
         seeds: dict[str, list[tuple[int, int]]] = {}
         for i, notice in enumerate(notices):
             k = self.edits[i]
-            self.patterns.append(regex.compile(f"(?b)(?<![a-z0-9])(?:{notice.replace(' ', ' +')}){{e<={k}}}(?![a-z0-9])"))
+            self.patterns.append(regex.compile(f"(?e)(?<![a-z0-9])(?:{notice.replace(' ', ' +')}){{e<={k}}}(?![a-z0-9])"))
             for seed, offset in parts(notice, k + 1):
                 seeds.setdefault(seed, []).append((i, offset))
         self.automaton = ahocorasick.Automaton()

@@ -47,6 +47,28 @@ def test_seeds_miss_nothing_that_a_full_search_finds():
                 assert search.labels[list(lic.NOTICES).index(notice)] in {search.labels[i] for i in found}
 
 
+def test_every_span_of_repeated_notices_is_found():
+    """Spans against a scan of the whole text, which restarts where the last match ended."""
+    search = lic.Notices(lic.NOTICES, lic.Scan())
+    assert [(a, b, e) for n, a, b, e in search.find(b"gnu general public licence later gnu general public license") if n == 3] == [(0, 26, 1), (33, 59, 0)]
+    import random
+
+    random.seed(8)
+    for number, (notice, k) in enumerate(zip(lic.NOTICES, search.edits)):
+        full = regex.compile(f"(?e)(?<![a-z0-9])(?:{notice}){{e<={k}}}(?![a-z0-9])")
+        for _ in range(20):
+            copies = []
+            for _ in range(4):
+                chars = list(notice)
+                for _ in range(random.randint(0, k)):
+                    chars[random.randrange(1, len(notice) - 1)] = "q"
+                copies.append("".join(chars))
+            text = " later ".join(copies)
+            want = [(m.start(), m.end(), sum(m.fuzzy_counts)) for m in full.finditer(text)]
+            assert len(want) == 4
+            assert [(a, b, e) for n, a, b, e in search.find(text.encode()) if n == number] == want
+
+
 def test_nothing_is_found_in_clean_or_empty_texts(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "nothing of the kind " * 50)], "doc_id bigint, text string")
     for r in lic.scan_licences(df).collect():
