@@ -95,6 +95,10 @@ class Notices:
         self.labels = list(notices.values())
         self.lengths = [len(n) for n in notices]
         self.edits = [scan.edits(n) for n in notices]
+        # At most k + 1 gaps of a pattern meet in one run (words between them cost an edit each), and k more
+        # of its places may be edited: a longer run is matched just as one of this length is.
+        self.most_gaps = 2 * max(self.edits, default=0) + 2
+        self.slack = [2 * k + 16 + n.count(" ") * (self.most_gaps - 1) for n, k in zip(notices, self.edits)]
         self.patterns = []
         seeds: dict[str, list[tuple[int, int]]] = {}
         for i, notice in enumerate(notices):
@@ -109,18 +113,25 @@ class Notices:
 
     def find(self, plain: bytes) -> list[tuple[int, int, int, int]]:
         """(notice, first byte, one past the last, edits) of the matches, in order of notice and place."""
-        text = plain.decode("latin-1")
+        # Runs of gaps are searched cut to ``most_gaps``, so that no reach depends on their length.
+        data = np.frombuffer(plain, np.uint8)
+        gaps = np.zeros(len(data) + 1, np.int64)
+        np.cumsum(data == 32, out=gaps[1:])
+        kept, size = np.ones(len(data), bool), self.most_gaps + 1
+        kept[size - 1 :] = gaps[size:] - gaps[:-size] < size
+        place = np.flatnonzero(kept)
+        text = data[kept].tobytes().decode("latin-1")
         around: dict[int, list[int]] = {}
         for end, (size, where) in self.automaton.iter(text):
             for notice, offset in where:
                 around.setdefault(notice, []).append(end - size + 1 - offset)
         found = []
         for notice, starts in sorted(around.items()):
-            found += self._verified(text, notice, sorted(set(starts)))
+            found += [(i, int(place[a]), int(place[b - 1]) + 1, e) for i, a, b, e in self._verified(text, notice, sorted(set(starts)))]
         return found
 
     def _verified(self, text: str, notice: int, starts: list[int]) -> Iterator[tuple[int, int, int, int]]:
-        slack = 2 * self.edits[notice] + 16
+        slack = self.slack[notice]
         reach = self.lengths[notice] + slack
         upto = 0
         i = 0

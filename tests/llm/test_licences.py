@@ -69,6 +69,14 @@ def test_every_span_of_repeated_notices_is_found():
             assert [(a, b, e) for n, a, b, e in search.find(text.encode()) if n == number] == want
 
 
+@pytest.mark.parametrize("gap", [1, 30, 5000])
+def test_gap_runs_of_any_length_hide_no_notice(gap):
+    search = lic.Notices(lic.NOTICES, lic.Scan())
+    text = "x" + " " * gap + "all" + " " * gap + "rights" + " " * gap + "reservd" + " " * gap + "y"
+    begin = 1 + gap
+    assert [m for m in search.find(text.encode()) if search.labels[m[0]] == "reserved"] == [(list(lic.NOTICES).index("all rights reserved"), begin, begin + 16 + 2 * gap, 1)]
+
+
 def test_nothing_is_found_in_clean_or_empty_texts(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "nothing of the kind " * 50)], "doc_id bigint, text string")
     for r in lic.scan_licences(df).collect():
