@@ -138,10 +138,14 @@ boxes as (select source as document_id, doc_id * 1000 + i // 20 as page, (i % 20
 
 
 def boxes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(boxes, pages)"""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.posexplode(F.split("text", "\n", -1)).alias("i", "text")).where("i < 20000")
+    """(boxes, pages)
+
+    Pages are numbered doc_id * 1000 + number in the document; the thousands of that number go
+    to the bits from 45 on, so that no page of a long text has the number of another document's.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.posexplode(F.split("text", "\n", -1)).alias("i", "text"))
     no = F.col("i") % 20
-    rows = docs.select(F.col("source").alias("document_id"), (F.col("doc_id") * 1000 + F.floor(F.col("i") / 20)).alias("page"), no.alias("box_no"), F.lit(50.0).alias("x0"), F.lit(500.0).alias("x1"), (20.0 + no * 40).alias("y0"), (40.0 + no * 40).alias("y1"), "text", (9 + (F.length("text") % 3) * 0.54).alias("size"))
+    rows = docs.select(F.col("source").alias("document_id"), F.expr("doc_id * 1000 + i div 20 % 1000 + shiftleft(i div 20000, 45)").alias("page"), no.alias("box_no"), F.lit(50.0).alias("x0"), F.lit(500.0).alias("x1"), (20.0 + no * 40).alias("y0"), (40.0 + no * 40).alias("y1"), "text", (9 + (F.length("text") % 3) * 0.54).alias("size"))
     return rows, rows.select("document_id", "page").distinct().withColumns({"width": F.lit(600.0), "height": F.lit(842.0)})
 
 
