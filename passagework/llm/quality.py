@@ -2,9 +2,17 @@
 
 Six transformed statistics describe a document.  Per language and source, a minimum-covariance-
 determinant estimate of their centre and scatter is fitted on all documents that pass
-the simple limits: deterministic starts (coordinate-wise medians with two diagonal
-scatters), then concentration steps, each one aggregation over all rows.  A document is rejected
-if its squared Mahalanobis distance is beyond a far quantile of the chi-squared law.
+the simple limits.  A document is rejected if its squared Mahalanobis distance is beyond a far
+quantile of the chi-squared law.
+
+Equal points of a group count once: copies of a document, however many, say nothing about how
+others vary, and would shrink the scatter to themselves.  A group's points are dealt by a hash into
+chunks of bounded size; each chunk is concentrated from several deterministic starts until its
+subset repeats, and what remains of all chunks together gives the group's centre and scatter.
+A group of one chunk thus has its own estimate as it stands, and one of any size is never in one
+task.  The same is done per language and for the whole corpus: a group's estimate is drawn
+towards its language's by the weight of a few rows, and a group that is too small for an
+estimate takes the next level's.
 """
 
 from __future__ import annotations
@@ -12,12 +20,10 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from passagework.llm import arrowtext as at
@@ -102,13 +108,18 @@ def base_failed() -> Column:
     return F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")
 
 
-#: The transformed statistics: each is near symmetric on ordinary prose.
+#: Shares are taken as if a text held so many plain words and lines more: the shares of short texts move in coarse
+#: steps, and this is the shortest text that the simple limits let pass.
+_MORE_WORDS, _MORE_LINES = 50, 5
+
+#: The transformed statistics: each is near symmetric on ordinary prose.  One symbol, one repeated line and the
+#: words of one line and its repetition are no evidence, however short the text; counts are of what goes beyond.
 STATISTICS = {
     "x0": "ln(1D + n_words)",
     "x1": "4D * ln(greatest(word_chars, 1) / greatest(n_words, 1))",
-    "x2": "asinh(100D * n_symbols / greatest(n_words, 1))",
-    "x3": "asinh(10D * n_dup_lines / greatest(n_lines, 1))",
-    "x4": "asinh(10D * n_repeat_words / greatest(n_words, 1))",
+    "x2": f"asinh(100D * greatest(0, n_symbols - 1) / (n_words + {_MORE_WORDS}))",
+    "x3": f"asinh(10D * greatest(0, n_dup_lines - 1) / (n_lines + {_MORE_LINES}))",
+    "x4": f"asinh(10D * greatest(0D, n_repeat_words - 2D * n_words / greatest(n_lines, 1)) / (n_words + {_MORE_WORDS}))",
     "x5": "ln(greatest(n_words, 1) / greatest(n_lines, 1D))",
 }
 _X = list(STATISTICS)
@@ -134,154 +145,200 @@ def chi2_quantile(tail: float, p: int = _P) -> float:
 class Outliers:
     """Parameters of the robust fit.
 
-    ``half``: share of a group's rows that a fit covers.  ``steps``: the most concentration
-    steps after each start, which end before when the fit stops changing.  ``tail``:
-    chi-squared tail beyond which a row is rejected; 1e-9 is one in a billion documents that
-    follow the fitted law, whatever the tables hold.
-    ``least_sd``: standard deviation that a statistic has at least, so that one which
-    hardly varies in a group rejects nothing by itself.  ``least_rows``: groups with fewer rows are
-    fitted together; if these are still fewer, nothing is rejected among them.
+    ``half``: share of a group's distinct points that a fit covers.  ``tail``: chi-squared tail beyond which
+    a row is rejected; 1e-9 is one in a billion documents that follow the fitted law,
+    whatever the tables hold.  ``least_rows``: a group of fewer points takes the fit of its language, a
+    language of fewer that of the corpus, and in a corpus of fewer nothing is rejected; five
+    points for each statistic.  ``drawn``: points by which the next level's fit counts in
+    a group's.  ``chunk``: points that are concentrated at once, on average.
     """
 
     half: float = 0.75
-    steps: int = 200
     tail: float = 1e-9
-    least_sd: float = 0.35
-    least_rows: int = 100
+    least_rows: int = 5 * _P
+    drawn: int = 5 * _P
+    chunk: int = 4096
 
 
-#: Squared distances fall into bins of 1/16 octave from 2**-20 to 2**40.
-_BIN = "cast(floor(16 * log2(greatest(least(d2, 1e12D), 1e-6D))) as int)"
+def _consistency(half: float) -> float:
+    """Factor that makes the scatter of the nearest ``half`` of normal rows that of all."""
+    return half / (1 - chi2_tail(chi2_quantile(1 - half), _P + 2))
 
 
-def _distance(x: list[str], prefix: str = "") -> str:
-    """SQL of the squared Mahalanobis distance, from columns m0.. (centre) and w_ij (inverse scatter)."""
-    terms = [f"{'' if i == j else '2 * '}w_{i}_{j} * ({x[i]} - m{i}) * ({x[j]} - m{j})" for i, j in _PAIRS]
-    return " + ".join(terms)
+def resolution(centre: np.ndarray) -> np.ndarray:
+    """The smallest step of each statistic at a document like ``centre``: one word, character, symbol or
+    repeated line more, or one repeated window.  A standard deviation is never taken to be less."""
+    words = max(1.0, math.exp(centre[0]) - 1)
+    chars, lines = words * math.exp(centre[1] / 4), max(1.0, words / math.exp(centre[5]))
+    return np.array([math.log1p(1 / words), 4 * math.log1p(1 / chars), math.asinh(100 / (words + _MORE_WORDS)), math.asinh(10 / (lines + _MORE_LINES)), math.asinh(60 / (words + _MORE_WORDS)), math.log1p(1 / lines)])
 
 
-def _fit_columns() -> str:
-    return ", ".join([*(f"m{i} double" for i in range(_P)), *(f"w_{i}_{j} double" for i, j in _PAIRS), "logdet double"])
+def floored(scatter: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """``scatter`` with no variance under ``least`` squared, in any direction after scaling by these."""
+    unit = scatter / np.outer(least, least)
+    unit = unit + np.diag(np.maximum(0.0, 1 - np.diag(unit)))
+    values, vectors = np.linalg.eigh(unit)
+    return (vectors * np.maximum(values, 1 / 16)) @ vectors.T * np.outer(least, least)
 
 
-def _fit_row(centre: np.ndarray, scatter: np.ndarray, least_sd: float) -> list[float]:
-    scatter = scatter + np.diag(np.maximum(0.0, least_sd**2 - np.diag(scatter)))
-    values, vectors = np.linalg.eigh(scatter)
-    values = np.maximum(values, (least_sd / 4) ** 2)
-    inverse = (vectors / values) @ vectors.T
-    return [*centre, *(inverse[i, j] for i, j in _PAIRS), float(np.log(values).sum())]
+def distances(x: np.ndarray, centre: np.ndarray, scatter: np.ndarray) -> np.ndarray:
+    apart = x - centre
+    return np.einsum("ij,ij->i", apart @ np.linalg.inv(scatter), apart)
 
 
-#: Groups up to which fits (a few hundred bytes each) are broadcast; else they are shuffled, and Spark splits a hot group.
-MOST_SENT = 20_000
+def nearest(d2: np.ndarray, wanted: int) -> np.ndarray:
+    """Which rows are the ``wanted`` nearest; the first ones among equals."""
+    out = np.zeros(len(d2), bool)
+    out[np.argsort(d2, kind="stable")[:wanted]] = True
+    return out
 
 
-def _concentrated(rows: DataFrame, fits: DataFrame, few: bool, o: Outliers) -> DataFrame:
-    """One concentration step: mean and covariance of the ``half`` nearest rows of each group and start.
+def moments(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    centre = x.mean(axis=0)
+    return centre, (x - centre).T @ (x - centre) / len(x)
 
-    Moments are summed by distance bin in one aggregation, so the rows are read once;
-    the bin that holds the quantile is taken whole.
-    """
-    seen = rows.join(F.broadcast(fits) if few else fits, "grp").withColumn("d2", F.expr(_distance(_X))).withColumn("bin", F.expr(_BIN))
-    sums = [F.count(F.lit(1)).alias("n"), *(F.sum(x).alias(f"s{i}") for i, x in enumerate(_X)), *(F.sum(F.col(_X[i]) * F.col(_X[j])).alias(f"q_{i}_{j}") for i, j in _PAIRS)]
-    bins = seen.groupBy("grp", "start", "bin").agg(*sums)
-    own = Window.partitionBy("grp", "start")
-    near = bins.withColumn("below", F.sum("n").over(own.orderBy("bin")) - F.col("n")).withColumn("all", F.sum("n").over(own)).where(F.col("below") < o.half * F.col("all"))
-    moments = near.groupBy("grp", "start").agg(*(F.sum(c).alias(c) for c in ["n", *(f"s{i}" for i in range(_P)), *(f"q_{i}_{j}" for i, j in _PAIRS)]))
-    factor = _consistency(o.half)
-
-    def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = []
-            for r in f.itertuples(index=False):
-                mean = np.array([getattr(r, f"s{i}") for i in range(_P)]) / r.n
-                scatter = np.empty((_P, _P))
-                for i, j in _PAIRS:
-                    scatter[i, j] = scatter[j, i] = getattr(r, f"q_{i}_{j}") / r.n - mean[i] * mean[j]
-                out.append([r.grp, r.start, *_fit_row(mean, factor * scatter, o.least_sd)])
-            yield pd.DataFrame(out, columns=["grp", "start", *(x.split()[0] for x in _fit_columns().split(", "))])
-
-    return moments.mapInPandas(solve, "grp string, start int, " + _fit_columns())
 
+def quantile(x: np.ndarray, share: float) -> np.ndarray:
+    """Of each column the smallest value that so many of the rows do not exceed."""
+    return np.sort(x, axis=0)[math.ceil(share * len(x)) - 1]
 
-def _consistency(half: float) -> float:
-    """Factor that makes the scatter of the nearest ``half`` of normal rows that of all."""
-    return half / (1 - chi2_tail(chi2_quantile(1 - half), _P + 2))
 
+def starts(x: np.ndarray, least: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Deterministic first fits: quartile scales, signs of directions from the median, and bounded scores."""
+    mid = quantile(x, 0.5)
+    scale = np.maximum((quantile(x, 0.75) - quantile(x, 0.25)) / 1.349, least)
+    unit = (x - mid) / scale
+    spread = np.outer(scale, scale)
+    length = np.maximum(np.linalg.norm(unit, axis=1), 1e-9)
+    _, signs = moments(unit / length[:, None])
+    _, scores = moments(np.tanh(unit))
+    return [(mid, np.diag(scale**2)), (mid, floored(signs * _P * spread, least)), (mid, floored(scores * spread, least))]
 
-def _starts(rows: DataFrame, o: Outliers) -> DataFrame:
-    """Fits to start from: per group the medians, with the scatter given by quartiles (0) and by wide floors (1).
 
-    Medians come from fixed bins of 1/64 by counting, so they cover all rows in bounded memory.
+def concentrated(x: np.ndarray, half: float) -> np.ndarray:
+    """Which rows are the subset of share ``half`` with the smallest determinant that is reached from ``starts``.
+
+    Each step takes the rows nearest to the fit of the last subset, until a subset is met again.
+    Rows must come in an order of their own (as sorted), which settles ties.
     """
-    long = rows.select("grp", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.expr(f"cast(floor(64 * {x}) as int)").alias("b")) for i, x in enumerate(_X)])).alias("v")).select("grp", "v.i", "v.b")
-    counted = long.groupBy("grp", "i", "b").count()
-    own = Window.partitionBy("grp", "i")
-    placed = counted.withColumn("upto", F.sum("count").over(own.orderBy("b"))).withColumn("all", F.sum("count").over(own))
-    q = lambda share: F.min(F.when(F.col("upto") >= share * F.col("all"), (F.col("b") + 0.5) / 64))
-    quartiles = placed.groupBy("grp", "i").agg(q(0.25).alias("low"), q(0.5).alias("mid"), q(0.75).alias("high"))
-    wide = quartiles.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("i", "low", "mid", "high"))).alias("v"))
-
-    def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = []
-            for grp, v in zip(f["grp"], f["v"]):
-                mid = np.array([x["mid"] for x in v])
-                sd = np.array([(x["high"] - x["low"]) / 1.349 for x in v])
-                out.append([grp, 0, *_fit_row(mid, np.diag(sd**2), o.least_sd)])
-                out.append([grp, 1, *_fit_row(mid, np.diag(np.maximum(sd, 2 * o.least_sd) ** 2), o.least_sd)])
-            yield pd.DataFrame(out, columns=["grp", "start", *(x.split()[0] for x in _fit_columns().split(", "))])
-
-    return wide.mapInPandas(solve, "grp string, start int, " + _fit_columns())
-
-
-#: A fit has stopped changing when its log determinant comes this near to one that it had before (in a cycle, to an earlier one).
-_SAME = 1e-6
-
-
-def _settled(points: DataFrame, few: bool, o: Outliers) -> DataFrame:
-    """Concentration steps from both starts, for each group and start until its fit stops changing."""
-    moving = stored(_starts(points, o).withColumn("seen", F.expr("cast(array() as array<double>)")), "fits")
-    ended = []
-    for _ in range(o.steps):
-        step = _concentrated(points, moving.drop("seen"), few, o).join(moving.select("grp", "start", "seen"), ["grp", "start"])
-        moves = ~F.exists("seen", lambda s: F.abs(s - F.col("logdet")) <= _SAME)
-        step = stored(step.withColumn("moves", moves).withColumn("seen", F.concat("seen", F.array("logdet"))), "fits")
-        still = {r.moves: r["count"] for r in step.groupBy("moves").count().collect()}
-        if still.get(False):
-            ended.append(step.where("not moves").drop("moves", "seen"))
-        moving = step.where("moves").drop("moves")
-        if not still.get(True):
-            break
-    else:
-        ended.append(moving.drop("seen"))
-    return reduce(DataFrame.unionByName, ended or [moving.drop("seen")])
-
-
-def _own(lang: str, source: str) -> Column:
-    return F.to_json(F.struct(F.col(lang).cast("string").alias("l"), F.col(source).cast("string").alias("s")))
+    least = resolution(quantile(x, 0.5))
+    wanted = math.ceil(half * len(x))
+    best, found = math.inf, np.ones(len(x), bool)
+    for centre, scatter in starts(x, least):
+        seen: set[bytes] = set()
+        while True:
+            subset = nearest(distances(x, centre, scatter), wanted)
+            centre, scatter = moments(x[subset])
+            scatter = floored(scatter, least)
+            if subset.tobytes() in seen:
+                break
+            seen.add(subset.tobytes())
+        size = np.linalg.slogdet(scatter)[1]
+        if size < best - 1e-9:
+            best, found = size, subset
+    return found
+
+
+_SUMS = ["n", *(f"s{i}" for i in range(_P)), *(f"q{i}{j}" for i, j in _PAIRS)]
+#: Sums are taken in exact decimals, so that they do not depend on the order of rows.
+_EXACT = "decimal(38, 10)"
+
+
+def _concentrated(points: DataFrame, o: Outliers) -> DataFrame:
+    """(level, grp, rows, n and sums over the concentrated rows) of each group of ``points`` (level, grp, x0..)."""
+    sizes = points.groupBy("level", "grp").agg(F.count(F.lit(1)).alias("size"))
+    dealt = points.join(sizes, ["level", "grp"]).withColumn("part", F.expr(f"pmod(xxhash64({', '.join(_X)}), greatest(1L, cast(ceil(size / {o.chunk}) as bigint)))"))
+
+    def one(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by([(c, "ascending") for c in _X])
+        x = np.column_stack([table[c].to_numpy() for c in _X])
+        near = x[concentrated(x, o.half)]
+        sums = [len(near), *near.sum(axis=0), *((near[:, i] * near[:, j]).sum() for i, j in _PAIRS)]
+        head = {"level": pa.array([key[0].as_py()], pa.int32()), "grp": pa.array([key[1].as_py()], pa.string()), "rows": pa.array([len(x)], pa.int64())}
+        return pa.table({**head, **{c: pa.array([float(v)]) for c, v in zip(_SUMS, sums)}})
+
+    chunks = dealt.groupBy("level", "grp", "part").applyInArrow(one, "level int, grp string, rows bigint, " + ", ".join(f"{c} double" for c in _SUMS))
+    return chunks.groupBy("level", "grp").agg(F.sum("rows").alias("rows"), *(F.sum(F.col(c).cast(_EXACT)).cast("double").alias(c) for c in _SUMS))
+
+
+def _points(facts: DataFrame) -> DataFrame:
+    """(level, grp, x0..): the distinct points of each group of language and source (level 0),
+    of each language (1) and of the corpus (2), among rows that pass the simple limits."""
+    groups = F.array(*[F.struct(F.lit(i).alias("level"), g.alias("grp")) for i, g in enumerate((F.col("own"), F.col("tongue"), F.lit("")))])
+    rows = facts.where("not base_failed").select(F.inline(groups), *[F.expr(e).alias(x) for x, e in STATISTICS.items()])
+    return rows.distinct()
+
+
+def _estimate(sums: list[float], half: float) -> tuple[np.ndarray, np.ndarray]:
+    """Centre and scatter from the sums of a concentrated subset."""
+    total = dict(zip(_SUMS, sums))
+    centre = np.array([total[f"s{i}"] for i in range(_P)]) / total["n"]
+    scatter = np.empty((_P, _P))
+    for i, j in _PAIRS:
+        scatter[i, j] = scatter[j, i] = total[f"q{i}{j}"] / total["n"] - centre[i] * centre[j]
+    return centre, _consistency(half) * scatter
+
+
+def fit_of(levels: list[tuple[int, list[float]] | None], o: Outliers) -> tuple[np.ndarray, np.ndarray] | None:
+    """Centre and scatter of a group from (rows, sums) of the corpus, of its language and of itself, each drawn
+    towards the one before; levels that are missing or too small are passed over."""
+    fit = None
+    for held in levels:
+        if held is None or held[0] < o.least_rows:
+            continue
+        centre, scatter = _estimate(held[1], o.half)
+        if fit is not None:
+            share = held[0] / (held[0] + o.drawn)
+            centre, scatter = share * centre + (1 - share) * fit[0], share * scatter + (1 - share) * fit[1]
+        fit = centre, floored(scatter, resolution(centre))
+    return fit
+
+
+_FIT = [*(f"m{i}" for i in range(_P)), *(f"w_{i}_{j}" for i, j in _PAIRS)]
+
+#: Groups up to which fits (a few hundred bytes each) are broadcast; else they are shuffled, and Spark splits a hot group.
+MOST_SENT = 20_000
 
 
 def fitted(facts: DataFrame, o: Outliers) -> tuple[DataFrame, bool]:
-    """(own, m.., w_..) of each group of ``facts`` (own, base_failed, MEASURES) that has a fit, and whether it is small enough to broadcast."""
-    rows = facts.where("not base_failed").select("own", *[F.expr(e).alias(x) for x, e in STATISTICS.items()])
-    sizes = stored(rows.groupBy("own").agg(F.count(F.lit(1)).alias("n")), "sizes")
-    # Groups of few rows share one fit; their common key cannot be a JSON object.
-    named = sizes.select("own", F.when(F.col("n") >= o.least_rows, F.col("own")).otherwise(F.lit("few")).alias("grp"), "n")
-    groups = stored(named.join(named.groupBy("grp").agg(F.sum("n").alias("held")), "grp").where(F.col("held") >= o.least_rows).select("own", "grp"), "groups")
-    few = groups.count() <= MOST_SENT
-    points = stored(rows.join(F.broadcast(groups) if few else groups, "own").select("grp", *_X), "points")
-    fits = _settled(points, few, o)
-    best = Window.partitionBy("grp").orderBy("logdet", "start")
-    chosen = fits.withColumn("place", F.row_number().over(best)).where("place = 1").drop("place", "start", "logdet")
-    return stored(groups.join(chosen, "grp").drop("grp"), "chosen"), few
+    """(own, m.., w_..) of each group of ``facts`` (own, tongue, base_failed, MEASURES) that has a fit, and whether it is small enough to broadcast."""
+    found = stored(_concentrated(_points(facts), o), "estimates")
+    sums = F.struct("rows", F.array(*_SUMS).alias("sums"))
+    level = lambda i, key: found.where(F.col("level") == i).select(F.col("grp").alias(key), sums.alias(f"e{i}"))
+    groups = facts.where("not base_failed").select("own", "tongue").distinct().withColumn("every", F.lit(""))
+    whole = groups.join(level(0, "own"), "own", "left").join(level(1, "tongue"), "tongue", "left").join(level(2, "every"), "every", "left").select("own", "e2", "e1", "e0")
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = []
+            for r in batch.to_pylist():
+                fit = fit_of([r[e] and (r[e]["rows"], r[e]["sums"]) for e in ("e2", "e1", "e0")], o)
+                if fit is not None:
+                    inverse = np.linalg.inv(fit[1])
+                    out.append([r["own"], *fit[0].tolist(), *(float(inverse[i, j]) for i, j in _PAIRS)])
+            columns = [*zip(*out)] if out else [()] * (1 + len(_FIT))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if i else pa.string()) for i, c in enumerate(columns)], ["own", *_FIT])
+
+    fits = stored(whole.mapInArrow(solve, "own string, " + ", ".join(f"{c} double" for c in _FIT)), "fits")
+    return fits, fits.count() <= MOST_SENT
+
+
+def _distance() -> str:
+    """SQL of the squared Mahalanobis distance, from columns m0.. (centre) and w_ij (inverse scatter)."""
+    return " + ".join(f"{'' if i == j else '2 * '}w_{i}_{j} * ({_X[i]} - m{i}) * ({_X[j]} - m{j})" for i, j in _PAIRS)
+
+
+def _judgeable(docs: DataFrame, lang: str, source: str) -> DataFrame:
+    """``docs`` with base_failed and the keys of its groups: own (language and source) and tongue (language); null is a value."""
+    key = lambda *names: F.to_json(F.struct(*[F.col(n).cast("string").alias(f"k{i}") for i, n in enumerate(names)]))
+    return docs.withColumn("base_failed", base_failed()).withColumn("own", key(lang, source)).withColumn("tongue", key(lang))
 
 
 def _scored(facts: DataFrame, fits: DataFrame, few: bool, o: Outliers) -> DataFrame:
     """``facts`` with columns distance2 and kept."""
     cut = chi2_quantile(o.tail)
     at_point = facts.select("*", *[F.expr(e).alias(x) for x, e in STATISTICS.items()]).join(F.broadcast(fits) if few else fits, "own", "left")
-    return at_point.withColumn("distance2", F.when(~F.col("base_failed"), F.expr(_distance(_X)))).withColumn(
+    return at_point.withColumn("distance2", F.when(~F.col("base_failed"), F.expr(_distance()))).withColumn(
         "kept", ~F.col("base_failed") & F.coalesce(F.col("distance2") <= cut, F.lit(True))
     )
 
@@ -293,10 +350,10 @@ def judged(docs: DataFrame, outliers: Outliers = Outliers()) -> DataFrame:
     Simple limits: under 50 words, or over half of the words in 3-word windows that the
     text repeats.  distance2 is the robust squared distance in the document's group of
     lang and source (null counts as a value), null where the simple limits reject the
-    document or no group of enough rows exists.  Null or empty text: no words, rejected.
+    document or the corpus is too small for a fit.  Null or empty text: no words, rejected.
     Repeated rows are judged alike.  Empty table: no rows.
     """
-    facts = stored(measured(docs).withColumn("base_failed", base_failed()).withColumn("own", _own("lang", "source")), "measures")
+    facts = stored(_judgeable(measured(docs), "lang", "source"), "measures")
     scored = _scored(facts, *fitted(facts, outliers), outliers)
     return scored.select("doc_id", *(x.split()[0] for x in MEASURES.split(", ")), "base_failed", "distance2", "kept")
 
@@ -311,7 +368,7 @@ def kept_documents(docs: DataFrame, outliers: Outliers = Outliers()) -> DataFram
     held = {n: f"c{i}" for i, n in enumerate(names)}
     plain = docs.toDF(*held.values())
     lang, source, text = held["lang"], held["source"], held["text"]
-    facts = stored(measured(plain, text, (lang, source)).withColumn("base_failed", base_failed()).withColumn("own", _own(lang, source)), "measures")
+    facts = stored(_judgeable(measured(plain, text, (lang, source)), lang, source), "measures")
     fits, few = fitted(facts, outliers)
-    beside = measured(plain, text, tuple(held.values())).withColumn("base_failed", base_failed()).withColumn("own", _own(lang, source))
+    beside = _judgeable(measured(plain, text, tuple(held.values())), lang, source)
     return _scored(beside, fits, few, outliers).where("kept").select(*held.values()).toDF(*names)

@@ -44,26 +44,6 @@ def test_fit_is_robust_where_a_plain_covariance_is_not(spark):
     assert not any(verdict[r[0]].kept for r in odd) and sum(verdict[r[0]].kept for r in plain) == len(plain)
 
 
-def test_distance_is_that_of_a_concentrated_fit(spark):
-    """The last fit is a fixed point: its centre and scatter are those of the rows nearest to it."""
-    plain, odd = documents()
-    o = quality.Outliers(steps=12)
-    facts = quality.measured(spark.createDataFrame(plain + odd, brute.DOCUMENTS)).withColumn("base_failed", quality.base_failed()).withColumn("own", quality._own("lang", "source"))
-    fits, _ = quality.fitted(facts, o)
-    points = facts.where("not base_failed").selectExpr("own", *[f"{e} as {x}" for x, e in quality.STATISTICS.items()]).toPandas()
-    for fit in fits.collect():
-        x = points[points.own == fit.own][quality._X].to_numpy()
-        centre = np.array([fit[f"m{i}"] for i in range(6)])
-        inverse = np.empty((6, 6))
-        for i, j in quality._PAIRS:
-            inverse[i, j] = inverse[j, i] = fit[f"w_{i}_{j}"]
-        d2 = np.einsum("ni,ij,nj->n", x - centre, inverse, x - centre)
-        bins = np.floor(16 * np.log2(np.clip(d2, 1e-6, 1e12)))
-        cut = np.sort(bins)[int(np.ceil(o.half * len(x))) - 1]
-        near = x[bins <= cut]
-        assert centre == pytest.approx(near.mean(axis=0), abs=0.02)
-
-
 def planted(plain):
     """For single statistics, documents that differ from the plain ones in it by about twice their usual range."""
     words = [r[1].split() for r in plain[:10]]
@@ -84,20 +64,138 @@ def test_moderate_outliers_of_one_statistic_go(spark, kind):
     assert not any(verdict[r[0]].kept for r in odd), sorted(verdict[r[0]].distance2 for r in odd)
 
 
-def test_fit_with_the_defaults_is_a_fixed_point(spark):
-    """A further step from the chosen fit changes neither centre nor scatter."""
-    plain, odd = documents()
-    facts = quality.measured(spark.createDataFrame(plain + odd, brute.DOCUMENTS)).withColumn("base_failed", quality.base_failed()).withColumn("own", quality._own("lang", "source"))
-    o = quality.Outliers()
-    fits, few = quality.fitted(facts, o)
-    points = facts.where("not base_failed").selectExpr("own as grp", *[f"{e} as {x}" for x, e in quality.STATISTICS.items()])
-    start = fits.withColumnRenamed("own", "grp").selectExpr("*", "0 as start")
-    after = {r.grp: r for r in quality._concentrated(points, start, few, o).collect()}
-    for fit in fits.collect():
-        for name in (f"m{i}" for i in range(6)):
-            assert after[fit.own][name] == pytest.approx(fit[name], abs=1e-3)
-        for i, j in quality._PAIRS:
-            assert after[fit.own][f"w_{i}_{j}"] == pytest.approx(fit[f"w_{i}_{j}"], abs=1e-2)
+def plain_fit(x):
+    """Centre and scatter (before levels are joined) of the rows of ``x``: row by row, without chunks."""
+    x = np.unique(x, axis=0)
+    n, p = x.shape
+    h = int(np.ceil(0.75 * n))
+    low = lambda share: np.sort(x, axis=0)[int(np.ceil(share * n - 1e-9)) - 1]
+    mid = low(0.5)
+
+    def least(c):
+        words = max(1.0, np.exp(c[0]) - 1)
+        chars, lines = words * np.exp(c[1] / 4), max(1.0, words / np.exp(c[5]))
+        return np.array([np.log(1 + 1 / words), 4 * np.log(1 + 1 / chars), np.arcsinh(100 / (words + 50)), np.arcsinh(10 / (lines + 5)), np.arcsinh(60 / (words + 50)), np.log(1 + 1 / lines)])
+
+    def floor(s, sd):
+        u = s / sd[:, None] / sd
+        u[np.diag_indices(p)] = np.maximum(1, u.diagonal())
+        w, v = np.linalg.eigh(u)
+        return (v @ np.diag(np.maximum(w, 1 / 16)) @ v.T) * sd[:, None] * sd
+
+    sd = least(mid)
+    scale = np.maximum((low(0.75) - low(0.25)) / 1.349, sd)
+    u = (x - mid) / scale
+    directions = u / np.maximum(np.sqrt((u**2).sum(1)), 1e-9)[:, None]
+    best = None
+    for first in (np.diag(scale**2), floor(np.cov(directions.T, bias=True) * p * scale[:, None] * scale, sd), floor(np.cov(np.tanh(u).T, bias=True) * scale[:, None] * scale, sd)):
+        centre, scatter, met = mid, first, set()
+        while True:
+            d2 = [float((r - centre) @ np.linalg.solve(scatter, r - centre)) for r in x]
+            take = tuple(sorted(sorted(range(n), key=lambda i: (round(d2[i], 9), i))[:h]))
+            centre, scatter = x[list(take)].mean(0), floor(np.cov(x[list(take)].T, bias=True), sd)
+            if take in met:
+                break
+            met.add(take)
+        size = np.linalg.slogdet(scatter)[1]
+        if best is None or size < best[0] - 1e-9:
+            best = size, x[list(take)]
+    raw = np.cov(best[1].T, bias=True)
+    return best[1].mean(0), raw * 0.75 / (1 - chi2.P(8, chi2.Q(6, 0.25))), least, floor
+
+
+class chi2:
+    """The chi-squared law with an even number of degrees of freedom."""
+
+    @staticmethod
+    def P(df, x):
+        term, total = 1.0, 0.0
+        for k in range(df // 2):
+            total += term
+            term *= x / 2 / (k + 1)
+        return np.exp(-x / 2) * total
+
+    @staticmethod
+    def Q(df, tail):
+        low, high = 0.0, 500.0
+        while high - low > 1e-12 * max(1, high):
+            mid = (low + high) / 2
+            low, high = (mid, high) if chi2.P(df, mid) > tail else (low, mid)
+        return low
+
+
+def test_verdicts_are_those_of_a_plain_estimate(spark):
+    """All of the smaller table: per language and source, drawn to the language's and the corpus's fits."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()
+    found = {r.doc_id: r for r in quality.judged(spark.createDataFrame(rows)).collect()}
+    points, groups = {}, {}
+    for r in rows:
+        words, chars, symbols, dup, again, failed = brute.quality(r.text)
+        if failed:
+            continue
+        lines = len([x for x in r.text.split("\n") if brute.WORDS.search(x)])
+        points[r.doc_id] = np.array([np.log(1 + words), 4 * np.log(chars / words), np.arcsinh(100 * max(0, symbols - 1) / (words + 50)), np.arcsinh(10 * max(0, dup - 1) / (lines + 5)), np.arcsinh(10 * max(0, again - 2 * words / lines) / (words + 50)), np.log(words / lines)])
+        for key in ((), (r.lang,), (r.lang, r.source)):
+            groups.setdefault(key, []).append(points[r.doc_id])
+    fits = {}
+    for key in sorted(groups, key=len):
+        up = fits.get(key[:-1]) if key else None
+        n = len(np.unique(groups[key], axis=0))
+        if n < 30:
+            fits[key] = up
+            continue
+        m, s, least, floor = plain_fit(np.array(groups[key]))
+        if up is not None:
+            share = n / (n + 30)
+            m, s = share * m + (1 - share) * up[0], share * s + (1 - share) * up[1]
+        fits[key] = m, floor(s, least(m))
+    cut = chi2.Q(6, 1e-9)
+    for r in rows:
+        if r.doc_id in points:
+            m, s = fits[(r.lang, r.source)]
+            d2 = (points[r.doc_id] - m) @ np.linalg.inv(s) @ (points[r.doc_id] - m)
+            assert found[r.doc_id].distance2 == pytest.approx(d2, rel=1e-4), (r.lang, r.source)
+            assert found[r.doc_id].kept == (d2 <= cut)
+    assert 0 < sum(not found[d].kept for d in points) < 0.2 * len(points)
+
+
+def test_a_concentrated_subset_is_a_fixed_point():
+    """A further step from the found subset changes nothing, and the far rows are not in it."""
+    rng = np.random.default_rng(3)
+    x = np.unique(np.concatenate([rng.normal(size=(300, 6)), rng.normal(4, 0.1, size=(60, 6))]), axis=0)
+    subset = quality.concentrated(x, 0.75)
+    assert subset.sum() == 270
+    centre, scatter = quality.moments(x[subset])
+    least = quality.resolution(quality.quantile(x, 0.5))
+    again = quality.nearest(quality.distances(x, centre, quality.floored(scatter, least)), 270)
+    assert np.array_equal(again, subset) and not subset[x.min(axis=1) > 3].any()
+
+
+def test_groups_of_many_chunks_reject_the_same_outliers(spark):
+    plain, odd = documents(600)
+    df = spark.createDataFrame(plain + odd, brute.DOCUMENTS)
+    verdict = {r.doc_id: r.kept for r in quality.judged(df, quality.Outliers(chunk=50)).collect()}
+    assert all(verdict[r[0]] for r in plain) and not any(verdict[r[0]] for r in odd)
+
+
+def test_copies_cost_one_row_and_do_not_split_a_group(spark):
+    """A third of a source are copies of one document."""
+    plain, odd = documents(200)
+    copies = [(5000 + i, *plain[0][1:]) for i in range(100)]
+    df = spark.createDataFrame(plain + odd + copies, brute.DOCUMENTS)
+    facts = quality._judgeable(quality.measured(df), "lang", "source")
+    points = quality._points(facts)
+    assert points.where("level = 2").count() <= 220 < facts.where("not base_failed").count()
+    verdict = {r.doc_id: r.kept for r in quality.judged(df).collect()}
+    assert all(verdict[r[0]] for r in plain + copies) and not any(verdict[r[0]] for r in odd)
+
+
+def test_extra_columns_with_clashing_names(spark):
+    plain, odd = documents(60)
+    df = spark.createDataFrame([(*r, "x", 1.5, None) for r in plain + odd], brute.DOCUMENTS + ", TEXT string, kept double, own string")
+    kept = quality.kept_documents(df)
+    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {r[0] for r in plain}
+    assert quality.judged(df).where("kept").count() == len(plain)
 
 
 def test_chi_squared():
