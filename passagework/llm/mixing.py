@@ -19,15 +19,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from passagework.llm import arrowtext as at
-from passagework.llm.shared import parts_for, pick, small_batches, stored
+from passagework.llm.shared import Scratch, parts_for, pick, stored
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` (doc_id, source and text) as (doc_id, source, size): words per row, null text 0."""
+    """``docs`` (doc_id, source and text) as (doc_id, source, size, salt): words per row (null text 0) and a hash of the text."""
     return pick(docs, "doc_id", "source", text).select(
-        F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint").alias("size")
+        F.col("doc_id").cast("bigint").alias("doc_id"),
+        F.col("source").cast("string").alias("source"),
+        F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
+        F.xxhash64(F.col(text).cast("string")).alias("salt"),
     )
 
 
@@ -178,22 +181,29 @@ def slots(spark, plan: Plan) -> DataFrame:
     return starts.mapInPandas(by_group, schema).unionByName(stretches.mapInPandas(settled, schema))
 
 
+#: Rows of a bucket in which positions are summed up, and buckets that are summed up at once.
+BUCKET_ROWS = 250
+_BUCKETS_AT_ONCE = 1024
+
+
 def _placed(sized: DataFrame, plan: Plan) -> DataFrame:
-    """(doc_id, source, size, src, start): where each document's words begin in its source.
+    """(doc_id, source, size, salt, src, start): where each document's words begin in its source.
 
-    Documents stand in order of a hash bucket, then doc_id, then size.  Bucket sums give each
-    bucket its start, so a source of any size is summed in small windows.
+    Documents stand in order of a hash bucket of id and text, then doc_id, size and text's hash.  Sums of
+    buckets, and of many buckets in a row, give each its start, so no window holds more than
+    some hundred documents or a thousand buckets, whatever the size of a source.
     """
     spark = sized.sparkSession
     order = spark.createDataFrame([(s, i) for i, s in enumerate(plan.names)], "source string, src int")
-    n = sized.count()
-    buckets = max(1, n // 2000)
-    keyed = sized.join(order, sized["source"].eqNullSafe(order["source"])).select("doc_id", sized["source"], "size", "src", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).alias("bucket"))
-    sums = keyed.groupBy("src", "bucket").agg(F.sum("size").alias("held"))
-    base = sums.select("src", "bucket", (F.sum("held").over(Window.partitionBy("src").orderBy("bucket")) - F.col("held")).alias("base"))
-    inner = Window.partitionBy("src", "bucket").orderBy(F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    buckets = max(1, sized.count() // BUCKET_ROWS)
+    keyed = sized.join(order, sized["source"].eqNullSafe(order["source"])).select("doc_id", sized["source"], "size", "salt", "src", F.pmod(F.xxhash64("doc_id", "salt"), F.lit(buckets)).alias("bucket"))
+    before = lambda x, within, by: F.sum(x).over(Window.partitionBy(*within).orderBy(by)) - F.col(x)
+    sums = stored(keyed.groupBy("src", "bucket").agg(F.sum("size").alias("held")).withColumn("many", F.expr(f"bucket div {_BUCKETS_AT_ONCE}")), "buckets")
+    tops = sums.groupBy("src", "many").agg(F.sum("held").alias("all")).select("src", "many", before("all", ["src"], "many").alias("top"))
+    base = sums.select("src", "bucket", "many", before("held", ["src", "many"], "bucket").alias("inner")).join(tops, ["src", "many"]).select("src", "bucket", (F.col("inner") + F.col("top")).alias("base"))
+    inner = Window.partitionBy("src", "bucket").orderBy(F.col("doc_id").asc_nulls_first(), "size", "salt").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     within = keyed.withColumn("start", F.sum("size").over(inner) - F.col("size"))
-    return within.join(base, ["src", "bucket"]).select("doc_id", "source", "size", "src", (F.col("start") + F.col("base")).alias("start"))
+    return within.join(base, ["src", "bucket"]).select("doc_id", "source", "size", "salt", "src", (F.col("start") + F.col("base")).alias("start"))
 
 
 def plan_for(sized: DataFrame, block: int = 32, shard: int = 4096, seed: int = 17, most: float = 3.0, weights: tuple[float, ...] = (5, 2, 1)) -> Plan:
@@ -203,21 +213,23 @@ def plan_for(sized: DataFrame, block: int = 32, shard: int = 4096, seed: int = 1
 
 
 def mix_documents(docs: DataFrame, block: int = 32, shard: int = 4096, seed: int = 17) -> DataFrame:
-    """(doc_id, source, size, start, source_size, target, taken, cuts) per row of ``docs`` (doc_id, text, source).
+    """(doc_id, source, size, salt, start, source_size, target, taken, cuts) per row of ``docs`` (doc_id, text, source).
 
     ``taken`` counts the words of the document that stand in the mix, repeats included;
     ``cuts`` lists them as (times, first, stop) ranges of its words, in order, without
     those not taken.  Targets: see ``targets``.  No document is taken over three times its
-    size.  The result depends on ids, sources and sizes alone, so reruns agree.
-    Null text: size 0.  Null source: a source of its own, last.  Repeated rows of a
-    doc_id are documents of their own.  Empty table: no rows.
+    size.  The result depends on ids, sources and texts alone, so reruns agree; ``salt`` is a hash of
+    the text.  Null text: size 0.  Null source: a source of its own, last.  Repeated rows of a
+    doc_id, and rows without one, are documents of their own, dealt by their texts.
+    Empty table: no rows.
     """
-    sized = stored(word_counts(docs), "sizes")
-    plan = plan_for(sized, block, shard, seed)
     spark = docs.sparkSession
+    with Scratch() as scratch:
+        sized = stored(word_counts(docs), "sizes")
+        plan = plan_for(sized, block, shard, seed)
+        placed = scratch.keep(stored(_placed(sized, plan), "placed")) if plan.names else scratch.keep(sized)
     if not plan.names:
-        return sized.select("doc_id", "source", "size", F.lit(0).cast("bigint").alias("start"), F.lit(0).cast("bigint").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).cast("bigint").alias("taken"), F.lit(None).cast(_CUTS).alias("cuts"))
-    placed = stored(_placed(sized, plan), "placed")
+        return placed.select("doc_id", "source", "size", "salt", F.lit(0).cast("bigint").alias("start"), F.lit(0).cast("bigint").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).cast("bigint").alias("taken"), F.lit(None).cast(_CUTS).alias("cuts"))
     used = slots(spark, plan).groupBy("src", "block").agg(F.count(F.lit(1)).alias("times"))
     spans = F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")
     spread = placed.where("size > 0").select("src", "doc_id", "start", "size", F.explode(spans).alias("block"))
@@ -230,7 +242,7 @@ def mix_documents(docs: DataFrame, block: int = 32, shard: int = 4096, seed: int
     return (
         placed.join(given, ["src", "start", "size"], "left")
         .join(facts, "src")
-        .select("doc_id", "source", "size", "start", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"), "cuts")
+        .select("doc_id", "source", "size", "salt", "start", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"), "cuts")
     )
 
 
@@ -249,21 +261,19 @@ def mixed_documents(docs: DataFrame, block: int = 32, shard: int = 4096, seed: i
     held = {n: f"c{i}" for i, n in enumerate(names)}
     plain = docs.toDF(*held.values())
     doc_id, source, text = held["doc_id"], held["source"], held["text"]
-    groups = parts_for(small_batches(plain).select(text), GROUP_BYTES, text)
-    mix = mix_documents(docs, block, shard, seed).where("taken > 0").select("doc_id", "source", "size", "start", "cuts", F.expr(f"pmod(xxhash64(doc_id), {groups}L)").alias("grp"))
+    groups = parts_for(plain.select(text), GROUP_BYTES, text)
+    mix = mix_documents(docs, block, shard, seed).where("taken > 0").select("doc_id", "source", "size", "salt", "start", "cuts", F.expr(f"pmod(xxhash64(doc_id, salt), {groups}L)").alias("grp"))
     types = dict(plain.dtypes)
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         wanted: dict[tuple, list] = {}
         order = right.sort_by([("start", "descending")])
-        for d, s, n, cuts in zip(*(order[c].to_pylist() for c in ("doc_id", "source", "size", "cuts"))):
-            wanted.setdefault((d, s, n), []).append(cuts)
-        # Rows that cannot be told apart by id, source and size are matched in order of their texts.
-        left = left.sort_by(text)
+        for d, s, salt, cuts in zip(*(order[c].to_pylist() for c in ("doc_id", "source", "salt", "cuts"))):
+            wanted.setdefault((d, s, salt), []).append(cuts)
         take, texts = [], []
-        for i, (d, s, t) in enumerate(zip(left[doc_id].to_pylist(), left[source].to_pylist(), left[text].to_pylist())):
+        for i, (d, s, salt, t) in enumerate(zip(*(left[c].to_pylist() for c in (doc_id, source, "salt", text)))):
             words = (t or "").encode().split()
-            queue = wanted.get((d, s, len(words)))
+            queue = wanted.get((d, s, salt))
             if not words or not queue:
                 continue
             cuts = queue.pop()
@@ -274,10 +284,11 @@ def mixed_documents(docs: DataFrame, block: int = 32, shard: int = 4096, seed: i
                 texts.append(t if whole else b" ".join(w for a, b in kept for w in words[a:b]).decode())
         wanted.clear()
         at.release()
-        out = left.drop_columns(["grp"]).take(pa.array(take, pa.int64()))
+        out = left.drop_columns(["grp", "salt"]).take(pa.array(take, pa.int64()))
         return out.set_column(out.schema.get_field_index(text), text, pa.array(texts, pa.string()))
 
-    sides = plain.withColumn(doc_id, F.col(doc_id).cast("bigint")).withColumn("grp", F.expr(f"pmod(xxhash64({doc_id}), {groups}L)"))
+    sides = plain.withColumn(doc_id, F.col(doc_id).cast("bigint")).withColumn("salt", F.xxhash64(F.col(text).cast("string")))
+    sides = sides.withColumn("grp", F.expr(f"pmod(xxhash64({doc_id}, salt), {groups}L)"))
     types[doc_id] = "bigint"
     out = sides.groupBy("grp").cogroup(mix.groupBy("grp")).applyInArrow(run, ", ".join(f"{c} {types[c]}" for c in held.values()))
     if "n_chars" in held:

@@ -98,3 +98,70 @@ def test_mixed_documents_hold_what_is_taken(spark):
     for r in mixing.mix_documents(df).collect():
         want[r.doc_id] += r.taken
     assert +got == +want
+
+
+MASK = (1 << 64) - 1
+
+
+def mixed_bits(x):
+    """The fixed mixing of 64-bit numbers, in whole numbers."""
+    x ^= x >> 31
+    x = x * 0xD6E8FEB86659FD93 & MASK
+    x ^= x >> 29
+    x = x * 0xA0761D6478BD642F & MASK
+    return x ^ x >> 32
+
+
+def place_of(index, n, key):
+    """Where a permutation of 0 .. n-1 sends ``index``: Feistel rounds, repeated until it falls inside."""
+    half = max(1, ((max(n, 2) - 1).bit_length() + 1) // 2)
+    while True:
+        left, right = index >> half, index & (1 << half) - 1
+        for r in range(4):
+            left, right = right, left ^ mixed_bits(right + mixed_bits(key + r & MASK) & MASK) & (1 << half) - 1
+        index = left << half | right
+        if index < n:
+            return index
+
+
+@pytest.mark.parametrize("block, shard", [(32, 4096), (8, 64)])
+def test_taken_words_are_those_of_a_plain_mix(spark, block, shard):
+    """Shard by shard and slot by slot, over the words of each source laid out one after the other."""
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    found = mixing.mix_documents(df, block, shard).collect()
+    buckets = max(1, df.count() // mixing.BUCKET_ROWS)
+    rows = [tuple(r) for r in df.selectExpr("doc_id", "source", "text", f"pmod(xxhash64(doc_id, xxhash64(text)), {buckets}) as bucket", "xxhash64(text) as salt").collect()]
+    sizes, laid = {}, {}
+    for doc, source, text, _, _ in sorted(rows, key=lambda r: (r[3], r[0], len(brute.WORDS.findall(r[2] or "")), r[4])):
+        n = len(brute.WORDS.findall(text or ""))
+        sizes[source] = sizes.get(source, 0) + n
+        laid.setdefault(source, []).extend([doc] * n)
+    plan = mixing.Plan(sizes, block, shard, 17, 3.0, (5, 2, 1))
+    given, taken = [0] * len(plan.names), Counter()
+
+    def give(src):
+        epoch, at_ = divmod(given[src], plan.blocks[src])
+        key = mixed_bits(mixed_bits(17 + src) + epoch & MASK)
+        first = place_of(at_, plan.blocks[src], key) * block
+        taken.update(laid[plan.names[src]][first : first + block])
+        given[src] += 1
+
+    for number in range(sum(plan.slots) // shard):
+        for src, n in enumerate(np.random.default_rng([17, number]).multinomial(shard, np.array(plan.slots) / sum(plan.slots))):
+            for _ in range(min(int(n), plan.slots[src] - given[src])):
+                give(src)
+    for src, wanted in enumerate(plan.slots):
+        while given[src] < wanted:
+            give(src)
+    assert {r.doc_id: r.taken for r in found} == {r[0]: taken[r[0]] for r in rows}
+
+
+def test_rows_without_an_id_are_spread(spark):
+    rows = [(None, f"some words of text {i}", "en", "a", 0) for i in range(3000)] + [(1, "x " * 50, "en", "b", 0)]
+    df = spark.createDataFrame(rows, brute.DOCUMENTS)
+    found = mixing.mix_documents(df).collect()
+    check(found)
+    sized = mixing.word_counts(df)
+    buckets = sized.selectExpr("pmod(xxhash64(doc_id, salt), 12) as b").groupBy("b").count().collect()
+    assert len(buckets) == 12 and max(r["count"] for r in buckets) < 400
+    assert sum(len(brute.WORDS.findall(r.text)) for r in mixing.mixed_documents(df).collect()) == sum(r.taken for r in found)
