@@ -18,148 +18,257 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from passagework.llm import arrowtext as at
-from passagework.llm.shared import parts_for, pick, small_batches
+from passagework.llm.shared import parts_for, pick
 
 #: Windows that a map task holds at once.
 BLOCK_WINDOWS = 1 << 20
 #: Input bytes behind one bucket of hashes, and behind one group of texts.
 BUCKET_BYTES = 4 << 20
 GROUP_BYTES = 4 << 20
+#: Buckets from which a block would meet too few windows of each: hashes then go by way of wider buckets.
+MANY_BUCKETS = 1 << 14
+#: Keys of rows: a bucket from 0 on; -1 - group for spans; _HASHES - group for hashes that a document is known to share.
+_HASHES = -(1 << 62)
 
 _MARKS = "key bigint, docs binary, counts binary, data binary"
 _MARKS_ARROW = pa.schema([("key", pa.int64()), ("docs", pa.binary()), ("counts", pa.binary()), ("data", pa.binary())])
+_OTHER, _LOW = np.uint64(0x5851F42D4C957F2D), np.uint64((1 << 32) - 1)
 
 
-def spread(values: np.ndarray) -> bytes:
-    """64-bit values with their bytes regrouped by place, which compresses well where values are close."""
-    return np.ascontiguousarray(values.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
+def window_keys(tokens: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two rolling hashes of each window, of 64 bits each.
 
+    Of the second one 16 bits are stored and others choose the bucket, so windows are told apart by 80 bits and
+    as many as number the buckets, of which there are more the more windows there are: the 1.5e26 pairs
+    of the 1.7e13 windows of 100 TB agree by chance 0.03 times in all (64 bits: 8e6 times)."""
+    return at.window_hashes(tokens, width), at.window_hashes(at.mix(tokens ^ _OTHER), width)
 
-def gathered(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<i8").ravel()
 
+def packed(values: np.ndarray) -> bytes:
+    """Whole numbers from 0 on in as few bytes each as the largest needs, after that number of bytes."""
+    size = next(n for n in (1, 2, 4, 8) if int(values.max(initial=0)) < 1 << 8 * n)
+    return bytes([size]) + values.astype(f"<u{size}").tobytes()
 
-def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start of each run of equal values, and the runs' lengths."""
-    starts = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else np.zeros(0, np.int64)
-    return starts, np.diff(np.append(starts, len(values)))
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1)
+
+
+def packed_ids(ids: np.ndarray) -> bytes:
+    """Rising ids: the first, and the steps between them."""
+    return ids[:1].astype("<i8").tobytes() + packed(np.diff(ids.astype("<i8").view(np.uint64)))
+
+
+def unpacked_ids(data: bytes) -> np.ndarray:
+    first, steps = np.frombuffer(data, "<i8", 1).view(np.uint64), unpacked(data[8:]).astype(np.uint64)
+    return np.cumsum(np.concatenate((first, steps)), dtype=np.uint64).view(np.int64)
+
+
+def runs(*values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start of each run of equal values (of all given arrays), and the runs' lengths."""
+    n = len(values[0])
+    new = np.zeros(n, bool)
+    new[:1] = True
+    for v in values:
+        new[1:] |= v[1:] != v[:-1]
+    starts = np.flatnonzero(new)
+    return starts, np.diff(np.append(starts, n))
+
+
+def by_key(hashes: np.ndarray, *more: np.ndarray) -> np.ndarray:
+    """An order in which equal keys stand together."""
+    order = np.argsort(hashes)
+    same = hashes[order][1:] == hashes[order][:-1]
+    for m in more:
+        if np.any(same & (m[order][1:] != m[order][:-1])):
+            return np.lexsort((*more, hashes))
+    return order
+
+
+def table(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 4, _MARKS_ARROW.types)], schema=_MARKS_ARROW)
+
+
+def scaled(bits: np.ndarray, n: int) -> np.ndarray:
+    """32 random bits as a number under ``n``."""
+    return (bits * np.uint64(n)) >> np.uint64(32)
+
+
+def bucket_rows(bucket: np.ndarray, hashes: np.ndarray, more: np.ndarray, low: np.ndarray) -> pa.RecordBatch:
+    """Rows (bucket, documents, windows of each, keys) of distinct keys with their smallest documents."""
+    order = np.lexsort((low, bucket))
+    bucket, hashes, more, low = bucket[order], hashes[order], more[order], low[order]
+    starts, lengths = runs(bucket)
+    out = []
+    for a, n in zip(starts.tolist(), lengths.tolist()):
+        docs = low[a : a + n]
+        firsts, counts = runs(docs)
+        out.append((int(bucket[a]), packed_ids(docs[firsts]), packed(counts), hashes[a : a + n].tobytes() + more[a : a + n].tobytes()))
+    return table(out)
+
+
+_KEY_BYTES = 10
+
+
+def keys_of(docs: list[bytes], counts: list[bytes], data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, stored bits of the second ones, documents) of rows of ``bucket_rows``."""
+    sizes = [len(x) // _KEY_BYTES for x in data]
+    return (
+        np.concatenate([np.frombuffer(x, np.uint64, n) for x, n in zip(data, sizes)]),
+        np.concatenate([np.frombuffer(x, np.uint16, n, 8 * n) for x, n in zip(data, sizes)]),
+        np.concatenate([np.repeat(unpacked_ids(d), unpacked(c)) for d, c in zip(docs, counts)]),
+    )
 
 
 class Block:
-    """Windows of consecutive documents, until there are enough of them to be summed up."""
+    """Windows of consecutive rows, until there are enough of them to be summed up."""
 
     def __init__(self, buckets: int):
         self.buckets = buckets
         self.clear()
 
     def clear(self) -> None:
-        self.hashes: list[np.ndarray] = []
-        self.docs: list[np.ndarray] = []
-        self.places: list[np.ndarray] = []
-        self.groups: dict[int, int] = {}
-        self.size = 0
-
-    def add(self, hashes: np.ndarray, docs: np.ndarray, places: np.ndarray) -> None:
-        self.hashes.append(hashes)
-        self.docs.append(docs)
-        self.places.append(places)
+        self.rows: list[np.ndarray] = []  # (doc_id, text's number, group) of each row
+        self.windows: list[tuple[np.ndarray, ...]] = []  # hash, second hash, row, place
+        self.size = self.held = 0
+
+    def add(self, rows: np.ndarray, hashes: np.ndarray, more: np.ndarray, row: np.ndarray, places: np.ndarray) -> None:
+        self.rows.append(rows)
+        self.windows.append((hashes, more, row + self.held, places))
+        self.held += len(rows)
         self.size += len(hashes)
 
-    def rows(self) -> Iterator[pa.RecordBatch]:
-        """Per bucket the block's distinct hashes, each with its smallest document; per
-        group of texts the intervals that a smaller document of the same block covers."""
+    def marks(self) -> Iterator[pa.RecordBatch]:
+        """Per bucket the block's distinct keys, each with its smallest document; per group of
+        texts the intervals that a smaller document of the same block covers."""
         if self.size:
-            hashes, docs, places = np.concatenate(self.hashes), np.concatenate(self.docs), np.concatenate(self.places)
-            self.hashes, self.docs, self.places = [], [], []
-            order = np.argsort(hashes)
-            hashes, docs, places = hashes[order], docs[order], places[order]
-            starts, lengths = runs(hashes)
+            rows = np.concatenate(self.rows)
+            hashes, more, row, places = (np.concatenate(x) for x in zip(*self.windows))
+            self.windows = []
+            order = by_key(hashes, more)
+            hashes, more, row, places = hashes[order], more[order], row[order], places[order]
+            starts, lengths = runs(hashes, more)
+            docs = rows[row, 0]
             low = np.minimum.reduceat(docs, starts)
             later = docs > np.repeat(low, lengths)
-            yield from self._summed(hashes[starts], low)
-            yield from self._covered(docs[later], places[later])
+            yield bucket_rows(scaled(more[starts] & _LOW, self.buckets), hashes[starts], (more[starts] >> np.uint64(48)).astype(np.uint16), low)
+            yield covered(rows, row[later], places[later])
         self.clear()
 
-    def _summed(self, hashes: np.ndarray, low: np.ndarray) -> Iterator[pa.RecordBatch]:
-        bucket = ((hashes >> np.uint64(32)) * np.uint64(self.buckets)) >> np.uint64(32)
-        starts, lengths = runs(bucket)
-        out = []
-        for a, n in zip(starts.tolist(), lengths.tolist()):
-            by = np.argsort(low[a : a + n], kind="stable")
-            out.append((int(bucket[a]), spread(low[a : a + n][by]), None, hashes[a : a + n][by].tobytes()))
-        yield table(out)
-
-    def _covered(self, docs: np.ndarray, places: np.ndarray) -> Iterator[pa.RecordBatch]:
-        order = np.lexsort((places, docs))
-        docs, places = docs[order], places[order]
-        new = np.concatenate(([True], (docs[1:] != docs[:-1]) | (places[1:] > places[:-1] + 1))) if len(docs) else np.zeros(0, bool)
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(docs))[: len(first)] - 1
-        spans = np.stack([places[first], places[last]], 1).astype("<i4")
-        yield table(marks(docs[first], spans, self.groups, -1))
-
-
-def marks(docs: np.ndarray, data: np.ndarray, group: dict[int, int], sign: int) -> list[tuple]:
-    """Rows (key, docs, counts, data), one per group of texts: data is cut by document.
-
-    ``docs`` is sorted.  sign -1 codes group g as -1 - g, so that it differs from a bucket."""
-    starts, lengths = runs(docs)
-    ids = docs[starts]
-    keys = np.array([group[d] for d in ids.tolist()], np.int64)
-    out = []
-    for k in np.unique(keys).tolist():
-        of = np.flatnonzero(keys == k)
-        take = np.concatenate([data[a : a + n] for a, n in zip(starts[of].tolist(), lengths[of].tolist())])
-        out.append((-1 - k if sign < 0 else k, ids[of].astype("<i8").tobytes(), lengths[of].astype("<i4").tobytes(), take.tobytes()))
-    return out
-
 
-def table(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 4, _MARKS_ARROW.types)], schema=_MARKS_ARROW)
+def covered(rows: np.ndarray, row: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
+    """Rows (-1 - group, (doc_id, text's number) pairs, counts, (first, last) window pairs) of windows of ``rows``."""
+    order = np.lexsort((places, row))
+    row, places = row[order], places[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (places[1:] > places[:-1] + 1)
+    first = np.flatnonzero(new)
+    spans = np.stack([places[first], places[np.append(first[1:], len(row))[: len(first)] - 1]], 1).astype("<i4") if len(row) else np.zeros((0, 2), "<i4")
+    starts, lengths = runs(row[first])
+    held = rows[row[first][starts]]
+    out = []
+    for g in np.unique(held[:, 2]).tolist():
+        of = np.flatnonzero(held[:, 2] == g)
+        take = np.concatenate([spans[a : a + n] for a, n in zip(starts[of].tolist(), lengths[of].tolist())])
+        out.append((-1 - g, np.ascontiguousarray(held[of, :2]).astype("<i8").tobytes(), lengths[of].astype("<i4").tobytes(), take.tobytes()))
+    return table(out)
 
 
-def _windows(docs: DataFrame, width: int, buckets: int) -> DataFrame:
+def _windows(docs: DataFrame, width: int, buckets: int, groups: int) -> DataFrame:
     """Rows for ``_judged``: from each map task's blocks."""
+    wide = 1 if buckets <= MANY_BUCKETS else -(-buckets // int(buckets**0.5))  # about as many wide ones as buckets in each
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = Block(buckets)
+        block = Block(-(-buckets // wide))
         for batch in batches:
             for part in at.slices(batch, "text"):
                 data, off = at.raw(at.column(part, "text"))
                 begins, ends, first = at.find_words(data, off)
-                n = np.diff(first)
-                ids = at.column(part, "doc_id").to_numpy(zero_copy_only=False)
-                block.groups.update(zip(ids.tolist(), at.column(part, "grp").to_pylist()))
                 if len(begins) < width:
                     continue
-                row = np.repeat(np.arange(part.num_rows), n)
+                row = np.repeat(np.arange(part.num_rows), np.diff(first))
                 whole = np.flatnonzero(row[: 1 - width] == row[width - 1 :]) if width > 1 else np.arange(len(row))
-                hashes = at.window_hashes(at.hash_words(data, begins, ends), width)[whole]
-                block.add(hashes, ids[row[whole]], whole - first[row[whole]])
+                hashes, more = (x[whole] for x in window_keys(at.hash_words(data, begins, ends), width))
+                rows = np.stack([at.column(part, c).to_numpy(zero_copy_only=False) for c in ("doc_id", "tid", "grp")], 1)
+                block.add(rows, hashes, more, row[whole], whole - first[row[whole]])
                 if block.size >= BLOCK_WINDOWS:
-                    yield from block.rows()
-        yield from block.rows()
+                    yield from block.marks()
+        yield from block.marks()
 
-    return docs.mapInArrow(at.tidy(run), _MARKS)
+    found = docs.mapInArrow(at.tidy(run), _MARKS)
+    return found if wide == 1 else _narrowed(found, wide, groups)
+
+
+def _narrowed(marks: DataFrame, wide: int, groups: int) -> DataFrame:
+    """Rows of wide buckets, each dealt to ``wide`` buckets by the first hash.  What meets here is summed up by
+    blocks again, so that a row holds many keys whatever the number of buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = 0
+
+        def summed() -> Iterator[pa.RecordBatch]:
+            if held:
+                keys, *rest = zip(*held)
+                hashes, more, docs = keys_of(*rest)
+                key = np.repeat(np.array(keys, np.uint64), [len(x) // _KEY_BYTES for x in rest[2]])
+                order = by_key(hashes, more, key)
+                hashes, more, key, docs = hashes[order], more[order], key[order], docs[order]
+                starts, lengths = runs(hashes, more, key)
+                low = np.minimum.reduceat(docs, starts)
+                yield bucket_rows(key[starts] * np.uint64(wide) + scaled(hashes[starts] >> np.uint64(32), wide), hashes[starts], more[starts], low)
+                later = docs > np.repeat(low, lengths)
+                yield shared_hashes(hashes[later], docs[later], groups, _HASHES)
+                held.clear()
+
+        for batch in batches:
+            for key, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if key < 0:
+                    yield table([(key, *row)])
+                    continue
+                held.append((key, *row))
+                size += len(row[2]) // _KEY_BYTES
+                if size >= BLOCK_WINDOWS:
+                    yield from summed()
+                    size = 0
+        yield from summed()
+
+    return marks.repartition("key").sortWithinPartitions("key").mapInArrow(at.tidy(run), _MARKS)
+
+
+def shared_hashes(hashes: np.ndarray, docs: np.ndarray, groups: int, base: int = 0) -> pa.RecordBatch:
+    """Rows (group, doc_ids, counts, hashes) of windows that a smaller document has; the key is ``base`` less the group if that is not 0."""
+    order = np.argsort(docs, kind="stable")
+    hashes, docs = hashes[order], docs[order]
+    starts, lengths = runs(docs)
+    ids = docs[starts]
+    key = group_of(ids, groups)
+    out = []
+    for k in np.unique(key).tolist():
+        of = np.flatnonzero(key == k)
+        take = np.concatenate([hashes[a : a + n] for a, n in zip(starts[of].tolist(), lengths[of].tolist())])
+        out.append((base - k if base else k, ids[of].astype("<i8").tobytes(), lengths[of].astype("<i4").tobytes(), take.tobytes()))
+    return table(out)
+
+
+def judge(docs: list[bytes], counts: list[bytes], data: list[bytes], groups: int) -> pa.RecordBatch:
+    """``shared_hashes`` of the keys of one bucket whose smallest document is another."""
+    hashes, more, low = keys_of(docs, counts, data)
+    order = by_key(hashes, more)
+    hashes, more, low = hashes[order], more[order], low[order]
+    starts, lengths = runs(hashes, more)
+    later = low > np.repeat(np.minimum.reduceat(low, starts), lengths)
+    return shared_hashes(hashes[later], low[later], groups)
 
 
 def _judged(windows: DataFrame, groups: int) -> DataFrame:
-    """Rows (key, docs, counts, data) per group of texts: spans (counts of pairs, key < 0)
-    as they came, and hashes of windows whose smallest document is another (key >= 0)."""
+    """Rows (key, docs, counts, data) per group of texts: spans and shared hashes (key < 0)
+    as they came, and hashes of windows whose smallest document is another (key >= 0: the group)."""
+
     def run(key: tuple, got: pa.Table) -> pa.Table:
         if key[0].as_py() < 0:
             return got.select(["key", "docs", "counts", "data"])
-        hashes = np.concatenate([np.frombuffer(x, np.uint64) for x in got["data"].to_pylist()])
-        docs = np.concatenate([gathered(x) for x in got["docs"].to_pylist()])
-        order = np.argsort(hashes)
-        hashes, docs = hashes[order], docs[order]
-        starts, lengths = runs(hashes)
-        later = docs > np.repeat(np.minimum.reduceat(docs, starts), lengths) if len(docs) else np.zeros(0, bool)
-        hashes, docs = hashes[later], docs[later]
-        order = np.argsort(docs, kind="stable")
-        hashes, docs = hashes[order], docs[order]
-        group = dict(zip(uniq := np.unique(docs).tolist(), group_of(np.array(uniq, np.int64), groups).tolist()))
-        found = pa.Table.from_batches([table(marks(docs, hashes, group, 1))])
+        found = pa.Table.from_batches([judge(*(got[c].to_pylist() for c in ("docs", "counts", "data")), groups)])
         at.release()
         return found
 
@@ -181,7 +290,9 @@ def group_of(ids: np.ndarray, groups: int) -> np.ndarray:
 
 
 def cut_windows(tokens: np.ndarray, spans: np.ndarray, hashes: np.ndarray, width: int) -> np.ndarray:
-    """Which words go: those under a window that starts in a span (first and last start) or whose hash is listed."""
+    """Which words go: those under a window that starts in a span (first and last start) or whose hash is listed.
+
+    The listed hashes are those of windows of this very document, so 64 bits tell them apart here."""
     starts = np.zeros(len(tokens) + 1, np.int64)
     if len(hashes):
         hit = np.flatnonzero(np.isin(at.window_hashes(tokens, width), hashes))
@@ -200,11 +311,10 @@ def remove_repeats(docs: DataFrame, width: int = 13) -> DataFrame:
     a document with a smaller doc_id; windows are judged on the input.  ``kept`` is the
     remaining words joined by one space, ``removed`` the maximal intervals of removed
     words (first, one past the last).  Null text: no words.  Rows of one doc_id, equal or
-    not, do not remove each other's words.  A row without doc_id is kept whole and
-    removes nothing.  Empty table: no rows.
+    not, do not remove each other's words; they meet in one task, as one document would.  A
+    row without doc_id is kept whole and removes nothing.  Empty table: no rows.
 
-    Windows are told apart by 64-bit hashes: two different ones agree with a
-    probability of about 2**-60.
+    Windows are told apart by hashes (see ``window_keys``).
     """
     docs = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return _removed(docs, width, [])
@@ -229,31 +339,33 @@ def without_repeats(docs: DataFrame, width: int = 13) -> DataFrame:
 
 def _removed(docs: DataFrame, width: int, carry: list[str]) -> DataFrame:
     """``remove_repeats`` for (doc_id, text, carried columns)."""
-    groups = parts_for(small_batches(docs).select("text"), GROUP_BYTES)
-    held = docs.withColumn("grp", F.expr(f"pmod(xxhash64(doc_id), {groups}L)"))
-    found = _judged(_windows(held.where("doc_id is not null").select("doc_id", "text", "grp"), width, parts_for(docs.select("text"), BUCKET_BYTES)), groups)
-    found = found.select(F.when(F.col("key") < 0, -1 - F.col("key")).otherwise(F.col("key")).alias("grp"), (F.col("key") < 0).alias("spans"), "docs", "counts", "data")
+    groups = parts_for(docs.select("text"), GROUP_BYTES)
+    # Rows without doc_id are dealt by their texts: they need no marks.
+    held = docs.withColumn("tid", F.xxhash64("text")).withColumn("grp", F.expr(f"pmod(if(doc_id is null, tid, xxhash64(doc_id)), {groups}L)"))
+    found = _judged(_windows(held.where("doc_id is not null").select("doc_id", "tid", "text", "grp"), width, parts_for(docs.select("text"), BUCKET_BYTES), groups), groups)
+    spans = F.expr(f"key < 0 and key > {_HASHES}L")
+    grp = F.when(spans, -1 - F.col("key")).when(F.col("key") < 0, F.lit(_HASHES) - F.col("key")).otherwise(F.col("key"))
+    found = found.select(grp.alias("grp"), spans.alias("spans"), "docs", "counts", "data")
     types = dict(docs.dtypes)
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        spans: dict[int, list] = {}
+        spans: dict[tuple, list] = {}
         hashes: dict[int, list] = {}
         for kind, ids, counts, data in zip(*(right[c].to_pylist() for c in ("spans", "docs", "counts", "data"))):
-            counts = np.frombuffer(counts, "<i4")
-            values = np.frombuffer(data, "<i4").reshape(-1, 2) if kind else np.frombuffer(data, np.uint64)
-            into = spans if kind else hashes
-            for doc, piece in zip(np.frombuffer(ids, "<i8").tolist(), np.split(values, np.cumsum(counts)[:-1])):
-                into.setdefault(doc, []).append(piece)
+            ids, values = np.frombuffer(ids, "<i8"), np.frombuffer(data, "<i4").reshape(-1, 2) if kind else np.frombuffer(data, np.uint64)
+            owners = [*map(tuple, ids.reshape(-1, 2).tolist())] if kind else ids.tolist()
+            for owner, piece in zip(owners, np.split(values, np.cumsum(np.frombuffer(counts, "<i4"))[:-1])):
+                (spans if kind else hashes).setdefault(owner, []).append(piece)
         out = {"n_words": [], "n_removed": [], "kept": [], "removed": []}
-        for doc, text in zip(left["doc_id"].to_pylist(), left["text"]):
+        for doc, tid, text in zip(left["doc_id"].to_pylist(), left["tid"].to_pylist(), left["text"]):
             data = text.as_buffer().to_pybytes() if text.is_valid else b""
             words = data.split()
             gone = []
-            if doc in spans or doc in hashes:
+            if (doc, tid) in spans or doc in hashes:
                 begins, ends, _ = at.find_words(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
                 tokens = at.hash_words(np.frombuffer(data, np.uint8), begins, ends)
                 none = np.zeros((0, 2), np.int64)
-                cut = cut_windows(tokens, np.concatenate(spans.get(doc, [none])), np.concatenate(hashes.get(doc, [np.zeros(0, np.uint64)])), width)
+                cut = cut_windows(tokens, np.concatenate(spans.get((doc, tid), [none])), np.concatenate(hashes.get(doc, [np.zeros(0, np.uint64)])), width)
                 edges = np.flatnonzero(np.diff(np.concatenate(([0], cut.view(np.int8), [0])))).reshape(-1, 2)
                 gone = [{"first": int(a), "stop": int(b)} for a, b in edges]
                 kept = b" ".join(compress(words, (~cut).tolist()))
