@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from passagework.llm import arrowtext as at
-from passagework.llm.shared import pick, small_batches, stored
+from passagework.llm.shared import Scratch, pick, stored
 
 _SYMBOL = at.byte_set(b"#*$%&|<>")
 _LINE_END = at.byte_set(b"\n")
@@ -92,7 +92,7 @@ def _lines(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 def measured(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_id", "lang", "source")) -> DataFrame:
     """``carry`` columns and MEASURES per row; null text counts as empty."""
-    docs = small_batches(pick(docs, *dict.fromkeys([*carry, text])))
+    docs = pick(docs, *dict.fromkeys([*carry, text]))
     types = dict(docs.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,6 +239,9 @@ def concentrated(x: np.ndarray, half: float) -> np.ndarray:
     return found
 
 
+#: Groups up to which sizes and fits (a few hundred bytes each) are broadcast; else they are shuffled, and Spark splits a hot group.
+MOST_SENT = 20_000
+
 _SUMS = ["n", *(f"s{i}" for i in range(_P)), *(f"q{i}{j}" for i, j in _PAIRS)]
 #: Sums are taken in exact decimals, so that they do not depend on the order of rows.
 _EXACT = "decimal(38, 10)"
@@ -246,8 +249,9 @@ _EXACT = "decimal(38, 10)"
 
 def _concentrated(points: DataFrame, o: Outliers) -> DataFrame:
     """(level, grp, rows, n and sums over the concentrated rows) of each group of ``points`` (level, grp, x0..)."""
-    sizes = points.groupBy("level", "grp").agg(F.count(F.lit(1)).alias("size"))
-    dealt = points.join(sizes, ["level", "grp"]).withColumn("part", F.expr(f"pmod(xxhash64({', '.join(_X)}), greatest(1L, cast(ceil(size / {o.chunk}) as bigint)))"))
+    points = stored(points, "points")
+    sizes = stored(points.groupBy("level", "grp").agg(F.count(F.lit(1)).alias("size")), "sizes")
+    dealt = points.join(F.broadcast(sizes) if sizes.count() <= MOST_SENT else sizes, ["level", "grp"]).withColumn("part", F.expr(f"pmod(xxhash64({', '.join(_X)}), greatest(1L, cast(ceil(size / {o.chunk}) as bigint)))"))
 
     def one(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by([(c, "ascending") for c in _X])
@@ -296,12 +300,15 @@ def fit_of(levels: list[tuple[int, list[float]] | None], o: Outliers) -> tuple[n
 
 _FIT = [*(f"m{i}" for i in range(_P)), *(f"w_{i}_{j}" for i, j in _PAIRS)]
 
-#: Groups up to which fits (a few hundred bytes each) are broadcast; else they are shuffled, and Spark splits a hot group.
-MOST_SENT = 20_000
-
-
 def fitted(facts: DataFrame, o: Outliers) -> tuple[DataFrame, bool]:
     """(own, m.., w_..) of each group of ``facts`` (own, tongue, base_failed, MEASURES) that has a fit, and whether it is small enough to broadcast."""
+    with Scratch() as scratch:
+        fits = scratch.keep(stored(_fits(facts, o), "fits"))
+    return fits, fits.count() <= MOST_SENT
+
+
+def _fits(facts: DataFrame, o: Outliers) -> DataFrame:
+    """The fits of all groups: from the estimates of each, of its language and of the corpus."""
     found = stored(_concentrated(_points(facts), o), "estimates")
     sums = F.struct("rows", F.array(*_SUMS).alias("sums"))
     level = lambda i, key: found.where(F.col("level") == i).select(F.col("grp").alias(key), sums.alias(f"e{i}"))
@@ -319,8 +326,7 @@ def fitted(facts: DataFrame, o: Outliers) -> tuple[DataFrame, bool]:
             columns = [*zip(*out)] if out else [()] * (1 + len(_FIT))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if i else pa.string()) for i, c in enumerate(columns)], ["own", *_FIT])
 
-    fits = stored(whole.mapInArrow(solve, "own string, " + ", ".join(f"{c} double" for c in _FIT)), "fits")
-    return fits, fits.count() <= MOST_SENT
+    return whole.mapInArrow(solve, "own string, " + ", ".join(f"{c} double" for c in _FIT))
 
 
 def _distance() -> str:
@@ -368,7 +374,8 @@ def kept_documents(docs: DataFrame, outliers: Outliers = Outliers()) -> DataFram
     held = {n: f"c{i}" for i, n in enumerate(names)}
     plain = docs.toDF(*held.values())
     lang, source, text = held["lang"], held["source"], held["text"]
-    facts = stored(_judgeable(measured(plain, text, (lang, source)), lang, source), "measures")
-    fits, few = fitted(facts, outliers)
+    with Scratch() as scratch:
+        fits, few = fitted(stored(_judgeable(measured(plain, text, (lang, source)), lang, source), "measures"), outliers)
+        scratch.keep(fits)
     beside = _judgeable(measured(plain, text, tuple(held.values())), lang, source)
     return _scored(beside, fits, few, outliers).where("kept").select(*held.values()).toDF(*names)
