@@ -8,7 +8,8 @@ The format, for each run of turns of one role::
 has ``<`` followed by any number of backslashes and then ``|``, that is, one backslash is put
 after such a ``<``, and reading back takes one away.  So every string a text may hold,
 this format's own marks and those of other formats included, comes back unchanged
-and cannot end a turn.
+and cannot end a turn.  Role names are percent-encoded where they hold ``%``, ``|`` or ``<`` or
+are one of the two reserved names, which then begin with an encoded letter.
 """
 
 from __future__ import annotations
@@ -30,6 +31,19 @@ def unescaped(text: Column) -> Column:
     return F.regexp_replace(text, r"<\\(\\*)\|", r"<$1|")
 
 
+def _named(role: Column) -> Column:
+    """A role's name as it stands in a mark: never a reserved name, and without ``|`` and ``<``."""
+    plain = F.replace(F.replace(F.replace(role, F.lit("%"), F.lit("%25")), F.lit("|"), F.lit("%7C")), F.lit("<"), F.lit("%3C"))
+    return F.when(role == "end", F.lit("%65nd")).when(role == "more", F.lit("%6Dore")).otherwise(plain)
+
+
+def _role(name: Column) -> Column:
+    """The role that a name stands for; a percent sign of its own is always encoded, so no other text reads as a code."""
+    for code, char in (("%65", "e"), ("%6D", "m"), ("%3C", "<"), ("%7C", "|"), ("%25", "%")):
+        name = F.replace(name, F.lit(code), F.lit(char))
+    return name
+
+
 def format_chats(turns: DataFrame, trained: str = "assistant") -> DataFrame:
     """(conv_id, formatted, segments) per conversation of ``turns`` (conv_id, turn, role, text).
 
@@ -54,14 +68,13 @@ def format_chats(turns: DataFrame, trained: str = "assistant") -> DataFrame:
         ).alias("turns")
     )
     role_at = lambda i: F.try_element_at(F.col("turns"), i)["role"]  # noqa: E731  (from 1; null past the end)
-    named = lambda r: F.replace(F.replace(F.replace(r, F.lit("%"), F.lit("%25")), F.lit("|"), F.lit("%7C")), F.lit("<"), F.lit("%3C"))
     mark = lambda text: F.struct(text.alias("text"), F.lit(False).alias("loss"))
     # A turn opens a block, or is joined to the block of the turn before; it closes the block
     # if the next turn has another role.  Linear in the number of turns.
     pieces = F.transform(
         F.col("turns"),
         lambda t, i: F.array(
-            mark(F.when((i > 0) & (role_at(F.greatest(i, F.lit(1))) == t["role"]), F.lit(MORE)).otherwise(F.concat(F.lit("<|"), named(t["role"]), F.lit("|>")))),
+            mark(F.when((i > 0) & (role_at(F.greatest(i, F.lit(1))) == t["role"]), F.lit(MORE)).otherwise(F.concat(F.lit("<|"), _named(t["role"]), F.lit("|>")))),
             F.struct(escaped(t["text"]).alias("text"), (t["role"] == F.lit(trained)).alias("loss")),
             mark(F.when(F.coalesce(role_at(i + 2) == t["role"], F.lit(False)), F.lit("")).otherwise(F.lit(END))),
         ),
@@ -73,14 +86,13 @@ def format_chats(turns: DataFrame, trained: str = "assistant") -> DataFrame:
 def read_chats(formatted: DataFrame) -> DataFrame:
     """(conv_id, formatted, turns array<struct<role, text>>, loss_text) read back from ``format_chats`` output alone."""
     role_of = lambda b: F.regexp_extract(b, r"^<\|([^|]*)\|>", 1)
-    plain = lambda r: F.replace(F.replace(F.replace(r, F.lit("%3C"), F.lit("<")), F.lit("%7C"), F.lit("|")), F.lit("%25"), F.lit("%"))
     blocks = F.filter(F.split("formatted", r"<\|end\|>", -1), lambda b: b != "")
     turns = F.flatten(
         F.transform(
             blocks,
             lambda b: F.transform(
                 F.split(F.substr(b, F.length(role_of(b)) + 5), r"<\|more\|>", -1),
-                lambda x: F.struct(plain(role_of(b)).alias("role"), unescaped(x).alias("text")),
+                lambda x: F.struct(_role(role_of(b)).alias("role"), unescaped(x).alias("text")),
             ),
         )
     )

@@ -9,6 +9,7 @@ word's label probabilities; a document's language is the label with the largest
 from __future__ import annotations
 
 import re
+import sys
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -20,10 +21,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from passagework.llm import arrowtext as at
-from passagework.llm.shared import pick, small_batches
+from passagework.llm.shared import pick
 
-#: A word: up to 40 letters in a row (a longer run is cut).
-_LETTERS = re.compile(r"[^\W\d_]{1,40}")
+
+def _numerals() -> str:
+    """Ranges, for a character class, of the characters that ``\\w`` has beside letters, decimal digits and the underscore."""
+    odd = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal()]
+    ends = [i for i in range(1, len(odd)) if ord(odd[i]) != ord(odd[i - 1]) + 1]
+    return "".join(f"{odd[a]}-{odd[b - 1]}" for a, b in zip([0, *ends], [*ends, len(odd)]))
+
+
+#: A word: up to 40 letters in a row (a longer run is cut).  Superscripts, fractions, circled and Roman numerals are no letters.
+_LETTERS = re.compile(rf"[^\W\d_{_numerals()}]{{1,40}}")
 UNKNOWN = "und"
 #: Words that a chunk holds in the block-parallel passes, and words kept with their scores in memory.
 CHUNK = 32
@@ -33,10 +42,14 @@ MEMORY = 1 << 17
 @dataclass(frozen=True)
 class Training:
     """``per_label``: about so many labelled documents of each language are learned from, chosen
-    by a hash of doc_id; all others only count.  ``length``: words of a training sequence.
-    ``span``: most words of one document in a row within it."""
+    by a hash of doc_id; all others only count.  ``longest``: documents of more characters are
+    not learned from.  ``most_labels``: more languages than that stop the training, since
+    its sample, of ``per_label`` texts for each, is held by the driver.  ``length``: words of a training
+    sequence.  ``span``: most words of one document in a row within it."""
 
     per_label: int = 200
+    longest: int = 100_000
+    most_labels: int = 256
     length: int = 64
     span: int = 48
     buckets: int = 1 << 16
@@ -291,15 +304,16 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def training_rows(docs: DataFrame, how: Training) -> list[tuple[str, str]]:
     """About ``how.per_label`` (text, lang) rows of each language, of documents that are not held out.
 
-    Which rows are taken depends on a hash of doc_id; counts of languages cover all rows."""
-    open_ = pick(docs, "doc_id", "text", "lang").where(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["count"] for r in open_.groupBy("lang").count().collect()}
+    Which rows are taken depends on a hash of doc_id; counts of languages cover all rows.  Raises
+    ValueError for more than ``how.most_labels`` languages."""
+    open_ = pick(docs, "doc_id", "text", "lang").where(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (F.length("text") <= how.longest))
+    counts = {r["lang"]: r["count"] for r in open_.groupBy("lang").count().limit(how.most_labels + 1).collect()}
+    if len(counts) > how.most_labels:
+        raise ValueError(f"over {how.most_labels} languages: is lang a column of languages?")
     if not counts:
         return []
-    share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, how.per_label / n))).otherwise(share)
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20)) < share * (1 << 20)
+    shares = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, how.per_label / n))])
+    drawn = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20)) < F.coalesce(F.try_element_at(shares, "lang"), F.lit(0.0)) * (1 << 20)
     return sorted((r["text"], r["lang"]) for r in open_.where(drawn).select("text", "lang").collect())
 
 
@@ -320,12 +334,13 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 if model.labels:
                     lengths, means = labeller.means(texts)
                     best = np.where(lengths > 0, means.argmax(axis=1), len(model.labels))
-                    score = np.where(lengths > 0, np.clip(means.max(axis=1), 0, 1), 0.0)
+                    # Rounding keeps scores equal where texts meet others in a batch and sums differ in the last place.
+                    score = np.round(np.where(lengths > 0, np.clip(means.max(axis=1), 0, 1), 0.0), 9)
                 else:
                     best, score = np.zeros(len(texts), np.int64), np.zeros(len(texts))
                 yield pa.RecordBatch.from_arrays([at.column(part, "doc_id"), pa.array(names[best].tolist(), pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
-    return small_batches(pick(docs, "doc_id", text)).withColumn("doc_id", F.col("doc_id").cast("bigint")).mapInArrow(at.tidy(run), "doc_id bigint, lang_pred string, score double")
+    return pick(docs, "doc_id", text).withColumn("doc_id", F.col("doc_id").cast("bigint")).mapInArrow(at.tidy(run), "doc_id bigint, lang_pred string, score double")
 
 
 def identify(docs: DataFrame, how: Training = Training()) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from passagework.llm import arrowtext as at
-from passagework.llm.shared import pick, small_batches
+from passagework.llm.shared import pick
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 WIDTH = 64
@@ -190,7 +190,7 @@ def store_texts(docs: DataFrame, text: str = "text", level: int = 1) -> DataFram
                 images = [write_png(np.frombuffer(payload(whole[a:b]), np.uint8).reshape(-1, WIDTH), level) for a, b in zip(spans, spans[1:])]
                 yield pa.RecordBatch.from_arrays([at.column(part, "doc_id"), pa.array(np.diff(off)), pa.array(images, pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return small_batches(pick(docs, "doc_id", text)).withColumn("doc_id", F.col("doc_id").cast("bigint")).mapInArrow(at.tidy(run), _STORED)
+    return pick(docs, "doc_id", text).withColumn("doc_id", F.col("doc_id").cast("bigint")).mapInArrow(at.tidy(run), _STORED)
 
 
 def read_media(media: DataFrame) -> DataFrame:

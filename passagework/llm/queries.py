@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagework.llm import chat, langid, licences, media, mixing, pieces, quality, simhash, substrings, warc
+from passagework.llm import chat, langid, licences, media, mixing, pieces, quality, shared, simhash, substrings, warc
 
 ORACLES: dict[str, str] = {}
 
@@ -81,7 +81,7 @@ with turns as (
 ), pieces as (
     select *,
         length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g'))
-        + case when before = role then 8 else length(replace(replace(replace(role, '%', '%25'), '|', '%7C'), '<', '%3C')) + 4 end
+        + case when before = role then 8 else length(replace(replace(replace(role, '%', '%25'), '|', '%7C'), '<', '%3C')) + case when role in ('end', 'more') then 2 else 0 end + 4 end
         + case when after = role then 0 else 7 end as chars
     from placed
 )
@@ -101,8 +101,8 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as a PNG in a binary column, read back: digests and perceptual hash."""
-    return media.read_media(media.store_texts(_table(spark, sf_dir, "documents")))
+    """Every document as a PNG in a binary column, read back from the stored table: digests and perceptual hash."""
+    return media.read_media(shared.stored(media.store_texts(_table(spark, sf_dir, "documents")), "media"))
 
 
 def tokenizer_path() -> str:

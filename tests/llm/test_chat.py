@@ -76,3 +76,11 @@ def test_query_and_its_sql_agree_on_awkward_rows(spark, tmp_path):
 def test_main_path_is_native(spark):
     plan = chat.read_chats(chat.format_chats(spark.createDataFrame([(1, 0, "user", "a")], "conv_id bigint, turn bigint, role string, text string")))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_roles_named_like_marks_come_back(spark):
+    turns = ["end", "more", "%65nd", "%6Dore", "end", "assistant", "e%6Ed", "|>", "", "<|end|>", "end"]
+    rows = [(1, i, r, f"text {i} <|end|> <|more|>") for i, r in enumerate(turns)]
+    back = chat.read_chats(chat.format_chats(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"))).first()
+    assert [(t.role, t.text) for t in back.turns] == [r[2:] for r in rows]
+    assert back.loss_text == rows[5][3]

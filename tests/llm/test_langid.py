@@ -110,3 +110,19 @@ def test_awkward_rows(spark):
     assert langid.identify(empty).count() == 0
     unlabelled = spark.createDataFrame([(1, "some text", None, None, 9)], brute.DOCUMENTS)
     assert [tuple(r) for r in langid.identify(unlabelled).collect()] == [(1, False, "und", 0.0)]
+
+
+def test_numerals_are_no_letters(spark):
+    texts = ["² ½ ①", "Ⅷ ٣ 7", "x²", "一", None, "", "_", "ªº", "́"]
+    model = langid.train([("the cat and the dog " * 9, "en"), ("der hund und die katze " * 9, "de")])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {r.doc_id: r.lang_pred for r in langid.predict(df, model).collect()}
+    for i, t in enumerate(texts):
+        assert (found[i] == "und") == (not any(c.isalpha() for c in t or "")), t
+
+
+def test_a_column_of_too_many_languages_stops_the_training(spark):
+    df = spark.createDataFrame([(i, "some words here", f"lang{i}", "s", 0) for i in range(40)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    with pytest.raises(ValueError, match="languages"):
+        langid.training_rows(df, langid.Training(most_labels=10))
+    assert langid.training_rows(df, langid.Training(longest=5)) == []
