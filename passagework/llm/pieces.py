@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from passagework.llm import arrowtext as at
-from passagework.llm.shared import pick, small_batches
+from passagework.llm.shared import pick
 
 SPACE = "▁"
 #: Entries of the pair memory, and of each of the two generations of the word memory.
@@ -253,4 +253,4 @@ def encode_documents(docs: DataFrame, model_path: str, with_ids: bool = True, te
         # The worker may go on to other tasks; what was remembered for this one is let go.
         pieces.forget()
 
-    return small_batches(pick(docs, "doc_id", text)).withColumn("doc_id", F.col("doc_id").cast("bigint")).mapInArrow(at.tidy(run), "doc_id bigint, n_tokens bigint, ids array<int>, ids_sha256 string, decoded_sha256 string")
+    return pick(docs, "doc_id", text).withColumn("doc_id", F.col("doc_id").cast("bigint")).mapInArrow(at.tidy(run), "doc_id bigint, n_tokens bigint, ids array<int>, ids_sha256 string, decoded_sha256 string")

@@ -1,8 +1,9 @@
-"""Session-wide helpers: the shared folder, materialised tables, sizes."""
+"""Helpers: the shared folder, materialised tables, sizes."""
 
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,10 +13,14 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder all nodes share: ``spark.checkpoint.dir`` of the session.
 
-    Only where it is unset, as in tests on one machine, a temporary folder is set.
+    Only where it is unset and all runs on one machine, as in tests, a temporary folder is set;
+    on a cluster executors would each write to their own disk, so there it must be set.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all nodes share")
         found = "file://" + tempfile.mkdtemp(prefix="passagework-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
@@ -26,6 +31,43 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/passagework/{name}-{uuid.uuid4().hex}"
 
 
+#: Scratch objects that are open in this thread, the innermost last.
+_LOCAL = threading.local()
+
+
+def _open() -> list[Scratch]:
+    if not hasattr(_LOCAL, "held"):
+        _LOCAL.held = []
+    return _LOCAL.held
+
+
+class Scratch:
+    """Within ``with Scratch() as scratch``: tables that ``stored`` writes are deleted at the end, but for those
+    that were given to ``keep`` because what is returned still reads them.  Threads do not see each other's."""
+
+    def __init__(self) -> None:
+        self.made: list[tuple[SparkSession, str]] = []
+        self.kept: set[str] = set()
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.kept.add(df._stored)
+        return df
+
+    def __enter__(self) -> Scratch:
+        _open().append(self)
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        _open().remove(self)
+        for spark, path in self.made:
+            if path in self.kept:
+                if _open():
+                    _open()[-1].made.append((spark, path))
+                continue
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read again.
 
@@ -34,7 +76,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._stored = path
+    if _open():
+        _open()[-1].made.append((spark, path))
+    return back
 
 
 def plan_bytes(df: DataFrame) -> int:
@@ -52,24 +98,7 @@ def parts_for(df: DataFrame, target: int, column: str = "text") -> int:
     size = plan_bytes(df)
     if size > 1 << 55:
         size = (df.agg(F.sum(F.octet_length(column))).first()[0] or 0) // 2
-    return max(least, min(4_000_000, -(-size // target)))
-
-
-#: Rows of an Arrow batch between Spark and Python.  Texts are long; this many of them are a few MB.
-BATCH_ROWS = 512
-
-
-def small_batches(df: DataFrame) -> DataFrame:
-    """``df``, with the session's Arrow batches held to BATCH_ROWS rows.
-
-    The limit is a session setting that is read when a plan runs, so it stays set.  It bounds
-    the buffers on both sides of each Python worker, and changes no result.
-    """
-    conf = df.sparkSession.conf
-    rows = int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
-    if not 0 < rows <= BATCH_ROWS:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return df
+    return max(least, -(-size // target))
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:

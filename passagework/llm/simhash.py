@@ -19,8 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from passagework.llm import arrowtext as at
+from passagework.llm import components as components_
 from passagework.llm.components import components
-from passagework.llm.shared import pick, small_batches, stored
+from passagework.llm.shared import Scratch, pick, stored
 
 SEED = 42
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -66,7 +67,7 @@ def fingerprints(docs: DataFrame, width: int = 3, text: str = "text") -> DataFra
                 fps = np.array([fingerprint(whole[a:b], width) for a, b in zip(spans, spans[1:])], np.uint64)
                 yield pa.RecordBatch.from_arrays([at.column(part, "doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    return small_batches(pick(docs, "doc_id", text)).mapInArrow(at.tidy(run), "doc_id bigint, fp bigint")
+    return pick(docs, "doc_id", text).mapInArrow(at.tidy(run), "doc_id bigint, fp bigint")
 
 
 def _ball(value: str, bits: int) -> str:
@@ -125,22 +126,17 @@ def near_duplicates(docs: DataFrame, width: int = 3, most_bits: int = 3, text: s
     Null text: fingerprint 0, linked like any other.  Null doc_id: never a
     component_id, unless its component has no other id (then null).  Empty table: no rows.
     """
-    prints = stored(fingerprints(docs, width, text), "fingerprints")
-    nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "nodes")
-    pairs = stored(near_pairs(nodes.select("fp"), most_bits).distinct(), "pairs")
-    roots = components(pairs).select(F.col("node").alias("fp"), "root")
-    grouped = stored(nodes.join(roots, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root")), "rooted")
+    with Scratch() as scratch:
+        prints = scratch.keep(stored(fingerprints(docs, width, text), "fingerprints"))
+        nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "nodes")
+        pairs = stored(near_pairs(nodes.select("fp"), most_bits).distinct(), "pairs")
+        roots = components(pairs).select(F.col("node").alias("fp"), "root")
+        grouped = scratch.keep(stored(nodes.join(roots, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root")), "rooted"))
     lows = grouped.groupBy("root").agg(F.min("low").alias("component_id"))
     named = grouped.join(lows, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, width: int = 3, most_bits: int = 3) -> DataFrame:
-    """The rows of ``docs`` that stay: of each near-duplicate group the document with the smallest doc_id.
-
-    All columns are kept.  Repeated rows of one doc_id count as copies: one stays.
-    Rows without a doc_id stay (they cannot be told from each other).
-    """
-    found = near_duplicates(docs, width, most_bits)
-    keep = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    """The rows of ``docs`` that stay: one of each near-duplicate group (see ``components.one_of_each``)."""
+    return components_.one_of_each(docs, lambda rows: near_duplicates(rows, width, most_bits).select("doc_id", "component_id"))

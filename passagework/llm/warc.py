@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from passagework.llm import arrowtext as at
-from passagework.llm.shared import fresh_path, parts_for, pick, small_batches, stored
+from passagework.llm.shared import Scratch, fresh_path, parts_for, pick, stored
 
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -151,10 +151,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, archive: Archive
     folder = folder or fresh_path(spark, "archives")
     fs, root = pyarrow.fs.FileSystem.from_uri(folder)
     fs.create_dir(root, recursive=True)
-    rows = small_batches(pick(pages, "page_id", "url", "html")).select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    decided = _revisits(rows, archive.least)
-    keyed = rows.withColumn("digest", F.sha1("html"))
-    joined = keyed.join(decided, keyed["page_id"].eqNullSafe(decided["page_id"]) & (keyed["digest"] == decided["digest"]), "left").select(keyed["page_id"], "url", "html", keyed["digest"], "keeper", F.expr("keeper is not null").alias("revisit"))
+    rows = pick(pages, "page_id", "url", "html").select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer = _Writer(folder, archive)
@@ -170,7 +167,11 @@ def write_archives(pages: DataFrame, folder: str | None = None, archive: Archive
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["file", "offset", "length", "url", "digest"])
         writer.close()
 
-    return stored(joined.mapInArrow(at.tidy(run), _INDEX).select(F.lit(folder).alias("folder"), "*"), "index")
+    with Scratch() as scratch:
+        decided = _revisits(rows, archive.least)
+        keyed = rows.withColumn("digest", F.sha1("html"))
+        joined = keyed.join(decided, keyed["page_id"].eqNullSafe(decided["page_id"]) & (keyed["digest"] == decided["digest"]), "left").select(keyed["page_id"], "url", "html", keyed["digest"], "keeper", F.expr("keeper is not null").alias("revisit"))
+        return scratch.keep(stored(joined.mapInArrow(at.tidy(run), _INDEX).select(F.lit(folder).alias("folder"), "*"), "index"))
 
 
 def ranges(records: list[tuple[int, int]], gap: int, most: int) -> list[tuple[int, int, list[int]]]:

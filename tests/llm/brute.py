@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from itertools import combinations
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -101,6 +102,28 @@ def near_duplicates(rows: list[tuple], width: int = 3, most: int = 3) -> list[tu
     return [(r[0], f"{prints[i]:016x}", low.get(find(i))) for i, r in enumerate(rows)]
 
 
+def shingles(text: str | None) -> set[tuple]:
+    words = WORDS.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def near_copies(rows: list[tuple]) -> dict[int, int]:
+    """doc_id -> smallest doc_id reachable by similarities of 0.8 or more, all pairs compared."""
+    sets, root = {r[0]: shingles(r[1]) for r in rows}, {r[0]: r[0] for r in rows}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in combinations(sorted(sets), 2):
+        x, y = sets[a], sets[b]
+        if 5 * len(x & y) >= 4 * len(x | y):
+            low, high = sorted((find(a), find(b)))
+            root[high] = low
+    return {d: find(d) for d in sets}
+
+
 def quality(text: str | None) -> tuple:
     text = text or ""
     words = WORDS.findall(text)

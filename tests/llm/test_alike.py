@@ -1,35 +1,13 @@
 from __future__ import annotations
 
 import random
-from itertools import combinations
 
 import brute
 import corpus_pipeline
+import numpy as np
 import pytest
 
-from passagework.llm import alike
-
-
-def shingles(text):
-    words = (text or "").encode().translate(alike._FOLD).split()
-    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
-
-
-def groups(rows):
-    """doc_id -> smallest doc_id reachable by similarities of 0.8 or more, all pairs compared."""
-    sets, root = {r[0]: shingles(r[1]) for r in rows}, {r[0]: r[0] for r in rows}
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for a, b in combinations(sorted(sets), 2):
-        x, y = sets[a], sets[b]
-        if 5 * len(x & y) >= 4 * len(x | y):
-            low, high = sorted((find(a), find(b)))
-            root[high] = low
-    return {d: find(d) for d in sets}
+from passagework.llm import alike, simhash
 
 
 def planted():
@@ -48,23 +26,43 @@ def planted():
 def test_pipeline_stage_leaves_no_pair_of_similarity_of_four_fifths(spark):
     rows = planted()
     kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, brute.DOCUMENTS).repartition(3), "")
-    assert sorted(r.doc_id for r in kept.collect()) == sorted({c for c in groups(rows).values()})
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({c for c in brute.near_copies(rows).values()})
 
 
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
 def test_documents_match_brute_force(spark, sf):
     df = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
-    assert {r.doc_id: r.component_id for r in alike.near_copies(df).collect()} == groups([tuple(r) for r in df.select("doc_id", "text").collect()])
+    assert {r.doc_id: r.component_id for r in alike.near_copies(df).collect()} == brute.near_copies([tuple(r) for r in df.select("doc_id", "text").collect()])
 
 
 def test_chains_are_linked_through_strays_of_a_cell(spark):
     """One band of one value: every node meets the others, few of them are alike."""
     rows = planted()
     o = alike.Alike(bands=200, rows=1)
-    assert {r.doc_id: r.component_id for r in alike.near_copies(spark.createDataFrame(rows, brute.DOCUMENTS), o).collect()} == groups(rows)
+    assert {r.doc_id: r.component_id for r in alike.near_copies(spark.createDataFrame(rows, brute.DOCUMENTS), o).collect()} == brute.near_copies(rows)
 
 
 def test_empty_and_null_ids(spark):
     assert alike.near_copies(spark.createDataFrame([], brute.DOCUMENTS)).count() == 0
     df = spark.createDataFrame([(None, "a b", "en", "a", 0), (None, "a b", "en", "a", 0), (1, "a b", "en", "a", 0), (1, "a b", "en", "a", 0)], brute.DOCUMENTS)
     assert sorted(r.doc_id or 0 for r in alike.one_of_each(df).collect()) == [0, 0, 1]
+
+
+@pytest.mark.parametrize("one", [alike.one_of_each, simhash.one_of_each])
+def test_of_rows_with_one_id_the_smallest_text_stays(spark, one):
+    rows = [(1, "b " * 9, "en", "z", 0), (1, "a " * 9, "en", "y", 0), (1, "a " * 9, "de", "x", 0), (2, None, "en", "a", 0), (3, "", "en", "a", 0), (None, None, "en", "a", 0), (None, "b " * 9, "en", "a", 0)]
+    for n in (1, 4):
+        kept = one(spark.createDataFrame([(*r, "t") for r in rows], brute.DOCUMENTS + ", TEXT string").repartition(n))
+        assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars", "TEXT"]
+        assert brute.in_order(r[:4] for r in kept.collect()) == brute.in_order([(1, "a " * 9, "de", "x"), (2, None, "en", "a"), (None, None, "en", "a"), (None, "b " * 9, "en", "a")])
+
+
+def test_sketches_never_rule_out_a_pair():
+    """They differ in no more bits than the sets in shingles, and in hardly fewer for short texts."""
+    rng = np.random.default_rng(1)
+    for n in (3, 200, 5000):
+        a = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        b = np.concatenate([a[: n - n // 10], rng.integers(0, 1 << 63, n // 9).astype(np.uint64)])
+        x, y = alike._sketches(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
+        bits = int(np.bitwise_count(x ^ y).sum())
+        assert 0.8 * min(len(np.setxor1d(a, b)), 400) <= bits <= len(np.setxor1d(a, b))

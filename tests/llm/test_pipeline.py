@@ -30,7 +30,7 @@ def test_each_stage_on_its_own_input(stages):
     good = {r[0] for r in rows(docs) if not brute.quality(r[1])[-1]}
     left = {r[0] for r in rows(clean)}
     assert left <= good and left == {r.doc_id for r in quality.judged(docs).where("kept").collect()}
-    want = {d for d, _, c in brute.near_duplicates(rows(clean)) if d == c}
+    want = {*brute.near_copies(rows(clean)).values()}
     assert {r[0] for r in rows(unique)} == want and unique.count() == len(want)
     digests = {d: (n, gone, sha) for d, n, gone, sha in brute.remove_repeats(rows(unique))}
     original = {r[0]: r[1] for r in rows(unique)}
