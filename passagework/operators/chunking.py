@@ -2,12 +2,15 @@
 
 Consecutive paragraphs of one document under one heading are packed greedily up to a
 token target; list items and table rows stand alone; an oversized paragraph is cut at
-sentences.  What is packed together is found by windows over each document; the greedy
-step folds one array of word counts.
+sentences.  Packing is one pass over each document's blocks in order, in Arrow batches, that
+holds no more than the pack it is filling.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,21 +65,11 @@ def section_heading(heading_path: Column, document_name: Column) -> Column:
 
 
 def markdown_cells(line: Column) -> Column:
-    """Cells of a table line: outer pipes off, a backslash makes any next character plain."""
+    """Cells of a table line: outer pipes off, a backslash makes any next character plain (one at the end is dropped)."""
     inner = F.regexp_replace(F.regexp_replace(T.strip(line), r"^\|", ""), r"\|$", "")
-    state = F.struct(F.lit(False).alias("escaped"), F.lit("").alias("cell"), F.array().cast("array<string>").alias("cells"))
-
-    def step(s: Column, c: Column) -> Column:
-        cut = ~s["escaped"] & (c == "|")
-        mark = ~s["escaped"] & (c == "\\")
-        return F.struct(
-            mark.alias("escaped"),
-            F.when(cut, F.lit("")).when(mark, s["cell"]).otherwise(F.concat(s["cell"], c)).alias("cell"),
-            F.when(cut, F.concat(s["cells"], F.array(T.strip(s["cell"])))).otherwise(s["cells"]).alias("cells"),
-        )
-
-    letters = F.filter(F.split(inner, ""), lambda c: c != "")
-    return F.aggregate(letters, state, step, lambda s: F.concat(s["cells"], F.array(T.strip(s["cell"]))))
+    whole = F.regexp_replace(inner, r"(?s)(?<!\\)((?:\\\\)*+)\\$", "$1")
+    cells = F.regexp_extract_all(F.concat(whole, F.lit("|")), F.lit(r"(?s)([^\\|]*+(?:\\.[^\\|]*+)*+)\|"), F.lit(1))
+    return F.transform(cells, lambda c: T.strip(F.regexp_replace(c, r"(?s)\\(.)", "$1")))
 
 
 def is_separator(cells: Column) -> Column:
@@ -116,6 +109,45 @@ def table_rows(tables: DataFrame) -> DataFrame:
     return joined.select("document_id", "block_no", F.col("line_no").alias("row_no"), F.array_join(F.transform("cells", lambda c: c["label"]), " | ").alias("label"))
 
 
+_PACK = pa.schema([("document_id", pa.string()), ("block_no", pa.int64()), ("piece_no", pa.int32()), ("heading_path", pa.list_(pa.string())), ("text", pa.string())])
+
+
+def _packed(rows: DataFrame, target: int) -> DataFrame:
+    """(document_id, block_no, piece_no, heading_path, text) of the packs of small paragraphs.
+
+    ``rows``: document_id, block_no, heading_path, small, flat, n.  A run of small paragraphs under one
+    heading path has the number of its first block; its packs are counted from 0.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: list[tuple] = []
+        document = path = None
+        texts: list[str] = []
+        held = first = piece = 0
+        open_ = False  # whether the block before was a small paragraph of this document
+        for batch in batches:
+            for doc, no, heading, small, flat, n in zip(*(c.to_pylist() for c in batch.columns)):
+                goes_on = open_ and small and doc == document and heading == path
+                if texts and not (goes_on and round((held + n) * 1.3) <= target):
+                    done.append((document, first, piece, path, " ".join(texts)))
+                    texts, held, piece = [], 0, piece + 1
+                if small:
+                    if not goes_on:
+                        first, piece = no, 0
+                    texts.append(flat)
+                    held += n
+                document, path, open_ = doc, heading, small
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), _PACK.types)], schema=_PACK)
+                done = []
+        if texts:
+            yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip((document, first, piece, path, " ".join(texts)), _PACK.types)], schema=_PACK)
+
+    ordered = rows.select(F.col("document_id").cast("string"), F.col("block_no").cast("bigint"), "heading_path", "small", F.when(F.col("small"), F.col("flat")).alias("flat"), "n")
+    ordered = ordered.repartition("document_id").sortWithinPartitions("document_id", "block_no")
+    return ordered.mapInArrow(run, "document_id string, block_no bigint, piece_no int, heading_path array<string>, text string")
+
+
 def pieces(blocks: DataFrame, target: int = 200) -> DataFrame:
     """(document_id, block_no, piece_no, block_type, heading_path, text, error) before numbering and enrichment.
 
@@ -128,19 +160,8 @@ def pieces(blocks: DataFrame, target: int = 200) -> DataFrame:
     paragraph = F.col("type") == "paragraph"
     rows = rows.where(~(paragraph & ((F.col("flat") == "") | T.is_form_blank(F.col("flat")))))
     rows = rows.withColumn("n", T.word_count(F.col("flat"))).withColumn("small", paragraph & (T.estimate(F.col("n")) <= target))
-    order = Window.partitionBy("document_id").orderBy("block_no")
-    before = F.lag("small").over(order)
-    new = ~F.coalesce(before, F.lit(False)) | ~F.col("small") | (F.lag("heading_path").over(order) != F.col("heading_path"))
-    rows = rows.withColumn("island", F.sum(new.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     empty = F.lit(None).cast("string")
-    packed = (
-        rows.where("small")
-        .groupBy("document_id", "island")
-        .agg(F.min("block_no").alias("block_no"), F.first("heading_path").alias("heading_path"), F.array_sort(F.collect_list(F.struct("block_no", "flat", "n"))).alias("held"))
-        .select("document_id", "block_no", "heading_path", F.transform("held", lambda h: h["flat"]).alias("parts"), pack_starts(F.transform("held", lambda h: h["n"]), target).alias("starts"))
-        .select("document_id", "block_no", "heading_path", F.posexplode(packs(F.col("parts"), F.col("starts"))).alias("piece_no", "text"))
-        .select("document_id", "block_no", "piece_no", F.lit("paragraph").alias("block_type"), "heading_path", "text", empty.alias("error"))
-    )
+    packed = _packed(rows, target).select("document_id", "block_no", "piece_no", F.lit("paragraph").alias("block_type"), "heading_path", "text", empty.alias("error"))
     cut = rows.where(paragraph & ~F.col("small")).withColumn("cut", split_oversized(F.col("flat"), target))
     long = cut.where("cut.ok").select("document_id", "block_no", F.posexplode("cut.pieces").alias("piece_no", "text"), "heading_path")
     long = long.select("document_id", "block_no", "piece_no", F.lit("paragraph").alias("block_type"), "heading_path", "text", empty.alias("error"))
@@ -164,7 +185,7 @@ def numbered(found: DataFrame) -> DataFrame:
 def chunk_blocks(blocks: DataFrame, registry: DataFrame, retrieval_dates: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
     """Chunks (schemas.CHUNKS and ordinal) of ``blocks``; the first violation stops the build.
 
-    ``retrieval_dates``: (document_id, retrieval_date).  Registry and dates are small and broadcast.
+    ``retrieval_dates``: (document_id, retrieval_date).  The registry is a few rows and broadcast.
     """
     found = pieces(blocks, config.chunk_target_tokens)
     bad = found.where("error is not null").orderBy("document_id", "block_no").first()
@@ -179,7 +200,7 @@ def chunk_blocks(blocks: DataFrame, registry: DataFrame, retrieval_dates: DataFr
 
 def enriched(chunks: DataFrame, registry: DataFrame, retrieval_dates: DataFrame) -> DataFrame:
     """Numbered pieces with citation fields; ``missing`` says what a row lacks."""
-    named = chunks.join(F.broadcast(registry.select("document_id", "document_name", "publisher", "year", "source_url")), "document_id", "left").join(F.broadcast(retrieval_dates.select("document_id", "retrieval_date")), "document_id", "left")
+    named = chunks.join(F.broadcast(registry.select("document_id", "document_name", "publisher", "year", "source_url")), "document_id", "left").join(retrieval_dates.select("document_id", "retrieval_date"), "document_id", "left")
     blank = lambda c: F.col(c).isNull() | (F.col(c) == "")
     missing = (
         F.when(F.col("document_name").isNull() & F.col("source_url").isNull(), "not in the registry")

@@ -15,9 +15,11 @@ from passagework.operators.guard import PERSONAL, scope_reason
 
 # Words without content, and the drop reasons.
 STOPWORDS = (
-    "a an the of to and or in on for with is are was were be been being by that this it its as at from into than then so if but not no can "
-    "should would could may might do does did has have had their there these those such per about over under less more your you"
-).split()
+    "a", "an", "the", "of", "to", "and", "or", "in", "on", "for", "with", "is", "are", "was", "were", "be", "been", "being", "by", "that",
+    "this", "it", "its", "as", "at", "from", "into", "than", "then", "so", "if", "but", "not", "no", "can", "should", "would", "could",
+    "may", "might", "do", "does", "did", "has", "have", "had", "their", "there", "these", "those", "such", "per", "about", "over", "under",
+    "less", "more", "your", "you",
+)
 BLENDED = r"(?i)(?U)\bthe guidelines(?:\s+collectively)?\s+say\b"
 
 HIT = "struct<chunk_id:string,document_id:string,document_name:string,publisher:string,year:int,source_url:string,section_heading:string,text:string>"
@@ -80,8 +82,12 @@ def content_words(text: Column) -> Column:
 
 def term_overlap(claim: Column, support: Column) -> Column:
     """Share of the claim's distinct content words that the support has; 1 without content words."""
-    words = content_words(claim)
-    return F.when(F.size(words) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(words, content_words(support))) / F.size(words))
+    return overlap(content_words(claim), content_words(support))
+
+
+def overlap(words: Column, support: Column) -> Column:
+    """``term_overlap`` of content words that are at hand."""
+    return F.when(F.size(words) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(words, support)) / F.size(words))
 
 
 def resolved(chunk_ids: Column, own: Column) -> Column:

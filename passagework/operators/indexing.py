@@ -75,8 +75,8 @@ def metadata_violations(chunks: DataFrame) -> DataFrame:
 
 
 def manifest(chunks: DataFrame, tokens: Column, dimension: int, config: EngineConfig = EngineConfig(), seq: str = "chunk_seq") -> DataFrame:
-    """The one-row figures of an index; embedded_at is UTC."""
+    """The one-row figures of an index; embedded_at is UTC.  The fingerprint is ``fingerprint_tree``, which no single task has to make."""
     return (
-        chunks.withColumn("_n", tokens).agg(F.max("_n").alias("max_tokens"), F.count(F.lit(1)).alias("chunk_count")).crossJoin(fingerprint(chunks, seq))
+        chunks.withColumn("_n", tokens).agg(F.max("_n").alias("max_tokens"), F.count(F.lit(1)).alias("chunk_count")).crossJoin(fingerprint_tree(chunks, seq))
         .select(F.lit(config.embedding_model).alias("model_name"), F.lit(dimension).alias("dimension"), F.lit(config.max_sequence_length).alias("max_sequence_length"), "max_tokens", "chunk_count", "fingerprint", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("embedded_at"))
     )

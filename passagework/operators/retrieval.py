@@ -1,9 +1,11 @@
 """Exact cosine retrieval for a batch of questions.
 
-Vectors are scored in place: each partition multiplies its block of vectors with the batch of
-query vectors and passes on its own top rows per query, so what is shuffled is queries
-times k per block and not a row per pair.  Ties are settled on the whole key (rounded
-similarity, registry order, chunk id), so results do not depend on how rows are dealt.
+Vectors are scored in place: each task multiplies its vectors, batch by batch, with the query vectors,
+keeps the best rows per query as it goes, and passes on at most ``k`` of them at its end, so what is
+shuffled is queries times k per task.  Questions that are restricted to documents meet
+only these documents' rows, which a filter on document_id selects before anything is read.
+Ties are settled on the whole key (rounded similarity, registry order, chunk id), so results do
+not depend on how rows are dealt.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,8 +22,87 @@ from passagework.config import EngineConfig
 from passagework.errors import RetrievalError
 from passagework.schemas import METADATA
 
-#: Query vectors that one pass over the index serves.
+#: Query vectors that are sent to the tasks at once; more are joined to the index in blocks of this size.
 QUERIES_AT_ONCE = 2048
+#: Index bytes behind one cell where questions come in blocks.
+CELL_BYTES = 32 << 20
+
+
+class Best:
+    """The best ``k`` rows of each of ``n`` queries among those offered so far."""
+
+    def __init__(self, n: int, k: int):
+        self.n, self.k = n, k
+        self.floor = np.full(n, -np.inf)
+        self.held: list[pa.Table] = []
+        self.size = 0
+
+    def offer(self, rows: pa.RecordBatch, similarity: np.ndarray, queries: np.ndarray) -> None:
+        """``similarity``: rows x queries, of which ``queries`` gives the numbers."""
+        key = np.round(similarity, 6)
+        floor = self.floor[queries]
+        if len(key) > self.k:
+            floor = np.maximum(floor, np.partition(key, len(key) - self.k, axis=0)[len(key) - self.k])
+        r, q = np.nonzero(key >= floor)
+        if len(r):
+            taken = pa.Table.from_batches([rows]).take(pa.array(r))
+            for name, values in (("_query", queries[q]), ("_similarity", similarity[r, q]), ("_key", key[r, q])):
+                taken = taken.append_column(name, pa.array(values))
+            self.held.append(taken)
+            self.size += len(r)
+            if self.size > max(1 << 16, 2 * self.n * self.k):
+                self.rows()
+
+    def rows(self) -> pa.Table | None:
+        """The best rows so far, by query and place; all else is let go."""
+        if not self.held:
+            return None
+        every = pa.concat_tables(self.held)
+        every = every.take(pc.sort_indices(every, [("_query", "ascending"), ("_key", "descending"), ("ordinal", "ascending"), ("chunk_id", "ascending")]))
+        query = every["_query"].to_numpy()
+        first = np.flatnonzero(np.concatenate(([True], query[1:] != query[:-1])))
+        place = np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query))))
+        every = every.filter(pa.array(place < self.k)).combine_chunks()
+        last = place == self.k - 1
+        self.floor[query[last]] = np.round(every["_key"].to_numpy()[place[place < self.k] == self.k - 1], 6)
+        self.held, self.size = [every], every.num_rows
+        return every
+
+
+def _matrix(vectors: list) -> np.ndarray:
+    """Unit vectors; a zero vector stays zero."""
+    matrix = np.array(vectors, float).reshape(len(vectors), -1) if len(vectors) else np.zeros((0, 1))
+    return matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
+
+
+class Asked:
+    """Questions of one kind: all with a document they are restricted to, or all without."""
+
+    def __init__(self, ids: list[int], scopes: list[str | None], vectors: list, k: int):
+        self.ids, self.matrix, self.k = np.array(ids, np.int64), _matrix(vectors), k
+        self.of: dict[str | None, np.ndarray] = {}
+        for scope in dict.fromkeys(scopes):
+            self.of[scope] = np.flatnonzero([s == scope for s in scopes])
+
+    def nearest(self, batches: Iterator[pa.RecordBatch], others: list[str]) -> Iterator[pa.RecordBatch]:
+        best = Best(len(self.ids), self.k)
+        for batch in batches:
+            if not batch.num_rows or not len(self.ids):
+                continue
+            vectors = _matrix(batch.column(batch.schema.get_field_index("embedding")).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1))
+            rows = batch.select(others)
+            if None in self.of:
+                best.offer(rows, 1.0 - (1.0 - vectors @ self.matrix.T), np.arange(len(self.ids)))
+                continue
+            documents = np.array(batch.column(batch.schema.get_field_index("document_id")).to_pylist(), object)
+            for scope in {*documents} & self.of.keys():
+                own, queries = np.flatnonzero(documents == scope), self.of[scope]
+                best.offer(rows.take(pa.array(own)), 1.0 - (1.0 - vectors[own] @ self.matrix[queries].T), queries)
+        found = best.rows()
+        if found is not None:
+            query = found["_query"].to_numpy()
+            for part in pa.table({"query_id": self.ids[query], "similarity": found["_similarity"], **{c: found[c] for c in others}}).to_batches(max_chunksize=1 << 14):
+                yield part
 
 
 def nearest(index: DataFrame, questions: DataFrame, k: int) -> DataFrame:
@@ -28,61 +110,65 @@ def nearest(index: DataFrame, questions: DataFrame, k: int) -> DataFrame:
 
     ``index``: chunk_id, document_id, ordinal (registry order of its document), embedding, and any
     others.  ``questions``: query_id, embedding, and scope_id, which restricts a question
-    to one document (null: all).  Questions are taken in blocks; a block's vectors go
-    to the executors, the index never moves.
+    to one document (null: all).  Up to QUERIES_AT_ONCE questions go to the tasks that scan the
+    index, which does not move; more are dealt in blocks of that size to cells of the
+    index, as one plan, and never come to the driver.  Rows or questions without an embedding find nothing.
     """
-    spark = index.sparkSession
-    rows = questions.select("query_id", "scope_id", "embedding").orderBy("query_id")
-    n = rows.count()
-    blocks = [rows.collect()] if n <= QUERIES_AT_ONCE else _blocks(rows, n)
     others = [c for c in index.columns if c != "embedding"]
-    out = None
-    for block in blocks:
-        found = _block_nearest(index, others, block, k)
-        out = found if out is None else out.unionByName(found)
+    rows = index.where("embedding is not null").select("embedding", *others)
+    asked = questions.select("query_id", "scope_id", "embedding").where("embedding is not null")
+    few = asked.limit(QUERIES_AT_ONCE + 1).collect()
+    found = _in_place(rows, others, few, k) if len(few) <= QUERIES_AT_ONCE else _in_cells(rows, others, asked, k)
     order = Window.partitionBy("query_id").orderBy(F.round("similarity", 6).desc(), "ordinal", "chunk_id")
-    return out.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+    return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
 
-def _blocks(rows: DataFrame, n: int) -> Iterator[list]:
-    numbered = rows.withColumn("_b", F.expr(f"cast(pmod(xxhash64(query_id), {-(-n // QUERIES_AT_ONCE)}) as int)")).persist()
-    for b in range(-(-n // QUERIES_AT_ONCE)):
-        yield numbered.where(F.col("_b") == b).drop("_b").collect()
+def _schema(rows: DataFrame, others: list[str]) -> str:
+    types = dict(rows.dtypes)
+    return "query_id bigint, similarity double, " + ", ".join(f"`{c}` {types[c]}" for c in others)
 
 
-def _block_nearest(index: DataFrame, others: list[str], block: list, k: int) -> DataFrame:
-    types = dict(index.dtypes)
-    ids = np.array([r.query_id for r in block], np.int64)
-    scopes = [r.scope_id for r in block]
-    matrix = np.array([r.embedding for r in block], float).reshape(len(block), -1) if block else np.zeros((0, 1))
-    matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
+def _in_place(rows: DataFrame, others: list[str], questions: list, k: int) -> DataFrame:
+    """One scan for the questions without a scope, and one of the scopes' documents for the others."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column(batch.schema.get_field_index("embedding"))
-            if not batch.num_rows or not len(ids):
-                continue
-            vectors = column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
-            norms = np.linalg.norm(vectors, axis=1, keepdims=True)
-            similarity = 1.0 - (1.0 - (vectors / np.maximum(norms, 1e-300)) @ matrix.T)
-            document = np.array(batch.column(batch.schema.get_field_index("document_id")).to_pylist(), object)
-            chunk = np.array(batch.column(batch.schema.get_field_index("chunk_id")).to_pylist(), object)
-            ordinal = batch.column(batch.schema.get_field_index("ordinal")).to_numpy(zero_copy_only=False)
-            take, query = [], []
-            for q, scope in enumerate(scopes):
-                allowed = np.arange(len(document)) if scope is None else np.flatnonzero(document == scope)
-                key = np.round(similarity[allowed, q], 6)
-                if len(allowed) > k:
-                    floor = np.partition(key, len(key) - k)[len(key) - k]
-                    allowed, key = allowed[key >= floor], key[key >= floor]
-                best = sorted(range(len(allowed)), key=lambda i: (-key[i], ordinal[allowed[i]], chunk[allowed[i]]))[:k]
-                take += allowed[best].tolist()
-                query += [q] * len(best)
-            kept = pa.Table.from_batches([batch.select(others)]).take(pa.array(take, pa.int64())).combine_chunks().to_batches()
-            if take:
-                yield pa.RecordBatch.from_arrays([pa.array(ids[query]), pa.array(similarity[take, query]), *kept[0].columns], ["query_id", "similarity", *others])
-
-    return index.select("embedding", *others).mapInArrow(run, "query_id bigint, similarity double, " + ", ".join(f"`{c}` {types[c]}" for c in others))
+    def scan(part: DataFrame, wanted: list) -> DataFrame:
+        asked = Asked([r.query_id for r in wanted], [r.scope_id for r in wanted], [r.embedding for r in wanted], k)
+        return part.mapInArrow(lambda batches: asked.nearest(batches, others), _schema(rows, others))
+
+    free, held = [r for r in questions if r.scope_id is None], [r for r in questions if r.scope_id is not None]
+    scans = [scan(rows, free)] if free or not held else []
+    if held:
+        scans.append(scan(rows.where(F.col("document_id").isin(sorted({r.scope_id for r in held}))), held))
+    return scans[0] if len(scans) == 1 else scans[0].unionByName(scans[1])
+
+
+def _in_cells(rows: DataFrame, others: list[str], asked: DataFrame, k: int) -> DataFrame:
+    """Each block of questions meets each cell of the index: a stated set of queries against all rows.
+
+    Index rows are copied once per block, which is what a scan per block would read.  A
+    scoped question meets only the cells that hold its document, and only rows of such documents are copied for it."""
+    spark = rows.sparkSession
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    cells = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // CELL_BYTES) if size < 1 << 55 else rows.count() // 10_000)
+    schema = _schema(rows, others)
+
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        questions = Asked(*(right[c].to_pylist() for c in ("query_id", "scope_id", "embedding")), k)
+        found = [*questions.nearest(iter(left.combine_chunks().to_batches()), others)]
+        return pa.Table.from_batches(found) if found else pa.table({"query_id": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64()), **{c: left[c].slice(0, 0) for c in others}})
+
+    def met(part: DataFrame, wanted: DataFrame) -> DataFrame:
+        blocks = -(-wanted.count() // QUERIES_AT_ONCE)
+        if not blocks:
+            return None
+        left = part.withColumn("_cell", F.pmod(F.xxhash64("chunk_id"), F.lit(cells))).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
+        right = wanted.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("_cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1)).cast("array<bigint>")))
+        return left.groupBy("_cell", "_block").cogroup(right.groupBy("_cell", "_block")).applyInArrow(run, schema)
+
+    scopes = asked.where("scope_id is not null")
+    own = rows.join(scopes.select(F.col("scope_id").alias("document_id")).distinct(), "document_id", "left_semi")
+    found = [x for x in (met(rows, asked.where("scope_id is null")), met(own, scopes)) if x is not None]
+    return found[0] if len(found) == 1 else found[0].unionByName(found[1])
 
 
 def integrity(index: DataFrame, registry: DataFrame) -> DataFrame:
@@ -125,7 +211,7 @@ def kept(candidates: DataFrame, config: EngineConfig = EngineConfig()) -> DataFr
 def candidates(index: DataFrame, questions: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
     """Pre-threshold candidates: 24 nearest over all documents, 5 within a scoped question's document."""
     found = nearest(index, questions, max(config.candidate_k, config.top_k_filtered))
-    scoped = found.join(F.broadcast(questions.select("query_id", "scope_id")), "query_id")
+    scoped = found.join(questions.select("query_id", "scope_id"), "query_id")
     return scoped.where(F.col("place") <= F.when(F.col("scope_id").isNotNull(), config.top_k_filtered).otherwise(config.candidate_k))
 
 

@@ -39,7 +39,8 @@ def answer_batch(questions: DataFrame, index: DataFrame, registry: DataFrame, ge
     """
     judged = guard.classify(questions, registry, check)
     open_ = judged.where("reason is null")
-    # At most a few rows per question, used by several branches below: kept, not computed again.
+    # At most a few rows per question, used by several branches below: kept until ``release``, so that no
+    # model is called twice.
     hits = retrieval.retrieve(index, open_, config).persist()
     counts = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("hit_count"))
     drafts = drafted(hits, open_, generator).persist()
@@ -73,18 +74,26 @@ def answer_batch(questions: DataFrame, index: DataFrame, registry: DataFrame, ge
     typed = typed.withColumn("searched", F.when(F.col("type").isin("answer", "not_in_corpus"), found).otherwise(F.filter(found, lambda d: F.lit(False))))
     typed = typed.withColumn("sections", F.coalesce("sections", F.array().cast(responses.SECTIONS)))
     scope = F.when(F.col("guard_reason").isNotNull(), "none").otherwise(F.coalesce("scope_id", F.lit("all")))
-    return typed.select(
+    replies = typed.select(
         "query_id", "type", "reason", "message", "sections", "searched",
         responses.response_json(F.col("type"), F.col("reason"), F.col("message"), F.col("sections"), F.col("searched")).alias("response"),
         scope.alias("document_scope"), "hit_count", F.coalesce(F.array_join(F.transform("gone", lambda g: g["drop_reason"]), ","), F.lit("")).alias("dropped_reasons"),
     )
+    replies._held = (hits, drafts, claims)
+    return replies
+
+
+def release(replies: DataFrame) -> None:
+    """Gives back what ``answer_batch`` kept for these replies; call it once they have been written."""
+    for held in getattr(replies, "_held", ()):
+        held.unpersist()
 
 
 def documents(registry: DataFrame) -> DataFrame:
     """The documents a question may name, in registry order."""
-    return registry.orderBy("ordinal").select("document_id", "document_name", "publisher", "year", "source_url")
+    return registry.orderBy("ordinal").select("document_id", "document_name", "publisher", "year")
 
 
 def health(index_ready: bool) -> dict[str, object]:
     """Status 200 when the index can be asked, else 503."""
-    return {"status": 200 if index_ready else 503, "body": {"status": "ok" if index_ready else "starting"}}
+    return {"status": 200 if index_ready else 503, "body": {"status": "ok" if index_ready else "unavailable"}}

@@ -18,10 +18,21 @@ def publish(blocks: DataFrame, registry: DataFrame, retrieval_dates: DataFrame,
     Nothing is written before every check has passed.  If ``current`` (an earlier manifest) has the
     same fingerprint and model, the store is left as it is.
     """
-    chunks = chunking.chunk_blocks(blocks, registry, retrieval_dates, config)
-    keyed = chunks.join(F.broadcast(registry.select("document_id", F.col("ordinal").alias("registry_ordinal"))), "document_id")
-    # A sequence over the whole set: registry order, then the chunk's own number.
-    keyed = keyed.withColumn("chunk_seq", F.col("registry_ordinal").cast("bigint") * (1 << 40) + F.col("ordinal"))
+    blocks = blocks.persist()
+    try:
+        chunks = chunking.chunk_blocks(blocks, registry, retrieval_dates, config)
+        keyed = chunks.join(F.broadcast(registry.select("document_id", F.col("ordinal").alias("registry_ordinal"))), "document_id")
+        # A sequence over the whole set: registry order, then the chunk's own number.
+        keyed = keyed.withColumn("chunk_seq", F.col("registry_ordinal").cast("bigint") * (1 << 40) + F.col("ordinal")).persist()
+        try:
+            return _published(keyed, registry, embedder, path, config, current)
+        finally:
+            keyed.unpersist()
+    finally:
+        blocks.unpersist()
+
+
+def _published(keyed: DataFrame, registry: DataFrame, embedder: Embedder, path: str, config: EngineConfig, current: DataFrame | None) -> DataFrame:
     bad = indexing.chunk_violations(keyed, registry, config).orderBy("seq").first()
     if bad is not None:
         raise VectorIndexError(bad.chunk_id, bad.rule)
@@ -40,4 +51,4 @@ def publish(blocks: DataFrame, registry: DataFrame, retrieval_dates: DataFrame,
         raise VectorIndexError(zero.chunk_id, "embedding norm is zero or its dimension is wrong")
     index = vectors.drop("norm", "ordinal").withColumnRenamed("registry_ordinal", "ordinal")
     stores.write_index(index, path, figures.chunk_count)
-    return blocks.sparkSession.createDataFrame([figures])
+    return keyed.sparkSession.createDataFrame([figures])

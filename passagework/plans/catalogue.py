@@ -6,6 +6,7 @@ layout boxes, drafts) comes from small fixtures that are written once and used b
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -65,6 +66,28 @@ class Fixture:
         return f"(select {casts} from (values " + ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in self.rows) + f") as v({names}))"
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder that all nodes reach: in spark.checkpoint.dir, else in the warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def any_sql(x: str, marks: tuple[str, ...]) -> str:
+    """Whether ``x`` holds one of the marks."""
+    return "(" + " or ".join(f"contains({x}, {literal(m)})" for m in marks) + ")"
+
+
+def lower_sql(x: str) -> str:
+    return f"replace(lower({x}), 'ß', 'ss')"
+
+
+def plain_html_sql(x: str) -> str:
+    """Entities of the pages as characters, and what a reader of the page makes of white space."""
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "''"), ("&amp;", "&")):
+        x = f"replace({x}, '{entity}', '{char}')"
+    return normalize_sql(x)
+
+
 def strip_sql(x: str) -> str:
     return f"regexp_replace({x}, '^[\\s\\x0b]+|[\\s\\x0b]+$', '', 'g')"
 

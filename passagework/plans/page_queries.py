@@ -10,7 +10,8 @@ from passagework.operators import html_blocks as H
 from passagework.operators import layout as L
 from passagework.plans import catalogue as K
 from passagework.plans.catalogue import query, table
-from passagework.sources import fetch, stores
+from passagework.plans.text_queries import PACKS
+from passagework.sources import fetch, pdf, stores
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,19 +19,38 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("page_id").cast("string").alias("document_id"), F.concat(F.lit("page "), "page_id").alias("document_name"), "html", F.col("url").alias("base_url"))
 
 
-@query()
-def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blocks of all pages; a tree walk has no SQL form (see the tests for exact trees)."""
-    return H.html_blocks(pages(spark, sf_dir))
+#: The pages' articles as blocks: a heading, then paragraphs, of which one that is not closed holds all that follows it.
+ARTICLE_BLOCKS = f"""articles as (
+    select page_id, regexp_extract(html, '(?s)<article>(.*?)(?:</article>|<footer|</body|$)', 1) as body from pages
+), headings as (
+    select page_id, 0 as seq, 'heading' as type, {K.plain_html_sql("regexp_extract(body, '(?s)<h1[^>]*>(.*?)</h1>', 1)")} as text from articles
+), tokens as (
+    select page_id, unnest(t) as t, generate_subscripts(t, 1) as i from (select page_id, regexp_extract_all(regexp_replace(body, '(?s)^.*?</h1>', ''), '(?s)<[^>]*>|[^<]+') as t from articles)
+), deep as (
+    select *, coalesce(sum(case t when '<p>' then 1 when '</p>' then -1 else 0 end) over (partition by page_id order by i rows between unbounded preceding and 1 preceding), 0) as depth from tokens
+), numbered_ as (
+    select *, sum(case when t = '<p>' and depth = 0 then 1 else 0 end) over (partition by page_id order by i) as seq from deep
+), paragraphs as (
+    select page_id, seq, 'paragraph' as type, {K.plain_html_sql("string_agg(case when starts_with(t, '<') then ' ' else t end, '' order by i)")} as text
+    from numbered_ where depth > 0 or t = '<p>' group by page_id, seq
+), found as (
+    select page_id, seq, type, text from headings union all select page_id, seq, type, text from paragraphs
+), kept_blocks as (
+    select page_id, seq, type, text, row_number() over (partition by page_id order by seq) - 1 as block_no from found
+    where text <> '' and not regexp_full_match(text, '{H.DROP_TEXT.pattern.replace("^", "", 1)[:-1]}', 'i') and (type = 'heading' or length(text) >= 40 and not regexp_matches(text, '{H.PROMO.pattern}', 'i') and not regexp_matches(text, '{H.LICENCE.pattern}', 'i'))
+), placed_blocks as (
+    select k.*, case when h.text is null then ['page ' || page_id] else ['page ' || page_id, h.text] end as heading_path from kept_blocks k left join (select page_id, text from kept_blocks where type = 'heading') h using (page_id)
+)
+"""
 
 
-def _plain(x: str) -> str:
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "''"), ("&amp;", "&")):
-        x = f"replace({x}, '{entity}', '{char}')"
-    return K.collapse_sql(x)
+@query(f"with {ARTICLE_BLOCKS} select page_id::varchar as document_id, block_no, type, sha256(text) as text_sha256, array_to_string(heading_path, ' > ') as path from placed_blocks")
+def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of all pages (see the tests for trees that these pages do not have)."""
+    return H.html_blocks(pages(spark, sf_dir)).select("document_id", "block_no", "type", F.sha2("text", 256).alias("text_sha256"), F.array_join("heading_path", " > ").alias("path"))
 
 
-@query(f"select page_id::varchar as document_id, {_plain('regexp_extract(html, chr(60) || $$h1[^>]*>(.*?)</h1>$$, 1)')} as text from pages".replace("chr(60) || $$h1", "$$<h1"))
+@query(f"select page_id::varchar as document_id, {K.plain_html_sql('regexp_extract(html, $$<h1[^>]*>(.*?)</h1>$$, 1)')} as text from pages")
 def html_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.html_blocks(pages(spark, sf_dir)).where("type = 'heading'").select("document_id", "text")
 
@@ -43,66 +63,107 @@ def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.html_links(pages(spark, sf_dir)).select("document_id", "pos", "href", "label")
 
 
-@query("""
-with h as (select page_id, lower(left(ltrim(html), 800)) as head, html from pages)
-select page_id, case when starts_with(ltrim(html), '%PDF') then 'pdf' when starts_with(head, '<!doctype html') or starts_with(head, '<head') or contains(head, '<html') then 'html' else 'unknown' end as kind,
-    strlen(html) <= 80000 and (contains(lower(left(html, 12000)), 'just a moment') or contains(lower(left(html, 12000)), 'access denied')) as challenge from h
-""")
+def sniff_sql(body: str) -> str:
+    head = f"lower(left(regexp_replace({body}, '^[ \\t\\n\\r\\x0b\\x0c]+', ''), 800))"
+    return f"""case when starts_with({head}, '%pdf') and starts_with(regexp_replace({body}, '^[ \\t\\n\\r\\x0b\\x0c]+', ''), '%PDF') then 'pdf'
+        when starts_with({head}, '<!doctype html') or starts_with({head}, '<head') or contains({head}, '<html') then 'html' else 'unknown' end"""
+
+
+def challenge_sql(body: str) -> str:
+    return f"(strlen({body}) <= 80000 and {K.any_sql(K.lower_sql(f'left({body}, 12000)'), fetch.CHALLENGE)})"
+
+
+@query(f"select page_id, {sniff_sql('html')} as kind, {challenge_sql('html')} as challenge from pages")
 def sniff_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", fetch.sniff(F.col("html")).alias("kind"), fetch.is_challenge(F.col("html")).alias("challenge"))
 
 
 BODIES = K.Fixture(
-    "i int, body string, expected string, problem string",
+    "i int, body string, expected string",
     [
-        (0, "  ", "html", "empty body"), (1, None, "pdf", "empty body"), (2, "<html><body>Access Denied</body></html>", "html", "response is a bot-challenge page"),
-        (3, "<html>Access Denied</html>", "pdf", "body is html, expected pdf"), (4, "%PDF-1.7", "html", "body is pdf, expected html"), (5, "\n%PDF-1.7", "pdf", None),
-        (6, "<!DOCTYPE HTML>x", "html", None), (7, "plain", "html", "body is unknown, expected html"), (8, "x" * 900 + "<html>", "html", "body is unknown, expected html"),
+        (0, "  ", "html"), (1, None, "pdf"), (2, "<html><body>Access Denied</body></html>", "html"), (3, "<html>Access Denied</html>", "pdf"), (4, "%PDF-1.7", "html"), (5, "\n%PDF-1.7", "pdf"),
+        (6, "<!DOCTYPE HTML>x", "html"), (7, "plain", "html"), (8, "x" * 900 + "<html>", "html"),
     ],
 )
+#: What pages are turned into, one after the other: themselves, a file, a challenge, one after much text, nothing, blanks.
+BODY = ["{html}", "%PDF-1.4 {html}", "<html>Just A Moment... {html}", "{html} access denied", "plain text", " \n "]
+PAGE_BODIES = f"""(select i, body, expected from {BODIES.sql} union all
+    select (100 + page_id)::integer, replace({K.literal(BODY)}[page_id % {len(BODY)} + 1], '{{html}}', html), case when page_id % 4 = 3 then 'pdf' else 'html' end from pages)"""
 
 
-@query(f"select i, problem from {BODIES.sql}")
+@query(f"""
+select i, case when body is null or regexp_replace(body, '^[ \\t\\n\\r\\x0b\\x0c]+', '') = '' then 'empty body' when expected = 'html' and {challenge_sql('body')} then 'response is a bot-challenge page'
+    when {sniff_sql('body')} <> expected then 'body is ' || {sniff_sql('body')} || ', expected ' || expected end as problem from {PAGE_BODIES} as b
+""")
 def body_problem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return BODIES.df(spark).select("i", fetch.body_problem(F.col("body"), F.col("expected")).alias("problem"))
+    turned = F.replace(F.element_at(F.array(*map(F.lit, BODY)), (F.col("page_id") % len(BODY) + 1).cast("int")), F.lit("{html}"), F.col("html"))
+    drawn = table(spark, sf_dir, "pages").select((100 + F.col("page_id")).cast("int").alias("i"), turned.alias("body"), F.when(F.col("page_id") % 4 == 3, "pdf").otherwise("html").alias("expected"))
+    return BODIES.df(spark).union(drawn).select("i", fetch.body_problem(F.col("body"), F.col("expected")).alias("problem"))
 
 
+#: Links that every page has, beside its own; the page's number stands for N, its language for L.
 LINKS = K.Fixture(
-    "document_id string, pos int, href string, label string, hreflang string, page_lang string",
+    "pos int, href string, label string, hreflang string",
     [
-        ("a", 0, "https://h/x_fre.pdf", "Français", "", "en"), ("a", 1, "https://h/download", "Download (1 MB)", "", "en-gb"), ("a", 2, "https://h/bitstream/eng.pdf", "English", "", "en"), ("a", 3, "mailto:x.pdf", "pdf", "", "en"),
-        ("b", 0, "https://h/one.pdf", "A", "", ""), ("b", 1, "https://h/two.pdf", "B", "", ""), ("b", 2, "https://h/page", "C", "", ""), ("c", 0, "https://iris.who.int/x/content/", "open", "en", "fr"), ("d", 0, "https://h/x-spa.pdf", "x", "", "en"),
+        (1000, "https://h/x_fre.pdf", "Français", ""), (1001, "https://h/N/download", "Download (1 MB)", ""), (1002, "https://h/bitstream/N-eng.pdf", "English", ""), (1003, "mailto:x.pdf", "pdf", ""), (1004, "https://h/one.pdf", "A", ""), (1005, "https://h/page", "C", ""),
+        (1006, "https://iris.who.int/N/content/", "open", "en"), (1007, "https://h/N-L.pdf", "x", ""), (1008, "https://h/BITSTREAM/N", "DOWNLOAD", "L"), (1009, "javascript:get('N.pdf')", "Download", "en"), (1010, "https://h/N.PDF", "Deutsch", ""),
     ],
 )
+LANGUAGES = ["en", "en-gb", "fr", ""]
+
+
+def links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's share of LINKS (a link is left out of every fifth page) in the page's language, one of LANGUAGES."""
+    rows = table(spark, sf_dir, "pages").select("page_id", F.element_at(F.array(*map(F.lit, LANGUAGES)), (F.col("page_id") % 4 + 1).cast("int")).alias("page_lang"))
+    met = rows.join(LINKS.df(spark), (F.col("page_id") + F.col("pos")) % 5 != 0)
+    filled = lambda c: F.replace(F.replace(F.col(c), F.lit("N"), F.col("page_id").cast("string")), F.lit("L"), F.left("page_lang", F.lit(2)))
+    return met.select(F.col("page_id").cast("string").alias("document_id"), "pos", filled("href").alias("href"), "label", filled("hreflang").alias("hreflang"), "page_lang")
+
+
+SCORED = f"""
+with pages_ as (select page_id, {K.literal(LANGUAGES)}[page_id % 4 + 1] as page_lang from pages),
+l as (
+    select page_id::varchar as document_id, pos, replace(replace(href, 'N', page_id::varchar), 'L', left(page_lang, 2)) as href, lower(label) as label, replace(replace(hreflang, 'N', page_id::varchar), 'L', left(page_lang, 2)) as hreflang, page_lang
+    from pages_ join {LINKS.sql} k on (page_id + pos) % 5 <> 0
+), usable as (
+    select * from l where not starts_with(href, 'javascript:') and not starts_with(href, 'mailto:') and not {K.any_sql('label', fetch.NON_ENGLISH_LABELS)} and not {K.any_sql('lower(href)', fetch.NON_ENGLISH_CODES)}
+        and (contains(lower(href), '.pdf') or contains(lower(href), 'bitstream') or starts_with(label, 'download') or regexp_matches(lower(href), 'iris[.]who[.]int.*/content/*$'))
+), scored as (
+    select *, case when starts_with(hreflang, 'en') or {K.any_sql("label || ' ' || lower(href)", ('english', '-eng', '_eng', 'eng.pdf'))} then 5 when starts_with(page_lang, 'en') and starts_with(label, 'download') then 4 else 0 end
+        + case when starts_with(label, 'download') then 2 else 0 end + case when contains(lower(href), 'bitstream') then 1 else 0 end as score from usable
+)
+"""
 
 
-@query("select * from (values ('a', 'https://h/download'), ('b', 'https://h/one.pdf'), ('c', 'https://iris.who.int/x/content/')) as v(document_id, href)")
+@query(SCORED + "select document_id, arg_max(href, (score, -pos)) as href from scored group by document_id")
 def html_links_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fetch.best_links(LINKS.df(spark))
+    return fetch.best_links(links(spark, sf_dir))
 
 
-@query("select * from (values ('a', 1, 6), ('a', 2, 6), ('b', 0, 0), ('b', 1, 0), ('c', 0, 5)) as v(document_id, pos, score)")
+@query(SCORED + "select document_id, pos, score from scored")
 def link_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fetch.ranked_links(LINKS.df(spark)).select("document_id", "pos", "score")
+    return fetch.ranked_links(links(spark, sf_dir)).select("document_id", "pos", "score")
 
 
 @query("""
-with r as (select page_id, html, page_id % 4 as k from pages where page_id < 20)
+with r as (select page_id, html, page_id % 4 as k, (select max(page_id) from pages) - 7 as bad from pages)
 select page_id::varchar as document_id,
-    case when page_id > 13 then 'old' when page_id = 13 then 'stale' else 'ok' end as status,
-    case when page_id > 13 then '2020-02-02' when page_id = 13 then '2020-02-02' when k = 0 then '2020-02-02' else '2024-05-05' end as retrieval_date,
-    case when page_id > 13 then 'x' when page_id = 13 then 'old' else sha256(html) end as sha256,
-    case when page_id > 13 then 'before' when page_id = 13 then 'HTTP 503' end as error
+    case when page_id > bad then 'old' when page_id = bad then 'stale' else 'ok' end as status,
+    case when page_id >= bad or k = 0 then '2020-02-02' else '2024-05-05' end as retrieval_date,
+    case when page_id > bad then 'x' when page_id = bad then 'old' else sha256(html) end as sha256,
+    case when page_id > bad then 'before' when page_id = bad then 'HTTP 503' end as error
 from r
 """)
 def manifest_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An unchanged page keeps its date, a failing one its file, and nothing after the first failure is touched."""
-    rows = table(spark, sf_dir, "pages").where("page_id < 20")
+    """An unchanged page keeps its date, a failing one (the eighth from the end) its file, and nothing after it is touched."""
+    rows = table(spark, sf_dir, "pages")
+    rows = rows.crossJoin(rows.agg((F.max("page_id") - 7).alias("bad")))  # one row
     key = F.col("page_id").cast("string").alias("document_id")
     reg = rows.select(F.col("page_id").cast("int").alias("ordinal"), key, F.lit("n").alias("document_name"), F.lit("p").alias("publisher"), F.lit(1).alias("year"), F.col("url").alias("source_url"), F.lit("html").alias("kind"))
-    answers = rows.select(key, F.col("html").alias("body"), F.when(F.col("page_id").isin(13, 17), 503).otherwise(200).alias("http_status"), F.lit("text/html").alias("content_type"), F.col("url").alias("final_url"), F.lit(None).cast("string").alias("error"))
-    later = F.col("page_id") > 13
-    old = rows.select(key, F.lit("u").alias("downloaded_url"), F.lit("2020-02-02").alias("retrieval_date"), F.when(later, "x").when(F.col("page_id") == 13, "old").when(F.col("page_id") % 4 == 0, F.sha2("html", 256)).otherwise("other").alias("sha256"), F.lit(200).alias("http_status"), F.lit("t").alias("content_type"), F.when(later, "old").otherwise("ok").alias("status"), F.lit("f").alias("file"), F.when(later, "before").alias("error"), F.lit(True).alias("stored"))
+    failing = (F.col("page_id") == F.col("bad")) | (F.col("page_id") == F.col("bad") + 4)
+    answers = rows.select(key, F.col("html").alias("body"), F.when(failing, 503).otherwise(200).alias("http_status"), F.lit("text/html").alias("content_type"), F.col("url").alias("final_url"), F.lit(None).cast("string").alias("error"))
+    later = F.col("page_id") > F.col("bad")
+    old = rows.select(key, F.lit("u").alias("downloaded_url"), F.lit("2020-02-02").alias("retrieval_date"), F.when(later, "x").when(F.col("page_id") == F.col("bad"), "old").when(F.col("page_id") % 4 == 0, F.sha2("html", 256)).otherwise("other").alias("sha256"), F.lit(200).alias("http_status"), F.lit("t").alias("content_type"), F.when(later, "old").otherwise("ok").alias("status"), F.lit("f").alias("file"), F.when(later, "before").alias("error"), F.lit(True).alias("stored"))
     return fetch.merged_manifest(reg, old, answers, F.lit("2024-05-05")).select("document_id", "status", "retrieval_date", "sha256", "error")
 
 
@@ -122,9 +183,7 @@ def publishable(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select page_id::varchar as document_id, page_id as block_no, 'table' as type, html as text, ['a', url] as header from pages where page_id % 2 = 0 union all select page_id::varchar, page_id, 'paragraph', html, null from pages where page_id % 2 = 1")
 def blocks_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as blocks, written as JSON lines and read back under the schema."""
-    import uuid
-
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/") + f"/blocks-{uuid.uuid4().hex}"
+    folder = K.folder(spark, "blocks")
     even = F.col("page_id") % 2 == 0
     blocks = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("document_id"), F.col("page_id").alias("block_no"), F.when(even, "table").otherwise("paragraph").alias("type"), F.col("html").alias("text"), F.array(F.lit("h")).alias("heading_path"), F.when(even, F.array(F.lit("a"), "url")).alias("header"))
     stores.write_blocks(blocks, folder)
@@ -133,7 +192,7 @@ def blocks_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Layout: lines of documents as boxes of pages of twenty lines, in one column.
 BOXES = """lines as (select doc_id, source, generate_subscripts(string_split(text, chr(10)), 1) - 1 as i, unnest(string_split(text, chr(10))) as text from documents),
-boxes as (select source as document_id, doc_id * 1000 + i // 20 as page, (i % 20) as box_no, text, 20.0 + (i % 20) * 40 as y0, 40.0 + (i % 20) * 40 as y1, 9 + (length(text) % 3) * 0.54 as size from lines where i < 20000)
+boxes as (select source as document_id, doc_id * 1000 + i // 20 % 1000 + ((i // 20000)::bigint << 45) as page, (i % 20) as box_no, text, 20.0 + (i % 20) * 40 as y0, 40.0 + (i % 20) * 40 as y1, 9 + (length(text) % 3) * 0.54 as size from lines)
 """
 
 
@@ -190,120 +249,328 @@ def line_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with b as (select o_orderkey, o_custkey % 500 as x, o_orderkey % 700 as y, o_orderkey % 10 as page from orders), l as (select l_orderkey, l_linenumber, l_partkey % 500 as x, l_orderkey % 700 as y, l_orderkey % 10 as page, l_quantity::double as size, (l_suppkey % 30 + 1)::integer as chars from lineitem where l_linenumber = 1)
+with b as (select o_orderkey, o_custkey % 500 as x, o_orderkey % 700 as y, o_orderkey // 64 as page from orders), l as (select l_partkey % 500 as x, l_orderkey % 700 as y, l_orderkey // 64 as page, l_quantity::double as size, (l_suppkey % 30 + 1)::integer as chars from lineitem)
 select b.o_orderkey, round(coalesce(sum(l.size * l.chars) / sum(l.chars), 11.0), 6)::double as size
-from b left join l on l.page = b.page and l.y + 10 >= b.y - 2 and l.y <= b.y + 12 and l.x + 40 >= b.x - 2 and l.x <= b.x + 42 where b.o_orderkey % 97 = 0 group by b.o_orderkey
+from b left join l on l.page = b.page and l.y + 10 >= b.y - 2 and l.y <= b.y + 12 and l.x + 40 >= b.x - 2 and l.x <= b.x + 42 group by b.o_orderkey
 """)
 def style_for_box(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The spatial join on synthetic geometry from orders (boxes: every 97th order is one) and first line items (lines)."""
-    b = table(spark, sf_dir, "orders").where("o_orderkey % 97 = 0").select(F.lit("d").alias("document_id"), (F.col("o_orderkey") % 10).alias("page"), F.col("o_orderkey").alias("box_no"), (F.col("o_custkey") % 500).cast("double").alias("x0"), (F.col("o_custkey") % 500 + 40).cast("double").alias("x1"), (F.col("o_orderkey") % 700).cast("double").alias("y0"), (F.col("o_orderkey") % 700 + 10).cast("double").alias("y1"))
-    s = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.lit("d").alias("document_id"), (F.col("l_orderkey") % 10).alias("page"), (F.col("l_partkey") % 500).cast("double").alias("x0"), (F.col("l_partkey") % 500 + 40).cast("double").alias("x1"), (F.col("l_orderkey") % 700).cast("double").alias("y0"), (F.col("l_orderkey") % 700 + 10).cast("double").alias("y1"), F.col("l_quantity").cast("double").alias("size"), (F.col("l_suppkey") % 30 + 1).cast("int").alias("chars"), F.lit(0).alias("bold_chars"), F.lit(False).alias("dingbat"))
+    """The spatial join on synthetic geometry from all orders (boxes) and all line items (lines), 64 order keys to a page."""
+    b = table(spark, sf_dir, "orders").select(F.lit("d").alias("document_id"), F.expr("o_orderkey div 64").alias("page"), F.col("o_orderkey").alias("box_no"), (F.col("o_custkey") % 500).cast("double").alias("x0"), (F.col("o_custkey") % 500 + 40).cast("double").alias("x1"), (F.col("o_orderkey") % 700).cast("double").alias("y0"), (F.col("o_orderkey") % 700 + 10).cast("double").alias("y1"))
+    s = table(spark, sf_dir, "lineitem").select(F.lit("d").alias("document_id"), F.expr("l_orderkey div 64").alias("page"), (F.col("l_partkey") % 500).cast("double").alias("x0"), (F.col("l_partkey") % 500 + 40).cast("double").alias("x1"), (F.col("l_orderkey") % 700).cast("double").alias("y0"), (F.col("l_orderkey") % 700 + 10).cast("double").alias("y1"), F.col("l_quantity").cast("double").alias("size"), (F.col("l_suppkey") % 30 + 1).cast("int").alias("chars"), F.lit(0).alias("bold_chars"), F.lit(False).alias("dingbat"))
     return L.styled(b, s).select(F.col("box_no").alias("o_orderkey"), F.round("size", 6).alias("size"))
 
 
-# A page of two columns with a heading across, a table in the left one, and one of a single column.
-PLACED = K.Fixture(
-    "page int, box_no int, x0 double, y0 double, x1 double, y1 double, flow_no int, pos int",
-    [
-        (0, 0, 50.0, 40.0, 550.0, 60.0, 0, 0), (0, 1, 50.0, 80.0, 280.0, 100.0, 1, 1), (0, 2, 320.0, 80.0, 550.0, 100.0, 4, 5), (0, 3, 50.0, 120.0, 280.0, 140.0, 2, 2), (0, 4, 320.0, 120.0, 550.0, 140.0, 5, 6),
-        (0, 5, 50.0, 300.0, 280.0, 320.0, 3, 4), (0, 6, 320.0, 300.0, 550.0, 320.0, 6, 7), (0, 7, 50.0, 400.0, 550.0, 420.0, 7, 8), (1, 0, 50.0, 90.0, 200.0, 100.0, 1, 1), (1, 1, 60.0, 50.0, 200.0, 60.0, 0, 0), (1, 2, 300.0, 90.0, 400.0, 100.0, 2, 2),
-    ],
-)
-TABLES = K.Fixture("page int, table_no int, x0 double, y0 double, x1 double, y1 double, pos int", [(0, 0, 50.0, 150.0, 280.0, 290.0, 3), (1, 0, 50.0, 500.0, 280.0, 600.0, 3)])
-
-
 def _doc(df: DataFrame) -> DataFrame:
     return df.withColumn("document_id", F.lit("d"))
 
 
-@query(f"select page, box_no, flow_no from {PLACED.sql}")
+#: A customer's orders as the boxes of a page: some on the left, some on the right, some across, at heights of which many are equal.
+SHEETS = """boxes as (
+    select o_custkey as page, o_orderkey as box_no, o_orderkey % 7 as kind, (floor(o_totalprice)::bigint % 70 * 10)::double as y0, case when o_orderkey % 7 in (3, 4, 5) then 320.0 + o_orderkey % 3 else 50.0 + o_orderkey % 3 end as x0,
+        case when o_orderkey % 7 < 3 then 280.0 else 550.0 end as x1 from orders
+)"""
+#: Which page is read in two columns, and the order of its boxes: a box across closes a band, of which the left is read first.
+ORDERED = SHEETS + """, sides as (
+    select *, case when x1 <= 310 then 0 when x0 >= 290 then 1 else 2 end as side from boxes
+), sheets as (
+    select page, count(*) >= 6 and count(*) filter (side = 0) >= 3 and count(*) filter (side = 1) >= 3 and coalesce(min(x0) filter (side = 1) - max(x1) filter (side = 0) >= 6, false) as two from sides group by page
+), across as (
+    select page, list((y0, box_no) order by y0, box_no) as cuts from sides where side = 2 group by page
+), placed as (
+    select s.*, two, case when side = 2 then list_position(cuts, (y0, box_no)) - 1 else len(list_filter(coalesce(cuts, []), lambda c: c[1] <= y0)) end as band from sides s join sheets using (page) left join across using (page)
+), flowing as (
+    select *, row_number() over (partition by page order by case when two then band else y0 end, case when two then side else x0 end, case when two then y0 else 0 end, box_no) - 1 as flow_no from placed
+)"""
+
+
+def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("o_orderkey") % 7
+    left = F.when(kind.isin(3, 4, 5), 320.0).otherwise(50.0) + F.col("o_orderkey") % 3
+    height = (F.floor("o_totalprice") % 70 * 10).cast("double")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("page"), F.col("o_orderkey").alias("box_no"), left.alias("x0"), height.alias("y0"), F.when(kind < 3, 280.0).otherwise(550.0).alias("x1"), (height + 8).alias("y1"))
+    return _doc(rows)
+
+
+@query(f"with {ORDERED} select page, box_no, flow_no::integer as flow_no from flowing")
 def column_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _doc(PLACED.df(spark).drop("flow_no", "pos"))
+    rows = sheets(spark, sf_dir)
     return L.column_order(rows, rows.select("document_id", "page").distinct().withColumn("width", F.lit(600.0))).select("page", "box_no", "flow_no")
 
 
-@query(f"select page, box_no, null::integer as table_no, pos from {PLACED.sql} union all select page, null, table_no, pos from {TABLES.sql}")
+@query(f"""
+with {ORDERED}, tables as (select p_partkey // 4 as page, p_partkey as table_no, (p_size * 14)::double as top from part),
+deepest as (select page, flow_no, max(y0) over (partition by page order by flow_no) as deep from flowing),
+let_in as (select t.page, t.table_no, t.top, coalesce(min(d.flow_no), 1000000) as flow_no from tables t left join deepest d on d.page = t.page and d.deep >= t.top group by all),
+items as (select page, flow_no, 1 as after, 0.0 as top, box_no, null as table_no from flowing union all select page, flow_no, 0, top, null, table_no from let_in)
+select page, box_no::integer as box_no, table_no::integer as table_no, (row_number() over (partition by page order by flow_no, after, top, table_no) - 1)::integer as pos from items
+""")
 def table_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.flow(_doc(PLACED.df(spark).drop("pos")), _doc(TABLES.df(spark).drop("pos"))).select("page", "box_no", "table_no", "pos")
+    """Parts as tables on the pages of customers, let in between their orders' boxes."""
+    rows = sheets(spark, sf_dir)
+    ordered = L.column_order(rows, rows.select("document_id", "page").distinct().withColumn("width", F.lit(600.0)))
+    tables = table(spark, sf_dir, "part").select(F.expr("p_partkey div 4").alias("page"), F.col("p_partkey").alias("table_no"), (F.col("p_size") * 14).cast("double").alias("y0"))
+    return L.flow(ordered, _doc(tables)).select("page", "box_no", "table_no", "pos")
 
 
 @query("""
-with b as (select o_orderkey, o_custkey % 500 as x, o_orderkey % 700 as y, o_orderkey % 50 as page from orders), t as (select p_partkey % 400 as x, p_size * 14 as y, p_partkey % 50 as page from part where p_partkey <= 200)
+with b as (select o_orderkey, o_orderkey % 500 as x, o_orderkey % 700 as y, o_custkey as page from orders), t as (select p_partkey * 37 % 400 as x, p_size * 14 as y, p_partkey // 4 as page from part)
 select o_orderkey from b where not exists (select 1 from t where t.page = b.page and least(b.x + 40, t.x + 200) - greatest(b.x, t.x) > 0 and least(b.y + 10, t.y + 100) - greatest(b.y, t.y) > 0
     and (least(b.x + 40, t.x + 200) - greatest(b.x, t.x)) * (least(b.y + 10, t.y + 100) - greatest(b.y, t.y)) / 400.0 >= 0.45)
 """)
 def outside_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The geometric anti-join on synthetic boxes from all orders and tables from parts."""
-    b = table(spark, sf_dir, "orders").select(F.col("o_orderkey"), F.lit("d").alias("document_id"), (F.col("o_orderkey") % 50).alias("page"), (F.col("o_custkey") % 500).cast("double").alias("x0"), (F.col("o_custkey") % 500 + 40).cast("double").alias("x1"), (F.col("o_orderkey") % 700).cast("double").alias("y0"), (F.col("o_orderkey") % 700 + 10).cast("double").alias("y1"))
-    t = table(spark, sf_dir, "part").where("p_partkey <= 200").select(F.lit("d").alias("document_id"), (F.col("p_partkey") % 50).alias("page"), (F.col("p_partkey") % 400).cast("double").alias("x0"), (F.col("p_partkey") % 400 + 200).cast("double").alias("x1"), (F.col("p_size") * 14).cast("double").alias("y0"), (F.col("p_size") * 14 + 100).cast("double").alias("y1"))
+    """The geometric anti-join on synthetic boxes from all orders and tables from all parts."""
+    b = table(spark, sf_dir, "orders").select(F.col("o_orderkey"), F.lit("d").alias("document_id"), F.col("o_custkey").alias("page"), (F.col("o_orderkey") % 500).cast("double").alias("x0"), (F.col("o_orderkey") % 500 + 40).cast("double").alias("x1"), (F.col("o_orderkey") % 700).cast("double").alias("y0"), (F.col("o_orderkey") % 700 + 10).cast("double").alias("y1"))
+    t = table(spark, sf_dir, "part").select(F.lit("d").alias("document_id"), F.expr("p_partkey div 4").alias("page"), (F.col("p_partkey") * 37 % 400).cast("double").alias("x0"), (F.col("p_partkey") * 37 % 400 + 200).cast("double").alias("x1"), (F.col("p_size") * 14).cast("double").alias("y0"), (F.col("p_size") * 14 + 100).cast("double").alias("y1"))
     return L.outside_tables(b, t).select("o_orderkey")
 
 
-# Pieces of text with size and weight against a body size of 10, and what they are.
+# Lines of documents as pieces of text, and pieces that the documents do not have.
 PIECES = K.Fixture(
-    "text string, size double, bold boolean, kind string, level int",
+    "text string, size double, bold boolean",
     [
-        ("Storing food safely", 16.0, False, "heading", 1), ("Storing food safely", 11.5, False, "heading", 2), ("Storing food safely", 10.0, True, "heading", 3), ("Storing food safely now", 10.0, False, "ignore", 3), ("2.1 Chilling food", 10.0, True, "heading", 3),
-        ("1. Wash your hands before eating.", 10.0, False, "list_item", 3), ("- a dash item here", 10.0, False, "list_item", 3), ("Keep your fridge at five degrees or below it.", 10.0, False, "paragraph", 3), ("lower case tail", 10.0, False, "paragraph", 3), ("Short.", 16.0, False, "ignore", 1),
-        ("T h e q u i c k b r", 16.0, False, "ignore", 1), ("Figure 3 Something", 16.0, True, "ignore", 1), ("Chilling", 16.0, False, "heading", 1), ("Page7", 16.0, False, "ignore", 1), ("12 MAR 2018", 16.0, False, "ignore", 1), ("Ends with 1.5", 16.0, False, "ignore", 1),
+        ("Storing food safely", 16.0, False), ("Storing food safely", 11.5, False), ("Storing food safely", 10.0, True), ("Storing food safely now", 10.0, False), ("2.1 Chilling food", 10.0, True), ("1. Wash your hands before eating.", 10.0, False), ("- a dash item here", 10.0, False),
+        ("Keep your fridge at five degrees or below it.", 10.0, False), ("lower case tail", 10.0, False), ("Short.", 16.0, False), ("T h e q u i c k b r", 16.0, False), ("Figure 3 Something", 16.0, True), ("Chilling", 16.0, False), ("Page7", 16.0, False), ("12 MAR 2018", 16.0, False), ("Ends with 1.5", 16.0, False),
     ],
 )
+_SIZES = [9.0, 9.4, 10.0, 10.9, 11.3, 14.0, 16.0]
+PIECE_ROWS = f"""lines as (select doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line_no, unnest(string_split(text, chr(10))) as line from documents),
+pieces as (
+    select -1 as doc_id, row_number() over () as line_no, text, size, bold from {PIECES.sql}
+    union all select doc_id, line_no, {K.normalize_sql('case line_no % 3 when 0 then left(line, 60) when 1 then line else left(line, 20) end')}, {_SIZES}[(doc_id + line_no) % {len(_SIZES)} + 1]::double, (doc_id + line_no) % 2 = 0 from lines
+)"""
+
+
+def piece_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(text, size, bold): documents' lines, each third one whole and the others cut to the length of headings, in turning sizes."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    text = F.when(F.col("line_no") % 3 == 0, F.left("line", F.lit(60))).when(F.col("line_no") % 3 == 1, F.col("line")).otherwise(F.left("line", F.lit(20)))
+    turn = F.col("doc_id") + F.col("line_no")
+    return PIECES.df(spark).unionByName(lines.select(T.normalize(text).alias("text"), F.element_at(F.array(*map(F.lit, _SIZES)), (turn % len(_SIZES) + 1).cast("int")).alias("size"), (turn % 2 == 0).alias("bold")))
+
+
+def spaced_sql(x: str) -> str:
+    return f"(len(regexp_extract_all({x}, '[A-Za-z]+')) >= 8 and len(list_filter(regexp_extract_all({x}, '[A-Za-z]+'), lambda t: len(t) <= 2)) > 0.45 * len(regexp_extract_all({x}, '[A-Za-z]+')))"
+
+
+_BULLETS = "[" + L.BULLETS + "]"
+KINDS = f"""
+with {PIECE_ROWS}, facts as (
+    select text, size, bold, {K.words_sql('text')} as n, regexp_matches(text, '^\\d+(\\.\\d+)*\\s+\\S') as numbered, size >= 10.9::double as larger from pieces
+), headed as (
+    select *, n between 1 and 14 and length(text) <= 120 and not regexp_matches(text, '^\\p{{Ll}}') and not regexp_matches(text, '^[\\dIVXivx.]+$|^\\d[\\d\\s./%\\-–]*$|^\\d{{1,2}}\\s+[A-Z]{{3}}\\s+\\d{{2,4}}$|[.]$|\\.\\d+$|(?i)^(fig\\.|figure|table)\\s+\\d')
+            and (numbered or not regexp_matches(text, '\\.\\s+\\S'))
+        and case when n = 1 then larger and not regexp_matches(text, '\\d') else larger or (bold and size >= 9.3::double and n <= 10) or (numbered and (larger or bold) and n <= 12) end as heading,
+        regexp_matches(text, '^\\d{{1,2}}[.)]\\s+\\S.*$') as item from facts
+)
+select text, size, bold, case when text = '' or {spaced_sql('text')} then 'ignore' when item and (ends_with(text, '.') or n > 14 or not heading) then 'list_item' when regexp_matches(text, '^{_BULLETS}') or starts_with(text, '- ') then 'list_item'
+    when heading then 'heading' when length(text) < 25 and not regexp_matches(text, '^\\p{{Ll}}') then 'ignore' else 'paragraph' end as kind, case when size >= 14 then 1 when size >= 11.3::double then 2 else 3 end as level from headed
+"""
 
 
-@query(f"select text, size, bold, kind, level from {PIECES.sql}")
+@query(KINDS)
 def piece_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The SQL states the expected kinds of a truth table."""
     body = F.lit(10.0)
     kind = L.piece_kind(F.lit(False), F.col("text"), F.col("size"), F.col("bold"), body)
-    return PIECES.df(spark).select("text", "size", "bold", kind.alias("kind"), L.heading_level(F.col("size"), body).alias("level"))
+    return piece_rows(spark, sf_dir).select("text", "size", "bold", kind.alias("kind"), L.heading_level(F.col("size"), body).alias("level"))
 
 
 BULLETED = K.Fixture(
-    "i int, text string, dingbat boolean, pieces string",
+    "box_no bigint, text string",
     [
-        (0, "Intro line\n• first item\ncontinues here\n• second item\nNew paragraph", False, "0:Intro line|1:first item continues here|1:second item|0:New paragraph"),
-        (1, "•\nmarked alone\nplain", False, "1:marked alone plain"), (2, "lead • one • two", False, "0:lead|1:one|1:two"), (3, "– dash item\n-5 degrees", False, "1:dash item -5 degrees"),
-        (4, "n Item by dingbat", True, "1:Item by dingbat"), (5, "n Not an item", False, "0:n Not an item"), (6, "1. Numbered ends.\n2) Not ended", False, "1:1. Numbered ends.|0:2) Not ended"),
+        (0, "Intro line\n• first item\ncontinues here\n• second item\nNew paragraph"), (1, "•\nmarked alone\nplain"), (2, "lead • one • two"), (3, "– dash item\n-5 degrees"),
+        (4, "n Item by dingbat"), (5, "n not an item"), (6, "1. Numbered ends.\n2) Not ended"), (7, "small\nletters\nalone"), (8, "• ▪\n•x"), (9, ""),
     ],
 )
+#: What stands before a document's lines, in turn; those that get none go on in lower case every other time.
+_LEADS = ["", "• ", "", "– ", "", "◦\n", "", "3. ", "", "n ", "- "]
+BOX_ROWS = f"""drawn as (
+    select doc_id + 100 as box_no, {K.literal(_LEADS)}[line_no % {len(_LEADS)} + 1] || case when line_no % 4 = 0 then lower(line) when line_no % 9 = 2 then replace(line, '. ', '. • ') else line end as line, line_no
+    from (select doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line_no, unnest(string_split(text, chr(10))) as line from documents)
+), boxes as (select box_no, text from {BULLETED.sql} union all select box_no, string_agg(line, chr(10) order by line_no) from drawn group by box_no)"""
+
+
+def box_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    line = F.when(F.col("line_no") % 4 == 0, F.lower("line")).when(F.col("line_no") % 9 == 2, F.replace("line", F.lit(". "), F.lit(". • "))).otherwise(F.col("line"))
+    led = F.concat(F.element_at(F.array(*map(F.lit, _LEADS)), (F.col("line_no") % len(_LEADS) + 1).cast("int")), line)
+    drawn = lines.groupBy((F.col("doc_id") + 100).alias("box_no")).agg(F.array_sort(F.collect_list(F.struct("line_no", led.alias("line")))).alias("held"))
+    return BULLETED.df(spark).unionByName(drawn.select("box_no", F.array_join(F.transform("held", lambda h: h["line"]), "\n").alias("text")))
+
+
+PIECED = rf"""
+with {BOX_ROWS}, rows_ as (
+    select box_no, i, x from (select box_no, generate_subscripts(ls, 1) as i, unnest(ls) as x from (select box_no, list_filter(list_transform(string_split(text, chr(10)), lambda l: {K.strip_sql('l')}), lambda l: l <> '') as ls from boxes))
+), marked as (
+    select *, regexp_full_match(x, '{_BULLETS}+') as mark, coalesce(lag(regexp_full_match(x, '{_BULLETS}+')) over (partition by box_no order by i), false) as pending from rows_
+), bullets as (
+    select *, case when pending then x when regexp_matches(x, '^{_BULLETS}') then nullif(trim(substr(x, 2), ' ' || chr(9) || '-–—'), '') when regexp_matches(x, '^[-–—]\s+\S') and not regexp_matches(x, '^-\d') then regexp_replace(x, '^[-–—]\s+', '')
+        when box_no % 2 = 0 and regexp_matches(x, '^n\s+[A-Z“"(]') then regexp_replace(x, '^n\s+', '') when regexp_matches(x, '^\d{{1,2}}[.)]\s+\S.*$') and ends_with(x, '.') then x end as found from marked where not mark
+), hard as (
+    select *, case when found is not null then true when regexp_matches(x, '^[A-Z0-9“"]') then false end as opens from bullets
+), after as (
+    select *, last_value(opens ignore nulls) over w as item, count(opens) over w as run from hard window w as (partition by box_no order by i)
+), grouped_ as (
+    select box_no, case when coalesce(item, false) then run else -i end as grp, min(i) as at_, coalesce(any_value(item), false) as item, string_agg(coalesce(found, x), ' ' order by i) as text from after group by box_no, grp
+), cut as (
+    select *, list_filter(list_transform(string_split(regexp_replace(text, '\s*{_BULLETS}\s+', chr(1), 'g'), chr(1)), lambda p: {K.strip_sql('p')}), lambda p: p <> '') as parts from grouped_
+), pieces as (
+    select box_no, at_, unnest(case when len(parts) > 1 then range(1, len(parts) + 1) else [1] end) as k, item, text, parts from cut
+)
+select box_no, string_agg(case when len(parts) > 1 then case when k > 1 then '1:' else '0:' end || parts[k] when item then '1:' || text else '0:' || text end, '|' order by at_, k) as pieces from pieces group by box_no
+"""
 
 
-@query(f"select i, pieces from {BULLETED.sql}")
+@query(PIECED)
 def bullet_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The SQL states the expected pieces of a truth table."""
+    """Pieces of boxes made of documents whose lines bear bullets, dashes and numbers in turn; boxes without text have none."""
     lines = F.filter(F.transform(F.split("text", "\n"), T.strip), lambda x: x != "")
-    found = L.bullet_pieces(lines, F.col("dingbat"))
-    return BULLETED.df(spark).select("i", F.array_join(F.transform(found, lambda p: F.concat(p["item"].cast("int").cast("string"), F.lit(":"), p["text"])), "|").alias("pieces"))
+    found = L.bullet_pieces(lines, F.col("box_no") % 2 == 0)
+    joined = F.array_join(F.transform(found, lambda p: F.concat(p["item"].cast("int").cast("string"), F.lit(":"), p["text"])), "|")
+    return box_rows(spark, sf_dir).where(F.size(lines) > 0).select("box_no", joined.alias("pieces")).where("pieces <> ''")
 
 
 MARGIN = K.Fixture(
-    "text string, y0 double, y1 double, size double, repeated boolean, furniture boolean",
-    [("12", 300.0, 310.0, 10.0, False, True), ("https://x", 300.0, 310.0, 10.0, False, True), ("Body text that is fine", 300.0, 310.0, 10.0, True, False), ("Running head", 10.0, 20.0, 20.0, True, True), ("Running head", 10.0, 20.0, 20.0, False, False), ("Small foot", 800.0, 810.0, 9.0, False, True), ("", 300.0, 310.0, 10.0, False, True), ("a b c d e f g h", 300.0, 310.0, 10.0, False, True)],
+    "text string, y0 double, y1 double, size double, repeated boolean",
+    [("12", 300.0, 310.0, 10.0, False), ("https://x", 300.0, 310.0, 10.0, False), ("Body text that is fine", 300.0, 310.0, 10.0, True), ("Running head", 10.0, 20.0, 20.0, True), ("Running head", 10.0, 20.0, 20.0, False), ("Small foot", 800.0, 810.0, 9.0, False), ("", 300.0, 310.0, 10.0, False), ("a b c d e f g h", 300.0, 310.0, 10.0, False)],
 )
 
 
-@query(f"select text, repeated, furniture from {MARGIN.sql}")
+@query(f"""
+with {PIECE_ROWS}, placed as (
+    select * from {MARGIN.sql} union all select text, (abs(doc_id * 7 + line_no) % 41 * 21)::double, (abs(doc_id * 7 + line_no) % 41 * 21)::double + 9, size, bold from pieces where doc_id >= 0
+)
+select text, y0, size, repeated, text = '' or regexp_full_match(text, '\\d{{1,3}}') or regexp_matches(text, '^https?://') or ({spaced_sql('text')} and {K.words_sql('text')} >= 4) or ((y1 < 34 or y0 > 764) and (repeated or (length(text) < 80 and size <= 10.4::double))) as furniture from placed
+""")
 def furniture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The SQL states the expected verdicts of a truth table."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    y0 = (F.abs(F.col("doc_id") * 7 + F.col("line_no")) % 41 * 21).cast("double")
+    text = F.when(F.col("line_no") % 3 == 0, F.left("line", F.lit(60))).when(F.col("line_no") % 3 == 1, F.col("line")).otherwise(F.left("line", F.lit(20)))
+    turn = F.col("doc_id") + F.col("line_no")
+    drawn = lines.select(T.normalize(text).alias("text"), y0.alias("y0"), (y0 + 9).alias("y1"), F.element_at(F.array(*map(F.lit, _SIZES)), (turn % len(_SIZES) + 1).cast("int")).alias("size"), (turn % 2 == 0).alias("repeated"))
     got = L.is_furniture(F.col("text"), F.col("y0"), F.col("y1"), F.col("size"), F.lit(842.0), F.col("repeated"), F.lit(10.0))
-    return MARGIN.df(spark).select("text", "repeated", got.alias("furniture"))
+    return MARGIN.df(spark).unionByName(drawn).select("text", "y0", "size", "repeated", got.alias("furniture"))
 
 
 GRIDS = K.Fixture(
-    "table_no int, cells array<array<string>>, kept boolean, caption string, n_rows int, panel boolean",
+    "table_no int, cells array<array<string>>",
     [
-        (0, [["Chill times", ""], ["Food", "Fridge", ""], ["Ham", "3 days", ""], ["Beef", "", ""], ["Eggs", "3 weeks", ""]], True, "Chill times", 2, False),
-        (1, [["A", "B"], ["1", "2"]], False, None, None, None), (2, [["A", ""], ["1", ""], ["2", ""]], False, None, None, None), (3, [["Per 100 g", "kcal"], ["Saturates", "3"], ["Fat", "4"]], True, "", 2, True), (4, [["A", "B"], ["x" * 200, "y" * 200], ["x" * 200, "z"]], False, None, None, None),
+        (0, [["Chill times", ""], ["Food", "Fridge", ""], ["Ham", "3 days", ""], ["Beef", "", ""], ["Eggs", "3 weeks", ""]]), (1, [["A", "B"], ["1", "2"]]), (2, [["A", ""], ["1", ""], ["2", ""]]), (3, [["Per 100 g", "kcal"], ["Saturates", "3"], ["Fat", "4"]]),
+        (4, [["A", "B"], ["x" * 200, "y" * 200], ["x" * 200, "z"]]), (5, [["A", "B", ""], ["c", "d", "cut off"], ["", "e"], ["f"], ["g", "h"]]),
     ],
 )
+GRID_ROWS = f"""grids as (
+    select table_no, cells from {GRIDS.sql} union all
+    select (1000 + doc_id * 100 + line_no // 5)::integer, list(list_transform(string_split(line, ' '), lambda c: case when length(c) % 4 = 0 then '' else c end)[1 : (3 + (doc_id + line_no) % 4)::integer] order by line_no)
+    from (select doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line_no, unnest(string_split(text, chr(10))) as line from documents) group by doc_id, line_no // 5
+)"""
 
 
-@query(f"select table_no, caption, n_rows, panel from {GRIDS.sql} where kept")
+@query(f"""
+with {GRID_ROWS}, clean as (
+    select table_no, list_filter(list_transform(cells, lambda r: list_transform(r, lambda c: {K.normalize_sql('c')})), lambda r: len(list_filter(r, lambda c: c <> '')) > 0) as rows_ from grids
+), headed as (
+    select *, list_position(list_transform(rows_, lambda r: len(list_filter(r, lambda c: c <> '')) >= 2), true) as at_ from clean where len(rows_) >= 3
+), named as (
+    select *, rows_[at_][1 : list_max(list_transform(rows_[at_], lambda c, i: case when c <> '' then i else 0 end))] as header from headed where at_ > 0
+), below as (
+    select table_no, header, list_filter(list_transform(rows_[at_ + 1 :], lambda r: list_transform(range(1, len(header) + 1), lambda i: coalesce(r[i], ''))), lambda r: len(list_filter(r, lambda c: c <> '')) >= 2) as data,
+        {K.normalize_sql("array_to_string(list_filter(flatten(rows_[1 : at_ - 1]), lambda c: c <> ''), ' ')")} as caption from named where len(header) >= 2 and len(list_filter(header, lambda c: length(c) > 80)) = 0
+), lengths as (
+    select *, list_sort(list_transform(list_filter(flatten(data), lambda c: c <> ''), lambda c: length(c))) as ls, lower(array_to_string(header, ' ') || ' ' || array_to_string(flatten(data), ' ')) as blob from below where len(data) >= 2
+)
+select table_no, caption, len(data)::integer as n_rows, array_to_string(header, '|') as header, contains(blob, 'saturates') and contains(blob, 'kcal') and len(data) <= 8 as panel from lengths
+where ls[len(ls) // 2 + 1] <= 80 and not {spaced_sql("array_to_string(header, ' ')")} and not {spaced_sql("array_to_string(data[1], ' ')")}
+""")
 def accepted_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The SQL states the expected tables of a truth table."""
-    rows = _doc(GRIDS.df(spark)).select("document_id", F.lit(0).alias("page"), "table_no", F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(9.0).alias("x1"), F.lit(9.0).alias("y1"), "cells")
-    sheets = spark.createDataFrame([("d", 0, 600.0, 842.0)], "document_id string, page int, width double, height double")
-    return L.accepted_tables(rows, sheets).select("table_no", "caption", F.size("rows").alias("n_rows"), L.is_nutrition_panel(F.col("header"), F.col("rows")).alias("panel"))
+    """Grids made of five lines of a document each, some cells emptied; rows have three to six cells."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    cells = F.transform(F.split("line", " ", -1), lambda c: F.when(F.length(c) % 4 == 0, F.lit("")).otherwise(c))
+    drawn = lines.select(F.expr("cast(1000 + doc_id * 100 + line_no div 5 as int)").alias("table_no"), F.expr("doc_id * 1000000 + line_no div 5").alias("own"), "line_no", F.slice(cells, F.lit(1), (3 + (F.col("doc_id") + F.col("line_no")) % 4).cast("int")).alias("row"))
+    drawn = drawn.groupBy("own", "table_no").agg(F.array_sort(F.collect_list(F.struct("line_no", "row"))).alias("held")).select("table_no", F.transform("held", lambda h: h["row"]).alias("cells"))
+    rows = _doc(GRIDS.df(spark).unionByName(drawn)).select("document_id", F.lit(0).alias("page"), "table_no", F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(9.0).alias("x1"), F.lit(9.0).alias("y1"), "cells")
+    sheet = spark.createDataFrame([("d", 0, 600.0, 842.0)], "document_id string, page int, width double, height double")
+    return L.accepted_tables(rows, sheet).select("table_no", "caption", F.size("rows").alias("n_rows"), F.array_join("header", "|").alias("header"), L.is_nutrition_panel(F.col("header"), F.col("rows")).alias("panel"))
+
+
+# The whole way of a page: blocks, passages, vectors, store.
+@query(f"""
+with recursive {ARTICLE_BLOCKS}, lines as (select page_id as doc_id, block_no as line_no, text as line from placed_blocks where type = 'paragraph'), {PACKS}
+select n.doc_id::varchar || ':' || ordinal::varchar as chunk_id, n.doc_id::varchar as document_id, sha256(n.text) as text_sha256, array_to_string(heading_path, ' > ') as section_heading, 1.0::double as norm
+from numbered n join (select distinct page_id, heading_path from placed_blocks where type = 'paragraph') p on p.page_id = n.doc_id where n.doc_id not in (select doc_id from uncut)
+""")
+def published_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages to blocks to passages to vectors, checked and published to a store of their own, and read back from it.
+
+    A page with a long paragraph that has no sentence to cut it at stops a build, so such pages are not in the registry."""
+    from passagework.functions.vectors import l2_norm
+    from passagework.operators import chunking
+    from passagework.operators.embedding import HashingEmbedder
+    from passagework.plans import build_index
+
+    rows = pages(spark, sf_dir)
+    blocks = H.html_blocks(rows)
+    whole = blocks.join(chunking.pieces(blocks).where("error is not null").select("document_id").distinct(), "document_id", "left_anti")
+    held = rows.join(whole.where("type <> 'heading'").select("document_id").distinct(), "document_id", "left_semi")
+    reg = held.select(F.col("document_id").cast("int").alias("ordinal"), "document_id", "document_name", F.lit("p").alias("publisher"), F.lit(2024).alias("year"), F.col("base_url").alias("source_url"))
+    dates = held.select("document_id", F.lit("2024-01-01").alias("retrieval_date"))
+    path = K.folder(spark, "index")
+    build_index.publish(whole, reg, dates, HashingEmbedder(64), path)
+    return stores.open_index(spark, path).select("chunk_id", F.col("document_id").cast("string").alias("document_id"), F.sha2("text", 256).alias("text_sha256"), "section_heading", F.round(l2_norm(F.col("embedding")), 6).alias("norm"))
+
+
+def written_pdf(text: str, width: int = 14, deep: int = 40) -> bytes:
+    """A plain PDF of a text's words: so many to a line, so many lines to a page, contents compressed."""
+    import zlib
+
+    words = text.split()
+    lines = [" ".join(words[i : i + width]) for i in range(0, len(words), width)] or [""]
+    escaped = lambda x: x.replace("\\", "\\\\").replace("(", "\\(").replace(")", "\\)").encode("cp1252", "replace")
+    leaves = [lines[i : i + deep] for i in range(0, len(lines), deep)]
+    objects = [b"<</Type/Catalog/Pages 2 0 R>>", b"<</Type/Pages/Count %d/Kids[%s]>>" % (len(leaves), b" ".join(b"%d 0 R" % (4 + 2 * i) for i in range(len(leaves)))), b"<</Type/Font/Subtype/Type1/BaseFont/Helvetica/Encoding/WinAnsiEncoding>>"]
+    for i, leaf in enumerate(leaves):
+        body = zlib.compress(b"BT /F1 10 Tf 14 TL 50 800 Td " + b" ".join(b"(%s) Tj T*" % escaped(x) for x in leaf) + b" ET")
+        objects += [b"<</Type/Page/Parent 2 0 R/MediaBox[0 0 2000 842]/Resources<</Font<</F1 3 0 R>>>>/Contents %d 0 R>>" % (5 + 2 * i), b"<</Length %d/Filter/FlateDecode>>stream\n%s\nendstream" % (len(body), body)]
+    return b"%PDF-1.4\n" + b"\n".join(b"%d 0 obj\n%s\nendobj" % (i + 1, x) for i, x in enumerate(objects)) + b"\ntrailer<</Root 1 0 R>>\n%%EOF"
+
+
+@query("""
+with plain as (select doc_id, trim(regexp_replace(regexp_replace(text, '[^\\x21-\\x7E\\xA1-\\xFF]+', ' ', 'g'), ' +', ' ', 'g'), ' ') as text from documents)
+select doc_id, greatest(1, ceil(ceil(len(string_split(text, ' ')) / 14.0) / 40.0))::integer as n_pages, sha256(text) as text_sha256 from plain where text <> ''
+""")
+def pdf_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as PDF files and read back: pages, and the words of all lines in order."""
+    from pyspark.sql.functions import pandas_udf
+
+    plain = F.trim(F.regexp_replace("text", r"[^\x21-\x7E\xA1-\xFF]+", " "))
+    docs = table(spark, sf_dir, "documents").select("doc_id", plain.alias("text")).where("text <> ''")
+    write = pandas_udf(lambda texts: texts.map(written_pdf), "binary")
+    parts = pdf.decoded(docs.select(F.col("doc_id").cast("string").alias("document_id"), write("text").alias("content")))
+    pages_ = parts["pages"].groupBy("document_id").agg(F.count(F.lit(1)).cast("int").alias("n_pages"))
+    text = parts["spans"].groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("page", "line_no", "text"))).alias("held"))
+    joined = F.array_join(F.transform("held", lambda h: h["text"]), " ")
+    return pages_.join(text, "document_id").select(F.col("document_id").cast("bigint").alias("doc_id"), "n_pages", F.sha2(joined, 256).alias("text_sha256"))
+
+
+@query("select doc_id::varchar || ':' || doc_id::varchar as chunk_id, source as document_id, doc_id::integer as ordinal, sha256(text) as text_sha256 from documents where text <> ''")
+def chunks_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as passages, written as JSON lines and read back under the schema."""
+    path = K.folder(spark, "chunks")
+    docs = table(spark, sf_dir, "documents").where("text <> ''")
+    fixed = {c: F.lit("x").alias(c) for c in ("document_name", "publisher", "source_url", "retrieval_date", "section_heading", "embed_text")}
+    chunks = docs.select(F.concat_ws(":", "doc_id", "doc_id").alias("chunk_id"), F.col("source").alias("document_id"), *fixed.values(), F.lit(2024).alias("year"), F.lit("paragraph").alias("block_type"), "text", F.col("doc_id").cast("int").alias("ordinal"))
+    stores.write_chunks(chunks, path)
+    return stores.read_chunks(spark, path).select("chunk_id", "document_id", "ordinal", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query("select page_id::integer as ordinal, page_id::varchar as document_id, 'page ' || page_id as document_name, 'html' as kind, 'f' || page_id as file from pages")
+def scan_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registry of all pages against a manifest that was written as one JSON object and read back."""
+    rows = pages(spark, sf_dir).select(F.col("document_id").cast("int").alias("ordinal"), "document_id", "document_name", F.lit("p").alias("publisher"), F.lit(2024).alias("year"), F.col("base_url").alias("source_url"), F.lit("html").alias("kind"))
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("downloaded_url", "string"), ("retrieval_date", "string"), ("sha256", "string"), ("http_status", "int"), ("content_type", "string"))]
+    manifest = rows.select("ordinal", "document_id", "document_name", "publisher", "year", "source_url", *none, F.lit("ok").alias("status"), F.concat(F.lit("f"), "document_id").alias("file"), F.lit(None).cast("string").alias("error"))
+    path = K.folder(spark, "manifest")
+    stores.write_manifest(manifest, path)
+    return stores.scan_corpus(rows, stores.read_manifest(spark, path))
 
 
 @query("""

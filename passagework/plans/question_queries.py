@@ -14,7 +14,7 @@ from passagework.operators import guard, indexing, responses, retrieval
 from passagework.plans import answer
 from passagework.plans import catalogue as K
 from passagework.plans.catalogue import query, table
-from passagework.registry import REGISTRY, TOPIC_ALIASES, registry
+from passagework.registry import REGISTRY, REQUIRED_ALIASES, TOPIC_ALIASES, registry
 from passagework.sources import stores
 
 #: Vectors here are dissimilar (the best reach 0.3 to 0.5), so the threshold of these queries is lower than the engine's.
@@ -22,21 +22,21 @@ CONFIG = EngineConfig(min_similarity=0.25, dimension=64)
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All vectors but the first ten as an index; their label is their document."""
-    rows = table(spark, sf_dir, "embeddings").where("vec_id >= 10")
+    """All vectors as an index; their label is their document."""
+    rows = table(spark, sf_dir, "embeddings")
     return rows.select(F.concat_ws(":", "label", "vec_id").alias("chunk_id"), F.col("label").cast("string").alias("document_id"), F.col("label").alias("ordinal"), "embedding")
 
 
 def asked(spark: SparkSession, sf_dir: str, scoped: bool = False) -> DataFrame:
-    """The first ten vectors as questions, each scoped to its own label or to none."""
-    rows = table(spark, sf_dir, "embeddings").where("vec_id < 10")
+    """The vectors whose id is divisible by 100 as questions, each scoped to its own label or to none."""
+    rows = table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0")
     return rows.select(F.col("vec_id").alias("query_id"), (F.col("label").cast("string") if scoped else F.lit(None).cast("string")).alias("scope_id"), "embedding")
 
 
 def knn_sql(scoped: bool, k: int) -> str:
     return f"""
-with idx as (select label::varchar || ':' || vec_id::varchar as chunk_id, label::varchar as document_id, label as ordinal, embedding::double[] as e from embeddings where vec_id >= 10),
-q as (select vec_id as query_id, label::varchar as own, embedding::double[] as e from embeddings where vec_id < 10),
+with idx as (select label::varchar || ':' || vec_id::varchar as chunk_id, label::varchar as document_id, label as ordinal, embedding::double[] as e from embeddings),
+q as (select vec_id as query_id, label::varchar as own, embedding::double[] as e from embeddings where vec_id % 100 = 0),
 scored as (
     select query_id, chunk_id, document_id, ordinal, list_dot_product(q.e, idx.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(idx.e, idx.e))) as sim
     from q join idx on {"idx.document_id = q.own" if scoped else "true"}
@@ -199,27 +199,29 @@ def question_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def with_next(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document's first line as a claim, beside the next document's text as its support."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.substring_index("text", "\n", 1).alias("claim"), "text")
-    return docs.join(docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("support")), "doc_id")
+    """Each line of a document as a claim, beside the next document's text as its support, and that text's content words."""
+    docs = table(spark, sf_dir, "documents")
+    support = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("support"), C.content_words(F.col("text")).alias("words"))
+    return docs.select("doc_id", "text").join(support, "doc_id").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "claim"), "support", "words")
 
 
-NEXT = "pairs as (select a.doc_id, string_split(a.text, chr(10))[1] as claim, b.text as support from documents a join documents b on b.doc_id = a.doc_id + 1)"
+NEXT = """texts as (select a.doc_id, string_split(a.text, chr(10)) as claims, b.text as support from documents a join documents b on b.doc_id = a.doc_id + 1),
+pairs as (select doc_id, generate_subscripts(claims, 1) - 1 as line_no, unnest(claims) as claim, support from texts)"""
 
 
 @query(f"""
-with {NEXT} select doc_id, len(list_filter(regexp_extract_all(claim, '\\d+(?:\\.\\d+)?'), lambda n: not regexp_matches(support, '(^|[^0-9])' || replace(n, '.', '\\.') || '([^0-9]|$)'))) = 0 as supported from pairs
+with {NEXT} select doc_id, line_no, len(list_filter(regexp_extract_all(claim, '\\d+(?:\\.\\d+)?'), lambda n: not regexp_matches(support, '(^|[^0-9])' || replace(n, '.', '\\.') || '([^0-9]|$)'))) = 0 as supported from pairs
 """)
 def number_support(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_next(spark, sf_dir).select("doc_id", C.numbers_supported(F.col("claim"), F.col("support")).alias("supported"))
+    return with_next(spark, sf_dir).select("doc_id", "line_no", C.numbers_supported(F.col("claim"), F.col("support")).alias("supported"))
 
 
 @query(f"""
-with {NEXT}, w as (select doc_id, {K.content_sql('claim')} as c, {K.content_sql('support')} as s from pairs)
-select doc_id, round(case when len(c) = 0 then 1.0::double else len(list_filter(c, lambda x: list_contains(s, x)))::double / len(c) end, 6) as overlap from w
+with {NEXT}, known as (select doc_id, any_value({K.content_sql('support')}) as s from texts group by doc_id), w as (select doc_id, line_no, {K.content_sql('claim')} as c, s from pairs join known using (doc_id))
+select doc_id, line_no, round(case when len(c) = 0 then 1.0::double else len(list_intersect(c, s))::double / len(c) end, 6) as overlap from w
 """)
 def term_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_next(spark, sf_dir).select("doc_id", F.round(C.term_overlap(F.col("claim"), F.col("support")), 6).alias("overlap"))
+    return with_next(spark, sf_dir).select("doc_id", "line_no", F.round(C.overlap(C.content_words(F.col("claim")), F.col("words")), 6).alias("overlap"))
 
 
 # Hits of two questions, and drafts that reach every drop reason.
@@ -316,7 +318,7 @@ def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 RAW = K.Fixture(
-    "i int, raw string, error string",
+    "i int, raw string, says string",
     [
         (0, '{"documents": [{"document_id": "a", "claims": [{"text": "t", "chunk_ids": ["a:1", "2"], "extra": 1}]}], "more": {}}', None),
         (1, "Here is the answer", "model output is not JSON"),
@@ -335,10 +337,39 @@ RAW = K.Fixture(
 )
 
 
-@query(f"select i, error from {RAW.sql}")
+#: Drafts made of conversations: whole, and with one part of another type.
+SHAPES = [
+    '{"documents": [{"document_id": "D", "claims": [{"text": "T", "chunk_ids": ["D:1", "2"]}]}]}',
+    '{"documents": [{"document_id": "D", "claims": [{"text": "T", "chunk_ids": ["D:1", 2]}]}]}',
+    '{"documents": [{"document_id": "D", "claims": [{"text": 7, "chunk_ids": []}]}]}',
+    '{"documents": [{"document_id": "D", "claims": [{"text": "T"}]}, 5]}',
+    '{"documents": [{"document_id": "D", "claims": ["T"]}]}',
+    '{"documents": [{"document_id": null, "claims": []}]}',
+    '{"documents": {"document_id": "D"}}',
+    '{"documents": [{"document_id": "D", "claims": []}',
+    '["D", "T"]',
+    '"T"',
+]
+DRAWN = f"(select i, raw from {RAW.sql} union all select (1000 + conv_id * 100 + turn)::integer, replace(replace({K.literal(SHAPES)}[conv_id % {len(SHAPES)} + 1], 'D', 'doc' || conv_id), 'T', 'turn ' || turn) from conversations)"
+
+
+@query(f"""
+with r as (select i, raw, case when json_valid(raw) and not regexp_matches(raw, ',\\s*[]}}]') then raw end as j from {DRAWN} as d),
+e as (select *, json_type(j) as kind, json_type(j, '$.documents') as held, json_extract(j, '$.documents[*]') as entries from r),
+c as (select *, flatten(list_transform(entries, lambda x: case when json_type(x, '$.claims') = 'ARRAY' then json_extract(x, '$.claims[*]') else [] end)) as claims from e),
+n as (select *, flatten(list_transform(claims, lambda x: case when json_type(x, '$.chunk_ids') = 'ARRAY' then json_extract(x, '$.chunk_ids[*]') else [] end)) as ids from c)
+select i, case when j is null then 'model output is not JSON' when kind <> 'OBJECT' then 'model output is not a JSON object' when held is distinct from 'ARRAY' then 'model output has no documents array'
+    when len(list_filter(entries, lambda x: json_type(x) <> 'OBJECT')) > 0 then 'document entry is not an object'
+    when len(list_filter(entries, lambda x: json_type(x, '$.document_id') is distinct from 'VARCHAR' or json_type(x, '$.claims') is distinct from 'ARRAY')) > 0 then 'document entry is missing document_id or claims'
+    when len(list_filter(claims, lambda x: json_type(x) <> 'OBJECT')) > 0 then 'claim is not an object'
+    when len(list_filter(claims, lambda x: json_type(x, '$.text') is distinct from 'VARCHAR' or json_type(x, '$.chunk_ids') is distinct from 'ARRAY')) > 0 then 'claim is missing text or chunk_ids'
+    when len(list_filter(ids, lambda x: json_type(x) <> 'VARCHAR')) > 0 then 'chunk_ids must be strings' end as error from n
+""")
 def parse_draft(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The SQL states the expected errors: no SQL dialect here refuses what a strict JSON parser refuses."""
-    return RAW.df(spark).select("i", C.parse_draft(F.col("raw"))["error"].alias("error"))
+    shape = F.element_at(F.array(*map(F.lit, SHAPES)), (F.col("conv_id") % len(SHAPES) + 1).cast("int"))
+    raw = F.replace(F.replace(shape, F.lit("D"), F.concat(F.lit("doc"), "conv_id")), F.lit("T"), F.concat(F.lit("turn "), "turn"))
+    drawn = table(spark, sf_dir, "conversations").select((1000 + F.col("conv_id") * 100 + F.col("turn")).cast("int").alias("i"), raw.alias("raw"))
+    return RAW.df(spark).select("i", "raw").union(drawn).select("i", C.parse_draft(F.col("raw"))["error"].alias("error"))
 
 
 @query(f"""
@@ -385,7 +416,26 @@ def registry_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry(spark).select("ordinal", "document_id", "document_name", "publisher", "year", "source_url", "kind")
 
 
-@query("select * from (values ('kind', 'eatwell-guide'), ('shared alias', 'five keys'), ('landing_page', 'fsa-chill'), ('source_url', 'http://other'), ('source_url', 'https://www.fsis.usda.gov/sites/default/files/media_file/2020-12/Kitchen-Companion.pdf'), ('missing alias', 'kitchen companion')) as v(rule, subject)")
+ALIASES_SQL = "(select * from (values " + ", ".join(f"({K.literal(d.document_id)}, {K.literal(list(d.aliases))}, {K.literal(d.landing_page)})" for d in REGISTRY) + ") as v(document_id, aliases, landing_page))"
+
+
+@query(f"""
+with sound as (select * from {REGISTRY_SQL} r join {ALIASES_SQL} a using (document_id)),
+reg as (
+    select document_id, document_name, publisher, year, case when document_id = 'kitchen-companion' then 'http://other' else source_url end as source_url, case when document_id = 'eatwell-guide' then 'html' else kind end as kind,
+        case when document_id = 'kitchen-companion' then ['FIVE keys'] else aliases end as aliases, landing_page or document_id = 'fsa-chill' as landing_page from sound
+), named as (select document_id, lower(unnest(aliases)) as alias from reg)
+select 'size' as rule, count(*)::varchar as subject from reg having count(*) <> 7
+union all select 'missing field', document_id from reg where coalesce(document_id, '') = '' or coalesce(document_name, '') = '' or coalesce(publisher, '') = '' or year is null or coalesce(source_url, '') = ''
+union all select 'duplicate document_id', document_id from reg group by document_id having count(*) > 1
+union all select 'kind', r.document_id from reg r join sound s using (document_id) where r.kind <> s.kind
+union all select 'landing_page', r.document_id from reg r join sound s using (document_id) where r.landing_page <> s.landing_page
+union all select 'shared alias', alias from named group by alias having count(*) > 1
+union all (select 'unexpected document_id', document_id from reg except select 'unexpected document_id', document_id from sound)
+union all (select 'source_url', source_url from reg except select 'source_url', source_url from sound)
+union all (select 'source_url', source_url from sound except select 'source_url', source_url from reg)
+union all select 'missing alias', a from (select unnest({K.literal(list(REQUIRED_ALIASES))}) as a) where a not in (select alias from named)
+""")
 def registry_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     from passagework import registry as R
 
@@ -397,23 +447,28 @@ def registry_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """answer_batch over the first ten vectors as questions, with drafts that quote, misquote, fail or break."""
+    """answer_batch over the vectors whose id is divisible by 100 as questions, with drafts that quote, misquote, fail or break.
+
+    What happens to a question goes by its turn among ten: 0 is refused, 1 names a document, 2 needs a second call, 3 gets
+    none, 4 misquotes a number, 5 never parses; all others quote their first hit."""
     labels = 7
     rows = table(spark, sf_dir, "embeddings")
     reg = registry(spark)
     ids = F.array(*[F.lit(d.document_id) for d in REGISTRY])
-    index = rows.where("vec_id >= 10").withColumn("ordinal", F.col("label") % labels).withColumn("document_id", F.element_at(ids, (F.col("label") % labels + 1).cast("int")))
+    index = rows.withColumn("ordinal", F.col("label") % labels).withColumn("document_id", F.element_at(ids, (F.col("label") % labels + 1).cast("int")))
     index = index.join(F.broadcast(reg.drop("ordinal", "kind", "aliases", "landing_page")), "document_id").select(
         F.concat_ws(":", "document_id", "vec_id").alias("chunk_id"), "document_id", "document_name", "publisher", "year", "source_url", F.lit("2024-01-01").alias("retrieval_date"), F.lit("Head").alias("section_heading"), F.lit("paragraph").alias("block_type"),
         F.concat(F.lit("Vector number "), "vec_id", F.lit(" keeps well.")).alias("text"), "ordinal", "embedding",
     )
-    questions = rows.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.when(F.col("vec_id") == 0, "What is my ideal weight?").when(F.col("vec_id") == 1, "Kitchen Companion: vectors?").otherwise("Which vectors keep well?").alias("message"), F.lit(None).cast("string").alias("document_id"), "embedding")
+    turn = lambda c: F.expr(f"{c} div 100 % 10")
+    message = F.when(turn("vec_id") == 0, "What is my ideal weight?").when(turn("vec_id") == 1, "Kitchen Companion: vectors?").otherwise("Which vectors keep well?")
+    questions = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), message.alias("message"), F.lit(None).cast("string").alias("document_id"), "embedding")
 
     def generator(asked_: DataFrame) -> DataFrame:
         first = F.regexp_extract("prompt", r"\[([^\]\n]+)\]", 1)
         number = F.regexp_extract("prompt", r"Vector number (\d+)", 1)
-        ok = F.to_json(F.struct(F.array(F.struct(F.regexp_extract(first, "^(.*):", 1).alias("document_id"), F.array(F.struct(F.concat(F.lit("Vector number "), F.when(F.col("query_id") == 5, "999999").otherwise(number), F.lit(" keeps well.")).alias("text"), F.array(first).alias("chunk_ids"))).alias("claims"))).alias("documents")))
-        raw = F.when(F.col("query_id") == 3, F.lit(None).cast("string")).when(F.col("query_id") == 4, "prose").when((F.col("query_id") == 6) & (F.col("attempt") == 1), "prose").otherwise(ok)
+        ok = F.to_json(F.struct(F.array(F.struct(F.regexp_extract(first, "^(.*):", 1).alias("document_id"), F.array(F.struct(F.concat(F.lit("Vector number "), F.when(turn("query_id") == 4, "999999").otherwise(number), F.lit(" keeps well.")).alias("text"), F.array(first).alias("chunk_ids"))).alias("claims"))).alias("documents")))
+        raw = F.when(turn("query_id") == 3, F.lit(None).cast("string")).when((turn("query_id") == 5) | (turn("query_id") == 2) & (F.col("attempt") == 1), "prose").otherwise(ok)
         return asked_.select("query_id", raw.alias("raw"))
 
     return answer.answer_batch(questions, index, reg, generator, CONFIG)
@@ -422,8 +477,8 @@ def batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 def batch_sql() -> str:
     ids = K.literal([d.document_id for d in REGISTRY])
     return f"""
-with idx as (select {ids}[label % 7 + 1] as document_id, label % 7 as ordinal, vec_id, embedding::double[] as e from embeddings where vec_id >= 10),
-q as (select vec_id as query_id, case when vec_id = 1 then 'kitchen-companion' end as scope_id, embedding::double[] as e from embeddings where vec_id < 10 and vec_id <> 0),
+with idx as (select {ids}[label % 7 + 1] as document_id, label % 7 as ordinal, vec_id, embedding::double[] as e from embeddings),
+q as (select vec_id as query_id, case when vec_id // 100 % 10 = 1 then 'kitchen-companion' end as scope_id, embedding::double[] as e from embeddings where vec_id % 100 = 0 and vec_id // 100 % 10 <> 0),
 scored as (
     select query_id, scope_id, document_id || ':' || idx.vec_id::varchar as chunk_id, document_id, ordinal, list_dot_product(q.e, idx.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(idx.e, idx.e))) as sim
     from q join idx on q.scope_id is null or q.scope_id = idx.document_id
@@ -434,13 +489,13 @@ scored as (
 ), hits as (
     select *, row_number() over (partition by query_id order by place) as rank from eligible where scope_id is not null or own_no <= 3
     qualify row_number() over (partition by query_id order by place) <= case when scope_id is null then 8 else 5 end
-), n as (select vec_id as query_id, (select count(*) from hits h where h.query_id = vec_id) as hit_count from embeddings where vec_id < 10),
+), n as (select vec_id as query_id, vec_id // 100 % 10 as turn, (select count(*) from hits h where h.query_id = vec_id) as hit_count from embeddings where vec_id % 100 = 0),
 kinds as (
-    select query_id, hit_count, case when query_id = 0 then 'out_of_scope' when hit_count = 0 then 'not_in_corpus' when query_id in (3, 4) then 'generation_unavailable' when query_id = 5 then 'not_in_corpus' else 'answer' end as type,
-        case when query_id = 0 then 'weight_target' when hit_count = 0 then 'no_supporting_chunks' when query_id in (3, 4) then 'model_error' when query_id = 5 then 'no_surviving_claims' end as reason from n
+    select query_id, turn, hit_count, case when turn = 0 then 'out_of_scope' when hit_count = 0 then 'not_in_corpus' when turn in (3, 5) then 'generation_unavailable' when turn = 4 then 'not_in_corpus' else 'answer' end as type,
+        case when turn = 0 then 'weight_target' when hit_count = 0 then 'no_supporting_chunks' when turn in (3, 5) then 'model_error' when turn = 4 then 'no_surviving_claims' end as reason from n
 )
-select query_id, type, reason, hit_count, case when query_id = 0 then 'none' when query_id = 1 then 'kitchen-companion' else 'all' end as document_scope,
-    case when query_id = 5 and hit_count > 0 then 'unsupported_number' else '' end as dropped_reasons,
+select query_id, type, reason, hit_count, case when turn = 0 then 'none' when turn = 1 then 'kitchen-companion' else 'all' end as document_scope,
+    case when turn = 4 and hit_count > 0 then 'unsupported_number' else '' end as dropped_reasons,
     case when type = 'answer' then (select arg_min(chunk_id, (ordinal, rank)) from hits h where h.query_id = kinds.query_id) end as cited
 from kinds
 """
@@ -454,8 +509,13 @@ def answer_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(batch_sql().rsplit("select query_id, type, reason, hit_count", 1)[0] + """
-select query_id, type as kind, case when type = 'answer' then 1 else 0 end as n_sections, case when type <> 'not_in_corpus' then 0 when query_id = 1 then 1 else 7 end as n_searched from kinds
+select query_id, type as kind, case when type = 'answer' then 1 else 0 end as n_sections, case when type <> 'not_in_corpus' then 0 when turn = 1 then 1 else 7 end as n_searched from kinds
 """)
 def presented(spark: SparkSession, sf_dir: str) -> DataFrame:
     views = responses.presented(batch(spark, sf_dir), registry(spark))
     return views.select("query_id", "kind", F.size("sections").alias("n_sections"), F.size("searched").alias("n_searched"))
+
+
+@query(f"select document_id, document_name, publisher, year from {REGISTRY_SQL}")
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return answer.documents(registry(spark))

@@ -49,8 +49,8 @@ def window_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indexing.window_check(rows, T.word_count(F.col("text")) + 2, 512)
 
 
-PACKED = f"""
-with recursive {LINES}, flat as (
+#: Packs of ``lines`` (doc_id, line_no, line), which stands before it as another table expression.
+PACKS = f"""flat as (
     select doc_id, line_no, {K.strip_sql('line')} as flat from lines
 ), kept as (
     select *, {K.words_sql('flat')} as n from flat where flat <> ''
@@ -87,6 +87,7 @@ with recursive {LINES}, flat as (
     select *, row_number() over (partition by doc_id order by block_no, pack) - 1 as ordinal from chunks
 )
 """
+PACKED = f"with recursive {LINES}, {PACKS}"
 
 
 @query(PACKED + "select doc_id::varchar as document_id, ordinal::integer as ordinal, doc_id::varchar || ':' || ordinal::varchar as chunk_id, sha256(text) as text_sha256 from numbered")
@@ -151,10 +152,10 @@ def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.sha2(T.normalize(F.col("text")), 256).alias("sha256"), T.word_count(F.col("text")).alias("n_words"))
 
 
-@query(f"select doc_id, {K.fold_sql('left(text, 200)')} as folded, case when length({K.collapse_sql('text')}) > 160 then left({K.collapse_sql('text')}, 157) || '...' else {K.collapse_sql('text')} end as preview from documents")
+@query(f"select doc_id, sha256({K.fold_sql('text')}) as folded_sha256, case when length({K.collapse_sql('text')}) > 160 then left({K.collapse_sql('text')}, 157) || '...' else {K.collapse_sql('text')} end as preview from documents")
 def fold_and_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", T.fold(F.left("text", F.lit(200))).alias("folded"), T.preview(F.col("text")).alias("preview"))
+    return docs.select("doc_id", F.sha2(T.fold(F.col("text")), 256).alias("folded_sha256"), T.preview(F.col("text")).alias("preview"))
 
 
 TEXTS = K.Fixture("i int, text string", [(0, "____ ____ name"), (1, "_"), (2, "a_b"), (3, "__ ab_"), (4, ""), (5, "ﬁne ﬂow co­op a‑b\t c d​e"), (6, "T h e q u i c k b r o w n"), (7, "a bc def gh ij kl mn op qr"), (8, "word " * 9), (9, "Healthy diet."), (10, "how to chill, freeze")])
@@ -261,8 +262,9 @@ def metadata_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
+with spans as (select doc_id // 4096 as span, sha256(string_agg(sha256(doc_id::varchar || text), '' order by doc_id)) as h from documents group by 1)
 select 'all' as model_name, max(len(list_filter(regexp_split_to_array(text, '[\\s\\x0b]+'), lambda w: w <> '')) + 2)::integer as max_tokens, count(*) as chunk_count,
-    sha256(string_agg(doc_id::varchar || text, '' order by doc_id)) as fingerprint from documents
+    (select sha256(string_agg(h, '' order by span)) from spans) as fingerprint from documents
 """)
 def index_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from passagework.config import EngineConfig

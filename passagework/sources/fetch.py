@@ -93,7 +93,7 @@ def merged_manifest(registry: DataFrame, previous: DataFrame, responses: DataFra
     """
     today = F.date_format(F.current_timestamp(), "yyyy-MM-dd") if today is None else today
     old = previous.select("document_id", *[F.col(c).alias(f"old_{c}") for c in ("downloaded_url", "retrieval_date", "sha256", "http_status", "content_type", "status", "file", "error", "stored")])
-    rows = registry.join(F.broadcast(responses), "document_id", "left").join(F.broadcast(old), "document_id", "left")
+    rows = registry.join(responses, "document_id", "left").join(old, "document_id", "left")
     problem = F.coalesce("error", F.when(F.col("http_status") >= 400, F.concat(F.lit("HTTP "), F.col("http_status").cast("string"))), body_problem(F.col("body"), F.col("kind")))
     rows = rows.withColumn("problem", problem).withColumn("new_sha", F.sha2("body", 256))
     failed = F.col("problem").isNotNull()
@@ -117,53 +117,49 @@ def merged_manifest(registry: DataFrame, previous: DataFrame, responses: DataFra
     )
 
 
-def fetch(documents: DataFrame, get: Callable[[str], tuple[bytes, int, str, str]]) -> DataFrame:
-    """(document_id, body, http_status, content_type, final_url, error) by ``get(url)`` in the tasks.
+_RESPONSE = "document_id string, body binary, http_status int, content_type string, final_url string, error string"
 
-    ``get`` returns body, status, content type and final URL; what it raises becomes the row's error.
-    A landing page is followed to its best English PDF; the cited URL stays the registry's.
-    """
-    from passagework.operators.html_blocks import tree
-
-    def follow(page: bytes, url: str) -> str:
-        from urllib.parse import urljoin
-
-        root = tree(page.decode("utf-8", "replace"))
-        html = root.first("html")
-        lang = html.attrs.get("lang", "").casefold() if html else ""
-        best: tuple[int, str] | None = None
-        for a in root.every("a"):
-            href, label = urljoin(url, a.attrs.get("href", "").strip()), " ".join(a.text().split()).casefold()
-            low = href.casefold()
-            if "href" not in a.attrs or href.startswith(("javascript:", "mailto:")) or any(x in label for x in NON_ENGLISH_LABELS) or any(x in low for x in NON_ENGLISH_CODES):
-                continue
-            if not (".pdf" in low or "bitstream" in low or label.startswith("download") or ("iris.who.int" in low and low.rstrip("/").endswith("/content"))):
-                continue
-            english = a.attrs.get("hreflang", "").casefold().startswith("en") or any(x in f"{label} {low}" for x in ("english", "-eng", "_eng", "eng.pdf"))
-            download = label.startswith("download")
-            score = (5 if english else 4 if lang.startswith("en") and download else 0) + 2 * download + ("bitstream" in low)
-            if best is None or score > best[0]:
-                best = (score, href)
-        if best is None:
-            raise FetchError(url, "no English PDF link on the publication page")
-        return best[1]
+
+def _got(documents: DataFrame, get: Callable[[str], tuple[bytes, int, str, str]]) -> DataFrame:
+    """One request for each (document_id, url), made in the tasks; what ``get`` raises becomes the row's error."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
-            for document_id, url, landing in zip(f["document_id"], f["source_url"], f["landing_page"]):
+            for document_id, url in zip(f["document_id"], f["url"]):
                 try:
                     body, status, kind, final = get(url)
-                    if landing and status < 400:
-                        body, status, kind, final = get(follow(body, final))
-                        if status < 400 and not body.lstrip().startswith(b"%PDF"):
-                            raise FetchError(url, "English PDF link did not return a PDF")
                     out.append((document_id, body, status, kind, final, f"HTTP {status}" if status >= 400 else None))
                 except Exception as e:  # noqa: BLE001  (any transport failure is a failed row)
                     out.append((document_id, None, None, None, None, str(e).strip() or type(e).__name__))
             yield pd.DataFrame(out, columns=["document_id", "body", "http_status", "content_type", "final_url", "error"])
 
-    return documents.select("document_id", "source_url", "landing_page").mapInPandas(run, "document_id string, body binary, http_status int, content_type string, final_url string, error string")
+    return documents.select("document_id", "url").mapInPandas(run, _RESPONSE)
+
+
+def fetch(documents: DataFrame, get: Callable[[str], tuple[bytes, int, str, str]]) -> DataFrame:
+    """(document_id, body, http_status, content_type, final_url, error) by ``get(url)`` in the tasks.
+
+    ``get`` returns body, status, content type and final URL; what it raises becomes the row's error.
+    A landing page is followed to its best English PDF (``best_links``); the cited URL stays
+    the registry's.  First answers are kept in memory, so that no page is asked for twice.
+    """
+    from passagework.operators.html_blocks import html_links
+
+    first = _got(documents.withColumn("url", F.col("source_url")), get).persist()
+    landing = documents.where("landing_page").select("document_id").join(first.where("error is null"), "document_id")
+    best = best_links(html_links(landing.select("document_id", F.col("final_url").alias("base_url"), F.make_valid_utf8(F.col("body").cast("string")).alias("html"))))
+    second = _got(best.withColumn("url", F.col("href")), get)
+    is_pdf = F.startswith(F.ltrim(F.decode(F.substring("body", 1, 1024), "ISO-8859-1"), F.lit(" \t\n\r\x0b\x0c")), F.lit("%PDF"))
+    problem = F.when(F.col("error").isNull() & ~is_pdf, F.lit("English PDF link did not return a PDF")).otherwise(F.col("error"))
+    followed = second.withColumn("error", problem)
+    lost = landing.join(best, "document_id", "left_anti")
+    columns = [c.split()[0] for c in _RESPONSE.split(", ")]
+    none = [F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in _RESPONSE.split(", ")[1:-1]]
+    # A page that led nowhere has no body of its own.
+    failed = followed.where("error is not null").select("document_id", *none, "error").unionByName(lost.select("document_id", *none, F.lit("no English PDF link on the publication page").alias("error")))
+    rest = first.join(landing.select("document_id"), "document_id", "left_anti")
+    return rest.select(columns).unionByName(followed.where("error is null").select(columns)).unionByName(failed.select(columns))
 
 
 def stop_on_failure(manifest: DataFrame) -> None:

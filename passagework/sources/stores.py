@@ -78,7 +78,7 @@ def write_manifest(rows: DataFrame, path: str) -> None:
 
 def scan_corpus(registry: DataFrame, manifest: DataFrame) -> DataFrame:
     """(ordinal, document_id, document_name, kind, file) in registry order; a row that is not ok stops the scan."""
-    rows = registry.join(F.broadcast(manifest.select("document_id", "status", "file")), "document_id", "left")
+    rows = registry.join(manifest.select("document_id", "status", "file"), "document_id", "left")
     bad = rows.where("status is null or status <> 'ok' or file is null or file = ''").orderBy("ordinal").first()
     if bad is not None:
         raise ParseError(bad.document_id, "manifest row is missing or not ok")
@@ -106,7 +106,10 @@ def write_index(index: DataFrame, path: str, expected: int | None = None) -> int
 
 
 def upserted(index: DataFrame, changes: DataFrame) -> DataFrame:
-    """``index`` with the rows of ``changes`` in place of those with the same chunk_id."""
+    """``index`` with the rows of ``changes`` in place of those with the same chunk_id, of which no two may be equal."""
+    twice = changes.groupBy("chunk_id").count().where("count > 1").select("chunk_id").limit(1).collect()
+    if twice:
+        raise VectorIndexError(str(twice[0].chunk_id), "stands more than once among the changes")
     return index.join(changes.select("chunk_id"), "chunk_id", "left_anti").unionByName(changes)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from passagework.config import EngineConfig
-from passagework.plans.answer import Generator, answer_batch
+from passagework.plans.answer import Generator, answer_batch, release
 
 
 def answer_stream(questions: DataFrame, embed: Callable[[DataFrame], DataFrame], index: DataFrame, registry: DataFrame, generator: Generator, path: str, checkpoint: str, config: EngineConfig = EngineConfig(), **trigger: object) -> StreamingQuery:
@@ -21,6 +21,8 @@ def answer_stream(questions: DataFrame, embed: Callable[[DataFrame], DataFrame],
     def run(batch: DataFrame, batch_id: int) -> None:
         bad = question_violations(batch, registry).select("query_id").distinct()
         good = batch.join(bad, "query_id", "left_anti")
-        answer_batch(embed(good), index, registry, generator, config, check=False).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        replies = answer_batch(embed(good), index, registry, generator, config, check=False)
+        replies.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        release(replies)
 
     return questions.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

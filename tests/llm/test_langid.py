@@ -126,3 +126,42 @@ def test_a_column_of_too_many_languages_stops_the_training(spark):
     with pytest.raises(ValueError, match="languages"):
         langid.training_rows(df, langid.Training(most_labels=10))
     assert langid.training_rows(df, langid.Training(longest=5)) == []
+
+
+def test_predictions_of_a_fixed_model_are_those_of_a_plain_chain(spark):
+    """Whole texts of the smallest table: word by word, message by message, without chunks or batches."""
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in df.collect()]
+    model = langid.train(langid.training_rows(df, langid.Training(per_label=20)), langid.Training(rounds=8))
+    found = {r.doc_id: r for r in langid.predict(df, model).collect()}
+    moves, known = np.exp(model.moves.astype(float)), {}
+
+    def word_scores(word):
+        if word not in known:
+            score = model.weights[model.features([word])[0]].astype(float).sum(axis=0)
+            known[word] = np.exp(score - score.max())
+        return known[word]
+
+    for doc, text in rows:
+        words, run = [], ""
+        for c in (text or "").lower() + " ":
+            if c.isalpha() and len(run) < 40:
+                run += c
+            else:
+                words += [run] * bool(run)
+                run = c if c.isalpha() else ""
+        if not words:
+            assert (found[doc].lang_pred, found[doc].score) == ("und", 0.0)
+            continue
+        emit = [word_scores(w) for w in words]
+        ahead = [np.ones(len(model.labels)) @ moves * emit[0]]
+        for e in emit[1:]:
+            ahead.append(ahead[-1] / ahead[-1].sum() @ moves * e)
+        behind, total = np.ones(len(model.labels)), np.zeros(len(model.labels))
+        for a, e in zip(reversed(ahead), reversed(emit)):
+            total += a * behind / (a * behind).sum()
+            behind = moves @ (e * behind)
+            behind /= behind.sum()
+        mean = total / len(words)
+        assert found[doc].lang_pred == model.labels[int(mean.argmax())]
+        assert found[doc].score == pytest.approx(mean.max(), abs=1e-7)

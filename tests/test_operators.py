@@ -199,9 +199,9 @@ def test_layout_document(spark):
 
 def test_folds_merge_fragments_and_continuations():
     item = {"type": "list_item", "text": "Wash", "heading_path": ["t"], "header": None}
-    assert layout.merge_list_continuations([item, {**item, "type": "paragraph", "text": "hands"}, {**item, "type": "paragraph", "text": "(well)"}, {**item, "type": "paragraph", "text": "Next"}])[0]["text"] == "Wash hands (well)"
+    assert layout.joined([item, {**item, "type": "paragraph", "text": "hands"}, {**item, "type": "paragraph", "text": "(well)"}, {**item, "type": "paragraph", "text": "Next"}])[0]["text"] == "Wash hands (well)"
     head = {"type": "heading", "text": "Safe", "heading_path": ["t", "Safe"], "header": None}
-    merged = layout.merge_heading_fragments([head, {**head, "text": "food"}, {**head, "text": "storage"}])
+    merged = layout.joined([head, {**head, "text": "food"}, {**head, "text": "storage"}])
     assert [(r["text"], r["heading_path"]) for r in merged] == [("Safe food storage", ["t", "Safe food storage"])]
     events = [{"page": 0, "kind": "cap", "text": "K", "level": 0}, {"page": 0, "kind": "paragraph", "text": "eep the cold chain unbroken at all times, please.", "level": 3}]
     assert layout.fold_document(events, "t")[0]["text"].startswith("Keep the cold")
@@ -245,14 +245,61 @@ def test_candidates_are_cut_before_the_threshold(spark):
     assert found.count() == 24 and [h.chunk_id for h in retrieval.kept(found).collect()] == ["eatwell-guide:000", "eatwell-guide:001", "eatwell-guide:002"]
 
 
-def test_questions_in_blocks_give_the_same(spark, monkeypatch):
+def many(spark, n=200, scopes=(None,)):
     rng = np.random.default_rng(0)
-    rows = [(f"eatwell-guide:{i}", "eatwell-guide", 4, rng.normal(size=8).tolist()) for i in range(200)]
+    docs = [d.document_id for d in R.REGISTRY]
+    rows = [(f"{docs[i % 7]}:{i}", docs[i % 7], i % 7, np.round(rng.normal(size=8), 1).tolist()) for i in range(n)]
     idx = spark.createDataFrame(rows, "chunk_id string, document_id string, ordinal int, embedding array<double>")
-    qs = spark.createDataFrame([(i, None, rng.normal(size=8).tolist()) for i in range(20)], "query_id bigint, scope_id string, embedding array<double>")
-    whole = sorted((r.query_id, r.place, r.chunk_id) for r in retrieval.nearest(idx, qs, 5).collect())
-    monkeypatch.setattr(retrieval, "QUERIES_AT_ONCE", 3)
-    assert sorted((r.query_id, r.place, r.chunk_id) for r in retrieval.nearest(idx, qs, 5).collect()) == whole and len(whole) == 100
+    qs = spark.createDataFrame([(i, scopes[i % len(scopes)], rng.normal(size=8).tolist()) for i in range(20)], "query_id bigint, scope_id string, embedding array<double>")
+    return idx, qs
+
+
+def by_hand(idx, qs, k):
+    out = []
+    for q in qs.collect():
+        a = np.array(q.embedding)
+        scored = [(-round(float(a @ np.array(r.embedding) / np.linalg.norm(a) / np.linalg.norm(r.embedding)), 6), r.ordinal, r.chunk_id) for r in idx.collect() if q.scope_id in (None, r.document_id)]
+        out += [(q.query_id, i + 1, x[2]) for i, x in enumerate(sorted(scored)[:k])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("scopes", [(None,), ("fsa-chill", "eatwell-guide"), (None, "fsa-chill", "no such document")])
+@pytest.mark.parametrize("at_once", [2048, 3])
+def test_questions_in_any_number_give_the_same(spark, monkeypatch, scopes, at_once):
+    monkeypatch.setattr(retrieval, "QUERIES_AT_ONCE", at_once)
+    idx, qs = many(spark, scopes=scopes)
+    for parts in (1, 7):
+        assert sorted((r.query_id, r.place, r.chunk_id) for r in retrieval.nearest(idx.repartition(parts), qs, 5).collect()) == by_hand(idx, qs, 5)
+
+
+def test_a_task_passes_on_k_rows_per_question(spark):
+    """However many batches it reads, and with all similarities tied."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        idx, qs = many(spark, 4000)
+        rows = idx.select("embedding", "chunk_id", "document_id", "ordinal").coalesce(1)
+        found = retrieval._in_place(rows, ["chunk_id", "document_id", "ordinal"], qs.collect(), 5)
+        assert found.groupBy("query_id").count().where("count <> 5").count() == 0 and found.count() == 20 * 5
+        tied = rows.withColumn("embedding", F.array(*[F.lit(1.0)] * 8))
+        assert retrieval._in_place(tied, ["chunk_id", "document_id", "ordinal"], qs.collect(), 5).count() == 20 * 5
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_scoped_questions_read_their_documents_alone(spark, tmp_path):
+    idx, qs = many(spark, scopes=("fsa-chill",))
+    stores.write_index(idx, f"{tmp_path}/index")
+    found = retrieval.nearest(stores.open_index(spark, f"{tmp_path}/index"), qs, 5)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(document_id" in plan and "fsa-chill" in plan.split("PartitionFilters")[1][:120]
+    assert sorted((r.query_id, r.place, r.chunk_id) for r in found.collect()) == by_hand(idx, qs, 5)
+
+
+def test_rows_without_a_vector_find_nothing(spark):
+    idx, qs = many(spark, 10)
+    bare = idx.withColumn("embedding", F.lit(None).cast("array<double>"))
+    assert retrieval.nearest(idx.unionByName(bare), qs, 99).count() == 200
+    assert retrieval.nearest(bare, qs, 5).count() == 0 and retrieval.nearest(idx, qs.limit(0), 5).count() == 0
 
 
 def test_damaged_index_stops(spark, reg):

@@ -43,3 +43,13 @@ def test_query(spark, con, name):
     assert sorted(columns) == sorted(df.columns)
     assert sorted((tuple(plain(r[c]) for c in columns) for r in rows), key=repr) == sorted((plain(r) for r in want.fetchall()), key=repr)
     spark.catalog.clearCache()
+
+
+@pytest.mark.parametrize("lost", ["corpus_pipeline", "passagework.llm"])
+def test_core_queries_are_registered_without_the_optional_part(monkeypatch, lost):
+    import sys
+
+    import __spark_entry__ as entry
+
+    monkeypatch.setitem(sys.modules, lost, None)
+    assert set(entry.queries()) == set(registered.QUERIES) and entry.oracle_sql() == registered.ORACLES
