@@ -32,16 +32,16 @@ _HASHES = -(1 << 62)
 
 _MARKS = "key bigint, docs binary, counts binary, data binary"
 _MARKS_ARROW = pa.schema([("key", pa.int64()), ("docs", pa.binary()), ("counts", pa.binary()), ("data", pa.binary())])
-_OTHER, _LOW = np.uint64(0x5851F42D4C957F2D), np.uint64((1 << 32) - 1)
+_OTHER, _LOW = 0x5851F42D4C957F2D, np.uint64((1 << 32) - 1)
 
 
-def window_keys(tokens: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two rolling hashes of each window, of 64 bits each.
+def window_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two rolling hashes of each window of the given words, of 64 bits each, over two independent hashes of words.
 
     Of the second one 16 bits are stored and others choose the bucket, so windows are told apart by 80 bits and
     as many as number the buckets, of which there are more the more windows there are: the 1.5e26 pairs
     of the 1.7e13 windows of 100 TB agree by chance 0.03 times in all (64 bits: 8e6 times)."""
-    return at.window_hashes(tokens, width), at.window_hashes(at.mix(tokens ^ _OTHER), width)
+    return at.window_hashes(at.hash_words(data, starts, ends), width), at.window_hashes(at.hash_words(data, starts, ends, _OTHER), width)
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -188,7 +188,7 @@ def _windows(docs: DataFrame, width: int, buckets: int, groups: int) -> DataFram
                     continue
                 row = np.repeat(np.arange(part.num_rows), np.diff(first))
                 whole = np.flatnonzero(row[: 1 - width] == row[width - 1 :]) if width > 1 else np.arange(len(row))
-                hashes, more = (x[whole] for x in window_keys(at.hash_words(data, begins, ends), width))
+                hashes, more = (x[whole] for x in window_keys(data, begins, ends, width))
                 rows = np.stack([at.column(part, c).to_numpy(zero_copy_only=False) for c in ("doc_id", "tid", "grp")], 1)
                 block.add(rows, hashes, more, row[whole], whole - first[row[whole]])
                 if block.size >= BLOCK_WINDOWS:

@@ -147,3 +147,11 @@ def phrases(text: str | None, named: dict[str, str]) -> tuple:
                 places.append(i)
                 labels.add(label)
     return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels))
+
+
+def look_alikes() -> tuple[str, str]:
+    """Two words of 1,024 letters that agree under every polynomial modulo 2**64: the Thue-Morse word and its complement."""
+    bits = [0]
+    for _ in range(10):
+        bits += [1 - b for b in bits]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)

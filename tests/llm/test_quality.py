@@ -216,3 +216,22 @@ def test_empty_and_null_rows(spark):
     assert quality.judged(spark.createDataFrame([], brute.DOCUMENTS)).count() == 0
     df = spark.createDataFrame([(None, None, None, None, None), (1, "", None, "s", 0)], brute.DOCUMENTS)
     assert [(r.n_words, r.base_failed, r.kept) for r in quality.judged(df).collect()] == [(0, True, False)] * 2
+
+
+def test_long_lines_that_look_alike_to_a_polynomial_are_not_repeated(spark):
+    a, b = brute.look_alikes()
+    df = spark.createDataFrame([(1, f"{a}\n{b}", "en", "s", 0), (2, f"{a}\n{a}", "en", "s", 0), (3, f"x y {a} x y {b}", "en", "s", 0)], brute.DOCUMENTS)
+    assert sorted((r.doc_id, r.n_dup_lines, r.n_repeat_words) for r in quality.measured(df).collect()) == [(1, 0, 0), (2, 1, 0), (3, 0, 0)]
+
+
+def test_words_have_hashes_that_agree_only_where_they_are_equal():
+    import numpy as np
+
+    from passagework.llm import arrowtext as at
+
+    words = [w.encode() for w in ("a", "b", "aa", "a\0", "12345678", "123456789", "x" * 63, "x" * 64, "x" * 65, "x" * 64 + "y", *brute.look_alikes(), "a")]
+    data, ends = np.frombuffer(b"".join(words), np.uint8), np.cumsum([len(w) for w in words])
+    for seed in (0, 7):
+        got = at.hash_words(data, ends - [len(w) for w in words], ends, seed)
+        assert len(set(got.tolist())) == len(set(words)) and got[0] == got[-1]
+        assert (got == at.hash_words(data, ends - [len(w) for w in words], ends, seed, limit=1)).all()

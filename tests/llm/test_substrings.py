@@ -100,3 +100,12 @@ def test_windows_that_agree_in_all_stored_bits_are_told_apart_by_their_bucket():
 def test_packed_ids_come_back(ids):
     assert substrings.unpacked_ids(substrings.packed_ids(np.array(ids, np.int64))).tolist() == ids
     assert substrings.unpacked(substrings.packed(np.array([1, 255, 256, 2**33]))).tolist() == [1, 255, 256, 2**33]
+
+
+def test_long_words_that_look_alike_to_a_polynomial_stay(spark):
+    a, b = brute.look_alikes()
+    rows = [(1, "w " * 12 + a), (2, "w " * 12 + b), (3, "w " * 12 + a)]
+    df = spark.createDataFrame([(*r, "en", "s", 0) for r in rows], brute.DOCUMENTS)
+    found = digest(substrings.remove_repeats(df))
+    assert found == brute.in_order(brute.remove_repeats(rows))
+    assert [r[2] for r in found] == [0, 0, 13]
