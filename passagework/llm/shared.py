@@ -53,6 +53,11 @@ class Scratch:
         self.kept.add(df._stored)
         return df
 
+    def drop(self, df: DataFrame) -> None:
+        """What ``stored`` has returned before goes with the rest; other frames stay."""
+        if hasattr(df, "_stored"):
+            self.made.append((df.sparkSession, df._stored))
+
     def __enter__(self) -> Scratch:
         _open().append(self)
         return self

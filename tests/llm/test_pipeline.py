@@ -64,3 +64,15 @@ def test_empty_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, "")
     assert docs.count() == 0
+
+
+def test_run_leaves_only_its_result(spark, tmp_path):
+    key = "spark.checkpoint.dir"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, f"file://{tmp_path}")
+    try:
+        found = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+        assert [p.name.rsplit("-", 1)[0] for p in (tmp_path / "passagework").iterdir()] == ["sentencepiece_ids"]
+        assert found.count() > 0
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
