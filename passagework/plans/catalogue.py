@@ -6,12 +6,13 @@ layout boxes, drafts) comes from small fixtures that are written once and used b
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from passagework.folders import fresh_path
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -67,9 +68,8 @@ class Fixture:
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder that all nodes reach: in spark.checkpoint.dir, else in the warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh folder that all nodes reach."""
+    return fresh_path(spark, name)
 
 
 def any_sql(x: str, marks: tuple[str, ...]) -> str:
