@@ -2,33 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import threading
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all nodes share: ``spark.checkpoint.dir`` of the session.
-
-    Only where it is unset and all runs on one machine, as in tests, a temporary folder is set;
-    on a cluster executors would each write to their own disk, so there it must be set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all nodes share")
-        found = "file://" + tempfile.mkdtemp(prefix="passagework-")
-        spark.conf.set("spark.checkpoint.dir", found)
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/passagework/{name}-{uuid.uuid4().hex}"
+from passagework.folders import delete, fresh_path
 
 
 #: Scratch objects that are open in this thread, the innermost last.
@@ -69,8 +48,7 @@ class Scratch:
                 if _open():
                     _open()[-1].made.append((spark, path))
                 continue
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            delete(spark, path)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

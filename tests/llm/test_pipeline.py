@@ -5,7 +5,7 @@ import corpus_pipeline
 import pytest
 import sentencepiece
 
-from passagework.llm import mixing, quality, queries
+from passagework.llm import mixing, quality, queries, shared
 
 
 @pytest.fixture(scope="module")
@@ -66,13 +66,8 @@ def test_empty_documents(spark):
     assert docs.count() == 0
 
 
-def test_run_leaves_only_its_result(spark, tmp_path):
-    key = "spark.checkpoint.dir"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, f"file://{tmp_path}")
-    try:
-        found = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
-        assert [p.name.rsplit("-", 1)[0] for p in (tmp_path / "passagework").iterdir()] == ["sentencepiece_ids"]
-        assert found.count() > 0
-    finally:
-        spark.conf.set(key, before) if before else spark.conf.unset(key)
+def test_run_leaves_only_its_result(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(shared, "fresh_path", lambda _, name: f"file://{tmp_path}/{name}")
+    found = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert [p.name for p in tmp_path.iterdir()] == ["sentencepiece_ids"]
+    assert found.count() > 0
