@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagework.llm import chat, langid, licences, media, mixing, pieces, quality, shared, simhash, substrings, warc
+from passagework.llm import chat, clusters, contamination, langid, licences, media, mixing, pieces, quality, shared, simhash, substrings, warc
 
 ORACLES: dict[str, str] = {}
 
@@ -153,6 +154,84 @@ from kept
 """
 
 
+def op11_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that stand in windows of 10 words of benchmark items."""
+    found = contamination.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), width=10)
+    n_items = F.size("items").cast("bigint").alias("n_items")
+    return found.select("doc_id", "n_words", "n_hit", n_items, F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+_SPLIT = r"""list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"""
+
+ORACLES["op11_benchmark_decontamination"] = f"""
+with items as (
+    select item_id, {_SPLIT} as w from benchmark
+), windows as (
+    select item_id, 10 as n, array_to_string(w[i : i + 9], ' ') as run from (select item_id, w, unnest(range(1, len(w) - 8)) as i from items where len(w) >= 10)
+    union select item_id, len(w) as n, array_to_string(w, ' ') from items where len(w) between 1 and 9
+), docs as (
+    select row_number() over () as r, doc_id, {_SPLIT} as w from documents
+), runs as (
+    select r, n, i, array_to_string(w[i : i + n - 1], ' ') as run
+    from (select r, n, w, unnest(range(1, len(w) - n + 2)) as i from docs, (select distinct n from windows) where len(w) >= n)
+), hits as (
+    select distinct r, i, n, run from runs where run in (select run from windows)
+), covered as (
+    select r, count(*) as n_hit from (select distinct r, p from (select r, unnest(range(i, i + n)) as p from hits)) group by r
+), met as (
+    select r, count(*) as n_items, string_agg(id, ',' order by id) as ids
+    from (select distinct h.r, cast(v.item_id as varchar) as id from hits h join windows v on v.run = h.run and v.item_id is not null) group by r
+)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from docs left join covered using (r) left join met using (r)
+"""
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's cluster and squared distance after 5 rounds of 40 centroids, with sums and the centroid's digest."""
+    found = clusters.cluster(_table(spark, sf_dir, "embeddings"), k=40, rounds=5)
+    vectors = found.vectors
+    sums = vectors.groupBy("cluster").agg(F.sum(F.col("distance").cast("decimal(38,0)")).alias("inertia")).collect()  # a row for each of 40 centroids
+    total = sum(int(r.inertia) for r in sums)
+    digest = lambda c: hashlib.sha256(",".join(map(str, c)).encode()).hexdigest()
+    rows = [(r.cluster, int(r.inertia), total, digest(found.centroids[r.cluster])) for r in sums]
+    of_cluster = spark.createDataFrame(rows, "cluster int, cluster_inertia bigint, inertia bigint, centroid_sha256 string")
+    return vectors.join(F.broadcast(of_cluster), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def _rounds_sql(rounds: int) -> str:
+    """Centroids and assignments of each round, as table expressions."""
+    steps = []
+    for t in range(rounds + 1):
+        steps.append(f"""a{t} as materialized (
+    select r, vec_id, v, k, d from (
+        select r, vec_id, v, k, d, row_number() over (partition by r order by d, k) as place from (
+            select r, vec_id, p.v, k, list_sum(list_transform(range(1, 65), lambda i: (p.v[i] - c.v[i]) * (p.v[i] - c.v[i])))::bigint as d from points p, c{t} c)
+    ) where place = 1
+)""")
+        if t < rounds:
+            steps.append(f"""m{t} as (
+    select k, i, sum(x) as s, count(*) as n from (select k, generate_subscripts(v, 1) as i, unnest(v) as x from a{t}) group by k, i
+), c{t + 1} as materialized (
+    select k, list(((s - ((s % n) + n) % n) // n)::bigint order by i) as v from m{t} group by k
+    union all select k, v from c{t} where k not in (select k from a{t})
+)""")
+    return ", ".join(steps)
+
+
+ORACLES["op12_centroid_clustering"] = f"""
+with points as materialized (
+    select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v
+    from embeddings where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64
+), c0 as materialized (
+    select row_number() over (order by h) - 1 as k, v from (select sha256('2:' || vec_id) as h, v from points order by h limit 40)
+), {_rounds_sql(5)}
+select vec_id, a.k::integer as cluster, d as distance, sum(d) over (partition by a.k)::bigint as cluster_inertia, sum(d) over ()::bigint as inertia,
+    sha256(array_to_string(c.v, ',')) as centroid_sha256
+from a5 a join c5 c on c.k = a.k
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_substring_dedup": op2_substring_dedup,
@@ -164,4 +243,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mixing": op8_source_mixing,
     "op9_quality_rules": op9_quality_rules,
     "op10_warc": op10_warc,
+    "op11_benchmark_decontamination": op11_benchmark_decontamination,
+    "op12_centroid_clustering": op12_centroid_clustering,
 }
