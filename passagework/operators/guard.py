@@ -103,6 +103,34 @@ def named_document(message: Column, documents: list[tuple[str, list[str]]]) -> C
     return F.when(F.size(found) == 1, found[0])
 
 
+def named_by_table(messages: DataFrame, aliases: DataFrame, message: str = "message", most_words: int = 64) -> DataFrame:
+    """``messages`` with scope_id, the one document of ``aliases`` (document_id, alias) that a message names as a whole
+    span, and n_named, 0, 1 or 2 for none, one and several.  The registry may have any size: runs of words of a message meet the
+    aliases in a join.
+
+    Words are those of ``alias_text``; an alias counts if it is just that form of itself, lower case and
+    single spaces, and is not in TOPIC_ALIASES.  A message that stands in many rows is looked up once.  Null
+    messages and aliases name nothing.  An alias of over ``most_words`` words is an error.
+    """
+    folded = F.replace(F.lower("alias"), F.lit("ß"), F.lit("ss"))
+    keys = aliases.select("document_id", folded.alias("run")).where("run <> '' and document_id is not null").where(~F.col("run").isin(*TOPIC_ALIASES))
+    keys = keys.where(F.col("run") == alias_text(F.col("run"))).withColumn("n", F.size(F.split("run", " ")))
+    # What several documents share as an alias is several whichever they are: two of them say it.
+    keys = keys.groupBy("run", "n").agg(F.min("document_id").alias("low"), F.max("document_id").alias("high"))
+    sizes = sorted(r.n for r in keys.select("n").distinct().limit(most_words + 1).collect())
+    if sizes and (len(sizes) > most_words or sizes[-1] > most_words):
+        raise ValueError(f"an alias has over {most_words} words")
+    flat = messages.withColumn("_flat", alias_text(F.col(message)))
+    if not sizes:
+        return flat.drop("_flat").withColumn("scope_id", F.lit(None).cast(dict(aliases.dtypes)["document_id"])).withColumn("n_named", F.lit(0))
+    words = flat.where("_flat <> ''").select("_flat").distinct().select("_flat", F.split("_flat", " ").alias("w"))
+    runs = [F.expr(f"if(size(w) < {n}, array(), transform(sequence(1, size(w) - {n - 1}), i -> array_join(slice(w, i, {n}), ' ')))") for n in sizes]
+    met = words.select("_flat", F.explode(F.array_distinct(F.concat(*runs))).alias("run")).join(keys, "run")
+    named = met.groupBy("_flat").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    found = flat.join(named, "_flat", "left").drop("_flat")
+    return found.withColumn("scope_id", F.when(F.col("low") == F.col("high"), F.col("low"))).withColumn("n_named", F.when(F.col("low").isNull(), 0).when(F.col("low") == F.col("high"), 1).otherwise(2)).drop("low", "high")
+
+
 def question_violations(questions: DataFrame, registry: DataFrame) -> DataFrame:
     """(query_id, rule, subject): empty messages and unknown documents."""
     flags = questions.join(F.broadcast(registry.select("document_id", F.lit(True).alias("known"))), "document_id", "left")
