@@ -1,9 +1,9 @@
 """Words of documents that stand in benchmark items, by winnowed fingerprints.
 
-Of every ``width - gram + 1`` consecutive k-grams (``gram`` words each) the one of least hash is
-kept.  A span of ``width`` words holds just that many k-grams, so documents and items that share such a span
-keep the same k-gram of it: joining the kept hashes misses no span.  A hash met is extended
-to the windows of ``width`` words around it, which are compared word by word.  Items of fewer words are one
+Of every ``width - gram + 1`` consecutive k-grams (``gram`` words each) the least hash is kept.  A span of ``width``
+words holds just that many k-grams, so documents and items that share such a span keep the same hash of it: joining
+the kept hashes misses no span.  A hash met is extended to the windows of ``width`` words that keep
+it, which are compared word by word.  Items of fewer words are one
 window; for each length among them all k-grams of that length are kept.
 
 Built-in functions and joins only.  Long texts are cut into blocks that overlap by ``width - 1`` words.
@@ -30,23 +30,29 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(folded, GAPS), "")
 
 
-def _hash(of: str, at: str, n: int) -> str:
-    return f"xxhash64({n}, " + ", ".join(f"get({of}, {at} + {j})" for j in range(n)) + ")"
+def _folded(values: str, n: int, of: str) -> str:
+    """``of`` all ``n`` neighbours, for every place of the array that has so many."""
+    every = ", ".join(["x", *(f"get({values}, i + {j})" for j in range(1, n))])
+    return f"slice(transform({values}, (x, i) -> {of}({every})), 1, greatest(size({values}) - {n - 1}, 0))" if n > 1 or of != "least" else values
 
 
 def _marks(texts: DataFrame, carry: str, width: int, gram: int, short: list[int]) -> DataFrame:
-    """(carry, n, pos, key): kept hashes of texts (carry, words) and where their k-grams start; n is ``width`` for
-    winnowed ones, else the length of a short window.  Of equal least hashes all are kept."""
+    """(carry, n, pos, key) of texts (carry, words).
+
+    With n = ``width`` they are the winnowed ones: the least hash of the k-grams in the windows from word pos on, where it
+    changes, and again after as many windows as hold one k-gram.  Each window's least hash is thus
+    recorded at itself or at most ``width - gram`` windows before it.  With n of ``short`` they are hashes of all
+    runs of n words."""
     gap = width - gram + 1
-    step = F.expr(f"transform(sequence(0L, (size(words) - 1) div {BLOCK_WORDS}), b -> struct(b * {BLOCK_WORDS} as at, slice(words, cast(b * {BLOCK_WORDS} + 1 as int), {BLOCK_WORDS + width - 1}) as w))")
-    blocks = texts.where("size(words) > 0").select(carry, F.explode(step).alias("b")).select(carry, "b.at", "b.w")
-    grams = blocks.withColumn("g", F.expr(f"if(size(w) < {width}, array(), transform(sequence(0, size(w) - {gram}), i -> {_hash('w', 'i', gram)}))"))
-    least = grams.withColumn("low", F.expr(f"if(size(g) = 0, array(), transform(sequence(1, size(g) - {gap - 1}), j -> array_min(slice(g, j, {gap}))))"))
-    # A k-gram is kept if it is the least of some window over it: no window over it has a greater least one than it.
-    first = f"greatest(i - {gap - 1}, 0)"
-    kept = f"filter(transform(g, (h, i) -> struct({width} as n, at + i as pos, h as key)), (x, i) -> x.key = array_max(slice(low, {first} + 1, least(i, size(low) - 1) - {first} + 1)))"
-    whole = [f"if(size(w) < {n}, array(), transform(sequence(0, least({BLOCK_WORDS}, size(w) - {n - 1}) - 1), i -> struct({n} as n, at + i as pos, {_hash('w', 'i', n)} as key)))" for n in short]
-    return least.select(carry, F.explode(F.expr(f"concat({', '.join([kept, *whole])})")).alias("m")).select(carry, "m.*")
+    hashed = texts.where("size(words) > 0").select(carry, F.expr("transform(words, w -> xxhash64(w))").alias("h"))
+    step = F.expr(f"transform(sequence(0L, (size(h) - 1) div {BLOCK_WORDS}), b -> struct(b * {BLOCK_WORDS} as at, slice(h, cast(b * {BLOCK_WORDS} + 1 as int), {BLOCK_WORDS + width - 1}) as h))")
+    rows = hashed.select(carry, F.explode(step).alias("b")).select(carry, "b.at", "b.h")
+    rows = rows.withColumn("g", F.expr(_folded("h", gram, "xxhash64"))).withColumn("low", F.expr(_folded("g", gap, "least")))
+    kept = f"struct({width} as n, transform(low, (x, i) -> if(i % {gap} = 0 or x <> get(low, i - 1), x, null)) as keys)"
+    # Runs that start in the next block are its own.
+    whole = [f"struct({n} as n, slice({_folded('h', n, 'xxhash64')}, 1, {BLOCK_WORDS}) as keys)" for n in short]
+    every = rows.select(carry, "at", F.explode(F.expr(f"array({', '.join([kept, *whole])})")).alias("m")).select(carry, "at", "m.n", F.posexplode("m.keys").alias("i", "key"))
+    return every.where("key is not null").select(carry, "n", (F.col("at") + F.col("i")).alias("pos"), "key")
 
 
 def _windows(spots: str) -> str:
@@ -74,7 +80,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, width: int = 10, gram:
         owned = parts.select("item_id", F.explode(F.expr(_windows(starts))).alias("x")).select("item_id", "x.run", "x.n").distinct()
         owned = stored(owned, "item_windows")
         # The number of a window is settled by the table's being written.
-        windows = stored(owned.select("run", "n").distinct().select("run", F.monotonically_increasing_id().alias("window")), "windows")
+        windows = stored(owned.select("run", "n").distinct().select("run", "n", F.monotonically_increasing_id().alias("window")), "windows")
         short = sorted(r.n for r in owned.where(f"n < {width}").select("n").distinct().collect())  # fewer than ``width`` numbers
         keys = stored(_marks(owned.select(F.lit(0).alias("of"), F.split("run", " ").alias("words")).distinct(), "of", width, gram, short).select("key").distinct(), "keys")
 
@@ -82,11 +88,12 @@ def find_contamination(docs: DataFrame, items: DataFrame, width: int = 10, gram:
         marks = _marks(texts.select("tid", words_of(F.col("text")).alias("words")), "tid", width, gram, short)
         # Texts that share a tid by chance get each other's places to look at, which changes nothing.
         spots = stored(marks.join(keys, "key", "left_semi").groupBy("tid").agg(F.collect_set(F.struct("n", "pos")).alias("spots")), "spots")
-        near = f"array_distinct(flatten(transform(spots, s -> if(s.n < {width}, array(struct(s.n, s.pos as first)), transform(sequence(greatest(s.pos - {gap}, 0L), greatest(s.pos - {gap}, 0L, least(s.pos, cast(size(words) - {width} as bigint)))), p -> struct(s.n, p as first))))))"
+        # A window past the end has fewer words than its n and meets none.
+        near = f"array_distinct(flatten(transform(spots, s -> if(s.n < {width}, array(struct(s.n, s.pos as first)), transform(sequence(s.pos, s.pos + {gap}), p -> struct(s.n, p as first))))))"
         met = texts.join(spots, "tid").select(F.sha2("text", 256).alias("sha"), words_of(F.col("text")).alias("words"), "spots")
         looked = met.select("sha", F.explode(F.expr(_windows(near))).alias("x")).select("sha", "x.n", "x.first", "x.run")
-        hits = stored(looked.join(windows, "run").select("sha", "first", (F.col("first") + F.col("n")).alias("stop"), "window").distinct(), "hits")
-        found = scratch.keep(stored(_spans(hits).join(_items(hits, owned.join(windows, "run").select("window", "item_id")), "sha"), "found"))
+        hits = stored(looked.join(windows, ["run", "n"]).select("sha", "first", (F.col("first") + F.col("n")).alias("stop"), "window").distinct(), "hits")
+        found = scratch.keep(stored(_spans(hits).join(_items(hits, owned.join(windows, ["run", "n"]).select("window", "item_id")), "sha"), "found"))
     n_words = F.size(words_of(F.col("text"))).cast("bigint").alias("n_words")
     whole = docs.select("doc_id", n_words, F.sha2("text", 256).alias("sha")).join(found, "sha", "left")
     return whole.select(
