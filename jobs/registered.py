@@ -38,11 +38,6 @@ def job2_turn_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{root}/turns").select("conv_id", "turn", "outcome", "reason", "document_id", "n_words", "replied", "reply_words", "new_numbers")
 
 
-def flat_sql(text: str) -> str:
-    """Folded, punctuation as spaces, spaces collapsed."""
-    return K.collapse_sql(f"regexp_replace({K.fold_sql(text)}, '[^\\pL\\pM\\p{{Nd}}\\p{{Nl}}\\p{{Pc}}\\s]+', ' ', 'g')")
-
-
 JOB2_SQL = f"""
 with turns as (
     select row_number() over () as r, conv_id, turn, role, coalesce(text, '') as text from conversations
@@ -56,11 +51,11 @@ with turns as (
     select conv_id, turn - 1 as turn, max({K.words_sql("text")}) as reply_words, max(coalesce(new_numbers, 0)) as new_numbers
     from turns left join fresh using (conv_id, turn) where role = 'assistant' group by conv_id, turn
 ), titles as (
-    select doc_id, array_to_string(string_split(flat, ' ')[1:2], ' ') as alias from (select doc_id, {flat_sql("text")} as flat from documents) where len(string_split(flat, ' ')) >= 2
+    select doc_id, array_to_string(string_split(flat, ' ')[1:2], ' ') as alias from (select doc_id, {K.flat_sql("text")} as flat from documents) where len(string_split(flat, ' ')) >= 2
 ), aliases as (
     select alias, min(doc_id) as low, max(doc_id) as high from titles where alias <> 'healthy diet' group by alias
 ), asked as (
-    select *, {flat_sql("text")} as flat, {reason_sql(K.fold_sql("text"))} as reason from turns where role = 'user'
+    select *, {K.flat_sql("text")} as flat, {reason_sql(K.fold_sql("text"))} as reason from turns where role = 'user'
 ), named as (
     select r, min(low) as low, max(high) as high from asked join aliases on contains(' ' || flat || ' ', ' ' || alias || ' ') group by r
 )

@@ -10,8 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Typographic characters and what stands for them.
-LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "‑": "-", " ": " ", "​": ""}
-SOFT_HYPHEN = "­"
+LIGATURES = {"\ufb00": "ff", "\ufb01": "fi", "\ufb02": "fl", "\ufb03": "ffi", "\ufb04": "ffl", "\u2011": "-", "\u00a0": " ", "\u200b": ""}
+SOFT_HYPHEN = "\u00ad"
 SPACE = r"(?U)\s+"
 
 
@@ -56,7 +56,7 @@ def estimate_tokens(text: Column) -> Column:
 
 def fold(text: Column) -> Column:
     """Caseless form for matching: lower case, sharp s spelled out, plain apostrophe and space."""
-    return _replaced(F.lower(text), {"ß": "ss", "’": "'", " ": " "})
+    return _replaced(F.lower(text), {"ß": "ss", "\u2019": "'", "\u00a0": " "})
 
 
 def is_form_blank(text: Column) -> Column:

@@ -104,6 +104,11 @@ def fold_sql(x: str) -> str:
     return f"replace(replace(replace(lower({x}), 'ß', 'ss'), '’', chr(39)), chr(160), ' ')"
 
 
+def flat_sql(x: str) -> str:
+    """Folded, punctuation as spaces, spaces collapsed."""
+    return collapse_sql(f"regexp_replace({fold_sql(x)}, '[^\\pL\\pM\\p{{Nd}}\\p{{Nl}}\\p{{Pc}}\\s]+', ' ', 'g')")
+
+
 def collapse_sql(x: str) -> str:
     return f"trim(regexp_replace({x}, '[\\s\\x0b]+', ' ', 'g'), ' ')"
 

@@ -336,23 +336,32 @@ _SIZES = [9.0, 9.4, 10.0, 10.9, 11.3, 14.0, 16.0]
 PIECE_ROWS = f"""lines as (select doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line_no, unnest(string_split(text, chr(10))) as line from documents),
 pieces as (
     select -1 as doc_id, row_number() over () as line_no, text, size, bold from {PIECES.sql}
-    union all select doc_id, line_no, {K.normalize_sql('case line_no % 3 when 0 then left(line, 60) when 1 then line else left(line, 20) end')}, {_SIZES}[(doc_id + line_no) % {len(_SIZES)} + 1]::double, (doc_id + line_no) % 2 = 0 from lines
+    union all select doc_id, line_no, {K.normalize_sql('line')}, {_SIZES}[(doc_id + line_no) % {len(_SIZES)} + 1]::double, (doc_id + line_no) % 2 = 0
+        from (select doc_id, line_no, unnest(case line_no % 3 when 1 then [line] else string_split(line, case line_no % 3 when 0 then '. ' else ', ' end) end) as line from lines)
 )"""
 
 
-def piece_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(text, size, bold): documents' lines, each third one whole and the others cut to the length of headings, in turning sizes."""
+def piece_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, line_no, text): documents' lines, each third one whole and the others cut to sentences or clauses, which have the length of headings."""
     lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    text = F.when(F.col("line_no") % 3 == 0, F.left("line", F.lit(60))).when(F.col("line_no") % 3 == 1, F.col("line")).otherwise(F.left("line", F.lit(20)))
+    turn = F.col("line_no") % 3
+    parts = F.when(turn == 0, F.split("line", r"\. ", -1)).when(turn == 1, F.array("line")).otherwise(F.split("line", ", ", -1))
+    return lines.select("doc_id", "line_no", F.explode(parts).alias("part")).select("doc_id", "line_no", T.normalize(F.col("part")).alias("text"))
+
+
+def piece_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(text, size, bold) of ``piece_lines``, in turning sizes."""
     turn = F.col("doc_id") + F.col("line_no")
-    return PIECES.df(spark).unionByName(lines.select(T.normalize(text).alias("text"), F.element_at(F.array(*map(F.lit, _SIZES)), (turn % len(_SIZES) + 1).cast("int")).alias("size"), (turn % 2 == 0).alias("bold")))
+    size = F.element_at(F.array(*map(F.lit, _SIZES)), (turn % len(_SIZES) + 1).cast("int"))
+    return PIECES.df(spark).unionByName(piece_lines(spark, sf_dir).select("text", size.alias("size"), (turn % 2 == 0).alias("bold")))
 
 
 def spaced_sql(x: str) -> str:
     return f"(len(regexp_extract_all({x}, '[A-Za-z]+')) >= 8 and len(list_filter(regexp_extract_all({x}, '[A-Za-z]+'), lambda t: len(t) <= 2)) > 0.45 * len(regexp_extract_all({x}, '[A-Za-z]+')))"
 
 
-_BULLETS = "[" + L.BULLETS + "]"
+# Written out apart from the engine's own constants, so that a wrong one there shows.
+_BULLETS = "[\\x{2022}\\x{2023}\\x{25a0}\\x{25cf}\\x{25e6}\\x{2043}\\x{2219}\\x{b7}\\x{99}\\x{f0a7}\\x{f0b7}\\x{2610}\\x{2611}\\x{25aa}\\x{25ab}]"
 KINDS = f"""
 with {PIECE_ROWS}, facts as (
     select text, size, bold, {K.words_sql('text')} as n, regexp_matches(text, '^\\d+(\\.\\d+)*\\s+\\S') as numbered, size >= 10.9::double as larger from pieces
@@ -378,11 +387,11 @@ BULLETED = K.Fixture(
     "box_no bigint, text string",
     [
         (0, "Intro line\n• first item\ncontinues here\n• second item\nNew paragraph"), (1, "•\nmarked alone\nplain"), (2, "lead • one • two"), (3, "– dash item\n-5 degrees"),
-        (4, "n Item by dingbat"), (5, "n not an item"), (6, "1. Numbered ends.\n2) Not ended"), (7, "small\nletters\nalone"), (8, "• ▪\n•x"), (9, ""),
+        (4, "n Item by dingbat"), (5, "n not an item"), (6, "1. Numbered ends.\n2) Not ended"), (7, "small\nletters\nalone"), (8, "• ▪\n•x"), (9, ""), (10, "\uf0b7 wash your hands\nwell\n\uf0a7 and dry them \uf0b7 twice"),
     ],
 )
 #: What stands before a document's lines, in turn; those that get none go on in lower case every other time.
-_LEADS = ["", "• ", "", "– ", "", "◦\n", "", "3. ", "", "n ", "- "]
+_LEADS = ["", "• ", "", "– ", "", "◦\n", "", "3. ", "", "n ", "- ", "\uf0b7 ", "\uf0a7\n"]
 BOX_ROWS = f"""drawn as (
     select doc_id + 100 as box_no, {K.literal(_LEADS)}[line_no % {len(_LEADS)} + 1] || case when line_no % 4 = 0 then lower(line) when line_no % 9 = 2 then replace(line, '. ', '. • ') else line end as line, line_no
     from (select doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line_no, unnest(string_split(text, chr(10))) as line from documents)
@@ -442,11 +451,10 @@ with {PIECE_ROWS}, placed as (
 select text, y0, size, repeated, text = '' or regexp_full_match(text, '\\d{{1,3}}') or regexp_matches(text, '^https?://') or ({spaced_sql('text')} and {K.words_sql('text')} >= 4) or ((y1 < 34 or y0 > 764) and (repeated or (length(text) < 80 and size <= 10.4::double))) as furniture from placed
 """)
 def furniture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
     y0 = (F.abs(F.col("doc_id") * 7 + F.col("line_no")) % 41 * 21).cast("double")
-    text = F.when(F.col("line_no") % 3 == 0, F.left("line", F.lit(60))).when(F.col("line_no") % 3 == 1, F.col("line")).otherwise(F.left("line", F.lit(20)))
     turn = F.col("doc_id") + F.col("line_no")
-    drawn = lines.select(T.normalize(text).alias("text"), y0.alias("y0"), (y0 + 9).alias("y1"), F.element_at(F.array(*map(F.lit, _SIZES)), (turn % len(_SIZES) + 1).cast("int")).alias("size"), (turn % 2 == 0).alias("repeated"))
+    size = F.element_at(F.array(*map(F.lit, _SIZES)), (turn % len(_SIZES) + 1).cast("int"))
+    drawn = piece_lines(spark, sf_dir).select("text", y0.alias("y0"), (y0 + 9).alias("y1"), size.alias("size"), (turn % 2 == 0).alias("repeated"))
     got = L.is_furniture(F.col("text"), F.col("y0"), F.col("y1"), F.col("size"), F.lit(842.0), F.col("repeated"), F.lit(10.0))
     return MARGIN.df(spark).unionByName(drawn).select("text", "y0", "size", "repeated", got.alias("furniture"))
 
@@ -460,7 +468,7 @@ GRIDS = K.Fixture(
 )
 GRID_ROWS = f"""grids as (
     select table_no, cells from {GRIDS.sql} union all
-    select (1000 + doc_id * 100 + line_no // 5)::integer, list(list_transform(string_split(line, ' '), lambda c: case when length(c) % 4 = 0 then '' else c end)[1 : (3 + (doc_id + line_no) % 4)::integer] order by line_no)
+    select (1000 + doc_id * 100 + line_no // 5)::integer, list(list_transform(string_split(line, ' '), lambda c: case when length(c) % 4 = 0 then '' else c end) order by line_no)
     from (select doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line_no, unnest(string_split(text, chr(10))) as line from documents) group by doc_id, line_no // 5
 )"""
 
@@ -482,10 +490,10 @@ select table_no, caption, len(data)::integer as n_rows, array_to_string(header,
 where ls[len(ls) // 2 + 1] <= 80 and not {spaced_sql("array_to_string(header, ' ')")} and not {spaced_sql("array_to_string(data[1], ' ')")}
 """)
 def accepted_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Grids made of five lines of a document each, some cells emptied; rows have three to six cells."""
+    """Grids made of five lines of a document each, some cells emptied; the words of a line are a row's cells."""
     lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
     cells = F.transform(F.split("line", " ", -1), lambda c: F.when(F.length(c) % 4 == 0, F.lit("")).otherwise(c))
-    drawn = lines.select(F.expr("cast(1000 + doc_id * 100 + line_no div 5 as int)").alias("table_no"), F.expr("doc_id * 1000000 + line_no div 5").alias("own"), "line_no", F.slice(cells, F.lit(1), (3 + (F.col("doc_id") + F.col("line_no")) % 4).cast("int")).alias("row"))
+    drawn = lines.select(F.expr("cast(1000 + doc_id * 100 + line_no div 5 as int)").alias("table_no"), F.expr("doc_id * 1000000 + line_no div 5").alias("own"), "line_no", cells.alias("row"))
     drawn = drawn.groupBy("own", "table_no").agg(F.array_sort(F.collect_list(F.struct("line_no", "row"))).alias("held")).select("table_no", F.transform("held", lambda h: h["row"]).alias("cells"))
     rows = _doc(GRIDS.df(spark).unionByName(drawn)).select("document_id", F.lit(0).alias("page"), "table_no", F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(9.0).alias("x1"), F.lit(9.0).alias("y1"), "cells")
     sheet = spark.createDataFrame([("d", 0, 600.0, 842.0)], "document_id string, page int, width double, height double")

@@ -147,6 +147,7 @@ MESSAGES = K.Fixture(
         "calorie deficit of 500", "How many calories should I eat to lose weight?", "How much protein is in chicken?", "sugar in 100 g of jam", "fat in 10% of energy",
         "How many grams of salt in bread", "What does the Eatwell Guide say about fruit?", "Kitchen Companion on leftovers", "What is a healthy diet?", "healthy diet fact sheet on salt",
         "Five Keys and the Eatwell Guide", "fao and who: what?", "COLD FOOD STORAGE chart", "How do I chill-freeze and defrost?", "eatwells", "How long can leftovers stay in the fridge?", "Do I weigh too much?", "weight of a chicken", "symptoms of flu", "calories",
+        "What is my ideal\u00a0weight?", "How much\u00a0protein is in tofu?", "the Eatwell\u00a0Guide, please", "What\u2019s in the Kitchen\u00a0Companion?", "",
     ])),
 )
 
@@ -166,9 +167,21 @@ def named_sql(message: str) -> str:
     return f"case when len({found}) = 1 then {found}[1] end"
 
 
-@query(f"select i, {reason_sql(K.fold_sql('message'))} as reason from {MESSAGES.sql}")
+#: Every turn of the conversations, opened by one of the messages.
+OPENED = f"""opened as (
+    select (conv_id * 1000 + turn) as query_id, {K.literal([m for _, m in MESSAGES.rows])}[(conv_id * 3 + turn) % {len(MESSAGES.rows)} + 1] || ' ' || coalesce(text, '') as message from conversations
+)"""
+
+
+def opened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    lead = F.element_at(F.array(*(F.lit(m) for _, m in MESSAGES.rows)), ((F.col("conv_id") * 3 + F.col("turn")) % len(MESSAGES.rows) + 1).cast("int"))
+    return turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.concat_ws(" ", lead, F.coalesce("text", F.lit(""))).alias("message"))
+
+
+@query(f"with {OPENED} select query_id, {reason_sql(K.fold_sql('message'))} as reason from opened")
 def guard_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return MESSAGES.df(spark).select("i", guard.scope_reason(F.col("message")).alias("reason"))
+    return opened(spark, sf_dir).select("query_id", guard.scope_reason(F.col("message")).alias("reason"))
 
 
 @query(f"select conv_id, turn, {reason_sql(K.fold_sql('text'))} as reason from conversations where text is not null")
@@ -176,20 +189,37 @@ def guard_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", guard.scope_reason(F.col("text")).alias("reason"))
 
 
-@query(f"select i, {named_sql('message')} as document_id from {MESSAGES.sql}")
+@query(f"with {OPENED} select query_id, {named_sql('message')} as document_id from opened")
 def alias_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return MESSAGES.df(spark).select("i", guard.named_document(F.col("message"), [(d.document_id, list(d.aliases)) for d in REGISTRY]).alias("document_id"))
+    return opened(spark, sf_dir).select("query_id", guard.named_document(F.col("message"), [(d.document_id, list(d.aliases)) for d in REGISTRY]).alias("document_id"))
 
 
 @query(f"""
-with m as (select i, message, case when i % 4 = 1 then 'fsa-chill' end as document_id from {MESSAGES.sql})
-select i as query_id, {reason_sql(K.fold_sql('message'))} as reason, coalesce(document_id, {named_sql('message')}) as scope_id from m
+with {OPENED}, m as (select *, case when query_id % 4 = 1 then 'fsa-chill' end as document_id from opened)
+select query_id, {reason_sql(K.fold_sql('message'))} as reason, coalesce(document_id, {named_sql('message')}) as scope_id from m
 """)
 def classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = MESSAGES.df(spark).select(F.col("i").alias("query_id"), "message", F.when(F.col("i") % 4 == 1, "fsa-chill").alias("document_id"))
+    rows = opened(spark, sf_dir).withColumn("document_id", F.when(F.col("query_id") % 4 == 1, "fsa-chill"))
     return guard.classify(rows, registry(spark)).select("query_id", "reason", "scope_id")
 
 
+# What two-word openings of documents, as their aliases, the turns name.
+@query(f"""
+with titles as (
+    select doc_id, array_to_string(string_split(flat, ' ')[1:2], ' ') as alias from (select doc_id, {K.flat_sql('text')} as flat from documents) where len(string_split(flat, ' ')) >= 2
+), aliases as (select alias, min(doc_id) as low, max(doc_id) as high from titles where alias <> 'healthy diet' group by alias
+), turns as (select row_number() over () as r, conv_id, turn, {K.flat_sql("coalesce(text, '')")} as flat from conversations
+), named as (select r, min(low) as low, max(high) as high from turns join aliases on contains(' ' || flat || ' ', ' ' || alias || ' ') group by r)
+select conv_id, turn, case when low = high then low end as document_id, (case when low is null then 0 when low = high then 1 else 2 end)::integer as n_named from turns left join named using (r)
+""")
+def alias_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G7 with a registry of any size: its aliases are the first two words of every document."""
+    flat = F.split(guard.alias_text(F.col("text")), " ")
+    aliases = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), flat.alias("w")).where("size(w) >= 2").select("document_id", F.array_join(F.slice("w", 1, 2), " ").alias("alias"))
+    found = guard.named_by_table(table(spark, sf_dir, "conversations"), aliases, "text")
+    return found.select("conv_id", "turn", F.col("scope_id").alias("document_id"), "n_named")
+
+
 @query("""
 select (conv_id * 1000 + turn) as query_id, case when turn = 2 then 'message is empty' else 'document_id is not in the registry' end as rule from conversations where turn = 2 or role = 'system'
 """)
