@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import plain_outline
 import pytest
 from pyspark.sql import functions as F
 
@@ -199,12 +200,12 @@ def test_layout_document(spark):
 
 def test_folds_merge_fragments_and_continuations():
     item = {"type": "list_item", "text": "Wash", "heading_path": ["t"], "header": None}
-    assert layout.joined([item, {**item, "type": "paragraph", "text": "hands"}, {**item, "type": "paragraph", "text": "(well)"}, {**item, "type": "paragraph", "text": "Next"}])[0]["text"] == "Wash hands (well)"
+    assert plain_outline.joined([item, {**item, "type": "paragraph", "text": "hands"}, {**item, "type": "paragraph", "text": "(well)"}, {**item, "type": "paragraph", "text": "Next"}])[0]["text"] == "Wash hands (well)"
     head = {"type": "heading", "text": "Safe", "heading_path": ["t", "Safe"], "header": None}
-    merged = layout.joined([head, {**head, "text": "food"}, {**head, "text": "storage"}])
+    merged = plain_outline.joined([head, {**head, "text": "food"}, {**head, "text": "storage"}])
     assert [(r["text"], r["heading_path"]) for r in merged] == [("Safe food storage", ["t", "Safe food storage"])]
     events = [{"page": 0, "kind": "cap", "text": "K", "level": 0}, {"page": 0, "kind": "paragraph", "text": "eep the cold chain unbroken at all times, please.", "level": 3}]
-    assert layout.fold_document(events, "t")[0]["text"].startswith("Keep the cold")
+    assert plain_outline.fold_document(events, "t")[0]["text"].startswith("Keep the cold")
 
 
 # Retrieval
