@@ -86,6 +86,10 @@ def parts(notice: str, n: int) -> list[tuple[str, int]]:
     return out[::-1]
 
 
+#: What a notice must not stand right beside: ASCII letters and digits, and bytes of characters beyond ASCII, which are letters here.
+LETTERS = r"a-z0-9\x80-\xff"
+
+
 class Notices:
     """Seeds of all notices in one automaton, and a bounded-error pattern for each notice.
 
@@ -103,7 +107,7 @@ class Notices:
         seeds: dict[str, list[tuple[int, int]]] = {}
         for i, notice in enumerate(notices):
             k = self.edits[i]
-            self.patterns.append(regex.compile(f"(?e)(?<![a-z0-9])(?:{notice.replace(' ', ' +')}){{e<={k}}}(?![a-z0-9])"))
+            self.patterns.append(regex.compile(f"(?e)(?<![{LETTERS}])(?:{notice.replace(' ', ' +')}){{e<={k}}}(?![{LETTERS}])"))
             for seed, offset in parts(notice, k + 1):
                 seeds.setdefault(seed, []).append((i, offset))
         self.automaton = ahocorasick.Automaton()
@@ -213,7 +217,8 @@ def scan_licences(docs: DataFrame, phrases: dict[str, str] | None = None, notice
                     out["base_labels"].append(",".join(sorted(base)))
                     out["labels"].append(",".join(sorted(base | more)))
                     out["score"].append(1.0 if base else max(0.0, best))
-                    out["matches"].append([(search.labels[i], _chars(plain, a), _chars(plain, b), e) for i, a, b, e in found])
+                    chars = _chars(plain) if found else None
+                    out["matches"].append([(search.labels[i], int(chars[a]), int(chars[b]), e) for i, a, b, e in found])
                 match = pa.list_(pa.struct([("label", pa.string()), ("first", pa.int64()), ("stop", pa.int64()), ("edits", pa.int32())]))
                 out["matches"] = [[dict(zip(("label", "first", "stop", "edits"), m)) for m in ms] for ms in out["matches"]]
                 types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), match)
@@ -226,7 +231,8 @@ def scan_licences(docs: DataFrame, phrases: dict[str, str] | None = None, notice
     )
 
 
-def _chars(plain: bytes, place: int) -> int:
-    """Characters before a byte place (continuation bytes are kept by the folding)."""
-    head = np.frombuffer(plain, np.uint8, place)
-    return int(np.count_nonzero((head & 0xC0) != 0x80))
+def _chars(plain: bytes) -> np.ndarray:
+    """Characters before each byte place (continuation bytes are kept by the folding)."""
+    before = np.zeros(len(plain) + 1, np.int64)
+    np.cumsum((np.frombuffer(plain, np.uint8) & 0xC0) != 0x80, out=before[1:])
+    return before

@@ -82,3 +82,10 @@ def test_nothing_is_found_in_clean_or_empty_texts(spark):
     for r in lic.scan_licences(df).collect():
         assert (r.n_base, r.first_word, r.labels, r.score, r.matches) == (0, None, "", 0.0, [])
     assert lic.scan_licences(df.limit(0)).count() == 0
+
+
+def test_letters_beyond_ascii_end_no_notice(spark):
+    rows = [(1, "éall rights reserved"), (2, "all rights reservedé"), (3, "é all rights reserved — é"), (4, "漢 " * 50 + "all rights resrved")]
+    found = {r.doc_id: r for r in lic.scan_licences(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    assert [found[i].labels for i in (1, 2, 3, 4)] == ["", "", "reserved", "reserved"]
+    assert [(m.first, m.stop) for m in found[4].matches if m.label == "reserved"] == [(100, 118)]
