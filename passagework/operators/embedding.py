@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
@@ -28,10 +28,15 @@ class Embedder(Protocol):
 
 
 class HashingEmbedder:
-    """Feature hashing of folded words and word pairs with signs; equal texts have equal unit vectors."""
+    """Feature hashing of folded words and word pairs with signs; equal texts have equal unit vectors.
 
-    def __init__(self, dimension: int = 384, max_sequence_length: int = 512, model_name: str = "hashing"):
-        self.dimension, self.max_sequence_length, self.model_name = dimension, max_sequence_length, model_name
+    ``tokens`` counts tokens (``functions.subwords.counter``); without it words and two specials are counted."""
+
+    def __init__(self, dimension: int = 384, max_sequence_length: int = 512, model_name: str = "hashing", tokens: Callable[[Column], Column] | None = None):
+        self.dimension, self.max_sequence_length, self.model_name, self.tokens = dimension, max_sequence_length, model_name, tokens
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "tokens": None}  # tasks embed; counting is planned on the driver
 
     def _add(self, row: np.ndarray, feature: str, weight: float) -> None:
         h = int.from_bytes(hashlib.blake2b(feature.encode(), digest_size=8).digest(), "little")
@@ -48,7 +53,7 @@ class HashingEmbedder:
         return out
 
     def count_tokens(self, text: Column) -> Column:
-        return T.word_count(text) + 2
+        return self.tokens(text) if self.tokens else T.word_count(text) + 2
 
 
 def embedded(rows: DataFrame, embedder: Embedder, text: str, batch: int = 32) -> DataFrame:

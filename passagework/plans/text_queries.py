@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from passagework.functions import subwords
 from passagework.functions import text as T
 from passagework.operators import chunking, indexing
 from passagework.plans import catalogue as K
@@ -49,6 +50,28 @@ def window_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indexing.window_check(rows, T.word_count(F.col("text")) + 2, 512)
 
 
+def vocabulary_tokens(spark: SparkSession):
+    """Token counts by a public vocabulary, read from where its package lies: byte spelled, word ends marked."""
+    import public_tokenizers
+
+    words = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    rules = subwords.Rules(inner="", end="</w>", words=words, accents=True, spelled_bytes=True, longest=1 << 30)
+    return subwords.counter(spark, subwords.read_vocabulary(spark, f"file://{public_tokenizers.path('word_bpe_49k.json')}"), rules)
+
+
+@query()
+def subword_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every whole document; a vocabulary has no SQL, so tests hold it against the library and a plain search."""
+    return table(spark, sf_dir, "documents").select("doc_id", vocabulary_tokens(spark)(F.col("text")).alias("n_tokens"))
+
+
+@query()
+def subword_window_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest token count of the documents, and the first document over a window of 512 tokens."""
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("doc_id").alias("chunk_seq"), "text")
+    return indexing.window_check(rows, vocabulary_tokens(spark)(F.col("text")), 512)
+
+
 #: Packs of ``lines`` (doc_id, line_no, line), which stands before it as another table expression.
 PACKS = f"""flat as (
     select doc_id, line_no, {K.strip_sql('line')} as flat from lines
