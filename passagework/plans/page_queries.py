@@ -236,15 +236,24 @@ def skipped_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.page_texts(rows).select("document_id", "page", L.is_skipped_page(F.col("text")).alias("skipped"))
 
 
-SPANS = K.Fixture("page int, line_no int, y0 double, text string, font string, size double, flags int", [(0, 0, 10.0, "Bold head", "Helv-Bold", 14.0, 16), (0, 0, 10.0, "tail", "Helv", 10.0, 0), (0, 1, 30.0, "  ", "Helv", 9.0, 0), (0, 2, 50.0, "n", "ZapfDingbats", 8.0, 0), (0, 2, 50.0, "item text", "Helv", 11.0, 4)])
+#: Line items as spans of text: those of an order's line number are one line.
+SPANS = """spans as (
+    select l_orderkey as page, l_linenumber as line_no, case l_partkey % 4 when 0 then '  ' when 1 then l_returnflag else l_returnflag || ' item ' || l_suppkey end as text,
+        case l_suppkey % 3 when 0 then 'ZapfDingbats' when 1 then 'Helv-Bold' else 'Helv' end as font, l_quantity as size, l_partkey % 32 as flags from lineitem
+)"""
 
 
 @query(f"""
+with {SPANS}
 select page, line_no, round(sum(size * length(trim(text))) / sum(length(trim(text))), 6) as size, sum(length(trim(text)))::integer as chars, sum(case when flags & 16 <> 0 then length(trim(text)) else 0 end)::integer as bold_chars,
-    bool_or(regexp_matches(lower(font), 'dingbat|wingding|symbol')) as dingbat from {SPANS.sql} where trim(text) <> '' group by page, line_no
+    bool_or(regexp_matches(lower(font), 'dingbat|wingding|symbol')) as dingbat from spans where trim(text) <> '' group by page, line_no
 """)
 def line_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = SPANS.df(spark).select(F.lit("d").alias("document_id"), "page", "line_no", F.lit(0.0).alias("x0"), "y0", F.lit(100.0).alias("x1"), (F.col("y0") + 12).alias("y1"), "text", "font", "size", "flags")
+    """All line items as spans of text."""
+    text = F.expr("case l_partkey % 4 when 0 then '  ' when 1 then l_returnflag else concat(l_returnflag, ' item ', l_suppkey) end")
+    font = F.expr("case l_suppkey % 3 when 0 then 'ZapfDingbats' when 1 then 'Helv-Bold' else 'Helv' end")
+    y0 = F.col("l_linenumber") * F.lit(20.0)
+    spans = table(spark, sf_dir, "lineitem").select(F.lit("d").alias("document_id"), F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("line_no"), F.lit(0.0).alias("x0"), y0.alias("y0"), F.lit(100.0).alias("x1"), (y0 + 12).alias("y1"), text.alias("text"), font.alias("font"), F.col("l_quantity").alias("size"), (F.col("l_partkey") % 32).cast("int").alias("flags"))
     return L.line_styles(spans).select("page", "line_no", F.round("size", 6).alias("size"), "chars", "bold_chars", "dingbat")
 
 

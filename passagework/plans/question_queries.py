@@ -74,16 +74,16 @@ def candidate_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.candidate_counts(found).join(found.groupBy("query_id").agg(F.count(F.when(F.col("similarity") >= 0.25, 1)).alias("eligible")), "query_id")
 
 
-EDGE = K.Fixture("chunk_id string, document_id string, ordinal int, similarity double, place int", [("a:10", "a", 0, 0.62, 1), ("a:2", "a", 0, 0.6199999, 2), ("b:1", "b", 1, 0.7, 3), ("a:3", "a", 0, 0.9, 4), ("a:4", "a", 0, 0.8, 5), ("a:5", "a", 0, 0.8, 6), ("c:1", "c", 2, 0.65, 7)])
-
-
-@query(f"""
-with e as (select *, row_number() over (partition by document_id order by place) as n from {EDGE.sql} where similarity >= 0.62)
-select chunk_id, row_number() over (order by place)::integer as rank from e where n <= 3 qualify row_number() over (order by place) <= 8
+@query("""
+with c as (select label as query_id, vec_id::varchar as chunk_id, vec_id % 5 as document_id, (vec_id * 37 % 100) / 100.0::double as similarity, row_number() over (partition by label order by vec_id * 37 % 100 desc, vec_id) as place from embeddings),
+e as (select *, row_number() over (partition by query_id, document_id order by place) as n from c where similarity >= 0.62::double)
+select query_id, chunk_id, row_number() over (partition by query_id order by place)::integer as rank from e where n <= 3 qualify row_number() over (partition by query_id order by place) <= 8
 """)
 def threshold_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = EDGE.df(spark).select(F.lit(1).alias("query_id"), F.lit(None).cast("string").alias("scope_id"), "*")
-    return retrieval.kept(rows).select("chunk_id", "rank")
+    """All vectors as candidates of their labels, with similarities that meet the threshold exactly."""
+    place = F.expr("row_number() over (partition by label order by vec_id * 37 % 100 desc, vec_id)")
+    rows = table(spark, sf_dir, "embeddings").select(F.col("label").alias("query_id"), F.col("vec_id").cast("string").alias("chunk_id"), (F.col("vec_id") % 5).alias("document_id"), (F.col("vec_id") * 37 % 100 / 100).alias("similarity"), place.alias("place"), F.lit(None).cast("string").alias("scope_id"))
+    return retrieval.kept(rows).select("query_id", "chunk_id", "rank")
 
 
 @query("select vec_id, round(sqrt(list_dot_product(embedding::double[], embedding::double[])), 6) as norm, abs(list_dot_product(embedding::double[], embedding::double[]) / list_dot_product(embedding::double[], embedding::double[]) - 1) < 1e-9 as unit from embeddings")
@@ -285,14 +285,53 @@ DRAFTS = K.Fixture(
 )
 
 
-def claim_rows(spark: SparkSession) -> DataFrame:
-    return C.checked(C.rendered(DRAFTS.df(spark), HITS.df(spark), registry(spark)))
+REGISTRY_SQL = "(select * from (values " + ", ".join(f"({i}, {K.literal(d.document_id)}, {K.literal(d.document_name)}, {K.literal(d.publisher)}, {d.year}, {K.literal(d.source_url)}, {K.literal(d.kind)})" for i, d in enumerate(REGISTRY)) + ") as v(ordinal, document_id, document_name, publisher, year, source_url, kind))"
 
+_IDS = [d.document_id for d in REGISTRY]
+_URLS = [d.source_url for d in REGISTRY]
+#: What is said of a line, and what is cited for it, in turn: as it is, with a number of its own, of another document's chunk,
+#: without a chunk, of none that exists, nothing, in the guidelines' name, as advice, by a bare number, on something else.
+SPOKEN = f"""turned as (
+    select doc_id, line_no, line, (10 + doc_id * 100000 + line_no // 8) as query_id, line_no % 7 as reg, (doc_id + line_no) % 11 as turn
+    from (select doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line_no, unnest(string_split(text, chr(10))) as line from documents)
+), all_hits as (
+    select * from {HITS.sql}
+    union all select query_id, (line_no % 8 + 1)::integer, {K.literal(_IDS)}[reg + 1] || ':' || line_no, 0.9::double, {K.literal(_IDS)}[reg + 1], 'Name ' || reg, 'Pub ' || reg, 2000 + reg,
+        case when line_no % 13 = 5 then 'http://elsewhere' else {K.literal(_URLS)}[reg + 1] end, 'Head ' || line_no % 3, line from turned
+), all_drafts as (
+    select * from {DRAFTS.sql}
+    union all select query_id, 0, case when turn = 10 then 'unknown-document' else {K.literal(_IDS)}[reg + 1] end, line_no::integer,
+        case turn when 1 then line || ' 999999' when 5 then '  ' when 6 then 'The guidelines collectively say ' || line when 7 then 'If I have diabetes it keeps 2 days; eat it. ' || line when 9 then 'Quantum entanglement explains leftovers.' else line end,
+        case turn when 2 then [{K.literal(_IDS)}[(line_no + 1) % 7 + 1] || ':' || (line_no + 1)] when 3 then []::varchar[] when 4 then ['nothing:1'] when 8 then [line_no::varchar] else [{K.literal(_IDS)}[reg + 1] || ':' || line_no] end
+    from turned
+)"""
+
+
+def spoken(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Hits and drafts: eight lines of a document are one question's hits, and each line is claimed in one way or another."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    rows = lines.select("*", F.expr("10 + doc_id * 100000 + line_no div 8").alias("query_id"), (F.col("line_no") % 7).alias("reg"), F.expr("(doc_id + line_no) % 11").alias("turn"))
+    pick = lambda values, i: F.element_at(F.array(*map(F.lit, values)), (i + 1).cast("int"))
+    own, turn, line = pick(_IDS, F.col("reg")), F.col("turn"), F.col("line")
+    chunk = F.concat_ws(":", own, "line_no")
+    url = F.when(F.col("line_no") % 13 == 5, "http://elsewhere").otherwise(pick(_URLS, F.col("reg")))
+    hits = rows.select(
+        "query_id", (F.col("line_no") % 8 + 1).alias("rank"), chunk.alias("chunk_id"), F.lit(0.9).alias("similarity"), own.alias("document_id"), F.concat(F.lit("Name "), "reg").alias("document_name"), F.concat(F.lit("Pub "), "reg").alias("publisher"), (F.col("reg") + 2000).alias("year"),
+        url.alias("source_url"), F.concat(F.lit("Head "), F.col("line_no") % 3).alias("section_heading"), line.alias("text"),
+    )
+    text = F.when(turn == 1, F.concat(line, F.lit(" 999999"))).when(turn == 5, "  ").when(turn == 6, F.concat(F.lit("The guidelines collectively say "), line)).when(turn == 7, F.concat(F.lit("If I have diabetes it keeps 2 days; eat it. "), line)).when(turn == 9, "Quantum entanglement explains leftovers.").otherwise(line)
+    cited = F.when(turn == 2, F.array(F.concat_ws(":", pick(_IDS, (F.col("line_no") + 1) % 7), F.col("line_no") + 1))).when(turn == 3, F.array().cast("array<string>")).when(turn == 4, F.array(F.lit("nothing:1"))).when(turn == 8, F.array(F.col("line_no").cast("string"))).otherwise(F.array(chunk))
+    drafts = rows.select("query_id", F.lit(0).alias("document_pos"), F.when(turn == 10, "unknown-document").otherwise(own).alias("document_id"), F.col("line_no").alias("claim_no"), text.alias("text"), cited.alias("chunk_ids"))
+    return HITS.df(spark).unionByName(hits), DRAFTS.df(spark).unionByName(drafts)
+
+
+def claim_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits, drafts = spoken(spark, sf_dir)
+    return C.checked(C.rendered(drafts, hits, registry(spark)))
 
-REGISTRY_SQL = "(select * from (values " + ", ".join(f"({i}, {K.literal(d.document_id)}, {K.literal(d.document_name)}, {K.literal(d.publisher)}, {d.year}, {K.literal(d.source_url)}, {K.literal(d.kind)})" for i, d in enumerate(REGISTRY)) + ") as v(ordinal, document_id, document_name, publisher, year, source_url, kind))"
 
 CHECKED = f"""
-with hits as (select * from {HITS.sql}), drafts as (select * from {DRAFTS.sql}), reg as (select * from {REGISTRY_SQL}),
+with {SPOKEN}, hits as materialized (select * from all_hits), drafts as (select * from all_drafts), reg as (select * from {REGISTRY_SQL}),
 placed as (select d.*, r.ordinal, r.source_url as reg_url, row_number() over (partition by query_id, document_id order by document_pos, claim_no) as claim_pos from drafts d join reg r using (document_id)),
 ids as (select query_id, document_id, claim_pos, generate_subscripts(chunk_ids, 1) as k, unnest(chunk_ids) as cited from placed),
 full_ids as (
@@ -323,7 +362,7 @@ full_ids as (
 
 @query(CHECKED + "select query_id, document_id, claim_pos::integer as claim_pos, coalesce(chunk_ids, '') as chunk_ids, drop_reason from checked")
 def claim_drop_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return claim_rows(spark).select("query_id", "document_id", "claim_pos", F.array_join("chunk_ids", ",").alias("chunk_ids"), "drop_reason")
+    return claim_rows(spark, sf_dir).select("query_id", "document_id", "claim_pos", F.array_join("chunk_ids", ",").alias("chunk_ids"), "drop_reason")
 
 
 @query(CHECKED + """
@@ -332,19 +371,20 @@ select a.query_id, a.document_id, a.ordinal, arg_min(h.publisher, a.claim_pos) a
 from alive a join hits h on h.query_id = a.query_id and h.chunk_id = string_split(a.chunk_ids, ',')[1] group by a.query_id, a.document_id, a.ordinal
 """)
 def claim_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = C.sections(claim_rows(spark))
+    rows = C.sections(claim_rows(spark, sf_dir))
     return rows.select("query_id", "document_id", "ordinal", "publisher", F.array_join(F.transform("claims", lambda c: F.concat(c["text"], F.lit("@"), c["section_heading"])), "|").alias("claims"))
 
 
 @query(f"""
-with d as (select * from {DRAFTS.sql}), h as (select * from {HITS.sql}), reg as (select * from {REGISTRY_SQL})
+with {SPOKEN}, d as (select * from all_drafts), h as materialized (select * from all_hits), reg as (select * from {REGISTRY_SQL})
 select d.query_id, d.document_id, (row_number() over (partition by d.query_id, d.document_id order by document_pos, claim_no))::integer as claim_pos,
     coalesce((select arg_min(h.publisher, h.rank) from h where h.query_id = d.query_id and h.document_id = d.document_id), reg.publisher) as publisher,
     coalesce((select h.section_heading from h where h.query_id = d.query_id and h.document_id = d.document_id and list_contains(d.chunk_ids, h.chunk_id) order by list_position(d.chunk_ids, h.chunk_id) limit 1), '') as section_heading
 from d join reg on reg.document_id = d.document_id
 """)
 def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.rendered(DRAFTS.df(spark), HITS.df(spark), registry(spark)).select("query_id", "document_id", "claim_pos", "publisher", "section_heading")
+    hits, drafts = spoken(spark, sf_dir)
+    return C.rendered(drafts, hits, registry(spark)).select("query_id", "document_id", "claim_pos", "publisher", "section_heading")
 
 
 RAW = K.Fixture(
@@ -403,12 +443,12 @@ def parse_draft(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-with h as (select *, (select ordinal from {REGISTRY_SQL} r where r.document_id = x.document_id) as ordinal from {HITS.sql} x),
+with {SPOKEN}, h as (select x.*, r.ordinal from all_hits x join {REGISTRY_SQL} r on r.document_id = x.document_id),
 g as (select query_id, ordinal, document_id || chr(10) || string_agg('[' || chunk_id || ']' || chr(10) || text || chr(10), chr(10) order by rank) as part from h group by query_id, ordinal, document_id)
 select query_id, trim('Question:' || chr(10) || 'What now?' || chr(10) || chr(10) || string_agg(part, chr(10) order by ordinal), chr(10)) as prompt from g group by query_id
 """)
 def prompt_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = HITS.df(spark).join(F.broadcast(registry(spark).select("document_id", "ordinal")), "document_id")
+    hits = spoken(spark, sf_dir)[0].join(F.broadcast(registry(spark).select("document_id", "ordinal")), "document_id")
     groups = hits.groupBy("query_id", "ordinal", "document_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "text"))).alias("hits"))
     held = groups.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "document_id", "hits"))).alias("groups"))
     return held.select("query_id", C.prompt(F.lit(" What now?\n"), F.col("groups")).alias("prompt"))
@@ -417,51 +457,86 @@ def prompt_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 KINDS = K.Fixture("type string, reason string", [("out_of_scope", "medical"), ("out_of_scope", "nutrient_lookup"), ("out_of_scope", "calorie_target"), ("not_in_corpus", "no_supporting_chunks"), ("generation_unavailable", "model_error"), ("answer", None)])
 
 
+#: Every turn of the conversations as a reply of one of these kinds.
+TURNED = f"""replies as (
+    select conv_id * 1000 + turn as query_id, {K.literal([k for k, _ in KINDS.rows])}[(conv_id + turn) % {len(KINDS.rows)} + 1] as type, {K.literal([r for _, r in KINDS.rows])}[(conv_id + turn) % {len(KINDS.rows)} + 1] as reason, text from conversations
+)"""
+
+
+def turned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = ((F.col("conv_id") + F.col("turn")) % len(KINDS.rows) + 1).cast("int")
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), at)
+    return table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), pick([k for k, _ in KINDS.rows]).alias("type"), pick([r for _, r in KINDS.rows]).alias("reason"), "text")
+
+
 @query(f"""
-select type, reason, case when type = 'out_of_scope' and reason = 'nutrient_lookup' then {K.literal(responses.NUTRIENT_MESSAGE)} when type = 'out_of_scope' then {K.literal(responses.REFERRAL)}
-    when type = 'not_in_corpus' then {K.literal(responses.NOT_IN_CORPUS_MESSAGE)} when type = 'generation_unavailable' then {K.literal(responses.UNAVAILABLE_MESSAGE)} end as message from {KINDS.sql}
+with {TURNED}
+select query_id, type, reason, case when type = 'out_of_scope' and reason = 'nutrient_lookup' then {K.literal(responses.NUTRIENT_MESSAGE)} when type = 'out_of_scope' then {K.literal(responses.REFERRAL)}
+    when type = 'not_in_corpus' then {K.literal(responses.NOT_IN_CORPUS_MESSAGE)} when type = 'generation_unavailable' then {K.literal(responses.UNAVAILABLE_MESSAGE)} end as message from replies
 """)
 def refusal_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return KINDS.df(spark).select("type", "reason", responses.refusal_message(F.col("type"), F.col("reason")).alias("message"))
+    return turned(spark, sf_dir).select("query_id", "type", "reason", responses.refusal_message(F.col("type"), F.col("reason")).alias("message"))
 
 
 @query(f"""
-select type, case when type = 'answer' then '{{"type":"answer","sections":[],"searched":[]}}'
-    else '{{"type":"' || type || '","reason":"' || reason || '","message":"m","sections":[],"searched":' || case when type = 'not_in_corpus' then '[{{"document_id":"fsa-chill","document_name":"How to chill, freeze and defrost food safely","publisher":"Food Standards Agency (UK)","year":2017}}]' else '[]' end || '}}' end as response
-from {KINDS.sql}
+with {TURNED}
+select query_id, case when type = 'answer' then '{{"type":"answer","sections":[],"searched":[]}}'
+    else '{{"type":"' || type || '","reason":"' || reason || '","message":' || to_json(text)::varchar || ',"sections":[],"searched":' || case when type = 'not_in_corpus' then '[{{"document_id":"fsa-chill","document_name":"How to chill, freeze and defrost food safely","publisher":"Food Standards Agency (UK)","year":2017}}]' else '[]' end || '}}' end as response
+from replies
 """)
 def response_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn of the conversations as the message of a reply."""
     found = responses.searched(registry(spark), F.lit("fsa-chill"))
     found = F.when(F.col("type") == "not_in_corpus", found).otherwise(F.filter(found, lambda d: F.lit(False)))
-    return KINDS.df(spark).select("type", responses.response_json(F.col("type"), F.col("reason"), F.lit("m"), F.array().cast(responses.SECTIONS), found).alias("response"))
+    return turned(spark, sf_dir).select("query_id", responses.response_json(F.col("type"), F.col("reason"), F.col("text"), F.array().cast(responses.SECTIONS), found).alias("response"))
+
+
+#: All suppliers as a registry of documents; the registry's own rules find much wrong with it.
+SUPPLIED = """reg as (
+    select s_suppkey::integer as ordinal, case when s_suppkey % 10 = 9 then 'supplier-' || (s_suppkey - 1) else 'supplier-' || s_suppkey end as document_id, case when s_suppkey % 7 <> 3 then s_name end as document_name, n_name as publisher,
+        (2000 + s_suppkey % 25)::integer as year, 'https://example.org/' || s_suppkey // 2 as source_url, case s_suppkey % 3 when 0 then 'html' when 1 then 'pdf' else 'doc' end as kind,
+        ['alias ' || s_suppkey % 40, 'Own ' || s_suppkey] as aliases, s_suppkey % 4 = 0 as landing_page
+    from supplier left join nation on n_nationkey = s_nationkey
+)"""
+
+
+def supplied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "supplier").join(F.broadcast(table(spark, sf_dir, "nation")), F.expr("n_nationkey = s_nationkey"), "left")  # a nation a row: 25
+    return rows.selectExpr(
+        "cast(s_suppkey as int) as ordinal", "concat('supplier-', if(s_suppkey % 10 = 9, s_suppkey - 1, s_suppkey)) as document_id", "if(s_suppkey % 7 <> 3, s_name, null) as document_name", "n_name as publisher", "cast(2000 + s_suppkey % 25 as int) as year",
+        "concat('https://example.org/', s_suppkey div 2) as source_url", "case s_suppkey % 3 when 0 then 'html' when 1 then 'pdf' else 'doc' end as kind", "array(concat('alias ', s_suppkey % 40), concat('Own ', s_suppkey)) as aliases", "s_suppkey % 4 = 0 as landing_page",
+    )
 
 
-@query(f"select 0 as position, 'All documents' as label, null::varchar as document_id union all select ordinal + 1, document_name, document_id from {REGISTRY_SQL}")
+@query(f"with {SUPPLIED} select 0 as position, 'All documents' as label, null::varchar as document_id union all select ordinal + 1, document_name, document_id from reg")
 def picker(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return responses.picker(registry(spark))
+    return responses.picker(supplied(spark, sf_dir))
 
 
-@query(f"select ordinal, document_id, document_name, publisher, year, source_url, kind from {REGISTRY_SQL}")
+@query(f"""
+with {OPENED}, named as (select {named_sql('message')} as document_id, count(*) as n from opened group by 1)
+select ordinal, document_id, document_name, publisher, year, source_url, kind, coalesce(n, 0) as turns from {REGISTRY_SQL} left join named using (document_id)
+""")
 def registry_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return registry(spark).select("ordinal", "document_id", "document_name", "publisher", "year", "source_url", "kind")
+    """The registry, and how many turns of the conversations name each document."""
+    named = opened(spark, sf_dir).select(guard.named_document(F.col("message"), [(d.document_id, list(d.aliases)) for d in REGISTRY]).alias("document_id")).groupBy("document_id").agg(F.count(F.lit(1)).alias("turns"))
+    return registry(spark).join(named, "document_id", "left").select("ordinal", "document_id", "document_name", "publisher", "year", "source_url", "kind", F.coalesce("turns", F.lit(0).cast("bigint")).alias("turns"))
 
 
 ALIASES_SQL = "(select * from (values " + ", ".join(f"({K.literal(d.document_id)}, {K.literal(list(d.aliases))}, {K.literal(d.landing_page)})" for d in REGISTRY) + ") as v(document_id, aliases, landing_page))"
 
 
 @query(f"""
-with sound as (select * from {REGISTRY_SQL} r join {ALIASES_SQL} a using (document_id)),
-reg as (
-    select document_id, document_name, publisher, year, case when document_id = 'kitchen-companion' then 'http://other' else source_url end as source_url, case when document_id = 'eatwell-guide' then 'html' else kind end as kind,
-        case when document_id = 'kitchen-companion' then ['FIVE keys'] else aliases end as aliases, landing_page or document_id = 'fsa-chill' as landing_page from sound
+with {SUPPLIED}, sound as (select * from {REGISTRY_SQL} r join {ALIASES_SQL} a using (document_id)
 ), named as (select document_id, lower(unnest(aliases)) as alias from reg)
 select 'size' as rule, count(*)::varchar as subject from reg having count(*) <> 7
 union all select 'missing field', document_id from reg where coalesce(document_id, '') = '' or coalesce(document_name, '') = '' or coalesce(publisher, '') = '' or year is null or coalesce(source_url, '') = ''
 union all select 'duplicate document_id', document_id from reg group by document_id having count(*) > 1
-union all select 'kind', r.document_id from reg r join sound s using (document_id) where r.kind <> s.kind
-union all select 'landing_page', r.document_id from reg r join sound s using (document_id) where r.landing_page <> s.landing_page
+union all select 'kind', r.document_id from reg r left join sound s using (document_id) where r.kind not in ('html', 'pdf') or r.kind <> coalesce(s.kind, 'pdf')
+union all select 'landing_page', r.document_id from reg r left join sound s using (document_id) where r.landing_page <> coalesce(s.landing_page, false)
 union all select 'shared alias', alias from named group by alias having count(*) > 1
-union all (select 'unexpected document_id', document_id from reg except select 'unexpected document_id', document_id from sound)
+union all (select 'unexpected document_id', document_id from reg except all select 'unexpected document_id', document_id from sound)
+union all (select 'unexpected document_id', document_id from sound except all select 'unexpected document_id', document_id from reg)
 union all (select 'source_url', source_url from reg except select 'source_url', source_url from sound)
 union all (select 'source_url', source_url from sound except select 'source_url', source_url from reg)
 union all select 'missing alias', a from (select unnest({K.literal(list(REQUIRED_ALIASES))}) as a) where a not in (select alias from named)
@@ -469,11 +544,7 @@ union all select 'missing alias', a from (select unnest({K.literal(list(REQUIRED
 def registry_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     from passagework import registry as R
 
-    reg = registry(spark).withColumn("kind", F.when(F.col("document_id") == "eatwell-guide", "html").otherwise(F.col("kind")))
-    reg = reg.withColumn("landing_page", F.col("landing_page") | (F.col("document_id") == "fsa-chill"))
-    last = F.col("document_id") == "kitchen-companion"
-    reg = reg.withColumn("aliases", F.when(last, F.array(F.lit("FIVE keys"))).otherwise(F.col("aliases"))).withColumn("source_url", F.when(last, "http://other").otherwise(F.col("source_url")))
-    return R.violations(reg)
+    return R.violations(supplied(spark, sf_dir))
 
 
 def batch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -546,6 +617,6 @@ def presented(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.select("query_id", "kind", F.size("sections").alias("n_sections"), F.size("searched").alias("n_searched"))
 
 
-@query(f"select document_id, document_name, publisher, year from {REGISTRY_SQL}")
+@query(f"with {SUPPLIED} select document_id, document_name, publisher, year from reg")
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return answer.documents(registry(spark))
+    return answer.documents(supplied(spark, sf_dir))

@@ -185,25 +185,40 @@ TEXTS = K.Fixture("i int, text string", [(0, "____ ____ name"), (1, "_"), (2, "a
 
 
 @query(f"""
-select i, {K.normalize_sql('text')} as normalized,
+with {LINES}, shaped as (
+    select -1 as doc_id, i as line_no, text from {TEXTS.sql}
+    union all select doc_id, line_no, case line_no % 5 when 0 then line when 1 then replace(line, ' ', '____') when 2 then regexp_replace(line, '(.)', '\\1 ', 'g') when 3 then replace(replace(line, 'i', chr(64257)), ' ', chr(160)) else replace(line, 'o', 'o' || chr(173)) end from lines
+)
+select doc_id, line_no, sha256({K.normalize_sql('text')}) as normalized,
     len(regexp_replace(text, '[^_]', '', 'g')) > 0 and len(regexp_replace(text, '[^_]', '', 'g')) > len(regexp_replace(text, '[^\\pL\\pN]', '', 'g')) as form_blank,
     len(regexp_extract_all(text, '[A-Za-z]+')) >= 8 and len(list_filter(regexp_extract_all(text, '[A-Za-z]+'), lambda t: len(t) <= 2)) / len(regexp_extract_all(text, '[A-Za-z]+'))::double > 0.45 as letterspaced
-from {TEXTS.sql}
+from shaped
 """)
 def text_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = TEXTS.df(spark)
-    return rows.select("i", T.normalize(F.col("text")).alias("normalized"), T.is_form_blank(F.col("text")).alias("form_blank"), T.letterspaced(F.col("text")).alias("letterspaced"))
+    """Lines of all documents, in turn whole, with blanks to fill in, set letter by letter, with ligatures and no-break spaces, with soft hyphens."""
+    turn, line = F.col("line_no") % 5, F.col("line")
+    text = F.when(turn == 0, line).when(turn == 1, F.replace(line, F.lit(" "), F.lit("____"))).when(turn == 2, F.regexp_replace(line, "(.)", "$1 "))
+    text = text.when(turn == 3, F.replace(F.replace(line, F.lit("i"), F.lit("\ufb01")), F.lit(" "), F.lit("\u00a0"))).otherwise(F.replace(line, F.lit("o"), F.lit("o\u00ad")))
+    rows = lines(spark, sf_dir).select("doc_id", "line_no", text.alias("text")).unionByName(TEXTS.df(spark).select(F.lit(-1).cast("bigint").alias("doc_id"), F.col("i").alias("line_no"), "text"))
+    return rows.select("doc_id", "line_no", F.sha2(T.normalize(F.col("text")), 256).alias("normalized"), T.is_form_blank(F.col("text")).alias("form_blank"), T.letterspaced(F.col("text")).alias("letterspaced"))
 
 
 TITLES = K.Fixture("heading string, title string", [("Healthy diet", "Healthy diet (Fact sheet)"), ("healthy DIET.", "Healthy diet"), ("Diet", "Diet and health"), ("Healthy diets now", "Healthy diets"), ("Straße und mehr", "STRASSE UND MEHR..."), ("x", "y")])
 
 
 @query(f"""
-with t as (select *, trim(replace(lower(heading), 'ß', 'ss'), ' .') as l, trim(replace(lower(title), 'ß', 'ss'), ' .') as r from {TITLES.sql})
-select heading, title, l = r or (length(l) >= 12 and (starts_with(r, l) or starts_with(l, r))) as same from t
+with {LINES}, pairs as (
+    select heading, title from {TITLES.sql}
+    union all select line, case line_no % 4 when 0 then lower(line) || '.' when 1 then line || ' (Fact sheet)' when 2 then reverse(line) else split_part(line, '.', 1) end from lines
+), t as (select *, trim(replace(lower(heading), 'ß', 'ss'), ' .') as l, trim(replace(lower(title), 'ß', 'ss'), ' .') as r from pairs)
+select sha256(heading || '|' || title) as pair, l = r or (length(l) >= 12 and (starts_with(r, l) or starts_with(l, r))) as same from t
 """)
 def same_title(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return TITLES.df(spark).select("heading", "title", T.same_title(F.col("heading"), F.col("title")).alias("same"))
+    """Lines of all documents against themselves in lower case, with more, backwards, and cut at the first stop."""
+    turn, line = F.col("line_no") % 4, F.col("line")
+    title = F.when(turn == 0, F.concat(F.lower(line), F.lit("."))).when(turn == 1, F.concat(line, F.lit(" (Fact sheet)"))).when(turn == 2, F.reverse(line)).otherwise(F.split_part(line, F.lit("."), F.lit(1)))
+    rows = TITLES.df(spark).unionByName(lines(spark, sf_dir).select(line.alias("heading"), title.alias("title")))
+    return rows.select(F.sha2(F.concat_ws("|", "heading", "title"), 256).alias("pair"), T.same_title(F.col("heading"), F.col("title")).alias("same"))
 
 
 @query("""
@@ -226,11 +241,15 @@ def table_row_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.table_rows(blocks).select("document_id", F.col("row_no").cast("bigint").alias("row_no"), "label")
 
 
-CARRY = K.Fixture("table_no bigint, line_no int, a string, b string, c string", [(0, 0, "Meat", "Raw", "1"), (0, 1, "", "Cooked", "2"), (0, 2, "", "", "3"), (0, 3, "Fish", "", "4"), (0, 4, "", "", "5"), (0, 5, "", "x", ""), (1, 0, "", "p", "q"), (1, 1, "", "", "r")])
+#: Line items of an order as the rows of a table, many cells of which are blank.
+ITEMS = """items as (
+    select l_orderkey as table_no, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 as line_no,
+        case when l_partkey % 3 = 0 then l_returnflag || l_linestatus else '' end as a, case when l_partkey % 2 = 0 then 'b' || l_suppkey else '' end as b, case when l_partkey % 5 < 4 then 'c' || l_partkey else '' end as c from lineitem
+)"""
 
 
 @query(f"""
-with t as (select *, a = '' as la, a = '' and b = '' as lb, a = '' and b = '' and c = '' as lc from {CARRY.sql}),
+with {ITEMS}, t as (select *, a = '' as la, a = '' and b = '' as lb, a = '' and b = '' and c = '' as lc from items),
 f as (
     select table_no, line_no,
         coalesce(last_value(case when not la then a end ignore nulls) over w, '') as a,
@@ -238,12 +257,15 @@ f as (
         coalesce(last_value(case when not lc then c end ignore nulls) over w, '') as c
     from t window w as (partition by table_no order by line_no rows unbounded preceding)
 )
-select table_no, line_no + 2 as row_no, array_to_string(list_filter([case when a <> '' then 'A: ' || a end, case when b <> '' then 'B: ' || b end, case when c <> '' then 'C: ' || c end], lambda x: x is not null), ' | ') as label from f
+select table_no, (line_no + 2)::integer as row_no, array_to_string(list_filter([case when a <> '' then 'A: ' || a end, case when b <> '' then 'B: ' || b end, case when c <> '' then 'C: ' || c end], lambda x: x is not null), ' | ') as label from f where a || b || c <> ''
 """)
 def leading_blank_carry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = CARRY.df(spark).withColumn("line", F.concat(F.lit("| "), F.concat_ws(" | ", "a", "b", "c"), F.lit(" |")))
-    text = rows.groupBy("table_no").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("held")).select(F.col("table_no").cast("string").alias("document_id"), F.lit(0).cast("bigint").alias("block_no"), F.concat(F.lit("| A | B | C |\n| --- | --- | --- |\n"), F.array_join(F.transform("held", lambda h: h["line"]), "\n")).alias("text"), F.lit(None).cast("array<string>").alias("header"))
-    return chunking.table_rows(text).select(F.col("document_id").cast("bigint").alias("table_no"), "row_no", "label")
+    """All orders' line items as tables whose leading cells are often blank."""
+    cells = [F.expr("if(l_partkey % 3 = 0, concat(l_returnflag, l_linestatus), '')"), F.expr("if(l_partkey % 2 = 0, concat('b', l_suppkey), '')"), F.expr("if(l_partkey % 5 < 4, concat('c', l_partkey), '')")]
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line")
+    held = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", line))).alias("held"))
+    text = held.select(F.col("l_orderkey").cast("string").alias("document_id"), F.lit(0).cast("bigint").alias("block_no"), F.concat(F.lit("| A | B | C |\n| --- | --- | --- |\n"), F.array_join(F.transform("held", lambda h: h["line"]), "\n")).alias("text"), F.lit(None).cast("array<string>").alias("header"))
+    return chunking.table_rows(text).select(F.col("document_id").cast("bigint").alias("table_no"), F.col("row_no").cast("int").alias("row_no"), "label")
 
 
 @query("select source, sha256(string_agg(doc_id::varchar || text, '' order by doc_id)) as fingerprint from documents group by source")
