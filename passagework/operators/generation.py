@@ -7,6 +7,9 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from passagework.folders import delete, fresh_path
 
 
 def model_generator(complete: Callable[[str], str]) -> Callable[[DataFrame], DataFrame]:
@@ -25,6 +28,37 @@ def model_generator(complete: Callable[[str], str]) -> Callable[[DataFrame], Dat
     return lambda asked: asked.select("query_id", "prompt").mapInPandas(run, "query_id bigint, raw string")
 
 
+LOG = "query_id bigint, attempt int, prompt_sha256 string, raw string"
+
+
+def logged(generator: Callable[[DataFrame], DataFrame], path: str) -> Callable[[DataFrame], DataFrame]:
+    """``generator`` with a durable log: what it gives is written under ``path`` before it is read.
+
+    A call is known by query_id, attempt and the prompt's hash.  Calls that the log holds are not made again, whatever
+    became of caches and executors since, in this run or a later one; failed calls are logged too, with a null.  Only
+    rows of a task that is lost before its output is committed can be asked for twice.  Repeated rows of
+    one call are one call; rows without a prompt are not asked for.  The calls are made when the generator is
+    applied, not when its result is read."""
+
+    def run(asked: DataFrame) -> DataFrame:
+        spark = asked.sparkSession
+        calls = asked.where("prompt is not null").select("query_id", F.col("attempt").cast("int").alias("attempt"), "prompt", F.sha2("prompt", 256).alias("prompt_sha256"))
+        calls = calls.dropDuplicates(["query_id", "attempt", "prompt_sha256"])
+        spark.createDataFrame([], LOG).write.mode("ignore").parquet(path)
+        keys = ["query_id", "attempt", "prompt_sha256"]
+        # What is to be asked is settled by being written: the generator may read its questions more than once.
+        at = fresh_path(spark, "calls")
+        calls.join(spark.read.schema(LOG).parquet(path).select(*keys), keys, "left_anti").write.parquet(at)
+        new = spark.read.schema(calls.schema).parquet(at)
+        if new.limit(1).count():
+            made = new.select(*keys).join(generator(new.select("query_id", "attempt", "prompt")), "query_id", "left")
+            made.select(*keys, "raw").write.mode("append").parquet(path)
+        delete(spark, at)
+        return calls.select(*keys).join(spark.read.schema(LOG).parquet(path), keys).select("query_id", "raw")
+
+    return run
+
+
 def table_generator(drafts: DataFrame) -> Callable[[DataFrame], DataFrame]:
     """A generator whose outputs are a table (query_id, attempt, raw)."""
     return lambda asked: asked.select("query_id", "attempt").join(drafts, ["query_id", "attempt"]).select("query_id", "raw")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from passagework import schemas
@@ -42,11 +42,37 @@ def write_blocks(blocks: DataFrame, path: str) -> None:
     blocks.repartitionByRange("document_id", "block_no").sortWithinPartitions("document_id", "block_no").write.option("ignoreNullFields", "true").json(path)
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line_no, value) of text files, lines from 1 as they stand in their file.
+
+    A file is read in blocks, each by one task.  Lines of a block are counted first; the sums of the
+    blocks before it, one row per block, give a block's lines their numbers."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    blocks = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    starts = blocks.select("file", "block", (F.coalesce(before, F.lit(0)) - F.col("first") + 1).alias("shift"))
+    return lines.join(starts, ["file", "block"]).select("file", (F.col("at") + F.col("shift")).alias("line_no"), "value")
+
+
+def bad_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line_no, document_id, missing) of JSON lines that are no blocks: missing is the first of document_id, type and
+    text that a line lacks, or json.  Blank lines are no blocks and no faults."""
+    rows = numbered_lines(spark, path).where(F.trim("value") != "").withColumn("v", F.try_parse_json("value"))
+    # A field that is there counts, null or not, except a document's id.
+    there = lambda c: F.try_variant_get("v", f"$.{c}", "variant").isNotNull()
+    document_id = F.try_variant_get("v", "$.document_id", "string")
+    missing = F.when(F.col("v").isNull() | ~F.startswith(F.schema_of_variant("v"), F.lit("OBJECT")), "json").when(F.coalesce(document_id, F.lit("")) == "", "document_id").when(~there("type"), "type").when(~there("text"), "text")
+    return rows.select("file", "line_no", document_id.alias("document_id"), missing.alias("missing")).where("missing is not null")
+
+
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:
+    """Stored blocks; the first line that is none stops the reading and is named."""
     rows = spark.read.schema(schemas.BLOCKS + ", _bad string").option("columnNameOfCorruptRecord", "_bad").json(path)
-    lost = rows.where("_bad is not null or document_id is null or type is null or text is null").select("document_id").limit(1).collect()
-    if lost:
-        raise ChunkError(lost[0].document_id or "corpus", "block is missing fields")
+    if rows.where("_bad is not null or document_id is null or type is null or text is null").limit(1).collect():
+        bad = bad_lines(spark, path).orderBy("file", "line_no").first()
+        if bad is not None:
+            raise ChunkError(bad.document_id or "corpus", f"block on line {bad.line_no} of {bad.file} is missing fields")
+        raise ChunkError("corpus", "a block has a field of another type")
     return rows.drop("_bad")
 
 
