@@ -2,12 +2,13 @@
 
 Consecutive paragraphs of one document under one heading are packed greedily up to a
 token target; list items and table rows stand alone; an oversized paragraph is cut at
-sentences.  Packing is one pass over each document's blocks in order, in Arrow batches, that
-holds no more than the pack it is filling.
+sentences.  All but tables is one pass over each document's blocks in order, in Arrow batches, that
+holds no more than the pack it is filling; tables are cut by windows over their lines.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,43 +23,11 @@ from passagework.schemas import BLOCK_TYPES
 SENTENCE = r'(?U)(?<=[.!?])\s+(?=[A-Z"“])'
 
 
-def pack_starts(counts: Column, target: int) -> Column:
-    """Indices (from 0) of the parts that open a new pack, for word counts taken in order.
-
-    A part joins the current pack while the tokens estimated for all its words stay
-    within ``target``; a first part always opens one.
-    """
-    state = F.struct(F.lit(0).alias("i"), F.lit(0).alias("held"), F.array().cast("array<int>").alias("starts"))
-
-    def step(s: Column, n: Column) -> Column:
-        fits = (s["i"] > 0) & (T.estimate(s["held"] + n) <= target)
-        return F.struct(
-            (s["i"] + 1).alias("i"),
-            F.when(fits, s["held"] + n).otherwise(n).alias("held"),
-            F.when(fits, s["starts"]).otherwise(F.concat(s["starts"], F.array(s["i"]))).alias("starts"),
-        )
-
-    return F.aggregate(counts, state, step, lambda s: s["starts"])
-
-
-def packs(parts: Column, starts: Column) -> Column:
-    """The parts of each pack joined by one space."""
-    stop = lambda i: F.coalesce(F.try_element_at(starts, i + 2), F.size(parts))
-    return F.transform(starts, lambda a, i: F.array_join(F.slice(parts, a + 1, stop(i) - a), " "))
-
-
 def sentences(text: Column) -> Column:
     """Stripped, non-empty pieces between sentence ends and a capital or quotation mark."""
     return F.filter(F.transform(F.split(text, SENTENCE), T.strip), lambda s: s != "")
 
 
-def split_oversized(text: Column, target: int) -> Column:
-    """Struct (ok, pieces): sentences packed greedily, not ok if one sentence alone is over the target."""
-    parts = sentences(text)
-    counts = F.transform(parts, T.word_count)
-    return F.struct((~F.exists(counts, lambda n: T.estimate(n) > target)).alias("ok"), packs(parts, pack_starts(counts, target)).alias("pieces"))
-
-
 def section_heading(heading_path: Column, document_name: Column) -> Column:
     parts = F.filter(F.transform(F.coalesce(heading_path, F.array().cast("array<string>")), lambda p: T.strip(F.coalesce(p, F.lit("")))), lambda p: p != "")
     return F.when(F.size(parts) > 0, F.array_join(parts, " > ")).otherwise(document_name)
@@ -81,14 +50,14 @@ def _caseless(cells: Column) -> Column:
     return F.transform(cells, lambda c: F.replace(F.lower(c), F.lit("ß"), F.lit("ss")))
 
 
-def table_rows(tables: DataFrame) -> DataFrame:
-    """(document_id, block_no, row_no, label) for table blocks: one labelled string per data row.
+def table_rows(tables: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(document_id, block_no, row_no, label) and ``carry`` columns for table blocks: one labelled string per data row.
 
     Blank leading cells copy those of the row before; cells under a header read
     ``header: cell``; empty cells and empty rows are left out.  header_missing marks a table
     without any header, whose label is null.
     """
-    lines = tables.select("document_id", "block_no", F.transform(F.coalesce("header", F.array().cast("array<string>")), T.strip).alias("given"), F.posexplode(F.split("text", "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]")).alias("line_no", "line"))
+    lines = tables.select("document_id", "block_no", *carry, F.transform(F.coalesce("header", F.array().cast("array<string>")), T.strip).alias("given"), F.posexplode(F.split("text", "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]")).alias("line_no", "line"))
     rows = lines.where(T.strip(F.col("line")) != "").withColumn("cells", markdown_cells(F.col("line"))).where(~is_separator(F.col("cells")))
     own = Window.partitionBy("document_id", "block_no")
     # Without a given header the first row is the header; with one, repeats of it are left out.
@@ -99,53 +68,91 @@ def table_rows(tables: DataFrame) -> DataFrame:
     n = F.greatest(F.size("cells"), F.size("head"))
     data = data.withColumn("cells", F.transform(F.sequence(F.lit(1), n), lambda i: F.coalesce(F.try_element_at(F.col("cells"), i), F.lit(""))))
     # A cell is a leading blank if no cell up to it is filled; it takes the last value its column had.
-    spread = data.select("document_id", "block_no", "line_no", "head", F.posexplode("cells").alias("col_no", "cell"), F.expr("coalesce(array_position(transform(cells, c -> c <> ''), true), 0)").alias("filled"))
+    spread = data.select("document_id", "block_no", *carry, "line_no", "head", F.posexplode("cells").alias("col_no", "cell"), F.expr("coalesce(array_position(transform(cells, c -> c <> ''), true), 0)").alias("filled"))
     lead = (F.col("filled") == 0) | (F.col("col_no") + 1 < F.col("filled"))
     down = Window.partitionBy("document_id", "block_no", "col_no").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     carried = spread.withColumn("cell", F.coalesce(F.last(F.when(~lead, F.col("cell")), ignorenulls=True).over(down), F.lit("")))
     head = F.coalesce(F.try_element_at(F.col("head"), F.col("col_no") + 1), F.lit(""))
     label = F.when(head != "", F.concat(head, F.lit(": "), F.col("cell"))).otherwise(F.col("cell"))
-    joined = carried.where("cell <> ''").groupBy("document_id", "block_no", "line_no").agg(F.array_sort(F.collect_list(F.struct("col_no", label.alias("label")))).alias("cells"))
-    return joined.select("document_id", "block_no", F.col("line_no").alias("row_no"), F.array_join(F.transform("cells", lambda c: c["label"]), " | ").alias("label"))
-
-
-_PACK = pa.schema([("document_id", pa.string()), ("block_no", pa.int64()), ("piece_no", pa.int32()), ("heading_path", pa.list_(pa.string())), ("text", pa.string())])
-
-
-def _packed(rows: DataFrame, target: int) -> DataFrame:
-    """(document_id, block_no, piece_no, heading_path, text) of the packs of small paragraphs.
-
-    ``rows``: document_id, block_no, heading_path, small, flat, n.  A run of small paragraphs under one
-    heading path has the number of its first block; its packs are counted from 0.
-    """
+    joined = carried.where("cell <> ''").groupBy("document_id", "block_no", "line_no", *carry).agg(F.array_sort(F.collect_list(F.struct("col_no", label.alias("label")))).alias("cells"))
+    return joined.select("document_id", "block_no", *carry, F.col("line_no").alias("row_no"), F.array_join(F.transform("cells", lambda c: c["label"]), " | ").alias("label"))
+
+
+_PIECES = pa.schema([("document_id", pa.string()), ("block_no", pa.int64()), ("piece_no", pa.int32()), ("block_type", pa.string()), ("heading_path", pa.list_(pa.string())), ("text", pa.string()), ("error", pa.string())])
+#: White space as Spark's patterns know it.
+_SPACE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_WORD, _BETWEEN, _EDGES = re.compile(f"(?:(?!{_SPACE}).)+", re.DOTALL), re.compile(rf'(?<=[.!?]){_SPACE}+(?=[A-Z"“])'), re.compile(f"^{_SPACE}+|{_SPACE}+$")
+
+
+def _cut(flat: str, target: int) -> list[str] | None:
+    """An oversized paragraph's sentences packed greedily; None if one alone is over the target."""
+    packs: list[list[str]] = []
+    held = 0
+    for sentence in (_EDGES.sub("", part) for part in _BETWEEN.split(flat)):
+        n = sum(1 for _ in _WORD.finditer(sentence))
+        if round(n * 1.3) > target:
+            return None
+        if not sentence:
+            continue
+        if packs and round((held + n) * 1.3) <= target:
+            packs[-1].append(sentence)
+            held += n
+        else:
+            packs.append([sentence])
+            held = n
+    return [" ".join(p) for p in packs]
+
+
+def _passed(rows: DataFrame, target: int) -> DataFrame:
+    """Pieces of all blocks but tables, in one pass over each document's blocks in order.
+
+    ``rows``: document_id, block_no, type, heading_path, small, flat, n, text and headless.  A run of small paragraphs
+    under one heading path has the number of its first block; its packs are counted from 0.  No more is held than
+    the pack that is being filled and one block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: list[tuple] = []
+        out: list[tuple] = []
         document = path = None
         texts: list[str] = []
         held = first = piece = 0
         open_ = False  # whether the block before was a small paragraph of this document
         for batch in batches:
-            for doc, no, heading, small, flat, n in zip(*(c.to_pylist() for c in batch.columns)):
+            for doc, no, kind, heading, small, flat, n, text, headless in zip(*(c.to_pylist() for c in batch.columns)):
                 goes_on = open_ and small and doc == document and heading == path
                 if texts and not (goes_on and round((held + n) * 1.3) <= target):
-                    done.append((document, first, piece, path, " ".join(texts)))
+                    out.append((document, first, piece, "paragraph", path, " ".join(texts), None))
                     texts, held, piece = [], 0, piece + 1
                 if small:
                     if not goes_on:
                         first, piece = no, 0
                     texts.append(flat)
                     held += n
+                elif kind == "paragraph":
+                    cut = _cut(flat, target)
+                    if cut is None:
+                        out.append((doc, no, 0, kind, heading, flat[:80], "paragraph has no sentence boundary"))
+                    else:
+                        out += [(doc, no, i, kind, heading, t, None) for i, t in enumerate(cut)]
+                elif kind == "list_item":
+                    if flat:
+                        out.append((doc, no, 0, kind, heading, text, None))
+                elif headless:
+                    out.append((doc, no, 0, "table_row", heading, text, "table has no header"))
+                elif kind is not None and kind not in BLOCK_TYPES:
+                    out.append((doc, no, 0, kind, heading, text, f"unknown block type {kind}"))
                 document, path, open_ = doc, heading, small
-            if done:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), _PACK.types)], schema=_PACK)
-                done = []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _PIECES.types)], schema=_PIECES)
+                out = []
         if texts:
-            yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip((document, first, piece, path, " ".join(texts)), _PACK.types)], schema=_PACK)
+            yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip((document, first, piece, "paragraph", path, " ".join(texts), None), _PIECES.types)], schema=_PIECES)
 
-    ordered = rows.select(F.col("document_id").cast("string"), F.col("block_no").cast("bigint"), "heading_path", "small", F.when(F.col("small"), F.col("flat")).alias("flat"), "n")
+    # A table's text is cut elsewhere; a paragraph travels stripped.
+    whole = F.when(~F.col("type").isin("paragraph", "heading") & ((F.col("type") != "table") | F.col("headless")), F.col("text"))
+    flat = F.when(F.col("type").isin("paragraph", "list_item"), F.col("flat"))
+    ordered = rows.select(F.col("document_id").cast("string").alias("document_id"), F.col("block_no").cast("bigint").alias("block_no"), "type", "heading_path", "small", flat.alias("flat"), "n", whole.alias("text"), "headless")
     ordered = ordered.repartition("document_id").sortWithinPartitions("document_id", "block_no")
-    return ordered.mapInArrow(run, "document_id string, block_no bigint, piece_no int, heading_path array<string>, text string")
+    return ordered.mapInArrow(run, "document_id string, block_no bigint, piece_no int, block_type string, heading_path array<string>, text string, error string")
 
 
 def pieces(blocks: DataFrame, target: int = 200) -> DataFrame:
@@ -158,21 +165,14 @@ def pieces(blocks: DataFrame, target: int = 200) -> DataFrame:
     path = F.coalesce("heading_path", F.array().cast("array<string>"))
     rows = blocks.select("document_id", "block_no", "type", path.alias("heading_path"), "header", "text", T.strip(F.coalesce("text", F.lit(""))).alias("flat"))
     paragraph = F.col("type") == "paragraph"
+    tables = rows.where("type = 'table'").select("document_id", "block_no", "heading_path", "header", "text")
     rows = rows.where(~(paragraph & ((F.col("flat") == "") | T.is_form_blank(F.col("flat")))))
-    rows = rows.withColumn("n", T.word_count(F.col("flat"))).withColumn("small", paragraph & (T.estimate(F.col("n")) <= target))
-    empty = F.lit(None).cast("string")
-    packed = _packed(rows, target).select("document_id", "block_no", "piece_no", F.lit("paragraph").alias("block_type"), "heading_path", "text", empty.alias("error"))
-    cut = rows.where(paragraph & ~F.col("small")).withColumn("cut", split_oversized(F.col("flat"), target))
-    long = cut.where("cut.ok").select("document_id", "block_no", F.posexplode("cut.pieces").alias("piece_no", "text"), "heading_path")
-    long = long.select("document_id", "block_no", "piece_no", F.lit("paragraph").alias("block_type"), "heading_path", "text", empty.alias("error"))
-    uncut = cut.where("not cut.ok").select("document_id", "block_no", F.lit(0).alias("piece_no"), F.lit("paragraph").alias("block_type"), "heading_path", F.left("flat", F.lit(80)).alias("text"), F.lit("paragraph has no sentence boundary").alias("error"))
-    items = rows.where("type = 'list_item' and flat <> ''").select("document_id", "block_no", F.lit(0).alias("piece_no"), F.lit("list_item").alias("block_type"), "heading_path", "text", empty.alias("error"))
-    tables = rows.where("type = 'table'")
-    labelled = table_rows(tables).join(tables.select("document_id", "block_no", "heading_path"), ["document_id", "block_no"])
-    labelled = labelled.select("document_id", "block_no", F.col("row_no").alias("piece_no"), F.lit("table_row").alias("block_type"), "heading_path", F.col("label").alias("text"), empty.alias("error"))
-    unknown = rows.where(~F.col("type").isin(*BLOCK_TYPES)).select("document_id", "block_no", F.lit(0).alias("piece_no"), F.col("type").alias("block_type"), "heading_path", "text", F.concat(F.lit("unknown block type "), F.col("type")).alias("error"))
-    headless = tables.where((F.size(F.coalesce("header", F.array().cast("array<string>"))) == 0) & (F.col("flat") == "")).select("document_id", "block_no", F.lit(0).alias("piece_no"), F.lit("table_row").alias("block_type"), "heading_path", "text", F.lit("table has no header").alias("error"))
-    return packed.union(long).union(uncut).union(items).union(labelled).union(unknown).union(headless)
+    rows = rows.withColumn("n", T.word_count(F.col("flat"))).withColumn("small", F.coalesce(paragraph & (T.estimate(F.col("n")) <= target), F.lit(False)))
+    headless = (F.col("type") == "table") & (F.size(F.coalesce("header", F.array().cast("array<string>"))) == 0) & (F.col("flat") == "")
+    passed = _passed(rows.withColumn("headless", F.coalesce(headless, F.lit(False))), target)
+    labelled = table_rows(tables, ("heading_path",))
+    labelled = labelled.select(F.col("document_id").cast("string"), F.col("block_no").cast("bigint"), F.col("row_no").alias("piece_no"), F.lit("table_row").alias("block_type"), "heading_path", F.col("label").alias("text"), F.lit(None).cast("string").alias("error"))
+    return passed.unionByName(labelled)
 
 
 def numbered(found: DataFrame) -> DataFrame:

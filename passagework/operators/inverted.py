@@ -106,12 +106,12 @@ def search(spark: SparkSession, path: str, questions: DataFrame, k: int, probes:
     def run(key: tuple, vectors: pa.Table, queries: pa.Table) -> pa.Table:
         wanted = Asked(queries["q"].to_pylist(), [None] * queries.num_rows, queries["embedding"].to_pylist(), k)
         found = [*wanted.nearest(iter(vectors.combine_chunks().to_batches()), others)]
-        return pa.Table.from_batches(found) if found else pa.table({"query_id": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64()), **{c: vectors[c].slice(0, 0) for c in others}})
+        return pa.Table.from_batches(found) if found else pa.table({"_q": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64()), **{c: vectors[c].slice(0, 0) for c in others}})
 
     keys = ["list", "cell", "block"]
-    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, "query_id bigint, similarity double, " + ", ".join(f"`{c}` {types[c]}" for c in others))
+    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, "_q bigint, similarity double, " + ", ".join(f"`{c}` {types[c]}" for c in others))
     order = Window.partitionBy("q").orderBy(F.round("similarity", 6).desc(), "ordinal", "chunk_id")
-    best = met.withColumnRenamed("query_id", "q").withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+    best = met.withColumnRenamed("_q", "q").withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
     return best.join(asked.select("q", "query_id"), "q").select("query_id", "similarity", *others, "place")
 
 

@@ -17,9 +17,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from passagework.config import EngineConfig
 from passagework.errors import RetrievalError
+from passagework.folders import fresh_path
 from passagework.schemas import METADATA
 
 #: Query vectors that are sent to the tasks at once; more are joined to the index in blocks of this size.
@@ -101,7 +103,7 @@ class Asked:
         found = best.rows()
         if found is not None:
             query = found["_query"].to_numpy()
-            for part in pa.table({"query_id": self.ids[query], "similarity": found["_similarity"], **{c: found[c] for c in others}}).to_batches(max_chunksize=1 << 14):
+            for part in pa.table({"_q": self.ids[query], "similarity": found["_similarity"], **{c: found[c] for c in others}}).to_batches(max_chunksize=1 << 14):
                 yield part
 
 
@@ -112,33 +114,44 @@ def nearest(index: DataFrame, questions: DataFrame, k: int) -> DataFrame:
     others.  ``questions``: query_id, embedding, and scope_id, which restricts a question
     to one document (null: all).  Up to QUERIES_AT_ONCE questions go to the tasks that scan the
     index, which does not move; more are dealt in blocks of that size to cells of the
-    index, as one plan, and never come to the driver.  Rows or questions without an embedding find nothing.
+    index, as one plan, and never come to the driver.  Rows or questions without an embedding find nothing.  query_id may
+    be of any type; questions that share one are questions of their own.
     """
     others = [c for c in index.columns if c != "embedding"]
     rows = index.where("embedding is not null").select("embedding", *others)
     asked = questions.select("query_id", "scope_id", "embedding").where("embedding is not null")
+    spark = index.sparkSession
     few = asked.limit(QUERIES_AT_ONCE + 1).collect()
-    found = _in_place(rows, others, few, k) if len(few) <= QUERIES_AT_ONCE else _in_cells(rows, others, asked, k)
-    order = Window.partitionBy("query_id").orderBy(F.round("similarity", 6).desc(), "ordinal", "chunk_id")
-    return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+    # Tasks know questions by number; ids, of whatever type, are joined to what is found.
+    if len(few) <= QUERIES_AT_ONCE:
+        found = _in_place(rows, others, few, k)
+        ids = F.broadcast(spark.createDataFrame([(i, r.query_id) for i, r in enumerate(few)], StructType([StructField("_q", LongType()), StructField("query_id", asked.schema["query_id"].dataType)])))
+    else:
+        at = fresh_path(spark, "questions")
+        asked.select(F.monotonically_increasing_id().alias("_q"), "query_id", "scope_id", "embedding").write.parquet(at)
+        numbered = spark.read.parquet(at)
+        found, ids = _in_cells(rows, others, numbered, k), numbered.select("_q", "query_id")
+    order = Window.partitionBy("_q").orderBy(F.round("similarity", 6).desc(), "ordinal", "chunk_id")
+    best = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+    return best.join(ids, "_q").select("query_id", "similarity", *others, "place")
 
 
 def _schema(rows: DataFrame, others: list[str]) -> str:
     types = dict(rows.dtypes)
-    return "query_id bigint, similarity double, " + ", ".join(f"`{c}` {types[c]}" for c in others)
+    return "_q bigint, similarity double, " + ", ".join(f"`{c}` {types[c]}" for c in others)
 
 
 def _in_place(rows: DataFrame, others: list[str], questions: list, k: int) -> DataFrame:
     """One scan for the questions without a scope, and one of the scopes' documents for the others."""
 
     def scan(part: DataFrame, wanted: list) -> DataFrame:
-        asked = Asked([r.query_id for r in wanted], [r.scope_id for r in wanted], [r.embedding for r in wanted], k)
+        asked = Asked([i for i, _ in wanted], [r.scope_id for _, r in wanted], [r.embedding for _, r in wanted], k)
         return part.mapInArrow(lambda batches: asked.nearest(batches, others), _schema(rows, others))
 
-    free, held = [r for r in questions if r.scope_id is None], [r for r in questions if r.scope_id is not None]
+    free, held = ([(i, r) for i, r in enumerate(questions) if (r.scope_id is None) == plain] for plain in (True, False))
     scans = [scan(rows, free)] if free or not held else []
     if held:
-        scans.append(scan(rows.where(F.col("document_id").isin(sorted({r.scope_id for r in held}))), held))
+        scans.append(scan(rows.where(F.col("document_id").isin(sorted({r.scope_id for _, r in held}))), held))
     return scans[0] if len(scans) == 1 else scans[0].unionByName(scans[1])
 
 
@@ -153,16 +166,16 @@ def _in_cells(rows: DataFrame, others: list[str], asked: DataFrame, k: int) -> D
     schema = _schema(rows, others)
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        questions = Asked(*(right[c].to_pylist() for c in ("query_id", "scope_id", "embedding")), k)
+        questions = Asked(*(right[c].to_pylist() for c in ("_q", "scope_id", "embedding")), k)
         found = [*questions.nearest(iter(left.combine_chunks().to_batches()), others)]
-        return pa.Table.from_batches(found) if found else pa.table({"query_id": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64()), **{c: left[c].slice(0, 0) for c in others}})
+        return pa.Table.from_batches(found) if found else pa.table({"_q": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64()), **{c: left[c].slice(0, 0) for c in others}})
 
     def met(part: DataFrame, wanted: DataFrame) -> DataFrame:
         blocks = -(-wanted.count() // QUERIES_AT_ONCE)
         if not blocks:
             return None
         left = part.withColumn("_cell", F.pmod(F.xxhash64("chunk_id"), F.lit(cells))).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
-        right = wanted.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("_cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1)).cast("array<bigint>")))
+        right = wanted.withColumn("_block", F.pmod(F.xxhash64("_q"), F.lit(blocks))).withColumn("_cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1)).cast("array<bigint>")))
         return left.groupBy("_cell", "_block").cogroup(right.groupBy("_cell", "_block")).applyInArrow(run, schema)
 
     scopes = asked.where("scope_id is not null")

@@ -220,3 +220,14 @@ def test_equal_roots_and_empty_versions(spark, tmp_path):
     version(spark, f"{tmp_path}/none", [])
     assert buckets.changed_chunks(spark, f"{tmp_path}/a", f"{tmp_path}/b").count() == 0
     assert [tuple(r)[:2] for r in buckets.changed_chunks(spark, f"{tmp_path}/none", f"{tmp_path}/a").collect()] == [("x", "added")]
+
+
+@pytest.mark.parametrize("at_once", [2048, 5])
+def test_questions_of_any_id_type_find_their_neighbours(spark, index, monkeypatch, at_once):
+    df, _ = index
+    monkeypatch.setattr(retrieval, "QUERIES_AT_ONCE", at_once)
+    scoped = asked(spark).withColumn("scope_id", F.when(F.col("query_id").cast("int") % 3 == 0, "d1"))
+    want = hits(retrieval.nearest(df, asked(spark, "bigint").withColumn("scope_id", F.when(F.col("query_id") % 3 == 0, "d1")), 4))
+    assert hits(retrieval.nearest(df, scoped, 4)) == want and len(want) > 100
+    twins = spark.createDataFrame([("007", None, [1.0] * 8), ("007", None, [1.0] * 8)], "query_id string, scope_id string, embedding array<double>")
+    assert [r.query_id for r in retrieval.nearest(df, twins, 3).collect()] == ["007"] * 6

@@ -8,8 +8,10 @@ import os
 import duckdb
 import pytest
 
+from jobs import registered as jobs
 from passagework.plans import registered
 
+QUERIES, ORACLES = {**registered.QUERIES, **jobs.QUERIES}, {**registered.ORACLES, **jobs.ORACLES}
 SF = "/root/testdata/sf0.001"
 
 
@@ -31,14 +33,14 @@ def plain(x):
     return x
 
 
-@pytest.mark.parametrize("name", sorted(registered.QUERIES))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
-    df = registered.QUERIES[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     rows = df.collect()
-    if name not in registered.ORACLES:
+    if name not in ORACLES:
         assert rows
         return
-    want = con.execute(registered.ORACLES[name])
+    want = con.execute(ORACLES[name])
     columns = [c[0] for c in want.description]
     assert sorted(columns) == sorted(df.columns)
     assert sorted((tuple(plain(r[c]) for c in columns) for r in rows), key=repr) == sorted((plain(r) for r in want.fetchall()), key=repr)
@@ -52,4 +54,4 @@ def test_core_queries_are_registered_without_the_optional_part(monkeypatch, lost
     import __spark_entry__ as entry
 
     monkeypatch.setitem(sys.modules, lost, None)
-    assert set(entry.queries()) == set(registered.QUERIES) and entry.oracle_sql() == registered.ORACLES
+    assert set(entry.queries()) == set(QUERIES) and entry.oracle_sql() == ORACLES
