@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from itertools import count
+
 import brute
 import corpus_pipeline
 import pytest
@@ -67,7 +69,8 @@ def test_empty_documents(spark):
 
 
 def test_run_leaves_only_its_result(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(shared, "fresh_path", lambda _, name: f"file://{tmp_path}/{name}")
+    numbers = count()
+    monkeypatch.setattr(shared, "fresh_path", lambda _, name: f"file://{tmp_path}/{name}-{next(numbers)}")
     found = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
-    assert [p.name for p in tmp_path.iterdir()] == ["sentencepiece_ids"]
+    assert [p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()] == ["sentencepiece_ids"]
     assert found.count() > 0
