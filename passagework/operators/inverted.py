@@ -1,8 +1,8 @@
 """An approximate index: vectors in lists around coarse centroids, of which a query reads the nearest few.
 
 The centroids are trained on a bounded sample; every vector is indexed.  The store is Parquet by list, so the lists that no
-query probes are never opened.  Within a list vectors are dealt to cells and queries to blocks, both of
-bounded size, so no list, however full or much asked for, is one task.  Scores are exact, and with all lists
+query probes are never opened.  Within a list vectors are dealt to cells of bounded size, which the questions pass by in blocks, so no list, however full
+or much asked for, is held whole.  Scores are exact, and with all lists
 probed so are the results.
 """
 
@@ -17,10 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from passagework.folders import delete, fresh_path
-from passagework.operators.retrieval import Asked, _matrix
-
-#: Vectors of a cell and queries of a block: what one task multiplies.
-CELL_VECTORS, BLOCK_QUERIES = 1 << 16, 2048
+from passagework.operators.retrieval import _matrix, within_lists
 
 
 @dataclass(frozen=True)
@@ -94,22 +91,9 @@ def search(spark: SparkSession, path: str, questions: DataFrame, k: int, probes:
     questions.where("embedding is not null").select(F.monotonically_increasing_id().alias("q"), "query_id", "embedding").write.parquet(at)
     asked = spark.read.parquet(at)
     probed = _with_lists(asked.select("q", "embedding"), middles, len(held) if probes is None else min(probes, len(held)))
-    per_list = probed.groupBy("list").agg(F.count(F.lit(1)).alias("nq")).join(index.groupBy("list").agg(F.count(F.lit(1)).alias("nv")), "list").collect()  # a row per list
-    if not per_list:
-        return asked.limit(0).join(index.limit(0)).select("query_id", F.lit(0.0).alias("similarity"), *others, F.lit(1).alias("place"))
-    sizes = spark.createDataFrame([(r.list, -(-r.nv // CELL_VECTORS), -(-r.nq // BLOCK_QUERIES)) for r in per_list], "list int, cells bigint, blocks bigint")
-    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
-    left = index.where(F.col("list").isin([r.list for r in per_list])).join(F.broadcast(sizes), "list").withColumn("cell", F.pmod(F.xxhash64("chunk_id"), "cells")).withColumn("block", upto("blocks")).drop("cells", "blocks")
-    right = probed.join(F.broadcast(sizes), "list").withColumn("block", F.pmod(F.xxhash64("q"), "blocks")).withColumn("cell", upto("cells")).drop("cells", "blocks")
-    types = dict(index.dtypes)
-
-    def run(key: tuple, vectors: pa.Table, queries: pa.Table) -> pa.Table:
-        wanted = Asked(queries["q"].to_pylist(), [None] * queries.num_rows, queries["embedding"].to_pylist(), k)
-        found = [*wanted.nearest(iter(vectors.combine_chunks().to_batches()), others)]
-        return pa.Table.from_batches(found) if found else pa.table({"_q": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64()), **{c: vectors[c].slice(0, 0) for c in others}})
-
-    keys = ["list", "cell", "block"]
-    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, "_q bigint, similarity double, " + ", ".join(f"`{c}` {types[c]}" for c in others))
+    # At most as many numbers as there are lists; the others' files are not opened.
+    wanted = sorted(r.list for r in probed.select("list").distinct().collect())
+    met = within_lists(index.where(F.col("list").isin(wanted)), probed.withColumnRenamed("q", "_q"), others, k)
     order = Window.partitionBy("q").orderBy(F.round("similarity", 6).desc(), "ordinal", "chunk_id")
     best = met.withColumnRenamed("_q", "q").withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
     return best.join(asked.select("q", "query_id"), "q").select("query_id", "similarity", *others, "place")

@@ -26,8 +26,8 @@ from passagework.schemas import METADATA
 
 #: Query vectors that are sent to the tasks at once; more are joined to the index in blocks of this size.
 QUERIES_AT_ONCE = 2048
-#: Index bytes behind one cell where questions come in blocks.
-CELL_BYTES = 32 << 20
+#: Rows of one cell where questions pass by in blocks.
+CELL_ROWS = 1 << 15
 
 
 class Best:
@@ -100,6 +100,16 @@ class Asked:
             for scope in {*documents} & self.of.keys():
                 own, queries = np.flatnonzero(documents == scope), self.of[scope]
                 best.offer(rows.take(pa.array(own)), 1.0 - (1.0 - vectors[own] @ self.matrix[queries].T), queries)
+        yield from self._given(best, others)
+
+    def among(self, vectors: np.ndarray, rows: pa.RecordBatch, others: list[str], at_once: int = 1 << 12) -> Iterator[pa.RecordBatch]:
+        """The best of ``rows``, whose unit vectors are given, for each question."""
+        best = Best(len(self.ids), self.k)
+        for i in range(0, len(vectors), at_once):
+            best.offer(rows.slice(i, at_once), 1.0 - (1.0 - vectors[i : i + at_once] @ self.matrix.T), np.arange(len(self.ids)))
+        yield from self._given(best, others)
+
+    def _given(self, best: Best, others: list[str]) -> Iterator[pa.RecordBatch]:
         found = best.rows()
         if found is not None:
             query = found["_query"].to_numpy()
@@ -113,8 +123,8 @@ def nearest(index: DataFrame, questions: DataFrame, k: int) -> DataFrame:
     ``index``: chunk_id, document_id, ordinal (registry order of its document), embedding, and any
     others.  ``questions``: query_id, embedding, and scope_id, which restricts a question
     to one document (null: all).  Up to QUERIES_AT_ONCE questions go to the tasks that scan the
-    index, which does not move; more are dealt in blocks of that size to cells of the
-    index, as one plan, and never come to the driver.  Rows or questions without an embedding find nothing.  query_id may
+    index, which does not move; more never come to the driver: the index moves once, to cells
+    that the questions pass by (``within_lists``).  Rows or questions without an embedding find nothing.  query_id may
     be of any type; questions that share one are questions of their own.
     """
     others = [c for c in index.columns if c != "embedding"]
@@ -156,32 +166,62 @@ def _in_place(rows: DataFrame, others: list[str], questions: list, k: int) -> Da
 
 
 def _in_cells(rows: DataFrame, others: list[str], asked: DataFrame, k: int) -> DataFrame:
-    """Each block of questions meets each cell of the index: a stated set of queries against all rows.
+    """Any number of questions against all rows: those without a scope meet every row, the others their document's."""
+    free = within_lists(rows.withColumn("list", F.lit(0)), asked.where("scope_id is null").select("_q", F.lit(0).alias("list"), "embedding"), others, k)
+    held = within_lists(rows.withColumn("list", F.col("document_id")), asked.where("scope_id is not null").select("_q", F.col("scope_id").alias("list"), "embedding"), others, k)
+    return free.unionByName(held)
+
 
-    Index rows are copied once per block, which is what a scan per block would read.  A
-    scoped question meets only the cells that hold its document, and only rows of such documents are copied for it."""
+def within_lists(rows: DataFrame, asked: DataFrame, others: list[str], k: int) -> DataFrame:
+    """(_q, similarity) and ``others``: the best rows per question and cell among ``rows`` (list, embedding, chunk_id, others)
+    of the lists that ``asked`` (_q bigint, list, embedding) names; a question may name several.
+
+    A list's rows are dealt to cells of about CELL_ROWS.  Each row goes to one cell, once, however many questions there are;
+    each question goes to all cells of its lists.  A task holds one cell's vectors and lets its questions pass by in
+    blocks of QUERIES_AT_ONCE, so neither a full list nor one that is much asked for is held whole."""
     spark = rows.sparkSession
-    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    cells = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // CELL_BYTES) if size < 1 << 55 else rows.count() // 10_000)
-    schema = _schema(rows, others)
-
-    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        questions = Asked(*(right[c].to_pylist() for c in ("_q", "scope_id", "embedding")), k)
-        found = [*questions.nearest(iter(left.combine_chunks().to_batches()), others)]
-        return pa.Table.from_batches(found) if found else pa.table({"_q": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64()), **{c: left[c].slice(0, 0) for c in others}})
-
-    def met(part: DataFrame, wanted: DataFrame) -> DataFrame:
-        blocks = -(-wanted.count() // QUERIES_AT_ONCE)
-        if not blocks:
-            return None
-        left = part.withColumn("_cell", F.pmod(F.xxhash64("chunk_id"), F.lit(cells))).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
-        right = wanted.withColumn("_block", F.pmod(F.xxhash64("_q"), F.lit(blocks))).withColumn("_cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1)).cast("array<bigint>")))
-        return left.groupBy("_cell", "_block").cogroup(right.groupBy("_cell", "_block")).applyInArrow(run, schema)
-
-    scopes = asked.where("scope_id is not null")
-    own = rows.join(scopes.select(F.col("scope_id").alias("document_id")).distinct(), "document_id", "left_semi")
-    found = [x for x in (met(rows, asked.where("scope_id is null")), met(own, scopes)) if x is not None]
-    return found[0] if len(found) == 1 else found[0].unionByName(found[1])
+    types = dict(rows.dtypes)
+    named = rows.join(asked.select("list").distinct(), "list", "left_semi")
+    cells = named.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / CELL_ROWS).cast("bigint").alias("cells"))
+    dealt = named.join(cells, "list").withColumn("cell", F.xxhash64("list", F.pmod(F.xxhash64("chunk_id"), "cells")))
+    asks = asked.join(cells, "list").withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("cells") - 1), lambda c: F.xxhash64("list", c))))
+    row = F.struct(*others) if others else F.struct(F.lit(0).alias("_none"))
+    # Lists whose cells share a hash are told apart by the list itself.
+    left = dealt.select("cell", F.col("list").cast("string").alias("list"), F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("_q"), F.col("embedding").cast("array<double>").alias("embedding"), row.alias("row"))
+    right = asks.select("cell", F.col("list").cast("string").alias("list"), F.lit(1).alias("kind"), "_q", F.col("embedding").cast("array<double>").alias("embedding"), F.lit(None).cast(dict(left.dtypes)["row"]).alias("row"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at: tuple | None = None
+        held: list[pa.RecordBatch] = []
+        matrix: np.ndarray | None = None
+        for batch in batches:
+            column = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: B023, E731
+            keys = [*zip(column("cell").to_pylist(), column("list").to_pylist(), column("kind").to_pylist())]
+            edges = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+            for first, stop in zip(edges, edges[1:]):
+                if first == stop:
+                    continue
+                part, (cell, name, kind) = batch.slice(first, stop - first), keys[first]
+                if (cell, name) != at:
+                    at, held, matrix = (cell, name), [], None
+                if kind == 0:
+                    held.append(part)
+                    continue
+                if not held:
+                    continue
+                if matrix is None:
+                    vectors = pa.Table.from_batches(held)
+                    matrix = _matrix(vectors["embedding"].to_pylist())
+                    payload = pa.RecordBatch.from_struct_array(vectors["row"].combine_chunks()) if others else None
+                for i in range(0, part.num_rows, QUERIES_AT_ONCE):
+                    block = part.slice(i, QUERIES_AT_ONCE)
+                    asked_ = Asked(block.column(block.schema.get_field_index("_q")).to_pylist(), [None] * block.num_rows, block.column(block.schema.get_field_index("embedding")).to_pylist(), k)
+                    yield from asked_.among(matrix, payload, others)
+
+    met = left.unionByName(right)
+    # The number of tasks follows the session's; cells are many more than tasks where the index is large.
+    met = met.repartition("cell").sortWithinPartitions("cell", "list", "kind")
+    return met.mapInArrow(run, "_q bigint, similarity double, " + ", ".join(f"`{c}` {types[c]}" for c in others))
 
 
 def integrity(index: DataFrame, registry: DataFrame) -> DataFrame:
