@@ -1,4 +1,4 @@
-"""Queries of what is logged: calls of a generator, turns, and lines of files that are no blocks."""
+"""Queries of what is logged and asked for: calls of a generator, turns, requests, and lines of files that are no blocks."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from passagework.plans import turns
 from passagework.plans.catalogue import query, table
 from passagework.plans.question_queries import OPENED, named_sql, opened, reason_sql
 from passagework.registry import REGISTRY
-from passagework.sources import stores
+from passagework.sources import fetch, stores
 
 
 @query("""
@@ -55,6 +55,36 @@ def turn_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.read_log(spark, f"{path}/log").select("figure", "value", "turns", "n")
 
 
+@query("""
+with asked as (select page_id, page_id % 7 as kind from pages)
+select page_id::varchar as document_id, case when kind in (2, 5, 6) then 200 when kind = 1 then 404 end as http_status,
+    case when kind = 2 then 'https://files.example/' || page_id || '/guide.pdf' when kind in (1, 5, 6) then 'https://host' || page_id % 5 || '.example/' || page_id end as final_url,
+    case kind when 0 then 'timed out on ' || page_id when 1 then 'HTTP 404' when 3 then 'no English PDF link on the publication page' when 4 then 'English PDF link did not return a PDF' end as error,
+    case when kind = 2 then '%PDF-1.7 of ' || page_id when kind = 1 then 'gone' when kind in (5, 6) then '<html>page ' || page_id || '</html>' end as body
+from asked
+""")
+def fetched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request for every page, of which some time out, some are not there and some are landing pages that lead to a PDF, to none, or astray."""
+    import re
+
+    def get(url: str) -> tuple[bytes, int, str, str]:
+        n = int(re.search(r"/(\d+)", url).group(1))
+        kind = n % 7
+        if "files.example" in url:
+            return (b"%PDF-1.7 of " + str(n).encode() if kind == 2 else b"<html>not here</html>"), 200, "application/pdf", url
+        if kind == 0:
+            raise TimeoutError(f"timed out on {n}")
+        if kind == 1:
+            return b"gone", 404, "text/html", url
+        if kind in (2, 4):
+            return f'<html lang="en"><a href="https://files.example/{n}/guia.pdf">Español</a><a href="https://files.example/{n}/guide.pdf" hreflang="en">Download</a></html>'.encode(), 200, "text/html", url
+        return f"<html>page {n}</html>".encode(), 200, "text/html", url
+
+    host = F.concat(F.lit("https://host"), F.col("page_id") % 5, F.lit(".example/"), "page_id")
+    wanted = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("document_id"), host.alias("source_url"), (F.col("page_id") % 7).isin(2, 3, 4).alias("landing_page"))
+    return fetch.fetch(wanted, get).select("document_id", "http_status", "final_url", "error", F.col("body").cast("string").alias("body"))
+
+
 @query("""
 with placed as (select doc_id, text, doc_id // 100 as grp, row_number() over (partition by doc_id // 100 order by doc_id) as line_no from documents)
 select grp, line_no, case when doc_id % 17 in (3, 8) then doc_id::varchar end as document_id, case doc_id % 17 when 3 then 'text' when 5 then 'json' when 6 then 'json' when 8 then 'type' when 9 then 'document_id' end as missing

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from passagework.errors import FetchError
+from passagework.folders import fresh_path
 
 # Request header, languages, and marks of a bot challenge.
 USER_AGENT = "Mozilla/5.0 (X11; Linux x86_64) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/128.0.0.0 Safari/537.36"
@@ -120,8 +121,12 @@ def merged_manifest(registry: DataFrame, previous: DataFrame, responses: DataFra
 _RESPONSE = "document_id string, body binary, http_status int, content_type string, final_url string, error string"
 
 
-def _got(documents: DataFrame, get: Callable[[str], tuple[bytes, int, str, str]]) -> DataFrame:
-    """One request for each (document_id, url), made in the tasks; what ``get`` raises becomes the row's error."""
+def _got(documents: DataFrame, get: Callable[[str], tuple[bytes, int, str, str]], per_host: int) -> DataFrame:
+    """One request for each (document_id, url), made in the tasks; what ``get`` raises becomes the row's error.
+
+    A host's requests are dealt to ``per_host`` tasks at most, each of which makes one at a time.  Answers are written
+    before they are read, so what is lost later is read again and not asked for again."""
+    spark = documents.sparkSession
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -134,22 +139,27 @@ def _got(documents: DataFrame, get: Callable[[str], tuple[bytes, int, str, str]]
                     out.append((document_id, None, None, None, None, str(e).strip() or type(e).__name__))
             yield pd.DataFrame(out, columns=["document_id", "body", "http_status", "content_type", "final_url", "error"])
 
-    return documents.select("document_id", "url").mapInPandas(run, _RESPONSE)
+    host = F.coalesce(F.try_parse_url("url", F.lit("HOST")), F.lit(""))
+    dealt = documents.select("document_id", "url").withColumn("host", host).withColumn("slot", F.pmod(F.xxhash64("url"), F.lit(per_host)))
+    at = fresh_path(spark, "answers")
+    dealt.repartition("host", "slot").select("document_id", "url").mapInPandas(run, _RESPONSE).write.parquet(at)
+    return spark.read.schema(_RESPONSE).parquet(at)
 
 
-def fetch(documents: DataFrame, get: Callable[[str], tuple[bytes, int, str, str]]) -> DataFrame:
+def fetch(documents: DataFrame, get: Callable[[str], tuple[bytes, int, str, str]], per_host: int = 2) -> DataFrame:
     """(document_id, body, http_status, content_type, final_url, error) by ``get(url)`` in the tasks.
 
     ``get`` returns body, status, content type and final URL; what it raises becomes the row's error.
     A landing page is followed to its best English PDF (``best_links``); the cited URL stays
-    the registry's.  First answers are kept in memory, so that no page is asked for twice.
+    the registry's.  The requests are made when this is called, at most ``per_host`` of a host at a time; answers stand in
+    the shared folder.
     """
     from passagework.operators.html_blocks import html_links
 
-    first = _got(documents.withColumn("url", F.col("source_url")), get).persist()
+    first = _got(documents.withColumn("url", F.col("source_url")), get, per_host)
     landing = documents.where("landing_page").select("document_id").join(first.where("error is null"), "document_id")
     best = best_links(html_links(landing.select("document_id", F.col("final_url").alias("base_url"), F.make_valid_utf8(F.col("body").cast("string")).alias("html"))))
-    second = _got(best.withColumn("url", F.col("href")), get)
+    second = _got(best.withColumn("url", F.col("href")), get, per_host)
     is_pdf = F.startswith(F.ltrim(F.decode(F.substring("body", 1, 1024), "ISO-8859-1"), F.lit(" \t\n\r\x0b\x0c")), F.lit("%PDF"))
     problem = F.when(F.col("error").isNull() & ~is_pdf, F.lit("English PDF link did not return a PDF")).otherwise(F.col("error"))
     followed = second.withColumn("error", problem)

@@ -114,3 +114,30 @@ def test_turns_are_counted_while_they_are_written(spark, tmp_path):
     assert log["b2", "answer"] == (2, 4) and log["b1", "answer"] == (0, 2) and log["b2", "one"] == (1, 4) and log["b1", "medical"] == (1, 2)
     assert len(log) == 2 * len(turns.figures())
     assert spark.read.parquet(paths[0]).groupBy("batch").agg(F.count(F.lit(1)).alias("n")).orderBy("batch").collect() == [("b1", 2), ("b2", 4)]
+
+
+def test_no_page_is_asked_for_twice_and_hosts_are_spared(spark, tmp_path):
+    from passagework.sources import fetch
+
+    seen = f"{tmp_path}/seen"
+
+    def get(url):
+        import time
+
+        with open(seen, "a") as f:
+            f.write(f"begin {url}\n")
+        time.sleep(0.2)
+        with open(seen, "a") as f:
+            f.write(f"end {url}\n")
+        if url.endswith("/9"):
+            raise OSError("refused")
+        return b"<html>x</html>", 200, "text/html", url
+
+    rows = [(f"a{i}", f"https://one.example/{i}", False) for i in range(10)] + [("b", "not a url", False)]
+    found = fetch.fetch(spark.createDataFrame(rows, "document_id string, source_url string, landing_page boolean").repartition(8), get, per_host=1)
+    for _ in range(2):
+        assert {r.document_id: r.error for r in found.collect()} == {**{f"a{i}": "refused" if i == 9 else None for i in range(10)}, "b": None}
+        spark.catalog.clearCache()
+    lines = [x for x in open(seen).read().splitlines() if "one.example" in x]
+    assert len(lines) == 20 and len(set(lines)) == 20
+    assert all(a.split()[0] == "begin" and b == a.replace("begin", "end") for a, b in zip(lines[::2], lines[1::2])), "one request at a time"
