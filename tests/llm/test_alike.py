@@ -66,26 +66,3 @@ def test_sketches_never_rule_out_a_pair():
         x, y = alike._sketches(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
         bits = int(np.bitwise_count(x ^ y).sum())
         assert 0.8 * min(len(np.setxor1d(a, b)), 400) <= bits <= len(np.setxor1d(a, b))
-
-
-def test_fingerprints_of_sets_find_the_nearest_copies(spark, monkeypatch):
-    """Of the links of planted copies those within three bits come from fingerprints, all of them from both ways together."""
-    words = [f"w{i}" for i in range(3000)]
-    rows = [(i, " ".join(words[:i] + ["changed"] + words[i + 1 :]), "en", "a", 0) for i in range(0, 40, 4)]
-    df = spark.createDataFrame(rows, brute.DOCUMENTS)
-    assert {r.component_id for r in alike.near_copies(df).collect()} == {0}
-    described = alike._described(df, alike.Alike(), "text", False)
-    nodes = described.selectExpr("node", "doc_id as low", "1L as copies", "n", "fp")
-    found = alike._by_fingerprint(nodes)
-    prints = {r.node: r.fp for r in nodes.collect()}
-    want = {(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 3}
-    # Nodes of one fingerprint meet their head alone, and heads meet heads.
-    got = {(r.a, r.b) for r in found.collect()}
-    assert got and got <= want
-    monkeypatch.setattr(alike, "_by_fingerprint", lambda nodes: nodes.selectExpr("node as a", "node as b").limit(0))
-    assert {r.component_id for r in alike.near_copies(df).collect()} == {0}
-
-
-def test_a_print_is_the_majority_of_the_bits():
-    keys = np.array([0b0011, 0b0101, 0b1001, 5, 6], np.uint64)
-    assert alike._prints(keys, np.array([0, 3, 3, 5])).tolist() == [0b0001, 0, 0b0100]
