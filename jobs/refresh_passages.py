@@ -106,6 +106,7 @@ def refresh_passages(spark: SparkSession, source: str, output: str, checkpoint:
     those the document had.  Returns the number of batches of this run and of current documents and passages."""
     for name, (schema, parts, kind) in TABLES.items():
         spark.createDataFrame([], schema).write.format(kind).mode("ignore").partitionBy(*parts).save(f"{output}/{name}")
+    before = _table(spark, output, "log").count()
     stream = spark.readStream.schema(DOCUMENTS).option("maxFilesPerTrigger", files_per_batch).parquet(source)
     rows = stream.select("doc_id", "text", "lang", F.col("_metadata.file_modification_time").alias("changed"), F.col("_metadata.file_path").alias("path"))
     query = (
@@ -115,7 +116,7 @@ def refresh_passages(spark: SparkSession, source: str, output: str, checkpoint:
         .start()
     )
     query.awaitTermination()
-    batches = sum(p["numInputRows"] > 0 for p in query.recentProgress)
+    batches = _table(spark, output, "log").count() - before
     totals = last_versions(spark, output).agg(F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum("n_passages"), F.lit(0)).alias("passages")).first()
     done = {"batches": batches, "documents": totals.documents, "passages": totals.passages}
     LOG.info("read %s in %d batches; %s holds %d documents with %d passages", source, batches, output, done["documents"], done["passages"])

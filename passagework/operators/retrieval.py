@@ -211,7 +211,7 @@ def within_lists(rows: DataFrame, asked: DataFrame, others: list[str], k: int) -
                     continue
                 if matrix is None:
                     vectors = pa.Table.from_batches(held)
-                    matrix = _matrix(vectors["embedding"].to_pylist())
+                    matrix = _matrix(vectors["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(vectors.num_rows, -1))
                     payload = pa.RecordBatch.from_struct_array(vectors["row"].combine_chunks()) if others else None
                 for i in range(0, part.num_rows, QUERIES_AT_ONCE):
                     block = part.slice(i, QUERIES_AT_ONCE)

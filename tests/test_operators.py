@@ -280,7 +280,7 @@ def test_a_task_passes_on_k_rows_per_question(spark):
         idx, qs = many(spark, 4000)
         rows = idx.select("embedding", "chunk_id", "document_id", "ordinal").coalesce(1)
         found = retrieval._in_place(rows, ["chunk_id", "document_id", "ordinal"], qs.collect(), 5)
-        assert found.groupBy("query_id").count().where("count <> 5").count() == 0 and found.count() == 20 * 5
+        assert found.groupBy("_q").count().where("count <> 5").count() == 0 and found.count() == 20 * 5
         tied = rows.withColumn("embedding", F.array(*[F.lit(1.0)] * 8))
         assert retrieval._in_place(tied, ["chunk_id", "document_id", "ordinal"], qs.collect(), 5).count() == 20 * 5
     finally:
