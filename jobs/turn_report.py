@@ -32,8 +32,7 @@ LOG = common.log_of("turn_report")
 
 def titles(documents: DataFrame, words: int) -> DataFrame:
     """(document_id, alias): a document's first ``words`` words; documents of fewer have no alias."""
-    flat = F.split(guard.alias_text(F.col("text")), " ")
-    return documents.select(F.col("doc_id").alias("document_id"), flat.alias("w")).where(F.size("w") >= words).select("document_id", F.array_join(F.slice("w", 1, words), " ").alias("alias"))
+    return documents.select(F.col("doc_id").alias("document_id"), guard.opening(F.col("text"), words).alias("alias")).where("alias is not null")
 
 
 def new_numbers(turns: DataFrame) -> DataFrame:

@@ -86,6 +86,12 @@ def alias_text(message: Column) -> Column:
     return T.collapse(F.regexp_replace(T.fold(message), r"(?U)[^\w\s]+", " "))
 
 
+def opening(text: Column, words: int) -> Column:
+    """The first ``words`` words of ``alias_text``; null where there are fewer.  Only these are folded, not the whole text."""
+    lead = F.regexp_extract(text, r"(?U)^\W*(?:\w+\W+){" + str(words - 1) + r"}\w+", 0)
+    return F.when(lead != "", alias_text(lead))
+
+
 def named_document(message: Column, documents: list[tuple[str, list[str]]]) -> Column:
     """The one document of (id, aliases) that a message names as a whole span; null for none or several.
 

@@ -214,8 +214,7 @@ select conv_id, turn, case when low = high then low end as document_id, (case wh
 """)
 def alias_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G7 with a registry of any size: its aliases are the first two words of every document."""
-    flat = F.split(guard.alias_text(F.col("text")), " ")
-    aliases = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), flat.alias("w")).where("size(w) >= 2").select("document_id", F.array_join(F.slice("w", 1, 2), " ").alias("alias"))
+    aliases = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), guard.opening(F.col("text"), 2).alias("alias")).where("alias is not null")
     found = guard.named_by_table(table(spark, sf_dir, "conversations"), aliases, "text")
     return found.select("conv_id", "turn", F.col("scope_id").alias("document_id"), "n_named")
 

@@ -208,6 +208,15 @@ def test_named_by_table_of_odd_aliases(spark):
         guard.named_by_table(messages, spark.createDataFrame([(1, "a b c")], alias), most_words=2)
 
 
+def test_openings_are_the_first_words_of_the_whole_text_folded(spark):
+    texts = ["Red apples keep well", " -- Straße, 12\u00a0Nord! x", "one", "", None, "a_b c'd e", "\u201cQuoted\u201d text\nmore", "É\u0301t\u00e9 ok no"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for n in (1, 2, 3):
+        words = F.split(guard.alias_text(F.col("t")), " ")
+        whole = F.when((F.size(words) >= n) & (guard.alias_text(F.col("t")) != ""), F.array_join(F.slice(words, 1, n), " "))
+        assert all(r.a == r.b for r in rows.select(guard.opening(F.col("t"), n).alias("a"), whole.alias("b")).collect())
+
+
 def test_jobs_import_nothing_of_the_corpus_operators():
     code = "import sys; import jobs.registered; assert not any('llm' in m or m == 'corpus_pipeline' for m in sys.modules if m.startswith(('passagework', 'corpus')))"
     assert subprocess.run([sys.executable, "-c", code], cwd=ROOT, timeout=120).returncode == 0
