@@ -129,16 +129,21 @@ def rendered(drafts: DataFrame, hits: DataFrame, registry: DataFrame) -> DataFra
     return rows.withColumn("section_heading", F.coalesce(F.try_element_at(cited, F.lit(1))["section_heading"], F.lit(""))).withColumn("claim_pos", F.row_number().over(order))
 
 
-def checked(claims: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
-    """``rendered`` claims with resolved chunk_ids and drop_reason (null: the claim stays)."""
+def checked(claims: DataFrame, config: EngineConfig = EngineConfig(), whole_section: bool = True) -> DataFrame:
+    """``rendered`` claims with resolved chunk_ids and drop_reason (null: the claim stays).
+
+    ``whole_section``: a section whose own address (its document's first hit's) is not the registry's loses all its
+    claims; else a claim is judged by the addresses of what it cites alone."""
     rows = claims.withColumn("chunk_ids", resolved(F.col("chunk_ids"), F.col("own")))
     cited = F.filter(F.transform("chunk_ids", lambda i: F.try_element_at(F.filter(F.col("own"), lambda h: h["chunk_id"] == i), F.lit(1))), lambda h: h.isNotNull())
     rows = rows.withColumn("cited", cited).withColumn("support", F.array_join(F.transform("cited", lambda h: h["text"]), "\n"))
     advice = scope_reason(F.col("text"))
+    elsewhere = F.exists("cited", lambda h: h["source_url"] != F.col("reg_source_url"))
+    elsewhere = (F.col("source_url") != F.col("reg_source_url")) | elsewhere if whole_section else elsewhere
     reason = (
         F.when(T.strip(F.col("text")) == "", "empty_text")
         .when(membership(F.col("chunk_ids"), F.col("own"), F.col("hits")).isNotNull(), membership(F.col("chunk_ids"), F.col("own"), F.col("hits")))
-        .when((F.col("source_url") != F.col("reg_source_url")) | F.exists("cited", lambda h: h["source_url"] != F.col("reg_source_url")), "bad_citation_url")
+        .when(elsewhere, "bad_citation_url")
         .when(advice.isin(*PERSONAL), advice)
         .when(F.col("text").rlike(BLENDED), "blended_voice")
         .when(~numbers_supported(F.col("text"), F.col("support")), "unsupported_number")
