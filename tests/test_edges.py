@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from passagework.operators import claims as C
+from passagework.operators import html_blocks as H
 from passagework.registry import REGISTRY, registry
 
 
@@ -14,3 +15,9 @@ def test_a_claim_answers_for_what_it_cites_or_for_its_whole_section(spark):
     claims = C.rendered(drafts, hits, registry(spark))
     assert C.checked(claims).first().drop_reason == "bad_citation_url"
     assert C.checked(claims, whole_section=False).first().drop_reason is None
+
+
+def test_references_without_a_semicolon_are_characters_or_text():
+    html = "<h1>Beef &amp; ham &lt; eggs &amp</h1><h2>&am &#38 &#x26; &copy; 1 &</h2>"
+    assert [b["text"] for b in H.blocks(html, "t")] == ["Beef & ham < eggs &", "&am & & © 1 &"]
+    assert [b["text"] for b in H.blocks(html, "t", open_references=False)] == ["Beef & ham < eggs &amp", "&am &#38 & © 1 &"]
