@@ -126,14 +126,15 @@ def named_by_table(messages: DataFrame, aliases: DataFrame, message: str = "mess
     sizes = sorted(r.n for r in keys.select("n").distinct().limit(most_words + 1).collect())
     if sizes and (len(sizes) > most_words or sizes[-1] > most_words):
         raise ValueError(f"an alias has over {most_words} words")
-    flat = messages.withColumn("_flat", alias_text(F.col(message)))
     if not sizes:
-        return flat.drop("_flat").withColumn("scope_id", F.lit(None).cast(dict(aliases.dtypes)["document_id"])).withColumn("n_named", F.lit(0))
-    words = flat.where("_flat <> ''").select("_flat").distinct().select("_flat", F.split("_flat", " ").alias("w"))
+        return messages.withColumn("scope_id", F.lit(None).cast(dict(aliases.dtypes)["document_id"])).withColumn("n_named", F.lit(0))
+    # Each run of a message bears 96 bits of two hashes for it, not the message, which would make rows as long as it for all its words.
+    flat = messages.withColumn("_flat", alias_text(F.col(message))).withColumns({"_a": F.when(F.col("_flat").isNotNull(), F.xxhash64("_flat")), "_b": F.when(F.col("_flat").isNotNull(), F.hash("_flat"))})
+    words = flat.where("_flat <> ''").select("_a", "_b", "_flat").distinct().select("_a", "_b", F.split("_flat", " ").alias("w"))
     runs = [F.expr(f"if(size(w) < {n}, array(), transform(sequence(1, size(w) - {n - 1}), i -> array_join(slice(w, i, {n}), ' ')))") for n in sizes]
-    met = words.select("_flat", F.explode(F.array_distinct(F.concat(*runs))).alias("run")).join(keys, "run")
-    named = met.groupBy("_flat").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    found = flat.join(named, "_flat", "left").drop("_flat")
+    met = words.select("_a", "_b", F.explode(F.array_distinct(F.concat(*runs))).alias("run")).join(keys, "run")
+    named = met.groupBy("_a", "_b").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    found = flat.drop("_flat").join(named, ["_a", "_b"], "left").drop("_a", "_b")
     return found.withColumn("scope_id", F.when(F.col("low") == F.col("high"), F.col("low"))).withColumn("n_named", F.when(F.col("low").isNull(), 0).when(F.col("low") == F.col("high"), 1).otherwise(2)).drop("low", "high")
 
 

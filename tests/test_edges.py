@@ -21,3 +21,14 @@ def test_references_without_a_semicolon_are_characters_or_text():
     html = "<h1>Beef &amp; ham &lt; eggs &amp</h1><h2>&am &#38 &#x26; &copy; 1 &</h2>"
     assert [b["text"] for b in H.blocks(html, "t")] == ["Beef & ham < eggs &", "&am & & © 1 &"]
     assert [b["text"] for b in H.blocks(html, "t", open_references=False)] == ["Beef & ham < eggs &amp", "&am &#38 & © 1 &"]
+
+
+def test_runs_of_a_message_do_not_carry_it(spark):
+    from passagework.operators import guard
+
+    long = "word " * 200 + "cold chain"
+    messages = spark.createDataFrame([(1, long), (2, None), (3, ""), (4, long), (5, "other")], "i int, message string")
+    found = guard.named_by_table(messages, spark.createDataFrame([("a", "cold chain"), ("b", "warm chain")], "document_id string, alias string"))
+    assert sorted((r.i, r.scope_id, r.n_named) for r in found.collect()) == [(1, "a", 1), (2, None, 0), (3, None, 0), (4, "a", 1), (5, None, 0)]
+    gathered = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "min(low" in x]
+    assert gathered and not any("_flat" in x for x in gathered)
