@@ -28,6 +28,8 @@ from passagework.schemas import METADATA
 QUERIES_AT_ONCE = 2048
 #: Rows of one cell where questions pass by in blocks.
 CELL_ROWS = 1 << 15
+#: Similarities that a task holds at once, and bytes of rows that it gathers beyond the best before it lets the others go.
+SCORES_AT_ONCE, GATHERED = 1 << 20, 1 << 24
 
 
 class Best:
@@ -37,7 +39,16 @@ class Best:
         self.n, self.k = n, k
         self.floor = np.full(n, -np.inf)
         self.held: list[pa.Table] = []
-        self.size = 0
+        self.size = self.bytes = self.kept = 0
+
+    def score(self, rows: pa.RecordBatch, vectors: np.ndarray, asked: np.ndarray, queries: np.ndarray) -> None:
+        """Offers ``rows`` with their unit vectors to ``queries``, whose vectors are ``asked``, so many at once that scores stay few."""
+        at_once = max(1, SCORES_AT_ONCE // max(1, len(queries)))
+        for i in range(0, len(vectors), at_once):
+            similarity = vectors[i : i + at_once] @ asked.T
+            np.subtract(1.0, similarity, out=similarity)
+            np.subtract(1.0, similarity, out=similarity)
+            self.offer(rows.slice(i, at_once), similarity, queries)
 
     def offer(self, rows: pa.RecordBatch, similarity: np.ndarray, queries: np.ndarray) -> None:
         """``similarity``: rows x queries, of which ``queries`` gives the numbers."""
@@ -52,7 +63,9 @@ class Best:
                 taken = taken.append_column(name, pa.array(values))
             self.held.append(taken)
             self.size += len(r)
-            if self.size > max(1 << 16, 2 * self.n * self.k):
+            self.bytes += taken.nbytes
+            # Twice the best at most, so that what is sorted was mostly new.
+            if self.bytes > max(GATHERED, 2 * self.kept):
                 self.rows()
 
     def rows(self) -> pa.Table | None:
@@ -68,6 +81,7 @@ class Best:
         last = place == self.k - 1
         self.floor[query[last]] = np.round(every["_key"].to_numpy()[place[place < self.k] == self.k - 1], 6)
         self.held, self.size = [every], every.num_rows
+        self.bytes = self.kept = every.nbytes
         return every
 
 
@@ -94,26 +108,25 @@ class Asked:
             vectors = _matrix(batch.column(batch.schema.get_field_index("embedding")).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1))
             rows = batch.select(others)
             if None in self.of:
-                best.offer(rows, 1.0 - (1.0 - vectors @ self.matrix.T), np.arange(len(self.ids)))
+                best.score(rows, vectors, self.matrix, np.arange(len(self.ids)))
                 continue
             documents = np.array(batch.column(batch.schema.get_field_index("document_id")).to_pylist(), object)
             for scope in {*documents} & self.of.keys():
                 own, queries = np.flatnonzero(documents == scope), self.of[scope]
-                best.offer(rows.take(pa.array(own)), 1.0 - (1.0 - vectors[own] @ self.matrix[queries].T), queries)
+                best.score(rows.take(pa.array(own)), vectors[own], self.matrix[queries], queries)
         yield from self._given(best, others)
 
-    def among(self, vectors: np.ndarray, rows: pa.RecordBatch, others: list[str], at_once: int = 1 << 12) -> Iterator[pa.RecordBatch]:
+    def among(self, vectors: np.ndarray, rows: pa.RecordBatch, others: list[str]) -> Iterator[pa.RecordBatch]:
         """The best of ``rows``, whose unit vectors are given, for each question."""
         best = Best(len(self.ids), self.k)
-        for i in range(0, len(vectors), at_once):
-            best.offer(rows.slice(i, at_once), 1.0 - (1.0 - vectors[i : i + at_once] @ self.matrix.T), np.arange(len(self.ids)))
+        best.score(rows, vectors, self.matrix, np.arange(len(self.ids)))
         yield from self._given(best, others)
 
     def _given(self, best: Best, others: list[str]) -> Iterator[pa.RecordBatch]:
         found = best.rows()
         if found is not None:
             query = found["_query"].to_numpy()
-            for part in pa.table({"_q": self.ids[query], "similarity": found["_similarity"], **{c: found[c] for c in others}}).to_batches(max_chunksize=1 << 14):
+            for part in pa.table({"_q": self.ids[query], "similarity": found["_similarity"], **{c: found[c] for c in others}}).to_batches(max_chunksize=1 << 12):
                 yield part
 
 

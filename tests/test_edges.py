@@ -32,3 +32,26 @@ def test_runs_of_a_message_do_not_carry_it(spark):
     assert sorted((r.i, r.scope_id, r.n_named) for r in found.collect()) == [(1, "a", 1), (2, None, 0), (3, None, 0), (4, "a", 1), (5, None, 0)]
     gathered = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "min(low" in x]
     assert gathered and not any("_flat" in x for x in gathered)
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_grid_is_cleaned_once(spark):
+    from passagework.operators import layout as L
+
+    grids = spark.createDataFrame([("d", 0, 1, 0.0, 0.0, 9.0, 9.0, [["A", "B"], ["c", "d"], ["e", None]])], "document_id string, page int, table_no int, x0 double, y0 double, x1 double, y1 double, cells array<array<string>>")
+    found = L.accepted_tables(grids.repartition(2), spark.createDataFrame([("d", 0, 600.0, 800.0)], "document_id string, page int, width double, height double"))
+    assert _plan(found).count("transform(cells") == 1 and not found.count()
+
+
+def test_a_line_is_judged_once_for_bullets(spark):
+    from pyspark.sql import functions as F
+
+    from passagework.operators import layout as L
+
+    rows = spark.createDataFrame([(["• a", "b", "C", "•", "d"],)], "lines array<string>").repartition(2)
+    found = L.once(rows, "p", L.bullet_pieces(F.col("lines"), F.lit(True))).where("size(p) > 0").select("p")
+    assert _plan(found).count("(?U)^n\\s+[A-Z") == 1
+    assert [(p["item"], p["text"]) for p in found.first().p] == [(True, "a b"), (False, "C"), (True, "d")]
