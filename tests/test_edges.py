@@ -55,3 +55,23 @@ def test_a_line_is_judged_once_for_bullets(spark):
     found = L.once(rows, "p", L.bullet_pieces(F.col("lines"), F.lit(True))).where("size(p) > 0").select("p")
     assert _plan(found).count("(?U)^n\\s+[A-Z") == 1
     assert [(p["item"], p["text"]) for p in found.first().p] == [(True, "a b"), (False, "C"), (True, "d")]
+
+
+def test_scores_at_once_do_not_grow_with_the_batch(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from passagework.operators import retrieval as R
+
+    monkeypatch.setattr(R, "SCORES_AT_ONCE", 64)
+    monkeypatch.setattr(R, "GATHERED", 1024)
+    seen, offer = [], R.Best.offer
+    monkeypatch.setattr(R.Best, "offer", lambda self, rows, similarity, queries: seen.append(similarity.size) or offer(self, rows, similarity, queries))
+    vectors = np.random.default_rng(1).normal(size=(200, 8))
+    asked = R.Asked([*range(16)], [None] * 16, vectors[:16].tolist(), 3)
+    batch = pa.RecordBatch.from_pydict({"embedding": vectors.tolist(), "chunk_id": [f"{i:03}" for i in range(200)], "ordinal": [0] * 200})
+    found = pa.Table.from_batches(asked.nearest(iter([batch]), ["chunk_id", "ordinal"])).to_pylist()
+    assert max(seen) <= 64
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    want = np.argsort(-np.round(unit[:16] @ unit.T, 6), axis=1, kind="stable")[:, :3]
+    assert [r["chunk_id"] for r in found] == [f"{i:03}" for i in want.reshape(-1)]
