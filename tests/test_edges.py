@@ -75,3 +75,15 @@ def test_scores_at_once_do_not_grow_with_the_batch(monkeypatch):
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
     want = np.argsort(-np.round(unit[:16] @ unit.T, 6), axis=1, kind="stable")[:, :3]
     assert [r["chunk_id"] for r in found] == [f"{i:03}" for i in want.reshape(-1)]
+
+
+def test_reading_order_sorts_the_boxes_of_a_page_twice(spark):
+    from passagework.operators import layout as L
+
+    boxes = spark.createDataFrame([("d", 0, i, 50.0, 10.0 * i, 280.0, 10.0 * i + 8) for i in range(3)], "document_id string, page int, box_no int, x0 double, y0 double, x1 double, y1 double").repartition(2)
+    pages = spark.createDataFrame([("d", 0, 600.0)], "document_id string, page int, width double")
+    found = L.column_order(boxes, pages)
+    assert sorted((r.box_no, r.flow_no) for r in found.collect()) == [(0, 0), (1, 1), (2, 2)]
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    above = plan[: plan.index("Join")]
+    assert above.count("Sort [") <= 2
