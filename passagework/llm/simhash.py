@@ -11,11 +11,12 @@ same scheme runs again on the two 16-bit halves of the other segment.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from passagework.llm import arrowtext as at
@@ -117,6 +118,17 @@ def near_pairs(fps: DataFrame, most_bits: int = 3, crowded: int = 512) -> DataFr
     return first.union(second)
 
 
+def shared_cells(fp: Column) -> Column:
+    """20 hashes of a fingerprint; two fingerprints that differ in at most three bits have one or more of them in common.
+
+    Three bits fall into at most three of six blocks, so the values of some three blocks (31 to 33 bits) agree."""
+    edges = [0, 11, 22, 33, 44, 54, 64]
+    blocks = [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:])]
+    masks = [sum(three) for three in combinations(blocks, 3)]
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    return F.array(*(F.xxhash64(F.lit(i), fp.bitwiseAND(F.lit(signed(m)))) for i, m in enumerate(masks)))
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, most_bits: int = 3, text: str = "text") -> DataFrame:
     """(doc_id, fp, component_id) per row of ``docs``.
 
