@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+from pathlib import Path
 
 import plain_outline
 import pytest
@@ -65,3 +66,19 @@ def test_long_chains_across_spans(spark):
 
 def test_no_events(spark):
     assert folded(spark, []) == []
+
+
+def test_texts_do_not_move_with_every_pass(spark, monkeypatch):
+    """What the passes keep between them is narrow: a text is kept once, a heading's once more."""
+    kept, fresh = [], outline.fresh_path
+
+    def noted(session, name):
+        kept.append(fresh(session, name))
+        return kept[-1]
+
+    monkeypatch.setattr(outline, "fresh_path", noted, raising=False)
+    rows = [("d", i // 4, i, 0, "paragraph", "".join(random.Random(i).choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ", k=5000)), 0, None, None, False, "t") for i in range(200)]
+    found = folded(spark, rows)
+    assert [r[3] for r in found] == [r[5] for r in rows]
+    size = sum(f.stat().st_size for at in kept for f in Path(at.removeprefix("file://")).rglob("*.parquet"))
+    assert kept and size < 2 * sum(len(r[5]) for r in rows)
