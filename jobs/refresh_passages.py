@@ -26,7 +26,6 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from jobs import common
-from passagework.functions import text as T
 from passagework.operators import chunking
 
 LOG = common.log_of("refresh_passages")
@@ -69,7 +68,7 @@ def _newest(rows: DataFrame) -> DataFrame:
 
 
 def blocks_of(docs: DataFrame) -> DataFrame:
-    """Each line of a document as a paragraph block without headings."""
+    """Each line of a document as a paragraph block without headings: what ``chunking.packed_lines`` takes them for."""
     none = F.lit(None).cast("array<string>")
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
     return lines.select(F.col("doc_id").cast("string").alias("document_id"), F.col("line_no").cast("bigint").alias("block_no"), F.lit("paragraph").alias("type"), F.col("line").alias("text"), none.alias("heading_path"), none.alias("header"))
@@ -81,18 +80,17 @@ def _take(rows: DataFrame, batch_id: int, output: str, target_tokens: int) -> No
     rows = rows.observe(read, F.count(F.lit(1)).alias("rows"), F.count_if(F.col("doc_id").isNull()).alias("without_id"))
     docs = _newest(rows).withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")), 256))
     held = last_versions(spark, output, batch_id).select("doc_id", "text_sha256")
-    fresh = docs.join(held, ["doc_id", "text_sha256"], "left_anti").persist()  # saves work; if it is lost it is made again
-    pieces = chunking.pieces(blocks_of(fresh), target_tokens)
-    passages = chunking.numbered(pieces).select(F.col("document_id").cast("bigint").alias("doc_id"), "ordinal", "chunk_id", "text", T.estimate_tokens(F.col("text")).alias("tokens"))
+    fresh = docs.join(held, ["doc_id", "text_sha256"], "left_anti")
+    # A row per document with its passages and what was rejected of it: all three tables are parts of these.
+    cut = chunking.packed_lines(fresh, target_tokens).persist()  # saves work; if it is lost it is made again
     batch = F.lit(batch_id).cast("bigint").alias("batch_id")
-    _write(passages.join(fresh.select("doc_id", "lang"), "doc_id").select("*", batch).observe(made, F.count(F.lit(1)).alias("rows")), output, "passages")
-    bad = pieces.where("error is not null").select(F.col("document_id").cast("bigint").alias("doc_id"), "block_no", "error", F.col("text").alias("start"), batch)
-    _write(bad, output, "rejected")
-    counts = _table(spark, output, "passages").where(F.col("batch_id") == batch_id).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_passages"))
-    versions = fresh.select("doc_id", "text_sha256").join(counts, "doc_id", "left").select("doc_id", "text_sha256", F.coalesce("n_passages", F.lit(0).cast("bigint")).alias("n_passages"), batch)
-    _write(versions, output, "versions")
+    passages = cut.select("doc_id", "lang", F.posexplode("passages").alias("ordinal", "p"))
+    passages = passages.select("doc_id", "ordinal", F.concat_ws(":", "doc_id", "ordinal").alias("chunk_id"), "p.text", "p.tokens", "lang", batch)
+    _write(passages.observe(made, F.count(F.lit(1)).alias("rows")), output, "passages")
+    _write(cut.select("doc_id", F.inline("rejected")).select("*", batch), output, "rejected")
+    _write(cut.select("doc_id", "text_sha256", F.size("passages").cast("bigint").alias("n_passages"), batch), output, "versions")
     documents = _table(spark, output, "versions").where(F.col("batch_id") == batch_id).count()
-    fresh.unpersist()
+    cut.unpersist()
     run = (read.get["rows"], read.get["without_id"], documents, made.get["rows"], batch_id)
     _write(spark.createDataFrame([run], RUNS), output, "log")
     LOG.info("batch %d: read %d rows (%d without doc_id), took %d new or changed documents, wrote %d passages to %s", batch_id, *run[:4], output)

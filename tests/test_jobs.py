@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from jobs import refresh_passages as R
 from jobs import turn_report as J
+from passagework.functions import text as T
 from passagework.operators import chunking, guard
 from passagework.plans.question_queries import MESSAGES
 from passagework.registry import REGISTRY
@@ -131,6 +132,35 @@ def test_whole_documents_agree_with_one_batch_run(place, spark):
     assert {x[2:4] for x in place.passages()} == {(r.chunk_id, r.text) for r in want.collect()}
 
 
+def test_lines_are_cut_as_blocks_are(spark):
+    long = ["One two. " * 90, 'He said. "Go on." ' * 60 + "x\x1cy z\x1f " * 50, "w " * 400, "é. \u00a0 Ça va.\u2003And so. " * 60, "a.\u3000B " * 200]
+    odd = [None, "", " \n\u00a0\n", "\x1c", "a\x1db\x85c\r\nd", "____ ab\n____ abcde\n____ ½²一\n__ ___ !", "\u2003lead\u2028inner  gap \n\n next\u00a0"]
+    whole = ["\n".join(["short one", *long[:2], "____", "tail", "tail two"]), "\n".join([long[2], "after", long[3]]), *long, *odd, "\n".join(f"{'w ' * 50}{i}" for i in range(12))]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(whole)], "doc_id bigint, text string, lang string")
+    pieces = chunking.pieces(R.blocks_of(docs))
+    want = sorted((int(r.document_id), r.ordinal, r.text, r.tokens) for r in chunking.numbered(pieces).withColumn("tokens", T.estimate_tokens(F.col("text"))).collect())
+    rows = chunking.packed_lines(docs).collect()
+    assert [c for c in rows[0].asDict()] == ["doc_id", "lang", "passages", "rejected"] and len(rows) == len(whole)
+    assert sorted((r.doc_id, i, p.text, p.tokens) for r in rows for i, p in enumerate(r.passages)) == want
+    bad = sorted((int(r.document_id), r.block_no, r.error, r.text) for r in pieces.where("error is not null").collect())
+    assert bad and sorted((r.doc_id, *b) for r in rows for b in r.rejected) == bad
+
+
+def test_a_batch_is_cut_once_and_its_texts_move_once(place, monkeypatch):
+    write, plans = R._write, {}
+
+    def seen(df, output, name):
+        if name in ("passages", "rejected", "versions"):
+            plans[name] = df._jdf.queryExecution().optimizedPlan().toString().split("InMemoryRelation")[0]
+        write(df, output, name)
+
+    monkeypatch.setattr(R, "_write", seen)
+    place.add((1, text(1), "en"), (2, "x " * 400, None), (3, None, "de"))
+    assert place.run() == {"batches": 1, "documents": 3, "passages": 4}
+    assert len(plans) == 3 and not any(re.search("MapInArrow|Join|Window|Aggregate|Repartition", p) for p in plans.values()), plans
+    assert sorted((r.doc_id, r.n_passages) for r in R.last_versions(place.spark, place.output).collect()) == [(1, 4), (2, 0), (3, 0)]
+
+
 def command(module, config, *more):
     run = subprocess.run([sys.executable, f"{ROOT}/jobs/{module}.py", "--config", str(config), *more], capture_output=True, text=True, cwd="/", env={**os.environ, "PYTHONPATH": ROOT}, timeout=300)
     assert run.returncode == 0, run.stderr[-2000:]
