@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from passagework import registry as R
 from passagework import schemas
-from passagework.errors import VectorIndexError
+from passagework.errors import ChunkError, VectorIndexError
 from passagework.operators import embedding
 from passagework.plans import build_index
 from passagework.sources import stores
@@ -79,3 +79,13 @@ def test_embedded_texts_are_sums_of_signed_features():
 
     texts = ["", " ", "One", "one two Straße one two", "a " * 500]
     assert np.array_equal(embedding.HashingEmbedder(24).embed(texts), np.array([plain(t, 24) for t in texts]))
+
+
+def test_documents_that_cannot_be_cut_are_left_out_if_asked(spark, parts, tmp_path):
+    blocks, reg, dates = parts
+    long = spark.createDataFrame([("fsa-chill", 9, "paragraph", "word " * 300, None, None)], schemas.BLOCKS)
+    path = f"file://{tmp_path}/index"
+    manifest = build_index.publish(blocks.unionByName(long), reg, dates, embedding.HashingEmbedder(16), path, without_uncut=True)
+    assert manifest.first().chunk_count == 18 and stores.open_index(spark, path).where("document_id = 'fsa-chill'").count() == 0
+    with pytest.raises(ChunkError, match="no sentence boundary"):
+        build_index.publish(blocks.unionByName(long), reg, dates, embedding.HashingEmbedder(16), path)
